@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op3_language
 from .packing import op9_packing
 from .quality import op7_quality
 from .secrets import op4_secrets
@@ -15,6 +16,7 @@ from .token_output import op2_token_output
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_output": op2_token_output,
+    "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op7_quality": op7_quality,
     "op9_packing": op9_packing,
