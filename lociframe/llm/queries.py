@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op5_decontaminate
 from .language import op3_language
 from .lm_score import op8_lm_score
 from .packing import op9_packing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": op2_token_output,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
+    "op5_decontaminate": op5_decontaminate,
     "op7_quality": op7_quality,
     "op8_lm_score": op8_lm_score,
     "op9_packing": op9_packing,
