@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op5_decontaminate
+from .embedding_dedup import op6_embedding_dedup
 from .language import op3_language
 from .lm_score import op8_lm_score
 from .packing import op9_packing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_quality": op7_quality,
     "op8_lm_score": op8_lm_score,
     "op9_packing": op9_packing,
