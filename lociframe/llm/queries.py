@@ -14,6 +14,7 @@ from .packing import op9_packing
 from .quality import op7_quality
 from .secrets import op4_secrets
 from .simhash import op1_simhash
+from .suffix_dedup import op10_suffix_dedup
 from .token_output import op2_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_lm_score": op8_lm_score,
     "op9_packing": op9_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
