@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, stage, text_blocks
+from .common import only, text_blocks
 
 GRAM = 3
 SEEDS = 16
@@ -126,52 +126,75 @@ def count_rows(sent, key: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[
     return run
 
 
+def find_items(items: Items, table: np.ndarray, seeds: dict[int, list[tuple[int, int]]], known: dict, text: bytes, share: float, least_words: int) -> list[tuple[int, float, int, int]]:
+    """(item, share of its score, from word, to word) of the items that a text holds; ``known`` remembers alignments."""
+    words = _numbers(items, text)
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for _, runs in items.text_runs(words):
+        hit, at = _find(table, runs)
+        for p, s in zip(hit.tolist(), at.tolist(), strict=True):
+            for item, q in seeds[int(table[s])]:
+                n = len(items.words[item])
+                slack = n // 4 + 4
+                spans.setdefault(item, []).append((max(0, p - q - slack), min(len(words), p - q + n + slack)))
+    out = []
+    for item, found in spans.items():
+        found.sort()
+        merged = [list(found[0])]
+        for s, e in found[1:]:
+            if s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        best = (0, 0, 0)
+        for s, e in merged:
+            window = words[s:e]
+            if (k := (item, window.tobytes())) not in known:
+                if len(known) > 20_000:
+                    known.clear()
+                known[k] = smith_waterman(items.words[item], window)
+            score, end = known[k]
+            best = max(best, (score, s + end, s))
+        n = len(items.words[item])
+        part = best[0] / (MATCH * n)
+        if part >= max(share, min(1.0, least_words / n)):
+            out.append((items.ids[item], part, best[2], best[1]))
+    return out
+
+
+def _prepared(sent, key: str, seeds: dict) -> tuple[Items, np.ndarray]:
+    if key not in _SENT:
+        _SENT.clear()
+        _SENT[key] = (Items(*sent.value), np.array(sorted(seeds), np.int64))
+    return _SENT[key]
+
+
 def match_rows(sent, key: str, seeds: dict[int, list[tuple[int, int]]], share: float, least_words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Texts to the items they hold; ``seeds`` has for each run its items and places in them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SENT:
-            _SENT.clear()
-            _SENT[key] = (Items(*sent.value), np.array(sorted(seeds), np.int64))
-        items, table = _SENT[key]
-        known: dict[tuple[int, bytes], tuple[int, int]] = {}
+        items, table = _prepared(sent, key, seeds)
+        known: dict = {}
         for rows, off, data in text_blocks(batches):
-            raw = data.tobytes()
-            out: list[tuple] = []
-            ids = rows.column(0).to_pylist()
-            for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                words = _numbers(items, raw[a:b])
-                spans: dict[int, list[tuple[int, int]]] = {}
-                for _, runs in items.text_runs(words):
-                    hit, at = _find(table, runs)
-                    for p, s in zip(hit.tolist(), at.tolist(), strict=True):
-                        for item, q in seeds[int(table[s])]:
-                            n = len(items.words[item])
-                            slack = n // 4 + 4
-                            spans.setdefault(item, []).append((max(0, p - q - slack), min(len(words), p - q + n + slack)))
-                for item, found in spans.items():
-                    best = (0, 0, 0)
-                    found.sort()
-                    merged = [list(found[0])]
-                    for s, e in found[1:]:
-                        if s <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], e)
-                        else:
-                            merged.append([s, e])
-                    for s, e in merged:
-                        window = words[s:e]
-                        if (k := (item, window.tobytes())) not in known:
-                            if len(known) > 20_000:
-                                known.clear()
-                            known[k] = smith_waterman(items.words[item], window)
-                        score, end = known[k]
-                        best = max(best, (score, s + end, s))
-                    n = len(items.words[item])
-                    part = best[0] / (MATCH * n)
-                    if part >= max(share, min(1.0, least_words / n)):
-                        out.append((ids[i], items.ids[item], part, best[2], best[1]))
+            raw, ids = data.tobytes(), rows.column(0).to_pylist()
+            out = [(ids[i], *m) for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)) for m in find_items(items, table, seeds, known, raw[a:b], share, least_words)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], rows.schema.field(0).type), *[pa.array([r[c] for r in out], t) for c, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]], names=["doc_id", "item_id", "score", "from_word", "to_word"])
+                kinds = (rows.schema.field(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["doc_id", "item_id", "score", "from_word", "to_word"])
+
+    return run
+
+
+def clean_rows(sent, key: str, seeds: dict[int, list[tuple[int, int]]], share: float, least_words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows, whole, whose text holds no item."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, table = _prepared(sent, key, seeds)
+        known: dict = {}
+        for rows, off, data in text_blocks(batches):
+            raw = data.tobytes()
+            keep = [not find_items(items, table, seeds, known, raw[a:b], share, least_words) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield rows.filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -189,14 +212,9 @@ def _slices(benchmark: DataFrame, slice_words: int) -> Iterator[tuple[list[int],
         yield ids, texts
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = LEAST_WORDS, seeds: int = SEEDS, slice_words: int = SLICE_WORDS) -> DataFrame:
-    """``doc_id, item_id, score, from_word, to_word`` for every row of ``doc_id, text`` and item whose alignment has at least ``share`` of an exact copy's score.
-
-    Items of fewer than ``least_words / share`` words need a larger share, those of up to ``least_words`` all of it.
-    """
+def _seeded(docs: DataFrame, benchmark: DataFrame, seeds: int, slice_words: int) -> Iterator[tuple]:
+    """For each slice of items: what is sent to the tasks, and the rarest runs of each item over all texts with their places."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = []
     for ids, texts in _slices(benchmark, slice_words):
         items = Items(ids, texts)
         sent = spark.sparkContext.broadcast((ids, texts))
@@ -208,16 +226,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_SHA
             for q, r in enumerate(runs.tolist()):
                 if r in some:
                     rare.setdefault(r, []).append((k, q))
-        out.append(only(docs, "doc_id", "text").mapInArrow(match_rows(sent, uuid.uuid4().hex, rare, share, least_words), f"doc_id {kind}, item_id long, score double, from_word long, to_word long"))
-    if not out:
-        return spark.createDataFrame([], f"doc_id {kind}, item_id long, score double, from_word long, to_word long")
-    return reduce(DataFrame.unionByName, out)
+        yield sent, uuid.uuid4().hex, rare
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = LEAST_WORDS, seeds: int = SEEDS, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """``doc_id, item_id, score, from_word, to_word`` for every row of ``doc_id, text`` and item whose alignment has at least ``share`` of an exact copy's score.
+
+    Items of fewer than ``least_words / share`` words need a larger share, those of up to ``least_words`` all of it.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id long, score double, from_word long, to_word long"
+    out = [only(docs, "doc_id", "text").mapInArrow(match_rows(*found, share, least_words), schema) for found in _seeded(docs, benchmark, seeds, slice_words)]
+    return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], schema)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold an item."""
-    held = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias("held_id")).distinct(), "held")
-    return docs.join(held, F.col("doc_id") == F.col("held_id"), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = LEAST_WORDS, seeds: int = SEEDS, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """``docs``, all columns, without the rows that hold an item."""
+    out = docs
+    for found in _seeded(docs, benchmark, seeds, slice_words):
+        out = out.mapInArrow(clean_rows(*found, share, least_words), docs.schema)
+    return out
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

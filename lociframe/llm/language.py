@@ -189,7 +189,7 @@ def words_of(text: bytes) -> list[bytes]:
     return words
 
 
-def predict_rows(net: Network, key: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def predict_rows(net: Network, key: str, names: tuple[str, str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _TABLES:
             _TABLES.clear()
@@ -203,12 +203,12 @@ def predict_rows(net: Network, key: str) -> Callable[[Iterable[pa.RecordBatch]],
             p = np.exp(mean - mean.max(1, keepdims=True)) if mean.shape[1] else np.zeros((len(mean), 1))
             p /= np.maximum(p.sum(1, keepdims=True), 1e-30)
             best = p.argmax(1)
-            names, scores = [], []
+            found, scores = [], []
             for i, t in enumerate(texts):
                 letter = sums[i, -1] > 0 and net.languages and (any(65 <= c & 223 <= 90 for c in t[:256]) or any(c.isalpha() for c in t.decode("utf-8", "replace")))
-                names.append(net.languages[best[i]] if letter else NONE)
+                found.append(net.languages[best[i]] if letter else NONE)
                 scores.append(float(p[i, best[i]]) if letter else 0.0)
-            yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(rows.num_columns)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rows.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(rows.num_columns)], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*rows.schema.names, *names])
 
     return run
 
@@ -230,11 +230,17 @@ def fit_languages(docs: DataFrame, held_out: int = 2, folds: int = 4, train_docs
     return train(words, np.asarray(labels, np.int64), languages, seed=seed)
 
 
-def with_language(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``."""
+def with_language(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with its predicted language and the score of it, in columns of these ``names``."""
     key = f"{id(net)}-{hash(net.weights['c'].tobytes())}"
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(predict_rows(net, key), f"{kinds}, lang_pred string, lang_score double")
+    return docs.mapInArrow(predict_rows(net, key, names), f"{kinds}, `{names[0]}` string, `{names[1]}` double")
+
+
+def accepted(docs: DataFrame, net: Network, least_score: float = 0.3) -> DataFrame:
+    """``docs``, all columns, without the rows that have no language or one with a lower score."""
+    names = ("__language", "__language_score")
+    return with_language(docs, net, names).where((F.col(names[0]) != NONE) & (F.col(names[1]) >= least_score)).drop(*names)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ CROWD = 512
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
 
-def fingerprint_rows(words: int, seed: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def fingerprint_rows(words: int, seed: int, name: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
@@ -60,14 +60,15 @@ def fingerprint_rows(words: int, seed: int) -> Callable[[Iterable[pa.RecordBatch
                 for bit in range(64):
                     ones = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(1), starts)
                     out[full] |= (2 * ones.astype(np.int64) > n[full]).astype(np.uint64) << np.uint64(bit)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out.view(np.int64), pa.int64())], names=[*rows.schema.names, name])
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of ``doc_id, text``."""
-    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(fingerprint_rows(words, seed), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, name: str = "fp") -> DataFrame:
+    """``docs``, all columns, with the fingerprint of ``text`` as a signed long."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(fingerprint_rows(words, seed, name), f"{kinds}, `{name}` long")
 
 
 def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -141,16 +142,33 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, pivots: int = PIVOTS, crowd:
     return near.unionByName(stars.select(F.explode("all").alias("a"), "b").where("a <> b").distinct())
 
 
+def classes(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``fp, first_id, component_id`` of the distinct fingerprints of ``doc_id, fp``: the least id of each, and of all that it reaches by links."""
+    each = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    found = components(links(each.select("fp"), max_bits))
+    low = each.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    least = low.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return stage(low.join(least, "component").select("fp", "first_id", "component_id", "component"), "named")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fp, fingerprint, component_id`` of every row of ``doc_id, text``."""
-    marked = stage(fingerprints(docs, words), "fingerprints")
-    classes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    found = components(links(classes.select("fp"), max_bits))
-    low = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = low.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = stage(low.join(least, "component").select("fp", "component_id"), "named")
+    marked = fingerprints(only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), words).select("doc_id", "fp")
+    marked = stage(marked, "fingerprints")
+    named = classes(marked, max_bits).select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs``, all columns, with one row of each near-duplicate group: the one of the least ``doc_id``."""
+    fp = "__fingerprint"
+    marked = stage(fingerprints(docs, words, name=fp), "marked")
+    named = classes(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp")), max_bits)
+    first = named.where(F.col("first_id").eqNullSafe(F.col("component_id"))).groupBy("component", "component_id").agg(F.min("fp").alias("fp"))
+    first = stage(first.select(F.col("fp").alias("__fp"), F.col("component_id").alias("__id")), "first")
+    kept = marked.join(first, (F.col(fp) == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", fp]).drop(fp)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
