@@ -1,6 +1,19 @@
-"""Registered queries by name, each over the whole given tables, and their SQL."""
+"""Registered queries by name, each over the whole given tables, and their SQL.
+
+Every query applies library operators to the given tables; SQL gives the same columns and values,
+doubles rounded to six places on both sides where they are sums.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import curation, labels, sequences, statistics, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (vectors, curation, sequences, labels, statistics):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
