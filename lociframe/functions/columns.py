@@ -20,7 +20,7 @@ def smooth_log2(mic: Column | str, lo: int = -8, hi: int = 9) -> Column:
     log = F.log2(x)
     # halfway between two powers goes to the lower one; rint alone would round half to even
     near = F.ceil(log - 0.5)
-    return F.when(x <= 0, F.lit(None)).when(log == F.rint(log), x).otherwise(F.pow(F.lit(2.0), F.least(F.greatest(near, F.lit(lo)), F.lit(hi)).cast("double")))
+    return F.when(x.isNull() | (x <= 0), F.lit(None)).when(log == F.rint(log), x).otherwise(F.pow(F.lit(2.0), F.least(F.greatest(near, F.lit(lo)), F.lit(hi)).cast("double")))
 
 
 def recode_by_pattern(col: Column | str, rules: Sequence[tuple[Sequence[str], str]] | Mapping[str, Sequence[str]], default: str = "unknown") -> Column:
