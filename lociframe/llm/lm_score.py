@@ -203,10 +203,10 @@ def score_table(spark: SparkSession, runs: DataFrame, depth: int = DEPTH) -> Dat
     dealt = runs.select("run", "n").repartition(parts(spark), F.shiftright("run", 8).bitwiseAND(F.lit(0xFFFF)))
     two = dealt.mapInArrow(top_rows(depth), "key long, zeros double, ones double, mixed double")
     drop = F.shiftright("key", 8).bitwiseAND(F.lit(0xFF)) * 256 + F.col("key").bitwiseAND(F.lit(0xFF))
-    got = two.groupBy(drop.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("mixed")).toPandas().sort_values("key")  # 65,280 rows at most
-    keys, zeros, ones = got["key"].to_numpy(np.int64), got["zeros"].to_numpy(float), got["ones"].to_numpy(float)
+    got = two.groupBy(drop.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("mixed")).orderBy("key").toArrow()  # 65,280 rows at most
+    keys, zeros, ones = got["key"].to_numpy(), got["zeros"].to_numpy(), got["ones"].to_numpy()
     own = log_kt(zeros, ones)
-    mixed = np.logaddexp(own, got["mixed"].to_numpy(float)) - np.log(2)
+    mixed = np.logaddexp(own, got["mixed"].to_numpy()) - np.log(2)
     root, at = np.unique(keys & 255, return_inverse=True)
     zeros0, ones0 = np.bincount(at, zeros, len(root)), np.bincount(at, ones, len(root))
     own0 = log_kt(zeros0, ones0)
@@ -311,10 +311,12 @@ def score_texts(docs: DataFrame, held_out: int = 2, folds: int = 7, depth: int =
         if (held := held + r["k"]) > head_words:
             break
         least = r["n"]
-    heads = words.where((F.col("key") != END_TOKEN) & (F.col("n") >= least)).toPandas() if least is not None else words.limit(0).toPandas()  # at most head_words
+    heads = words.where((F.col("key") != END_TOKEN) & (F.col("n") >= least)) if least is not None else words.limit(0)
+    heads = heads.toArrow()  # at most head_words
     with_runs = table.count() <= table_runs
-    runs = table.toPandas() if with_runs else table.limit(0).toPandas()  # at most table_runs
-    sent = spark.sparkContext.broadcast((runs["run"].to_numpy(np.int64), runs["logp"].to_numpy(float), heads["key"].to_numpy(np.int64), heads["n"].to_numpy(float)))
+    runs = (table if with_runs else table.limit(0)).toArrow()  # at most table_runs
+    sent = spark.sparkContext.broadcast((runs["run"].to_numpy(), runs["logp"].to_numpy(), heads["key"].to_numpy(), heads["n"].to_numpy().astype(float)))
+    del runs, heads
     schema = f"row long, doc_id {kind}, train boolean, n_tokens long, known long, logs double, score double, tail array<long>"
     scored = rows.mapInArrow(text_rows(sent, uuid.uuid4().hex, depth, with_runs), schema + ("" if with_runs else ", runs array<long>"))
     scored = stage(scored, "texts")
