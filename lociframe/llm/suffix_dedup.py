@@ -285,10 +285,12 @@ def repeats(docs: DataFrame, sent_pieces: int = SENT_PIECES, crowd: int = CROWD)
     groups = stage(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > crowd).withColumn("crowded", F.lit(True)).select("h", "crowded"), "groups")
     wanted = stage(kinds.join(groups, "h", "left").select("h", "p", "owner", (F.col("n") == 1).alias("single"), F.coalesce("crowded", F.lit(False)).alias("crowded")), "wanted")
     if wanted.count() <= sent_pieces:
-        got = wanted.toPandas()  # at most sent_pieces
-        key = piece_key(got["h"].to_numpy(np.int64), got["p"].to_numpy(np.int64))
+        got = wanted.toArrow()  # at most sent_pieces
+        h, p, owner, crowded, single = (got[c].to_numpy() for c in ("h", "p", "owner", "crowded", "single"))
+        key = piece_key(h, p)
         order = np.argsort(key)
-        sent = spark.sparkContext.broadcast((key[order], got["owner"].to_numpy(np.int64)[order], got["crowded"].to_numpy(bool)[order], got["single"].to_numpy(bool)[order]))
+        sent = spark.sparkContext.broadcast((key[order], owner[order], crowded[order], single[order]))
+        del got, h, p, owner, crowded, single
 
         def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from extract_rows(batches, *sent.value)
