@@ -198,7 +198,7 @@ def predict_rows(net: Network, key: str, names: tuple[str, str]) -> Callable[[It
         for rows, off, data in text_blocks(batches):
             raw = data.tobytes()
             texts = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            sums = table([words_of(t) for t in texts])
+            sums = table([words_of(t) for t in texts]) if net.languages else np.zeros((len(texts), 1))
             mean = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
             p = np.exp(mean - mean.max(1, keepdims=True)) if mean.shape[1] else np.zeros((len(mean), 1))
             p /= np.maximum(p.sum(1, keepdims=True), 1e-30)

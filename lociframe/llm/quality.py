@@ -177,7 +177,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", he
     known = only(labels, "doc_id", label).where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("id"), F.col(label).alias("y"))
     taught = facts.where(crc_mod("doc_id", folds) != held_out).join(known, F.col("doc_id") == F.col("id"))
     sample = taught.select("x", "y", F.xxhash64(F.lit(seed), "doc_id").alias("h")).orderBy("h", "y").limit(train_rows).select("x", "y").collect()  # at most train_rows
-    model = fit(np.array([r["x"] for r in sample]).reshape(len(sample), -1), np.array([r["y"] for r in sample], float))
+    model = fit(np.array([r["x"] for r in sample]).reshape(len(sample), len(NAMES)), np.array([r["y"] for r in sample], float))
     return facts.mapInArrow(score_rows(model), f"doc_id {kind}, score double").select("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out"), "score")
 
 
