@@ -135,7 +135,7 @@ def unite_numbered(s, d):
     return curate.unite_numbered(table(s, d, "part").select("p_partkey", F.col("p_brand").alias("label...1"), F.col("p_type").alias("label...2")), ["label"])
 
 
-@query("""SELECT c_custkey, antibiotic, class, mic, CASE WHEN mic <= 0 THEN NULL WHEN log2(mic) = round(log2(mic)) THEN mic ELSE pow(2.0, least(greatest(ceil(log2(mic) - 0.5), -8), 9)) END AS mic_smooth FROM (SELECT c_custkey, 'amikacin' AS antibiotic, CASE WHEN c_acctbal > 0 THEN 'resistant' END AS class, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS mic FROM customer UNION ALL SELECT c_custkey, 'gentamicin', 'susceptible', CAST(c_nationkey + 1 AS DOUBLE) FROM customer)""")
+@query("""SELECT c_custkey, antibiotic, class, mic, CASE WHEN mic IS NULL OR mic <= 0 THEN NULL WHEN log2(mic) = round(log2(mic)) THEN mic ELSE pow(2.0, least(greatest(ceil(log2(mic) - 0.5), -8), 9)) END AS mic_smooth FROM (SELECT c_custkey, 'amikacin' AS antibiotic, CASE WHEN c_acctbal > 0 THEN 'resistant' END AS class, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS mic FROM customer UNION ALL SELECT c_custkey, 'gentamicin', 'susceptible', CAST(c_nationkey + 1 AS DOUBLE) FROM customer)""")
 def ast_long(s, d):
     c = table(s, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("amikacin"), F.when(F.col("c_acctbal") > 0, "R").otherwise("not defined").alias("amikacin_class"), (F.col("c_nationkey") + 1).cast("double").alias("gentamicin"), F.lit("S").alias("gentamicin_class"))
     return curate.ast_long(c, ["amikacin", "gentamicin"], sample="c_custkey")
