@@ -1,8 +1,9 @@
 """Operator 5: benchmark decontamination.
 
 Items and texts are lower-cased words of letters, digits and bytes beyond ASCII. A first pass over all
-texts counts in how many each ``GRAM``-word run of an item occurs; the ``SEEDS`` rarest runs of each
-item are its seeds. A second pass joins passages to items where a seed occurs, and a Smith-Waterman
+texts counts in how many each ``GRAM``-word run of an item occurs; an item's seeds are its rare runs,
+those in at most ``RARE`` times as many texts as its lower quartile and one. (Only the very rarest would
+be those that edited copies have lost.) A second pass joins passages to items where a seed occurs, and a Smith-Waterman
 alignment of the item against the words around scores the pair: its share of the score of an exact copy.
 
 Items are sent to the tasks in slices of at most ``SLICE_WORDS`` words, one after the other, so that
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import only, text_blocks
 
 GRAM = 3
-SEEDS = 16
+RARE = 4
 SLICE_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SHARE = 0.5
@@ -212,38 +213,39 @@ def _slices(benchmark: DataFrame, slice_words: int) -> Iterator[tuple[list[int],
         yield ids, texts
 
 
-def _seeded(docs: DataFrame, benchmark: DataFrame, seeds: int, slice_words: int) -> Iterator[tuple]:
-    """For each slice of items: what is sent to the tasks, and the rarest runs of each item over all texts with their places."""
+def _seeded(docs: DataFrame, benchmark: DataFrame, rare: int, slice_words: int) -> Iterator[tuple]:
+    """For each slice of items: what is sent to the tasks, and the rare runs of each item over all texts with their places."""
     spark = docs.sparkSession
     for ids, texts in _slices(benchmark, slice_words):
         items = Items(ids, texts)
         sent = spark.sparkContext.broadcast((ids, texts))
         counts = docs.select("text").mapInArrow(count_rows(sent, uuid.uuid4().hex), "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
         seen = {r["run"]: r["n"] for r in counts.collect()}  # a row per run of the slice at most
-        rare: dict[int, list[tuple[int, int]]] = {}
+        seeds: dict[int, list[tuple[int, int]]] = {}
         for k, runs in enumerate(items.runs):
-            some = set(sorted(set(runs.tolist()), key=lambda r: (seen.get(r, 0), r))[:seeds])
+            often = sorted(seen.get(r, 0) for r in set(runs.tolist()))
+            limit = rare * (often[len(often) // 4] + 1)
             for q, r in enumerate(runs.tolist()):
-                if r in some:
-                    rare.setdefault(r, []).append((k, q))
-        yield sent, uuid.uuid4().hex, rare
+                if seen.get(r, 0) <= limit:
+                    seeds.setdefault(r, []).append((k, q))
+        yield sent, uuid.uuid4().hex, seeds
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = LEAST_WORDS, seeds: int = SEEDS, slice_words: int = SLICE_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = LEAST_WORDS, rare: int = RARE, slice_words: int = SLICE_WORDS) -> DataFrame:
     """``doc_id, item_id, score, from_word, to_word`` for every row of ``doc_id, text`` and item whose alignment has at least ``share`` of an exact copy's score.
 
     Items of fewer than ``least_words / share`` words need a larger share, those of up to ``least_words`` all of it.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, score double, from_word long, to_word long"
-    out = [only(docs, "doc_id", "text").mapInArrow(match_rows(*found, share, least_words), schema) for found in _seeded(docs, benchmark, seeds, slice_words)]
+    out = [only(docs, "doc_id", "text").mapInArrow(match_rows(*found, share, least_words), schema) for found in _seeded(docs, benchmark, rare, slice_words)]
     return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], schema)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = LEAST_WORDS, seeds: int = SEEDS, slice_words: int = SLICE_WORDS) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = LEAST_WORDS, rare: int = RARE, slice_words: int = SLICE_WORDS) -> DataFrame:
     """``docs``, all columns, without the rows that hold an item."""
     out = docs
-    for found in _seeded(docs, benchmark, seeds, slice_words):
+    for found in _seeded(docs, benchmark, rare, slice_words):
         out = out.mapInArrow(clean_rows(*found, share, least_words), docs.schema)
     return out
 
