@@ -189,6 +189,11 @@ def codon_table() -> dict[str, str]:
     return {a + b + c: CODE_RESIDUES[16 * i + 4 * j + k] for i, a in enumerate(CODE_BASES) for j, b in enumerate(CODE_BASES) for k, c in enumerate(CODE_BASES)}
 
 
+def codons(seq: Column | str) -> Column:
+    """The full codons in frame, in one pass over the text."""
+    return F.regexp_extract_all(_c(seq), F.lit("(.{3})"), F.lit(1))
+
+
 def is_degenerate(seq: Column | str) -> Column:
     return F.upper(_c(seq)).rlike("[^ACGTU]")
 
@@ -198,8 +203,7 @@ def translate_dna(seq: Column | str, degenerate: str = "first") -> Column:
     s = F.translate(F.upper(_c(seq)), "U", "T")
     plain = F.translate(s, AMBIGUOUS, FIRST_BASE)
     table = F.create_map(*[F.lit(v) for kv in codon_table().items() for v in kv])
-    n = F.floor(F.length(s) / 3).cast("int")
-    of = lambda x: F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(table[F.substring(x, i * 3 + 1, F.lit(3))], F.lit("X"))), "")).otherwise("")
+    of = lambda x: F.array_join(F.transform(codons(x), lambda c: F.coalesce(table[c], F.lit("X"))), "")
     if degenerate == "first":
         return F.when(s.isNotNull(), of(plain))
     if degenerate == "ignore":

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import codon_table, normalise_name
+from ..functions.columns import codon_table, codons, normalise_name
 from ..functions.seeded import draw, unit
 
 
@@ -146,10 +146,8 @@ def substitute(df: DataFrame, id: str, seq: str, scores: Mapping[str, Mapping[st
 
 def codon_usage(df: DataFrame, seq: str) -> DataFrame:
     """``codon, residue, n`` of full codons in frame."""
-    n = F.floor(F.length(seq) / 3).cast("int")
-    codons = F.explode(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.upper(F.substring(seq, i * 3 + 1, F.lit(3))))))
     table = F.create_map(*[F.lit(v) for kv in codon_table().items() for v in kv])
-    return df.select(codons.alias("codon")).groupBy("codon").agg(F.count("*").alias("n")).select("codon", table[F.col("codon")].alias("residue"), "n").where("residue is not null")
+    return df.select(F.explode(codons(F.upper(seq))).alias("codon")).groupBy("codon").agg(F.count("*").alias("n")).select("codon", table[F.col("codon")].alias("residue"), "n").where("residue is not null")
 
 
 def best_codon(df: DataFrame, seq: str, usage: DataFrame) -> DataFrame:
@@ -161,8 +159,7 @@ def best_codon(df: DataFrame, seq: str, usage: DataFrame) -> DataFrame:
         return df
     table = F.create_map(*[F.lit(v) for kv in change.items() for v in kv])
     n = F.floor(F.length(seq) / 3).cast("int")
-    codon = lambda i: F.upper(F.substring(seq, i * 3 + 1, F.lit(3)))
-    body = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(table[codon(i)], codon(i))), "")).otherwise("")
+    body = F.array_join(F.transform(codons(F.upper(seq)), lambda c: F.coalesce(table[c], c)), "")
     return df.withColumn(seq, F.concat(body, F.substring(seq, n * 3 + 1, F.lit(2))))
 
 

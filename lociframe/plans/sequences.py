@@ -81,6 +81,6 @@ def variants(s, d):
     return store.variants(q, "item_id", "seq", [{"method": "permute"}, {"method": "random", "variation": "random", "alphabet": "ACDEFGHIKLMNPQRSTVWY"}])
 
 
-@query("""SELECT codon, n FROM (SELECT substr(q, CAST(i * 3 + 1 AS BIGINT), 3) AS codon, count(*) AS n FROM (SELECT """ + _DNA + """ AS q, unnest(range(0, CAST(length(""" + _DNA + """) // 3 AS BIGINT))) AS i FROM documents) GROUP BY 1)""")
+@query("""SELECT codon, count(*) AS n FROM (SELECT unnest(regexp_extract_all(q, '.{3}')) AS codon FROM (SELECT """ + _DNA + """ AS q FROM documents)) GROUP BY 1""")
 def codon_usage(s, d):
     return sequences.codon_usage(table(s, d, "documents").select(_dna().alias("q")), "q").select("codon", "n")
