@@ -34,7 +34,7 @@ CROWD = 512
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
 
-def fingerprint_rows(words: int, seed: int, name: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def fingerprint_rows(words: int, seed: int, name: str, keep_text: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
@@ -60,15 +60,16 @@ def fingerprint_rows(words: int, seed: int, name: str) -> Callable[[Iterable[pa.
                 for bit in range(64):
                     ones = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(1), starts)
                     out[full] |= (2 * ones.astype(np.int64) > n[full]).astype(np.uint64) << np.uint64(bit)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out.view(np.int64), pa.int64())], names=[*rows.schema.names, name])
+            kept = [i for i, n in enumerate(rows.schema.names) if keep_text or n != "text"]
+            yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in kept], pa.array(out.view(np.int64), pa.int64())], names=[*[rows.schema.names[i] for i in kept], name])
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, name: str = "fp") -> DataFrame:
-    """``docs``, all columns, with the fingerprint of ``text`` as a signed long."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(fingerprint_rows(words, seed, name), f"{kinds}, `{name}` long")
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, name: str = "fp", keep_text: bool = True) -> DataFrame:
+    """``docs``, all columns or all but ``text``, with the fingerprint of ``text`` as a signed long."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if keep_text or f.name != "text")
+    return docs.mapInArrow(fingerprint_rows(words, seed, name, keep_text), f"{kinds}, `{name}` long")
 
 
 def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -153,7 +154,7 @@ def classes(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fp, fingerprint, component_id`` of every row of ``doc_id, text``."""
-    marked = fingerprints(only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), words).select("doc_id", "fp")
+    marked = fingerprints(only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), words, keep_text=False)
     marked = stage(marked, "fingerprints")
     named = classes(marked, max_bits).select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
