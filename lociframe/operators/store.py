@@ -53,12 +53,13 @@ def _embed(fn: Embedder, level: str, pooling: str, amount: int | float | None, s
 
 def open_store(spark: SparkSession, store: str) -> DataFrame:
     """The store's rows, none where nothing has been written yet."""
-    from py4j.protocol import Py4JJavaError
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.schema(SCHEMA).parquet(store)
-    except (AnalysisException, Py4JJavaError):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], SCHEMA)
 
 

@@ -67,12 +67,14 @@ def permute_letters(s, d):
     return p.select("doc_id", F.array_join(F.array_sort(F.filter(F.split("text", ""), lambda c: c != "")), "").alias("letters"))
 
 
-@query("""WITH w AS (SELECT doc_id, text FROM documents) SELECT doc_id AS id, CAST(2 AS INTEGER) AS pos, 1.0::DOUBLE AS value FROM w WHERE length(text) > 0""")
+@query("""WITH p AS (SELECT doc_id, i, string_split(substr(text, i + 1, 2000), '') AS c FROM (SELECT doc_id, text, unnest(range(0, length(text), 2000)) AS i FROM documents WHERE length(text) > 0)),
+m AS (SELECT doc_id, CAST(CAST(list_avg(list_transform(c, lambda x: greatest(unicode(lower(x)) - 97, 0) % 26)) AS FLOAT) AS DOUBLE) AS letter, (len(c) - 1) / 2 AS place FROM p), g AS (SELECT doc_id AS id, avg(letter) AS a, avg(place) AS b FROM m GROUP BY 1)
+SELECT id, 0 AS pos, round(a, 4) AS value FROM g UNION ALL SELECT id, 1, round(b, 4) FROM g UNION ALL SELECT id, 2, 1.0::DOUBLE FROM g""")
 def embed_store(s, d):
     docs = table(s, d, "documents").where("length(text) > 0")
     path = scratch_path(s, f"store-{uuid.uuid4().hex}")
     pooled = store.embed_long(docs, "text", "doc_id", path, store.letter_embedder, 2000)
-    return long_vector(pooled, "id").where("pos = 2")
+    return long_vector(pooled, "id", places=4)
 
 
 @query()

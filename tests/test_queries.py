@@ -40,7 +40,7 @@ def test_same_as_sql(spark, duck, name):
     assert got == sorted((tuple(_plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["kfold", "subsample_union", "sample_two_stage", "control_task", "permuted_labels", "related_pairs", "pool_random", "bootstrap_rounds", "variants", "category_distance"])
+@pytest.mark.parametrize("name", ["kfold", "subsample_union", "sample_two_stage", "control_task", "permuted_labels", "related_pairs", "pool_random", "bootstrap_rounds", "variants", "category_distance", "random_pairs", "train_test", "annotation_coherence", "neighbor_preserving", "pair_distribution"])
 def test_drawn_queries_repeat_themselves(spark, name):
     first, again = (sorted(map(repr, catalog.QUERIES[name](spark, DATA).collect())) for _ in range(2))
     assert first and first == again
