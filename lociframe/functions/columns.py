@@ -161,9 +161,11 @@ def abs_diff(a: Column | str, b: Column | str) -> Column:
 
 
 def kmers(seq: Column | str, k: int) -> Column:
-    """All runs of ``k`` letters, in order; none for shorter text."""
+    """All runs of ``k`` letters, in order and in one pass over the text; none for shorter text."""
     s = _c(seq)
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    # the look-ahead steps by half a letter over those beyond the basic plane, which the first class leaves out
+    pattern = r"(?s)(?=([^\x{DC00}-\x{DFFF}].{%d}))" % (k - 1)
+    return F.when(F.length(s) >= k, F.regexp_extract_all(s, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
 def kmer_distance(a: Column | str, b: Column | str, k: int = 5) -> Column:

@@ -57,8 +57,8 @@ def cut_features(contigs: DataFrame, features: DataFrame, utr: tuple[int | float
 
 def expand_max_len(df: DataFrame, seq: str, id: str, max_len: int) -> DataFrame:
     """SC4: ``id, subseq_no, piece``, the short tail included; empty text keeps one null piece."""
-    rows = df.select(F.col(id).alias("id"), F.col(seq).alias("_s"), F.posexplode_outer(F.when(F.length(seq) > 0, F.sequence(F.lit(0), F.length(seq) - 1, F.lit(max_len)))).alias("subseq_no", "_at"))
-    return rows.select("id", F.coalesce("subseq_no", F.lit(0)).alias("subseq_no"), F.substring("_s", F.col("_at") + 1, F.lit(max_len)).alias("piece"))
+    pieces = F.regexp_extract_all(seq, F.lit("(?s)(.{1,%d})" % max_len), F.lit(1))  # one pass over the text, which no piece's row carries
+    return df.select(F.col(id).alias("id"), F.posexplode_outer(pieces).alias("subseq_no", "piece")).withColumn("subseq_no", F.coalesce("subseq_no", F.lit(0)))
 
 
 def pool_pieces(df: DataFrame, store: DataFrame, seq: str, id: str, max_len: int, agg: str = "mean") -> DataFrame:

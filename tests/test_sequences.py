@@ -140,3 +140,14 @@ def test_readers(spark, tmp_path):
     assert [(r["uid"], r["accession"]) for r in meta.collect()] == [("u1", "MM1")]
     writers.write_table(remap, f"file://{tmp_path}/t", "tsv")
     assert rows(readers.read_tabular(spark, f"file://{tmp_path}/t", "id string, sample string"))
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_runs_and_pieces_of_any_letters(spark, k):
+    texts = ["a😀b😀😀cd", "ab", "", "ab\ncd\r ef", None, "😀" * 5, "x" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", C.kmers("t", k).alias("runs")).collect():
+        t = texts[r["i"]] or ""
+        assert r["runs"] == [t[j : j + k] for j in range(len(t) - k + 1)]
+    want = [(i, n, p) for i, t in enumerate(texts) for n, p in (enumerate(t[j : j + k] for j in range(0, len(t), k)) if t else [(0, None)])]
+    assert sorted(map(tuple, sequences.expand_max_len(df, "t", "i", k).collect()), key=repr) == sorted(want, key=repr)
