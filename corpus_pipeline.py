@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociframe.llm import decontaminate, language, packing, secrets, simhash
+from lociframe.llm import decontaminate, language, packing, secrets, similar
 from lociframe.llm.common import stage
 
 
@@ -14,8 +14,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the least id, of each group of near duplicates."""
-    return simhash.one_of_each(docs)
+    """One document, of the least id, of each group of texts whose five-word runs are similar to 0.8 or more."""
+    return similar.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
