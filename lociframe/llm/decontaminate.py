@@ -1,10 +1,11 @@
 """Operator 5: benchmark decontamination.
 
 Items and texts are lower-cased words of letters, digits and bytes beyond ASCII. A first pass over all
-texts counts in how many each ``GRAM``-word run of an item occurs; an item's seeds are its rare runs,
-those in at most ``RARE`` times as many texts as its lower quartile and one. (Only the very rarest would
-be those that edited copies have lost.) A second pass joins passages to items where a seed occurs, and a Smith-Waterman
-alignment of the item against the words around scores the pair: its share of the score of an exact copy.
+texts finds which ``GRAM``-word runs of the items occur at all; these are the seeds, however many texts hold
+them, as the number cannot tell a common phrase from an item with many copies. A second pass joins
+passages to items where a seed occurs. Where the words around are too few of the item's for the least score
+they go; a Smith-Waterman alignment of the item against the others scores the pair: its share of the
+score of an exact copy.
 
 Items are sent to the tasks in slices of at most ``SLICE_WORDS`` words, one after the other, so that
 what is sent does not grow with the benchmark. Null or empty items and texts match nothing; repeated
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import only, text_blocks
 
 GRAM = 3
-RARE = 4
 SLICE_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SHARE = 0.5
@@ -105,8 +105,8 @@ def _find(table: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _SENT: dict[str, tuple] = {}
 
 
-def count_rows(sent, key: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts to the number of them that hold each run of the items."""
+def seen_rows(sent, key: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts to the runs of the items that they hold."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _SENT:
@@ -114,36 +114,44 @@ def count_rows(sent, key: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[
             items = Items(*sent.value)
             _SENT[key] = (items, np.unique(np.concatenate([*items.runs, np.zeros(0, np.int64)])))
         items, table = _SENT[key]
-        total = np.zeros(len(table), np.int64)
+        seen = np.zeros(len(table), bool)
         for _, off, data in text_blocks(batches):
             raw = data.tobytes()
             for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
                 words = _numbers(items, raw[a:b])
                 for _, runs in items.text_runs(words):
-                    total[np.unique(_find(table, runs[runs >= 0])[1])] += 1
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(table[found]), pa.array(total[found])], names=["run", "n"])
+                    seen[_find(table, runs)[1]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(table[seen])], names=["run"])
 
     return run
 
 
+def may_reach(item: np.ndarray, words: np.ndarray, spans: list[tuple[int, int]], score: float) -> list[tuple[int, int]]:
+    """The spans around which words could give ``score``: a match takes a word of the item and one of the text, and gaps are at most what a full match has over ``score``."""
+    least, wide = score / MATCH - 1e-6, len(item)
+    inside = np.r_[0, np.cumsum(np.isin(words, item))]
+    around = [(max(0, s - wide), min(len(words), e + wide)) for s, e in spans]
+    return [x for x, (s, e) in zip(spans, around, strict=True) if inside[e] - inside[s] >= least and np.isin(item, words[s:e]).sum() >= least]
+
+
 def find_items(items: Items, table: np.ndarray, seeds: dict[int, list[tuple[int, int]]], known: dict, text: bytes, share: float, least_words: int) -> list[tuple[int, float, int, int]]:
     """(item, share of its score, from word, to word) of the items that a text holds; ``known`` remembers alignments."""
     words = _numbers(items, text)
-    spans: dict[int, list[tuple[int, int]]] = {}
+    spans: dict[int, set[tuple[int, int]]] = {}
     for _, runs in items.text_runs(words):
         hit, at = _find(table, runs)
         for p, s in zip(hit.tolist(), at.tolist(), strict=True):
             for item, q in seeds[int(table[s])]:
                 n = len(items.words[item])
                 slack = n // 4 + 4
-                spans.setdefault(item, []).append((max(0, p - q - slack), min(len(words), p - q + n + slack)))
+                spans.setdefault(item, set()).add((max(0, p - q - slack), min(len(words), p - q + n + slack)))
     out = []
     for item, found in spans.items():
-        found.sort()
-        merged = [list(found[0])]
-        for s, e in found[1:]:
-            if s <= merged[-1][1]:
+        n = len(items.words[item])
+        least = max(share, min(1.0, least_words / n))
+        merged: list[list[int]] = []
+        for s, e in may_reach(items.words[item], words, sorted(found), MATCH * n * least):
+            if merged and s <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], e)
             else:
                 merged.append([s, e])
@@ -156,9 +164,8 @@ def find_items(items: Items, table: np.ndarray, seeds: dict[int, list[tuple[int,
                 known[k] = smith_waterman(items.words[item], window)
             score, end = known[k]
             best = max(best, (score, s + end, s))
-        n = len(items.words[item])
         part = best[0] / (MATCH * n)
-        if part >= max(share, min(1.0, least_words / n)):
+        if part >= least:
             out.append((items.ids[item], part, best[2], best[1]))
     return out
 
@@ -213,39 +220,37 @@ def _slices(benchmark: DataFrame, slice_words: int) -> Iterator[tuple[list[int],
         yield ids, texts
 
 
-def _seeded(docs: DataFrame, benchmark: DataFrame, rare: int, slice_words: int) -> Iterator[tuple]:
-    """For each slice of items: what is sent to the tasks, and the rare runs of each item over all texts with their places."""
+def _seeded(docs: DataFrame, benchmark: DataFrame, slice_words: int) -> Iterator[tuple]:
+    """For each slice of items: what is sent to the tasks, and the runs of its items that texts hold with their places."""
     spark = docs.sparkSession
     for ids, texts in _slices(benchmark, slice_words):
         items = Items(ids, texts)
         sent = spark.sparkContext.broadcast((ids, texts))
-        counts = docs.select("text").mapInArrow(count_rows(sent, uuid.uuid4().hex), "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-        seen = {r["run"]: r["n"] for r in counts.collect()}  # a row per run of the slice at most
+        runs = docs.select("text").mapInArrow(seen_rows(sent, uuid.uuid4().hex), "run long").distinct()
+        seen = {r["run"] for r in runs.collect()}  # a row per run of the slice at most
         seeds: dict[int, list[tuple[int, int]]] = {}
         for k, runs in enumerate(items.runs):
-            often = sorted(seen.get(r, 0) for r in set(runs.tolist()))
-            limit = rare * (often[len(often) // 4] + 1)
             for q, r in enumerate(runs.tolist()):
-                if seen.get(r, 0) <= limit:
+                if r in seen:
                     seeds.setdefault(r, []).append((k, q))
         yield sent, uuid.uuid4().hex, seeds
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = LEAST_WORDS, rare: int = RARE, slice_words: int = SLICE_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = LEAST_WORDS, slice_words: int = SLICE_WORDS) -> DataFrame:
     """``doc_id, item_id, score, from_word, to_word`` for every row of ``doc_id, text`` and item whose alignment has at least ``share`` of an exact copy's score.
 
     Items of fewer than ``least_words / share`` words need a larger share, those of up to ``least_words`` all of it.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, score double, from_word long, to_word long"
-    out = [only(docs, "doc_id", "text").mapInArrow(match_rows(*found, share, least_words), schema) for found in _seeded(docs, benchmark, rare, slice_words)]
+    out = [only(docs, "doc_id", "text").mapInArrow(match_rows(*found, share, least_words), schema) for found in _seeded(docs, benchmark, slice_words)]
     return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], schema)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = LEAST_WORDS, rare: int = RARE, slice_words: int = SLICE_WORDS) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = LEAST_WORDS, slice_words: int = SLICE_WORDS) -> DataFrame:
     """``docs``, all columns, without the rows that hold an item."""
     out = docs
-    for found in _seeded(docs, benchmark, rare, slice_words):
+    for found in _seeded(docs, benchmark, slice_words):
         out = out.mapInArrow(clean_rows(*found, share, least_words), docs.schema)
     return out
 

@@ -190,3 +190,21 @@ def test_lookup():
     find = M.Lookup(keys, np.arange(len(keys), dtype=float), -1.0)
     assert (find(keys.astype(np.uint64)) == np.arange(len(keys))).all() and (find((keys + 1).astype(np.uint64)[~np.isin(keys + 1, keys)]) == -1).all()
     assert M.Lookup(keys[:0], np.zeros(0), -1.0)(keys[:3].astype(np.uint64)).tolist() == [-1.0] * 3
+
+
+@pytest.mark.parametrize("copies", [3, 300])
+def test_many_equal_cut_and_edited_copies(spark, copies):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(4000)]
+    items = [" ".join(rng.choice(words, 40)) for _ in range(4)]
+    edited = items[1].split()
+    for k in (4, 15, 26, 37):
+        edited[k] = "edit"
+    held = [" ".join(items[0].split()[:28]), " ".join(edited), " ".join(items[2].split()[14:])]
+    rows = [(1000 * k + i, f"{' '.join(rng.choice(words, 8))} {h} {' '.join(rng.choice(words, 8))}") for k, h in enumerate(held) for i in range(copies)]
+    rows += [(9000, items[0]), (9001, " ".join(items[3].split()[:12])), (9002, " ".join(rng.choice(words, 200)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, i // 1000) for i, _ in rows if i < 9000} | {(9000, 0)}
+    assert {(r["doc_id"], r["item_id"]) for r in B.contaminated(docs, bench).collect()} == want
+    assert {r["doc_id"] for r in B.without_contaminated(docs, bench).collect()} == {9001, 9002}
