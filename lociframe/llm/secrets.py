@@ -2,7 +2,7 @@
 
 Three patterns give the base spans. The method adds what they miss: a long string without blanks that
 stands near a sensitive word is measured by zstandard, primed with a dictionary of common identifiers
-and with the text around it; its marginal compressed bytes over those of an empty frame tell how much
+and with the text around it, other copies of the string cut out; its marginal compressed bytes over those of an empty frame tell how much
 of it is new. Strings of at least ``NOVEL_BYTES`` new bytes and ``NOVEL_SHARE`` of their length are
 reported as ``novel``. Spans are in code points, the end exclusive.
 
@@ -52,6 +52,16 @@ def novelty(candidate: bytes, around: bytes) -> int:
     return len(primed.compress(candidate)) - len(primed.compress(b""))
 
 
+def text_around(text: str, start: int, end: int) -> str:
+    """The text on both sides of a candidate without other copies of it, or of what it has after an equals sign."""
+    s = text[start:end]
+    reach = AROUND + len(s)  # so that copies cut by the edge are seen whole
+    before, after = text[max(0, start - reach) : start], text[end : end + reach]
+    for part in sorted({s, *(x for x in s.split("=") if len(x) >= NOVEL_BYTES)}, key=lambda x: (-len(x), x)):
+        before, after = (x.replace(part, "\0" * len(part)) for x in (before, after))
+    return (before[-AROUND:] + after[:AROUND]).replace("\0", "")
+
+
 def base_spans(text: str, low: bytes, raw: bytes) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the three patterns' matches; ``low`` and ``raw`` are the text's bytes and tell what can be skipped."""
     out = []
@@ -77,8 +87,7 @@ def novel_spans(text: str, low: bytes, base: list[tuple[int, int, int]]) -> list
             at += 1
         if (at < len(base) and base[at][0] < m.end()) or not SENSITIVE.search(text, max(0, m.start() - CONTEXT), m.start()):
             continue
-        around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-        new = novelty(s.encode(), around.encode())
+        new = novelty(s.encode(), text_around(text, m.start(), m.end()).encode())
         if new >= NOVEL_BYTES and new >= NOVEL_SHARE * len(s):
             out.append((m.start(), 3, m.end()))
     return out

@@ -208,3 +208,16 @@ def test_many_equal_cut_and_edited_copies(spark, copies):
     want = {(i, i // 1000) for i, _ in rows if i < 9000} | {(9000, 0)}
     assert {(r["doc_id"], r["item_id"]) for r in B.contaminated(docs, bench).collect()} == want
     assert {r["doc_id"] for r in B.without_contaminated(docs, bench).collect()} == {9001, 9002}
+
+
+def novel(text):
+    return [text[s:e] for s, k, e in X.find(text.encode()) if k == 3]
+
+
+def test_secrets_that_stand_twice():
+    key = "q7RtX2mLz9KpV4sWb8Nc"
+    assert novel(f"auth bearer {key} sent") == [key]
+    for gap in (" and the log says bearer ", " bearer " + "word " * 150 + "bearer ", " bearer " + "word " * 202 + "bearer "):
+        assert novel(f"auth bearer {key}{gap}{key} end") == [key, key]
+    assert novel(f"auth k={key} and the log says bearer {key} end") == [f"k={key}", key]
+    assert novel("token configuration_parameters_description1 token configuration_parameters_description1") == []
