@@ -1,7 +1,7 @@
 """Operator 4: secret scans.
 
 Three patterns give the base spans. The method adds what they miss: a long string without blanks that
-stands near a sensitive word is measured by zstandard, primed with a dictionary of common identifiers
+stands near a sensitive word (before or after it), or follows a reported one after blanks or line ends, is measured by zstandard, primed with a dictionary of common identifiers
 and with the text around it, other copies of the string cut out; its marginal compressed bytes over those of an empty frame tell how much
 of it is new. Strings of at least ``NOVEL_BYTES`` new bytes and ``NOVEL_SHARE`` of their length are
 reported as ``novel``. Spans are in code points, the end exclusive.
@@ -74,22 +74,33 @@ def base_spans(text: str, low: bytes, raw: bytes) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def near_sensitive(text: str, start: int, end: int) -> bool:
+    return bool(SENSITIVE.search(text, max(0, start - CONTEXT), start) or SENSITIVE.search(text, end, end + CONTEXT))
+
+
+def carried(text: str, told: int, start: int) -> bool:
+    """Whether only blanks or line ends part a place from the secret before it."""
+    return 0 <= told <= start and not text[told:start].strip()
+
+
 def novel_spans(text: str, low: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Incompressible strings near a sensitive word, clear of ``base`` (sorted, each end the largest so far)."""
     if not any(x in low for x in SENSITIVE_BYTES):
         return []
-    out, at = [], 0
+    out, at, told = [], 0, -1  # told: the end of the last span that is surely of a secret
     for m in STRING.finditer(text):
         s = m.group()
         if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
             continue
         while at < len(base) and base[at][2] <= m.start():
+            told = base[at][2] if base[at][1] < 2 else told
             at += 1
-        if (at < len(base) and base[at][0] < m.end()) or not SENSITIVE.search(text, max(0, m.start() - CONTEXT), m.start()):
+        if (at < len(base) and base[at][0] < m.end()) or not (carried(text, told, m.start()) or near_sensitive(text, m.start(), m.end())):
             continue
         new = novelty(s.encode(), text_around(text, m.start(), m.end()).encode())
         if new >= NOVEL_BYTES and new >= NOVEL_SHARE * len(s):
             out.append((m.start(), 3, m.end()))
+            told = m.end()
     return out
 
 
