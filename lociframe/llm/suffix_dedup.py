@@ -5,10 +5,10 @@ corpus are not sorted in one place. Every ``LENGTH``-byte window is dealt by its
 run in it with the least hash (the last of equals), so equal windows have equal anchors; consecutive
 windows of one anchor are a piece. Pieces whose anchor occurs once hold no repeats. Equal pieces of
 one anchor repeat as a whole; where an anchor has different pieces, one of each is suffix-sorted with
-those of other anchors, a chunk at a time: suffixes smaller than their successors are sorted directly,
+those of other anchors, a chunk at a time (so many as are not crowded): suffixes smaller than their successors are sorted directly,
 the others are induced by scans over the buckets of first bytes, and adjacent common prefixes of
-``LENGTH`` bytes mark repeats. Windows of an anchor with many different pieces are dealt further by
-their distance to the anchor, which equal windows share.
+``LENGTH`` bytes mark repeats. Windows of an anchor with many different pieces are not sorted in one
+place: they are dealt by their distance to the anchor and a digest of all their bytes, and counted.
 
 Null texts are empty; texts shorter than ``LENGTH`` lose nothing; repeated rows are repeats of each
 other; an empty table gives no rows. Ids need not be unique.
@@ -29,7 +29,7 @@ from .common import only, parts, stage, text_blocks
 LENGTH = 200
 GRAM = 40
 CROWD = 64
-SPREAD = 8
+DIGEST = 16
 SENT_PIECES = 2_000_000
 CHUNK = 1 << 20
 SCAN_BYTES = 1 << 18
@@ -182,7 +182,10 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarr
 
 
 def extract_rows(batches: Iterable[pa.RecordBatch], keys: np.ndarray, owners: np.ndarray, crowded: np.ndarray, single: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Batches of (doc_id, th, text) to the wanted pieces; ``keys`` are sorted, ``owners`` are the documents to take each from."""
+    """Batches of (doc_id, th, text) to the wanted pieces, ``far`` -1, or to the windows of crowded ones: distance to the anchor and digest.
+
+    ``keys`` are sorted, ``owners`` are the documents to take each from.
+    """
     for rows, off, data in _small_blocks(batches):
         doc, s0, s1, a, h, p = pieces_of(data, off)
         if not len(doc) or not len(keys):
@@ -201,11 +204,7 @@ def extract_rows(batches: Iterable[pa.RecordBatch], keys: np.ndarray, owners: np
             if not crowded[at[i]]:
                 out.append((*rest, -1, b - base, raw[b : e + LENGTH]))
                 continue
-            while b <= e:  # by distance to the anchor
-                far = int(a[i]) - b
-                last = min(e, int(a[i]) - far // SPREAD * SPREAD)
-                out.append((*rest, far // SPREAD, b - base, raw[b : last + LENGTH]))
-                b = last + 1
+            out += [(*rest, int(a[i]) - w, w - base, hashlib.blake2b(raw[w : w + LENGTH], digest_size=DIGEST).digest()) for w in range(b, e + 1)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary()))], names=["h", "p", "th", "single", "far", "at", "bytes"])
 
@@ -218,7 +217,7 @@ def piece_key(h: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def sorted_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by (h, far, p) to the window ranges of single pieces that repeat: (th, b, e)."""
+    """Pieces sorted by (h, p) to the window ranges of single pieces that repeat: (th, b, e)."""
     held: list[tuple] = []
     size = 0
 
@@ -236,13 +235,13 @@ def sorted_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: tuple | None = None
     for batch in batches:
         for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-            if last is not None and (r[0], r[4]) != last[:2] and size >= CHUNK:
+            if last is not None and r[0] != last[0] and size >= CHUNK:
                 yield from close()
                 held, size = [], 0
-            if last is None or (r[0], r[4], r[1], r[5]) != last[:4]:  # a repeated row has brought it already
+            if last is None or (r[0], r[1], r[5]) != last:  # a repeated row has brought it already
                 held.append(r)
                 size += len(r[6])
-            last = (r[0], r[4], r[1], r[5])
+            last = (r[0], r[1], r[5])
     if held:
         yield from close()
 
@@ -309,7 +308,11 @@ def repeats(docs: DataFrame, sent_pieces: int = SENT_PIECES, crowd: int = CROWD)
                     yield from extract_rows([row], key[order], np.full(len(key), row.column(0)[0].as_py()), *(np.array(row.column(c)[0].as_py(), bool)[order] for c in (5, 6)))
 
         found = docs.join(lists, F.col("doc_id") == F.col("owner")).select("doc_id", "th", "text", "h", "p", "crowded", "single").mapInArrow(extract, PIECES)
-    ranges = found.repartition(4 * parts(spark), "h", "far").sortWithinPartitions("h", "far", "p", "at").mapInArrow(sorted_rows, "th long, b long, e long")
+    found = stage(found, "found")
+    ranges = found.where("far < 0").repartition(4 * parts(spark), "h").sortWithinPartitions("h", "p", "at").mapInArrow(sorted_rows, "th long, b long, e long")
+    windows = found.where("far >= 0").select("h", "far", "bytes", "p", "th", "single", "at")
+    shared = stage(windows.groupBy("h", "far", "bytes").agg((F.min("p") != F.max("p")).alias("shared")).where("shared").drop("shared"), "shared")
+    ranges = ranges.unionByName(windows.where("single").join(shared, ["h", "far", "bytes"]).select("th", F.col("at").alias("b"), F.col("at").alias("e")))
     twice = stage(kinds.where("n > 1").select("h", "p"), "twice")
     whole = met.where("not mixed").select("th", "s0", "s1").unionByName(met.where("mixed").join(twice, ["h", "p"]).select("th", "s0", "s1"))
     every = whole.select("th", F.col("s0").alias("b"), F.col("s1").alias("e")).unionByName(ranges).distinct()

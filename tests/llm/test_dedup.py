@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -158,3 +159,24 @@ def test_repeats_against_brute_force(spark):
         got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in D.without_repeats(df, **kw).collect())
         assert got == want
     assert D.without_repeats(df.limit(0)).count() == 0
+
+
+def test_a_common_passage_is_not_sorted_in_one_place():
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    make = lambda n: "".join(rng.choice(letters, n))
+    passage = make(150)
+    texts = [make(300) + passage + make(300) for _ in range(100)]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    h, p, owner = [], [], []
+    for i, data in enumerate(raw):
+        found = D.pieces_of(data, np.array([0, len(data)]))
+        h, p, owner = [*h, *found[4]], [*p, *found[5]], [*owner, *[i] * len(found[4])]
+    assert Counter(h).most_common(1)[0][1] > 50  # one anchor has a piece of most texts
+    key = D.piece_key(np.array(h), np.array(p))
+    order = np.argsort(key)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "th": list(range(100)), "text": texts})
+    yes = np.ones(len(key), bool)
+    rows = [r for out in D.extract_rows([batch], key[order], np.array(owner)[order], yes, yes) for r in out.to_pylist()]
+    assert len(rows) == sum(len(t) - 199 for t in texts)  # every window is dealt
+    assert Counter((r["h"], r["far"], r["bytes"]) for r in rows).most_common(1)[0][1] == 1
