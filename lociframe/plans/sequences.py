@@ -79,7 +79,7 @@ def embed_store(s, d):
 
 @query()
 def variants(s, d):
-    q = table(s, d, "benchmark").select("item_id", F.substring(F.regexp_replace(F.upper("text"), "[^A-Z]", ""), 1, 1000).alias("seq"))
+    q = table(s, d, "benchmark").select("item_id", F.regexp_replace(F.upper("text"), "[^A-Z]", "").alias("seq"))
     return store.variants(q, "item_id", "seq", [{"method": "permute"}, {"method": "random", "variation": "random", "alphabet": "ACDEFGHIKLMNPQRSTVWY"}])
 
 

@@ -151,3 +151,10 @@ def test_runs_and_pieces_of_any_letters(spark, k):
         assert r["runs"] == [t[j : j + k] for j in range(len(t) - k + 1)]
     want = [(i, n, p) for i, t in enumerate(texts) for n, p in (enumerate(t[j : j + k] for j in range(0, len(t), k)) if t else [(0, None)])]
     assert sorted(map(tuple, sequences.expand_max_len(df, "t", "i", k).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_variants_take_whole_texts(spark, tmp_path):
+    from lociframe.plans import catalog
+
+    spark.createDataFrame([(1, "acdef " * 400)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    assert [len(r["seq"]) for r in catalog.QUERIES["variants"](spark, f"file://{tmp_path}").collect()] == [2000] * 3
