@@ -43,7 +43,18 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def buffers_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0, and bytes, of an Arrow array of strings or binaries."""
+    wide = pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type)
+    _, off, data = arr.buffers()
+    offs = np.frombuffer(off, np.int64 if wide else np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64) if len(arr) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return offs - offs[0], raw[offs[0] : offs[-1]]
+
+
+def text_blocks(
+    batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, offsets, bytes) for runs of whole rows of about ``limit`` bytes of text; null texts are empty."""
     for batch in batches:
         arr = batch.column(batch.schema.get_field_index(column))
@@ -51,10 +62,7 @@ def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
             arr = arr.fill_null("")
         if not len(arr):
             continue
-        large = pa.types.is_large_string(arr.type)
-        _, off, data = arr.buffers()
-        offs = np.frombuffer(off, np.int64 if large else np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
-        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        offs, raw = buffers_of(arr)
         at = 0
         while at < len(arr):
             end = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)

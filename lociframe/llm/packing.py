@@ -1,12 +1,15 @@
 """Operator 9: packing of token ids into training sequences of a fixed length.
 
-Documents are dealt at random (a hash of the id) to groups of about ``GROUP_DOCS``. Within a group the
-full sequences of long documents stand alone and the rest is packed by first-fit decreasing over a
-tournament tree of bin capacities; what room is then left is filled by cutting up the emptiest bins,
-and the last bin is cut into lengths that are powers of two, which need no padding.
+Documents are encoded where they are read; their ids are dealt at random (a hash of id and content) to
+groups of about ``GROUP_DOCS``, in a stated order, so that the result does not depend on partitioning.
+Within a group the full sequences of long documents stand alone and the rest is packed by first-fit
+decreasing over a tournament tree of bin capacities. Its bins stand as they are but for the emptiest,
+which are cut up to fill the room that the others have, and the last, which is cut into lengths that
+are powers of two and need no padding.
 
 Null or empty texts give a piece with the end id alone; repeated rows are packed again; an empty table
-gives no pieces. A null id is a document like any other.
+gives no pieces. A null id is a document like any other; documents of one id are told apart by ``sequence_id``
+and ``offset`` alone.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32, only, parts, text_blocks
-from .wordids import default_tokenizer, encoder
+from .common import crc32, only, parts
+from .wordids import default_tokenizer, encoder, id_rows
 
 END_ID = 1
 LENGTH = 2048
@@ -96,49 +99,57 @@ def pack_group(lengths: list[int], capacity: int = LENGTH) -> list[list[tuple[in
     return done
 
 
-def pack_partition(path: str, end_id: int, capacity: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (group, doc_id, text), sorted by group, to pieces."""
+def pack_partition(dtype: str, capacity: int, group_docs: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (group, doc_id, ids), sorted, to pieces; a group of over four times ``group_docs`` is packed in runs of that many."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        end, width = np.asarray([end_id], enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize
-        group, held = None, []
+        width = np.dtype(dtype).itemsize
+        group, held, done = None, [], 0
 
         def close() -> pa.RecordBatch:
+            nonlocal done
             out: list[list] = [[] for _ in range(7)]
             sizes = [len(x) // width for _, x in held]
-            for k, seq in enumerate(pack_group(sizes, capacity)):
+            packed = pack_group(sizes, capacity)
+            for k, seq in enumerate(packed, done):
                 offset = 0
                 for d, s, n in seq:
                     doc, ids = held[d]
-                    piece = np.frombuffer(ids, enc.dtype, n, s * width).astype("<u4").tobytes()
+                    piece = np.frombuffer(ids, dtype, n, s * width).astype("<u4").tobytes()
                     for col, v in zip(out, (doc, s, n, crc32(piece), sizes[d], (group << 32) + k, offset), strict=True):
                         col.append(v)
                     offset += n
+            done += len(packed)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            )
 
-        for rows, off, data in text_blocks(batches):
-            raw = data.tobytes()
-            texts = enc([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
-            for g, d, ids in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), texts, strict=True):
-                if g != group:
+        for batch in batches:
+            for g, d, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if g != group or len(held) >= 4 * group_docs:
                     if held:
                         yield close()
+                    done = done if g == group else 0
                     group = g
-                held.append((d, ids + end))
+                held.append((d, ids))
         if held:
             yield close()
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = LENGTH, group_docs: int = GROUP_DOCS, seed: int = 9) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = LENGTH, group_docs: int = GROUP_DOCS, seed: int = 9
+) -> DataFrame:
     """Pieces of the sequences that hold all ids of ``doc_id, text``."""
-    spark = docs.sparkSession
+    spark, path = docs.sparkSession, tokenizer or default_tokenizer()
     groups = max(1, -(-docs.count() // group_docs))
-    dealt = only(docs, "doc_id", "text").select(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(groups)).alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return dealt.repartition(parts(spark), "grp").sortWithinPartitions("grp").mapInArrow(pack_partition(tokenizer or default_tokenizer(), end_id, capacity), SCHEMA)
+    rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    ids = rows.mapInArrow(id_rows(path, end_id), "doc_id long, n_tokens long, ids binary")
+    dealt = ids.select(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "ids"), F.lit(groups)).alias("grp"), "doc_id", "ids")
+    held = dealt.repartition(parts(spark), "grp").sortWithinPartitions("grp", "doc_id", "ids")
+    return held.mapInArrow(pack_partition(np.dtype(encoder(path).dtype).str, capacity, group_docs), SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ has one row per block: ``part, block`` (order), ``ids_before`` (ids of the part
 ``checkpoints`` (little-endian uint64 bit offsets, one per ``STEP`` ids), ``doc_ids``, ``doc_counts``,
 and ``payload`` (big-endian 64-bit words of codes, most significant bit first).
 
-Null or empty texts give the end id alone; repeated rows are written again; an empty table gives an
-empty folder with an empty code.
+Null or empty texts give the end id alone; repeated rows are written again, and rows of one id are in
+the order of their ids' bytes; rows without an id come first; an empty table gives an empty folder with
+an empty code.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32, only, parts, shared_dir, stage, text_blocks
-from .wordids import default_tokenizer, encoder
+from .common import buffers_of, crc32, only, parts, shared_dir, stage
+from .wordids import default_tokenizer, encoder, id_rows
 
 END_ID = 2
 MAX_BITS = 20
@@ -34,26 +35,15 @@ STEP = 128
 BLOCK_IDS = 1 << 18
 
 
-def encode_texts(path: str, end_id: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (id, text) to (id, n_tokens, ids), the end id appended."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        end, width = np.asarray([end_id], enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize
-        for rows, off, data in text_blocks(batches):
-            raw = data.tobytes()
-            ids = [x + end for x in enc([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
-
-    return run
-
-
 def count_ids(dtype: str, size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (ids) to (token, n), the counts of a partition."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                total += np.bincount(np.frombuffer(b"".join(batch.column(0).slice(i, 512).to_pylist()), dtype), minlength=size)
+            _, data = buffers_of(batch.column(0))
+            for i in range(0, len(data), 1 << 22):
+                total += np.bincount(data[i : i + (1 << 22)].view(dtype), minlength=size)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["token", "n"])
 
@@ -197,7 +187,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
     path = tokenizer or default_tokenizer()
     enc = encoder(path)
     dtype, size = np.dtype(enc.dtype).str, max(enc.size, end_id + 1)
-    ids = stage(only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(encode_texts(path, end_id), "doc_id long, n_tokens long, ids binary"), "ids")
+    rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    ids = stage(rows.mapInArrow(id_rows(path, end_id), "doc_id long, n_tokens long, ids binary"), "ids")
     totals = ids.select("ids").mapInArrow(count_ids(dtype, size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = np.zeros(size, np.int64)
     for r in totals.collect():  # a row per id of the vocabulary at most
@@ -205,7 +196,9 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
     lengths = code_lengths(counts)
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(t), int(lengths[t])) for t in used], "token long, length int").coalesce(1).write.parquet(f"{out}/code")
-    ids.repartitionByRange(max(parts(spark), 1), "doc_id").sortWithinPartitions("doc_id").mapInArrow(blocks_of(dtype, lengths, canonical(lengths)), BLOCKS_SQL).write.option("compression", "none").parquet(f"{out}/blocks")
+    dealt = ids.repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    blocks = dealt.mapInArrow(blocks_of(dtype, lengths, canonical(lengths)), BLOCKS_SQL)
+    blocks.write.option("compression", "none").parquet(f"{out}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:

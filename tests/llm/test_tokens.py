@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,7 +30,8 @@ def library():
 
 def test_words_are_what_the_library_gives(library):
     enc = encoder(default_tokenizer())
-    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc([t.encode() for t in ODD])] == [library(t) for t in ODD]
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc(pa.array([*ODD, None]), 2).to_pylist()] == [library(t) + [2] for t in [*ODD, ""]]
+    assert len(enc(pa.array([], pa.string()), 2)) == 0
 
 
 def test_whole_texts_for_other_tokenizers():
@@ -40,7 +42,17 @@ def test_whole_texts_for_other_tokenizers():
     enc = encoder(path)
     assert not enc.by_word
     lib = Tokenizer.from_file(path)
-    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc([t.encode() for t in ODD[:4]])] == [lib.encode(t, add_special_tokens=False).ids for t in ODD[:4]]
+    got = [np.frombuffer(x, enc.dtype).tolist() for x in enc(pa.array(ODD[:4]), 5).to_pylist()]
+    assert got == [lib.encode(t, add_special_tokens=False).ids + [5] for t in ODD[:4]]
+
+
+def test_words_forgotten_by_a_full_cache(library, monkeypatch):
+    from lociframe.llm import wordids
+
+    monkeypatch.setattr(wordids, "CACHE_WORDS", 3)
+    enc = wordids.WordIds(default_tokenizer())
+    for some in (["a b c d e", "b f g"], ["h i a", "c j k l"], ["a b", "m n o"]):
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc(pa.array(some), 2).to_pylist()] == [library(t) + [2] for t in some]
 
 
 @settings(max_examples=40, deadline=None)
@@ -117,3 +129,34 @@ def test_pieces_hold_all_ids(docs, library):
         seqs[r["sequence_id"]] = r["offset"] + r["length"]
     assert sum(seqs.values()) == sum(len(x) for v in ids.values() for x in v)
     assert P.pack(docs.limit(0)).count() == 0
+
+
+def test_packing_does_not_depend_on_partitioning(spark, docs):
+    more = docs.unionByName(docs.selectExpr("doc_id + 100 AS doc_id", "text", "ids"))
+    first = P.pack(more.repartition(1), capacity=64, group_docs=4).collect()
+    again = P.pack(more.repartition(7, "text"), capacity=64, group_docs=4).collect()
+    assert sorted(map(str, first)) == sorted(map(str, again))
+
+
+def test_large_groups_are_packed_in_runs(spark):
+    docs = spark.range(40).selectExpr("1L AS doc_id", "'same text' AS text")
+    got = P.pack(docs, capacity=64, group_docs=2).collect()
+    assert sum(r["length"] for r in got) == 40 * got[0]["doc_tokens"]
+    places = [(r["sequence_id"], r["offset"]) for r in got]
+    assert len(set(places)) == len(places)
+
+
+def test_queries_on_a_written_table(spark, library, tmp_path):
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in enumerate([*ODD, None])], "doc_id long, text string, ids string, start int, grp int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: library(t) for i, t in enumerate([*ODD, None])}
+    at, got = 0, {r["doc_id"]: r for r in T.op2_token_output(spark, str(tmp_path)).collect()}
+    for i, ids in want.items():
+        whole = np.array(ids + [2], "<u4")
+        assert tuple(got[i]) == (i, at, len(whole), zlib.crc32(whole.tobytes()))
+        at += len(whole)
+    packed = P.op9_packing(spark, str(tmp_path))
+    assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    for r in packed.collect():
+        whole = np.array(want[r["doc_id"]] + [1], "<u4")
+        assert r["doc_tokens"] == len(whole) and r["ids_crc32"] == zlib.crc32(whole[r["start"] : r["start"] + r["length"]].tobytes())
