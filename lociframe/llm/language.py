@@ -1,10 +1,10 @@
 """Operator 3: language of a text by a bidirectional gated recurrent network over bytes.
 
-The network reads each white-space separated word (lower-cased, cut at ``WORD_BYTES``), forwards and
-backwards, and gives every byte position a probability for each language. A document's probabilities
-pool those of all positions in its words geometrically, so each distinct word is run through the
-network once in a Python worker. It is trained in numpy by backpropagation through time on the driver,
-on pieces of at most ``TRAIN_DOCS`` documents a language (those with the least hash of the id).
+The network reads whole lower-cased texts, forwards and backwards, in windows of ``CORE`` bytes with
+``MARGIN`` more on both sides, whose states carry across words; it gives every byte position a probability
+for each language. A text's probabilities pool those of all its letters geometrically. It is trained in
+numpy by backpropagation through time on the driver, on at most about ``TRAIN_PIECES`` pieces of ``PIECE``
+bytes a language, drawn by hash from all pieces of all texts that may be learned from.
 
 A text that is null or has no letter is ``und`` with score 0. Rows with a null language are not learned
 from; with no language to learn every text is ``und``. Repeated rows are scored again.
@@ -17,24 +17,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, only, text_blocks
 
-HIDDEN = 12
-WORD_BYTES = 24
-TRAIN_DOCS = 1_000
-PIECE_CHARS = 400
-STEPS = 700
-BATCH = 384
-RATE = 0.01
-CACHE_WORDS = 600_000
+HIDDEN = 8
+CORE = 480
+MARGIN = 16
+ROWS = 512
+PIECE = 96
+TRAIN_PIECES = 4_000
+STEPS = 400
+BATCH = 128
+RATE = 0.02
 NONE = "und"
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _soft(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), an activation between -1 and 1 that costs a fraction of the hyperbolic tangent."""
+    return x / (1 + np.abs(x))
+
+
+def _slope(y: np.ndarray) -> np.ndarray:
+    """The derivative of ``_soft`` where its value is ``y``."""
+    return (1 - np.abs(y)) ** 2
 
 
 @dataclass
@@ -62,9 +69,9 @@ class Network:
         out = np.empty((*x.shape, n), np.float32)
         for t in range(len(x)):
             e, a = table[x[t]], h @ u
-            gates = _sigmoid(e[:, : 2 * n] + a[:, : 2 * n])
+            gates = 0.5 * _soft(e[:, : 2 * n] + a[:, : 2 * n]) + 0.5
             r, z = gates[:, :n], gates[:, n:]
-            new = np.tanh(e[:, 2 * n :] + r * a[:, 2 * n :])
+            new = _soft(e[:, 2 * n :] + r * a[:, 2 * n :])
             if keep is not None:
                 keep.append((h, r, z, a[:, 2 * n :], new))
             h = h + z * (new - h)
@@ -72,13 +79,13 @@ class Network:
         return out
 
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
-        """T x B x K log probabilities of the languages at every position of the words ``x`` (T x B bytes)."""
+        """T x B x K log probabilities of the languages at every position of the pieces ``x`` (T x B bytes)."""
         logits = self.states(x, "f") @ self.weights["Vf"] + self.states(x[::-1], "b")[::-1] @ self.weights["Vb"] + self.weights["c"]
         logits -= logits.max(-1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(-1, keepdims=True))
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross-entropy over all positions of the words ``x`` with languages ``y``, by backpropagation through time."""
+        """Of the mean cross-entropy over all positions of the pieces ``x`` with languages ``y``, by backpropagation through time."""
         w = self.weights
         keep: dict[str, list] = {"f": [], "b": []}
         hs = {"f": self.states(x, "f", keep["f"]), "b": self.states(x[::-1], "b", keep["b"])[::-1]}
@@ -99,8 +106,8 @@ class Network:
             for t in range(len(x) - 1, -1, -1):
                 h, r, z, a, new = keep[d][t]
                 dh = dh + above[t]
-                dnew = dh * z * (1 - new * new)
-                dr, dz = dnew * a * r * (1 - r), dh * (new - h) * z * (1 - z)
+                dnew = dh * z * _slope(new)
+                dr, dz = dnew * a * _slope(2 * r - 1) / 2, dh * (new - h) * _slope(2 * z - 1) / 2
                 da = np.concatenate([dr, dz, dnew * r], 1)
                 np.add.at(de, xs[t], np.concatenate([dr, dz, dnew], 1))
                 du += h.T @ da
@@ -109,8 +116,10 @@ class Network:
         return out
 
 
-def train(words: list[bytes], labels: np.ndarray, languages: list[str], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 3) -> Network:
-    """A network fitted by Adam to the languages of ``words``; batches hold words of one length."""
+def train(
+    words: list[bytes], labels: np.ndarray, languages: list[str], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 3
+) -> Network:
+    """A network fitted by Adam to the languages of pieces of text; batches hold pieces of one length."""
     net = Network.new(languages, seed=seed)
     if not words or len(languages) < 2:
         return net
@@ -135,106 +144,146 @@ def train(words: list[bytes], labels: np.ndarray, languages: list[str], steps: i
     return net
 
 
-_TABLES: dict[str, "WordTable"] = {}
-
-
-class WordTable:
-    """Summed log probabilities and number of positions of each word met so far in this worker."""
-
-    def __init__(self, net: Network):
-        self.net, self.width = net, len(net.languages) + 1
-        self.known: dict[bytes, int] = {}
-        self.sums = np.zeros((1024, self.width), np.float32)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        at = len(self.known)
-        if at + len(words) > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros((max(len(words), len(self.sums)), self.width), np.float32)])
-        by: dict[int, list[bytes]] = {}
-        for w in words:
-            by.setdefault(len(w), []).append(w)
-        for n, some in by.items():
-            for i in range(0, len(some), 8192):
-                part = some[i : i + 8192]
-                x = np.frombuffer(b"".join(part), np.uint8).reshape(-1, n).T
-                letters = (((x | 32) >= 97) & ((x | 32) <= 122)) | (x >= 128)
-                self.sums[at : at + len(part), :-1] = np.einsum("tbk,tb->bk", self.net.log_probabilities(x), letters.astype(np.float32))
-                self.sums[at : at + len(part), -1] = letters.sum(0)
-                self.known.update(zip(part, range(at, at + len(part)), strict=True))
-                at += len(part)
-
-    def __call__(self, docs: list[list[bytes]]) -> np.ndarray:
-        """A row of sums for each document, given as its words."""
-        new = set().union(*docs).difference(self.known)
-        if new:
-            size = len(self.known)
-            self.learn(new)
-            if len(self.known) < size:
-                self.learn(set().union(*docs).difference(self.known))
-        out = np.zeros((len(docs), self.width))
-        get = self.known.__getitem__
-        for i, d in enumerate(docs):
-            if d:
-                out[i] = self.sums[np.fromiter(map(get, d), np.int64, len(d))].sum(0, dtype=np.float64)
+def _fast(net: Network) -> dict[str, np.ndarray]:
+    """Weights turned so that a window is a column."""
+    out = {"c": net.weights["c"].astype(np.float32)[:, None]}
+    for d in "fb":
+        for k in "EUV":
+            out[k + d] = np.ascontiguousarray(net.weights[k + d].T.astype(np.float32))
+    return out
+
+
+def window_logits(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """T x K x B logits for the windows ``x`` (T x B bytes); the byte 0 is padding, which leaves no state."""
+    steps, rows = x.shape
+    n = w["Uf"].shape[1]
+    out = np.empty((steps, len(w["c"]), rows), np.float32)
+    out[:] = w["c"]
+    a, e, size = (np.empty((3 * n, rows), np.float32) for _ in range(3))
+    padded, places = (x == 0).any(1), x.astype(np.intp)
+    for d in "fb":
+        table, u, v = w[f"E{d}"], w[f"U{d}"], w[f"V{d}"]
+        h = np.zeros((n, rows), np.float32)
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            np.matmul(u, h, out=a)
+            np.take(table, places[t], axis=1, out=e, mode="clip")
+            gates, new = a[: 2 * n], a[2 * n :]
+            gates += e[: 2 * n]
+            _soft_in_place(gates, size[: 2 * n])
+            gates *= 0.5
+            gates += 0.5
+            new *= gates[:n]
+            new += e[2 * n :]
+            _soft_in_place(new, size[2 * n :])
+            new -= h
+            new *= gates[n:]
+            h += new
+            if padded[t]:
+                h *= x[t] != 0
+            out[t] += v @ h
+    return out
+
+
+def _soft_in_place(x: np.ndarray, size: np.ndarray) -> None:
+    np.abs(x, out=size)
+    size += 1
+    x /= size
+
+
+def pooled(net: Network, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each text of a block, lower-cased bytes without zeros: the log probabilities summed over its letters, and their number."""
+    n, k, size = len(off) - 1, len(net.languages), np.diff(off)
+    out = np.zeros((n, k + 1))
+    if not k or not len(data):
         return out
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """Lower-cased words; longer ones are cut, none is left out."""
-    words = text.lower().split()
-    if len(text) > WORD_BYTES and max(map(len, words), default=0) > WORD_BYTES:
-        words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
-    return words
-
-
-def predict_rows(net: Network, key: str, names: tuple[str, str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    many = -(-size // CORE)
+    text = np.repeat(np.arange(n), many)
+    core = off[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * CORE
+    begin, end = np.maximum(off[:-1][text], core - MARGIN), np.minimum(off[1:][text], core + CORE + MARGIN)
+    order = np.argsort(end - begin, kind="stable")
+    letter = ((data >= 97) & (data <= 122)) | (data >= 128)
+    w = _fast(net)
+    for i in range(0, len(order), ROWS):
+        some = order[i : i + ROWS]
+        steps = np.arange(int((end - begin)[some].max()))[:, None]
+        at = begin[some] + steps
+        inside = at < end[some]
+        at = np.minimum(at, len(data) - 1)
+        logits = window_logits(w, np.where(inside, data[at], 0))
+        use = inside & letter[at] & (at >= core[some]) & (at < core[some] + CORE)
+        top = logits.max(1)
+        total = top + np.log(np.exp(logits - top[:, None]).sum(1))
+        weight = use.astype(np.float32)
+        sums = np.einsum("tkb,tb->bk", logits, weight) - (total * weight).sum(0)[:, None]
+        for j in range(k):
+            out[:, j] += np.bincount(text[some], sums[:, j], n)
+        out[:, k] += np.bincount(text[some], use.sum(0), n)
+    return out
+
+
+def clean_bytes(data: np.ndarray) -> np.ndarray:
+    """Lower-cased bytes; zeros become blanks."""
+    return np.frombuffer(data.tobytes().lower().replace(b"\0", b" "), np.uint8)
+
+
+def predict_rows(net: Network, names: tuple[str, str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = WordTable(net)
-        table = _TABLES[key]
         for rows, off, data in text_blocks(batches):
-            raw = data.tobytes()
-            texts = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            sums = table([words_of(t) for t in texts]) if net.languages else np.zeros((len(texts), 1))
+            sums = pooled(net, clean_bytes(data), off)
             mean = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
             p = np.exp(mean - mean.max(1, keepdims=True)) if mean.shape[1] else np.zeros((len(mean), 1))
             p /= np.maximum(p.sum(1, keepdims=True), 1e-30)
             best = p.argmax(1)
-            found, scores = [], []
-            for i, t in enumerate(texts):
-                letter = sums[i, -1] > 0 and net.languages and (any(65 <= c & 223 <= 90 for c in t[:256]) or any(c.isalpha() for c in t.decode("utf-8", "replace")))
+            found, scores, raw = [], [], data.tobytes()
+            for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+                letter = sums[i, -1] > 0 and (any(65 <= c & 223 <= 90 for c in raw[a : min(b, a + 256)]) or any(c.isalpha() for c in raw[a:b].decode("utf-8", "replace")))
                 found.append(net.languages[best[i]] if letter else NONE)
                 scores.append(float(p[i, best[i]]) if letter else 0.0)
-            yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(rows.num_columns)], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*rows.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*rows.schema.names, *names])
+
+    return run
+
+
+def piece_rows(limits: dict[str, float]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (lang, h, text) to the pieces whose own hash, as a share of all hashes, is under the language's limit."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, off, data in text_blocks(batches):
+            clean = clean_bytes(data)
+            many = -(-np.diff(off) // PIECE)
+            text = np.repeat(np.arange(len(many)), many)
+            k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+            h = rows.column(1).to_numpy().view(np.uint64)[text] ^ (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(27)
+            langs = rows.column(0).to_pylist()
+            limit = np.array([limits.get(x, 0.0) for x in langs])[text] if len(langs) else np.zeros(0)
+            take = np.flatnonzero(h / 2.0**64 < limit)
+            begin = off[:-1][text[take]] + k[take] * PIECE
+            end = np.minimum(begin + PIECE, off[1:][text[take]])
+            pieces = [clean[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in text[take]], pa.string()), pa.array(h[take].view(np.int64)), pa.array(pieces, pa.binary())], names=["lang", "h", "piece"])
 
     return run
 
 
-def fit_languages(docs: DataFrame, held_out: int = 2, folds: int = 4, train_docs: int = TRAIN_DOCS, seed: int = 3) -> Network:
+def fit_languages(docs: DataFrame, held_out: int = 2, folds: int = 4, train_pieces: int = TRAIN_PIECES, seed: int = 3) -> Network:
     """A network trained on pieces of rows of ``doc_id, text, lang`` outside the held-out fold."""
-    h = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
-    at = F.when(F.length("text") > PIECE_CHARS, F.pmod(h, F.length("text") - PIECE_CHARS)).otherwise(F.lit(0)).cast("int") + 1
     known = only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", folds) != held_out))
-    pieces = known.select("lang", F.substring("text", at, F.lit(PIECE_CHARS)).alias("piece"), h.alias("h"))
-    sample = pieces.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(F.col("k") <= train_docs).select("lang", "piece", "h").collect()  # at most train_docs a language
+    sizes = known.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / PIECE)).alias("n")).collect()  # a row a language
+    limits = {r["lang"]: train_pieces / r["n"] for r in sizes if r["n"]}
+    hashed = known.select("lang", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text").alias("h"), "text")
+    sample = hashed.mapInArrow(piece_rows(limits), "lang string, h long, piece binary").collect()  # about train_pieces a language
     sample.sort(key=lambda r: (r["lang"], r["h"], r["piece"]))
-    languages = sorted({r["lang"] for r in sample})
-    words, labels = [], []
-    for r in sample:
-        some = words_of(r["piece"].encode())
-        words += some
-        labels += [languages.index(r["lang"])] * len(some)
-    return train(words, np.asarray(labels, np.int64), languages, seed=seed)
+    languages = sorted(limits)
+    labels = np.asarray([languages.index(r["lang"]) for r in sample], np.int64)
+    return train([bytes(r["piece"]) for r in sample], labels, languages, seed=seed)
 
 
 def with_language(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
     """``docs`` with its predicted language and the score of it, in columns of these ``names``."""
-    key = f"{id(net)}-{hash(net.weights['c'].tobytes())}"
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(predict_rows(net, key, names), f"{kinds}, `{names[0]}` string, `{names[1]}` double")
+    return docs.mapInArrow(predict_rows(net, names), f"{kinds}, `{names[0]}` string, `{names[1]}` double")
 
 
 def accepted(docs: DataFrame, net: Network, least_score: float = 0.3) -> DataFrame:
