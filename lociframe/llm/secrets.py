@@ -1,18 +1,24 @@
 """Operator 4: secret scans.
 
 Three patterns give the base spans. The method adds what they miss: a long string without blanks that
-stands near a sensitive word (before or after it), or follows a reported one after blanks or line ends, is measured by zstandard, primed with a dictionary of common identifiers
-and with the text around it, other copies of the string cut out; its marginal compressed bytes over those of an empty frame tell how much
-of it is new. Strings of at least ``NOVEL_BYTES`` new bytes and ``NOVEL_SHARE`` of their length are
-reported as ``novel``. Spans are in code points, the end exclusive.
-
-Null texts are empty and have no spans; repeated rows are scanned again; whole texts are scanned.
+stands near a sensitive word (before or after it), or follows a reported one after blanks or line ends, is
+measured by zstandard, primed with a dictionary of identifiers and with the text around it, other copies of
+the string cut out; its marginal compressed bytes over those of an empty frame tell how much of it is new.
+Strings of at least ``NOVEL_BYTES`` new bytes and ``NOVEL_SHARE`` of their length are reported as ``novel``.
+Base spans are measured alike, and every span comes with its new bytes. The dictionary has the words of all
+texts that save the most bytes (count times length), ``DICTIONARY_BYTES`` in all, beside a few that all code
+has; words that mix letters and digits as secrets do are no part of it. Spans are in code points,
+the end exclusive.
+
+Null texts are empty and have no spans; repeated rows are scanned again; whole texts are scanned; an empty
+table gives no rows and adds nothing to the dictionary.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -27,7 +33,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{16}")
-STRING = re.compile(r"[A-Za-z0-9+/_=-](?:[A-Za-z0-9+/_.=-]{14,})[A-Za-z0-9+/_=-]")
+STRING = re.compile(r"[A-Za-z0-9+/_=-](?:[A-Za-z0-9+/_.=-]{10,})[A-Za-z0-9+/_=-]")
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?|secret|token|api[_-]?key|[_-]key\b|\bkey\b|auth|bearer|credential|private|signature|\bpwd\b", re.I | re.A)
 SENSITIVE_BYTES = (b"pass", b"secret", b"token", b"key", b"auth", b"bearer", b"credential", b"private", b"signature", b"pwd")
 ASSIGN_BYTES = (b"password", b"passwd", b"secret", b"token", b"api")
@@ -44,11 +50,51 @@ IDENTIFIERS = (
     "https://www.example.com/index.html /usr/local/lib/python site-packages node_modules src/main/java/com/org/test/resources "
     "your-token-here changeme placeholder xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx 00000000000000000000000000000000 ------------------------ ========================"
 ).encode()
-
-
-def novelty(candidate: bytes, around: bytes) -> int:
-    """Marginal compressed bytes of ``candidate`` where identifiers and the text around it are known."""
-    primed = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(IDENTIFIERS + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+DICTIONARY_BYTES = 16_384
+LEAST_WORD, LONGEST_WORD = 4, 64
+HELD_WORDS = 400_000
+_WORD = bytes(c if chr(c).isalnum() and c < 128 or c in b"_-." or c >= 128 else 32 for c in range(256))
+
+
+def word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (text) to counts of identifiers: runs of letters, digits and ``_-.``."""
+    held: Counter[bytes] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        held.clear()
+        return out
+
+    for _, off, data in text_blocks(batches):
+        raw = data.tobytes().translate(_WORD)
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            held.update(raw[a:b].split())
+        for w in [w for w in held if not LEAST_WORD <= len(w) <= LONGEST_WORD]:
+            del held[w]
+        if len(held) > HELD_WORDS:
+            yield flush()
+    yield flush()
+
+
+def identifiers(docs: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
+    """The words of all texts that save the most bytes, the best last (zstandard reaches the end of a dictionary most cheaply)."""
+    counts = only(docs, "text").mapInArrow(word_rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    saved = F.col("n") * F.octet_length("word")
+    best = counts.orderBy(F.desc(saved), "word").limit(size // (LEAST_WORD + 1)).collect()  # as many as the dictionary can hold
+    out, left = [], size
+    for r in best:
+        word = bytes(r["word"])
+        if len(word) + 1 <= left and not (len(word) >= NOVEL_BYTES and mixed(word.decode("utf-8", "replace"))):  # it could be a secret itself
+            out.append(word)
+            left -= len(word) + 1
+    return IDENTIFIERS + b" " + b" ".join(out[::-1])
+
+
+def novelty(candidate: bytes, around: bytes, known: bytes = IDENTIFIERS) -> int:
+    """Marginal compressed bytes of ``candidate`` where the identifiers ``known`` and the text around it are given."""
+    primer = known + b" " + around
+    data = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(primer) >= 8 else None
+    primed = zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_checksum=False)
     return len(primed.compress(candidate)) - len(primed.compress(b""))
 
 
@@ -62,16 +108,23 @@ def text_around(text: str, start: int, end: int) -> str:
     return (before[-AROUND:] + after[:AROUND]).replace("\0", "")
 
 
-def base_spans(text: str, low: bytes, raw: bytes) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the three patterns' matches; ``low`` and ``raw`` are the text's bytes and tell what can be skipped."""
-    out = []
+Span = tuple[int, int, int, int]  # start, kind, end, new bytes
+
+
+def measured(text: str, start: int, end: int, known: bytes) -> int:
+    return novelty(text[start:end].encode(), text_around(text, start, end).encode(), known)
+
+
+def base_spans(text: str, low: bytes, raw: bytes, known: bytes = IDENTIFIERS) -> list[Span]:
+    """The three patterns' matches; ``low`` and ``raw`` are the text's bytes and tell what can be skipped. Of an assignment its value is measured."""
+    found = []
     if any(x in low for x in ASSIGN_BYTES):
-        out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+        found += [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if b"AKIA" in raw:
-        out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+        found += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     if LONG_HEX.search(text):
-        out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 16]
-    return sorted(out)
+        found += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text) if m.end() - m.start() >= 16]
+    return sorted((s, k, e, measured(text, v, e, known)) for s, k, e, v in found)
 
 
 def near_sensitive(text: str, start: int, end: int) -> bool:
@@ -83,54 +136,70 @@ def carried(text: str, told: int, start: int) -> bool:
     return 0 <= told <= start and not text[told:start].strip()
 
 
-def novel_spans(text: str, low: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def mixed(s: str) -> bool:
+    """Letters with digits, or capitals inside of a word."""
+    return any(c.isalpha() for c in s) and (any(c.isdigit() for c in s) or any(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False)))
+
+
+def novel_spans(text: str, low: bytes, base: list[Span], known: bytes = IDENTIFIERS) -> list[Span]:
     """Incompressible strings near a sensitive word, clear of ``base`` (sorted, each end the largest so far)."""
     if not any(x in low for x in SENSITIVE_BYTES):
         return []
     out, at, told = [], 0, -1  # told: the end of the last span that is surely of a secret
     for m in STRING.finditer(text):
         s = m.group()
-        if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
+        if not mixed(s):
             continue
         while at < len(base) and base[at][2] <= m.start():
             told = base[at][2] if base[at][1] < 2 else told
             at += 1
         if (at < len(base) and base[at][0] < m.end()) or not (carried(text, told, m.start()) or near_sensitive(text, m.start(), m.end())):
             continue
-        new = novelty(s.encode(), text_around(text, m.start(), m.end()).encode())
+        new = measured(text, m.start(), m.end(), known)
         if new >= NOVEL_BYTES and new >= NOVEL_SHARE * len(s):
-            out.append((m.start(), 3, m.end()))
+            out.append((m.start(), 3, m.end(), new))
             told = m.end()
     return out
 
 
-def find(raw: bytes) -> list[tuple[int, int, int]]:
+def find(raw: bytes, known: bytes = IDENTIFIERS) -> list[Span]:
     """All spans of a text given as UTF-8, by start, then kind."""
     low, text = raw.lower(), raw.decode("utf-8", "replace")
-    base = base_spans(text, low, raw)
+    base = base_spans(text, low, raw, known)
     longest, reach = [], 0
     for s in base:
         reach = max(reach, s[2])
-        longest.append((s[0], s[1], reach))
-    return sorted(base + novel_spans(text, low, longest))
+        longest.append((s[0], s[1], reach, s[3]))
+    return sorted(base + novel_spans(text, low, longest, known))
+
+
+def scan_rows(known: bytes) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (doc_id, text) to (doc_id, spans)."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, off, data in text_blocks(batches):
+            raw = data.tobytes()
+            spans = [find(raw[a:b], known) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            lists = [[{"kind": KINDS[k], "start": s, "end": e, "new_bytes": n} for s, k, e, n in x] for x in spans]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lists, SPANS)], names=["doc_id", "spans"])
+
+    return run
 
-def scan_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, off, data in text_blocks(batches):
-        raw = data.tobytes()
-        spans = [find(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in spans], SPANS)], names=["doc_id", "spans"])
 
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("new_bytes", pa.int64())]))
+SPANS_SQL = "array<struct<kind:string,start:long,end:long,new_bytes:long>>"
 
-SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+def scan(docs: DataFrame, known: bytes | None = None) -> DataFrame:
+    """``doc_id`` and its ``spans``, an array of ``kind, start, end, new_bytes``, for each row of ``doc_id, text``.
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and its ``spans``, an array of ``kind, start, end``, for each row of ``doc_id, text``."""
-    return only(docs, "doc_id", "text").mapInArrow(scan_rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>")
+    ``known`` is the dictionary of identifiers, by default that of ``docs``.
+    """
+    known = identifiers(docs) if known is None else known
+    return only(docs, "doc_id", "text").mapInArrow(scan_rows(known), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {SPANS_SQL}")
 
 
-def redact_rows(mark: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def redact_rows(mark: str, known: bytes) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
@@ -138,9 +207,9 @@ def redact_rows(mark: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
             for rows, off, data in text_blocks([batch]):
                 raw, out, sizes = data.tobytes(), rows.column(at).to_pylist(), rows.column(chars).to_pylist() if chars >= 0 else []
                 for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                    if spans := find(raw[a:b]):
+                    if spans := find(raw[a:b], known):
                         text, done, kept = out[i], 0, []
-                        for s, _, e in spans:
+                        for s, _, e, _ in spans:
                             if s >= done:
                                 kept += [text[done:s], mark]
                             done = max(done, e)
@@ -158,7 +227,7 @@ def redact_rows(mark: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark`` (``n_chars`` follows where there is such a column)."""
-    return docs.mapInArrow(redact_rows(mark), docs.schema)
+    return docs.mapInArrow(redact_rows(mark, identifiers(docs)), docs.schema)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
