@@ -37,20 +37,29 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
-    """Best local score and the window's end of it; negative words match nothing."""
-    steps = np.arange(1, len(window) + 1)
-    row = np.zeros(len(window) + 1, np.int64)
-    best, end = 0, 0
+_PLACE = 32  # bits of a cell that tell where its alignment starts
+
+
+def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
+    """Best local score, and the window's start and end of it; negative words match nothing.
+
+    A cell is its score above ``_PLACE`` bits of how far its alignment starts from the window's end, so that
+    of equal scores the one that starts first is carried on.
+    """
+    m, one = len(window), 1 << _PLACE
+    steps = np.arange(1, m + 1) * (GAP * one)
+    fresh = np.arange(m - 1, -1, -1, dtype=np.int64)  # a new alignment may start after each place
+    row = np.arange(m, -1, -1, dtype=np.int64)
+    best, place, end = 0, m, 0
     for w in item:
-        gain = np.where((window == w) & (window >= 0), MATCH, MISMATCH)
-        here = np.maximum(np.maximum(row[:-1] + gain, row[1:] + GAP), 0)
-        here = np.maximum.accumulate(here - GAP * steps) + GAP * steps  # runs of gaps from the left
-        row = np.r_[0, here]
-        k = int(here.argmax())
-        if here[k] > best:
-            best, end = int(here[k]), k + 1
-    return best, end
+        gain = np.where((window == w) & (window >= 0), MATCH, MISMATCH) * one
+        here = np.maximum(np.maximum(row[:-1] + gain, row[1:] + GAP * one), fresh)
+        here = np.maximum(np.maximum.accumulate(here - steps) + steps, fresh)  # runs of gaps from the left
+        row = np.r_[m, here]
+        k = int(here.argmax()) if m else 0
+        if m and here[k] >> _PLACE > best:
+            best, place, end = int(here[k] >> _PLACE), int(here[k] & (one - 1)), k + 1
+    return best, m - place, end
 
 
 class Items:
@@ -135,7 +144,7 @@ def may_reach(item: np.ndarray, words: np.ndarray, spans: list[tuple[int, int]],
 
 
 def find_items(items: Items, table: np.ndarray, seeds: dict[int, list[tuple[int, int]]], known: dict, text: bytes, share: float, least_words: int) -> list[tuple[int, float, int, int]]:
-    """(item, share of its score, from word, to word) of the items that a text holds; ``known`` remembers alignments."""
+    """(item, share of its score, first word, word after the last) of the items that a text holds; ``known`` remembers alignments."""
     words = _numbers(items, text)
     spans: dict[int, set[tuple[int, int]]] = {}
     for _, runs in items.text_runs(words):
@@ -155,15 +164,15 @@ def find_items(items: Items, table: np.ndarray, seeds: dict[int, list[tuple[int,
                 merged[-1][1] = max(merged[-1][1], e)
             else:
                 merged.append([s, e])
-        best = (0, 0, 0)
+        best = (0, 0, 0)  # score, end, start
         for s, e in merged:
             window = words[s:e]
             if (k := (item, window.tobytes())) not in known:
                 if len(known) > 20_000:
                     known.clear()
                 known[k] = smith_waterman(items.words[item], window)
-            score, end = known[k]
-            best = max(best, (score, s + end, s))
+            score, begin, end = known[k]
+            best = max(best, (score, s + end, s + begin))
         part = best[0] / (MATCH * n)
         if part >= least:
             out.append((items.ids[item], part, best[2], best[1]))

@@ -1,7 +1,8 @@
 """Operator 7: document quality by gradient-boosted trees over histograms of document statistics.
 
 Statistics come from the whole text alone. The trees are fitted in numpy on the driver from at most
-``TRAIN_ROWS`` labelled rows (those with the least hash of the id), flattened into arrays, and
+``TRAIN_ROWS`` labelled rows (those with the least hash of the id; only a share of the hashes that holds
+about as many is collected), flattened into arrays, and
 traversed for a batch of rows at a time in the tasks.
 
 Null texts are empty (all statistics zero) and are scored; rows of ``labels`` with a null label or id
@@ -176,7 +177,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", he
     facts = stage(only(docs, "doc_id", "text").mapInArrow(statistic_rows, f"doc_id {kind}, x array<double>"), "statistics")
     known = only(labels, "doc_id", label).where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("id"), F.col(label).alias("y"))
     taught = facts.where(crc_mod("doc_id", folds) != held_out).join(known, F.col("doc_id") == F.col("id"))
-    sample = taught.select("x", "y", F.xxhash64(F.lit(seed), "doc_id").alias("h")).orderBy("h", "y").limit(train_rows).select("x", "y").collect()  # at most train_rows
+    ids = taught.select(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1).alias("h"), "y", "x")
+    n = ids.count()
+    if n > train_rows:  # a share of the hashes holds a tenth more rows than wanted; the least of them are taken
+        ids = ids.where(F.col("h") < F.lit(int(min(1.0, (1.1 * train_rows + 100) / n) * (2**63 - 1))))
+    sample = sorted(ids.collect(), key=lambda r: (r["h"], r["y"], r["x"]))[:train_rows]  # about 1.1 * train_rows at most
     model = fit(np.array([r["x"] for r in sample]).reshape(len(sample), len(NAMES)), np.array([r["y"] for r in sample], float))
     return facts.mapInArrow(score_rows(model), f"doc_id {kind}, score double").select("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out"), "score")
 
