@@ -17,10 +17,12 @@ BLOCK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a new local one only where that is unset and the session is local."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -102,15 +104,20 @@ def forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
+def _stars(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with the least neighbour of their ``a``; both are written tables, so that a node of very many edges can be split."""
+    return edges.join(least.withColumnRenamed("a", "k"), F.col("a") == F.col("k"))
+
+
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Connected components of the edges ``a, b`` (longs): ``node, component`` (the smallest node).
 
     Alternating large-star and small-star rounds; each is a join and an aggregate on node ids whose
-    result is written to the shared folder. Nodes without edges are not listed. Nulls are ignored.
+    result is written to the shared folder. Nodes without edges are not listed. Nulls are ignored. Rounds
+    grow with the logarithm of a component's size; a ``RuntimeError`` tells if they did not suffice.
     """
-    spark = edges.sparkSession
-    now = only(edges, "a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(forest, "a long, b long").distinct()
-    now = stage(now, "edges")
+    forward = only(edges, "a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = stage(forward.mapInArrow(forest, "a long, b long").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
@@ -118,10 +125,13 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             break
         seen = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where("m < k").select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
-        large = stage(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = large.join(low, F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
-        now = stage(small, "small")
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        up = _stars(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stage(up.unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct(), "large")
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        down = _stars(large, low).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = stage(down.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small")
+    else:
+        raise RuntimeError(f"components are not found after {max_rounds} rounds")
+    each = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    return each.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -4,10 +4,9 @@ Distinct fingerprints within ``MAX_BITS`` differing bits are linked. Two fingerp
 most two bits agree in one of three blocks of bits; rows that share a block value are compared by a
 pivot distance table: each has its Hamming distances to ``PIVOTS`` reference fingerprints, a pair whose
 distances to any reference differ by more than ``MAX_BITS`` is discarded (triangle inequality), and
-the survivors are verified. Block values shared by more than ``CROWD`` distinct fingerprints would need
-too many comparisons in one task, so their fingerprints are linked through reference fingerprints of
-their own: all those at distance 0 or 1. Two fingerprints differ in at most two bits exactly if they
-share such a reference, and each reference has at most 65 fingerprints, so this is exact for any crowd.
+the survivors are verified. Where over ``CROWD`` fingerprints share a block value they are dealt again by
+three blocks of their other bits, one of which any linked pair shares as well, and so on: every level is
+exact, and after ``LEVELS`` of them the bits left over bound a group's size.
 
 Null texts are empty; a text without words has fingerprint zero and is linked like any other; texts of
 fewer words than a shingle use all their words; repeated rows and ids keep a row each; an empty table
@@ -31,7 +30,23 @@ SEED = 42
 MAX_BITS = 2
 PIVOTS = 16
 CROWD = 512
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+LEVELS = 4
+PAIR_ROWS = 1 << 20
+
+
+def masks(level: int) -> list[list[int]]:
+    """For each mask of the level above (for the first: all of no bits) the three masks that add a block of the bits left over."""
+    above = [0] if not level else [m for some in masks(level - 1) for m in some]
+    out = []
+    for m in above:
+        rest = [i for i in range(64) if not m >> i & 1]
+        third = [rest[len(rest) * k // 3 : len(rest) * (k + 1) // 3] for k in range(3)]
+        out.append([m | sum(1 << i for i in some) for some in third])
+    return out
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def fingerprint_rows(words: int, seed: int, name: str, keep_text: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -80,18 +95,25 @@ def close_pairs(fps: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[np.n
     """Index pairs within ``max_bits``: windows over the first pivot's distances, then the largest difference over all pivots, then the bits."""
     order = np.argsort(table[:, 0], kind="stable")
     first = table[order, 0]
-    end = np.searchsorted(first, first + max_bits, "right")
-    n = end - np.arange(len(order)) - 1
-    a = np.repeat(np.arange(len(order)), n)
-    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-    a, b = order[a], order[b]
-    for k in range(1, table.shape[1]):
-        if not len(a):
-            break
-        keep = np.abs(table[a, k] - table[b, k]) <= max_bits
-        a, b = a[keep], b[keep]
-    keep = np.bitwise_count(fps[a] ^ fps[b]) <= max_bits
-    return a[keep], b[keep]
+    n = np.searchsorted(first, first + max_bits, "right") - np.arange(len(order)) - 1
+    ends, done, left, right = np.cumsum(n), 0, [], []
+    while done < len(order):  # some rows at a time, so that memory stays bounded
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIR_ROWS, "right")))
+        k = n[done:upto]
+        a = np.repeat(np.arange(done, min(upto, len(order))), k)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+        a, b = order[a], order[b]
+        for j in range(1, table.shape[1]):
+            if not len(a):
+                break
+            keep = np.abs(table[a, j] - table[b, j]) <= max_bits
+            a, b = a[keep], b[keep]
+        keep = np.bitwise_count(fps[a] ^ fps[b]) <= max_bits
+        left.append(a[keep])
+        right.append(b[keep])
+        done = upto
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def linked_rows(pivots: np.ndarray, max_bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -125,22 +147,26 @@ def linked_rows(pivots: np.ndarray, max_bits: int) -> Callable[[Iterable[pa.Reco
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, pivots: int = PIVOTS, crowd: int = CROWD, seed: int = SEED) -> DataFrame:
-    """Links ``a, b`` whose components are those of all pairs of distinct ``fp`` within two bits."""
+    """All links ``a, b`` of distinct ``fp`` within ``max_bits`` (0 to 2) bits."""
     if not 0 <= max_bits <= 2:
         raise ValueError("three blocks find pairs of up to two differing bits")
     spark = fps.sparkSession
     table = np.random.default_rng(seed).integers(0, 1 << 64, pivots, np.uint64, endpoint=False)
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("blk"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1)).alias("val")) for i, (at, n) in enumerate(BLOCKS)])).alias("k")).select("k.blk", "k.val", "fp")
-    sizes = keyed.groupBy("blk", "val").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = stage(sizes, "sizes")  # a plain table, so that the join below can be split where a value is hot
-    shared = stage(keyed.join(sizes, ["blk", "val"]), "blocks")
-    near = shared.where(F.col("n") <= crowd).select("blk", "val", "fp").repartition(parts(spark), "blk", "val").sortWithinPartitions("blk", "val").mapInArrow(linked_rows(table, max_bits), "a long, b long")
-    if max_bits < 2:
-        return near
-    crowded = shared.where(F.col("n") > crowd).select("fp").distinct()
-    near_refs = crowded.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(64)])).alias("ref"))
-    stars = near_refs.groupBy("ref").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    return near.unionByName(stars.select(F.explode("all").alias("a"), "b").where("a <> b").distinct())
+    crowded, out = fps.select("fp", F.lit(0).alias("group")), None
+    for level in range(LEVELS):  # ``group`` is the number of the mask that the crowd shares
+        add = F.array(*[F.array(*[F.struct(F.lit(3 * g + k).alias("blk"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("val")) for k, m in enumerate(some)]) for g, some in enumerate(masks(level))])
+        keyed = crowded.select("fp", F.explode(F.element_at(add, F.col("group") + 1)).alias("k")).select("k.blk", "k.val", "fp").distinct()
+        sizes = stage(keyed.groupBy("blk", "val").agg(F.count("*").alias("n")).where("n > 1"), "sizes")  # written, so that a hot value can be split
+        shared = stage(keyed.join(sizes, ["blk", "val"]), "blocks")
+        last = level == LEVELS - 1
+        few = shared if last else shared.where(F.col("n") <= crowd)
+        near = few.select("blk", "val", "fp").repartition(parts(spark), "blk", "val").sortWithinPartitions("blk", "val")
+        near = near.mapInArrow(linked_rows(table, max_bits), "a long, b long")
+        out = near if out is None else out.unionByName(near)
+        crowded = shared.where(F.col("n") > crowd).select("fp", F.col("blk").alias("group"))
+        if last or not sizes.where(F.col("n") > crowd).limit(1).count():
+            break
+    return out
 
 
 def classes(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -116,8 +116,73 @@ def test_vectors_against_brute_force(spark):
 
 def test_calibration():
     for n in (100, 50_000, 10**8):
-        lines, tables = E.calibrate(n, 0.95)
-        assert lines >= 6 and 2 <= tables < 200
+        lines, tables, count = E.calibrate(n, 0.95)
+        assert lines >= 4 and 2 <= tables < 200 and E.reaches(count) >= E.KEEP > E.reaches(count + 1)
+        assert (1 - E.same_cell(0.95) ** lines * E.reaches(count)) ** tables <= E.MISS
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [float(x) for x in v], 1, 2) for i, v in rows], "vec_id long, embedding array<double>, ball int, w int")
+
+
+def results(df) -> dict:
+    return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in df.collect()}
+
+
+def test_vectors_of_other_lengths_cost_only_their_own_links(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=24)
+    rows = [(0, [1.0]), (None, [2.0, 1.0])] + [(i, base + rng.normal(size=24) * 0.01) for i in range(1, 6)] + [(6, [1.0, 2.0]), (7, [1.0, 2.01]), (8, [3.0]), (9, [1e300] * 3), (10, [1e299] * 3), (11, [])]
+    got = results(E.near_duplicates(vectors(spark, rows)))
+    assert all(got[i] == (4, 1, i == 1) for i in range(1, 6))
+    assert got[0] == (1, 0, True) and got[8] == (1, 0, False) and got[6] == (1, 6, True) and got[7] == (1, 6, False)
+    assert got[9] == (1, 9, True) and got[10] == (1, 9, False) and got[11] == (0, 11, True) and got[None] == (0, None, False)
+
+
+def test_recall_of_links_at_the_limit(spark, monkeypatch):
+    """Links of the vectors whose id is divisible by 20, planted just over the limit, against all rows."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(1500, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.normal(size=(1500, 32))
+    side -= (side * base).sum(1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cos = rng.uniform(0.95, 0.956, 1500)[:, None]
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * side])
+    order = rng.permutation(len(x))
+    x = x[order]
+    for split in (E.SPLIT, 8):
+        monkeypatch.setattr(E, "SPLIT", split)
+        got = results(E.near_duplicates(vectors(spark, enumerate(x))))
+        hit = (x / np.linalg.norm(x, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T >= 0.95
+        queries = np.arange(0, len(x), 20)
+        want = hit[queries].sum(1) - 1
+        found = np.array([got[int(q)][0] for q in queries])
+        assert want.sum() > 100 and (found <= want).all() and found.sum() >= 0.97 * want.sum()
+
+
+def test_a_large_group_makes_no_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    center = rng.normal(size=32)
+    x = np.concatenate([center + rng.normal(size=(300, 32)) * 0.1, rng.normal(size=(200, 32))])
+    made = []
+    whole = E.stage
+
+    def seen(df, name="stage"):
+        out = whole(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(E, "stage", seen)
+    got = results(E.near_duplicates(vectors(spark, enumerate(x))))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = u @ u.T >= 0.95
+    want = groups(len(x), [(int(a), int(b)) for a, b in zip(*np.nonzero(hit), strict=True)])
+    assert hit[:300, :300].mean() > 0.9 and [got[i][0] for i in range(300)] == (hit[:300].sum(1) - 1).tolist()
+    assert [got[i][1] for i in range(len(x))] == want
+    sizes = dict(made)
+    assert sizes["pairs"] < 300 * 300 / 20 and sizes["links"] < 300 * 300 / 10
 
 
 def brute(texts, length):
