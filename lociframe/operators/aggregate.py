@@ -6,7 +6,7 @@ import operator
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
@@ -51,8 +51,10 @@ def presence_vectors(presence: DataFrame, sample: str, features: DataFrame | Non
 
 
 def _kmer_rows(df: DataFrame, sample: str, seq: str, k: int) -> DataFrame:
-    runs = df.select(sample, F.explode(kmers(F.upper(seq), k)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
-    return runs.select(sample, F.least("kmer", reverse_complement("kmer")).alias("kmer")).groupBy(sample, "kmer").agg(F.count("*").alias("n"))
+    """Runs are counted as they stand; only the distinct ones of a sample are checked and made canonical."""
+    runs = df.select(sample, F.explode(kmers(F.upper(seq), k)).alias("kmer")).groupBy(sample, "kmer").agg(F.count("*").alias("n"))
+    plain = runs.where(F.col("kmer").rlike("^[ACGT]+$"))
+    return plain.groupBy(sample, F.least("kmer", reverse_complement("kmer")).alias("kmer")).agg(F.sum("n").alias("n"))
 
 
 def kmer_counts(df: DataFrame, sample: str, seq: str, k: int, cap: int = 255, min_count: int = 2) -> DataFrame:
@@ -172,10 +174,17 @@ def qc_quast(df: DataFrame, filters: Sequence[tuple]) -> DataFrame:
 def bootstrap_rollup(df: DataFrame, by: Sequence[str] = ("metric", "method", "name", "dataset")) -> DataFrame:
     """AG29: mean, standard deviation, median of ``value`` and Fisher's combined ``p`` of each group."""
     rows = df.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.median("value").alias("median"), (-2 * F.sum(F.ln(F.greatest("p", F.lit(1e-300))))).alias("fisher"), F.count("p").alias("k"))
-    # the tail of chi-square with 2k degrees of freedom is a sum of k Poisson terms
+    # the tail of chi-square with 2k degrees of freedom is a sum of k Poisson terms, kept as logarithms
     half = F.col("fisher") / 2
-    terms = F.aggregate(F.sequence(F.lit(1), F.col("k").cast("int")), F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")), lambda a, i: F.struct((a["term"] * half / i).alias("term"), (a["sum"] + a["term"]).alias("sum")))
-    return rows.withColumn("combined_p", F.when(F.col("k") > 0, F.exp(-half) * terms["sum"])).drop("fisher")
+    start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("sum"))
+
+    def more(a: Column, i: Column) -> Column:
+        term = a["term"] + F.ln(half) - F.ln(i)
+        return F.struct(term.alias("term"), (F.greatest(a["sum"], term) + F.log1p(F.exp(-F.abs(a["sum"] - term)))).alias("sum"))
+
+    log = F.aggregate(F.slice(F.sequence(F.lit(0), F.col("k").cast("int")), F.lit(2), F.greatest(F.col("k").cast("int") - 1, F.lit(0))), start, more)["sum"]
+    p = F.when(half <= 0, 1.0).otherwise(F.least(F.exp(log - half), F.lit(1.0)))
+    return rows.withColumn("combined_p", F.when(F.col("k") > 0, p)).drop("fisher")
 
 
 def eval_summary(df: DataFrame, by: Sequence[str] = ("task", "metric", "dataset", "model"), wide: Sequence[str] | None = None) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.seeded import unit
 
 _OPS = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "==": operator.eq, "!=": operator.ne}
 
@@ -127,6 +128,29 @@ def split_mask(df: DataFrame, spec: Mapping[str, Mapping], name: str = "split")
     return df.withColumn(name, F.when(split_predicate(spec), "test").otherwise("train"))
 
 
+def split_rows(df: DataFrame, spec: Column | str | float | Mapping | DataFrame | Callable[[DataFrame], Column], id: str, seed: int = 0, name: str = "split") -> DataFrame:
+    """UD5: ``test`` or ``train`` by a condition, the name of a boolean column, a share of the ids, FLT2's rules, a table or list of ids, or a function that gives a condition.
+
+    A null condition is ``train``.
+    """
+    if callable(spec) and not isinstance(spec, Column):
+        spec = spec(df)
+    if isinstance(spec, (list, tuple, set)):
+        if not spec:
+            return df.withColumn(name, F.lit("train"))
+        spec = df.sparkSession.createDataFrame([(v,) for v in spec], df.select(id).schema)
+    if isinstance(spec, DataFrame):
+        ids = spec.select(F.col(spec.columns[0]).alias("_id")).distinct().withColumn("_test", F.lit(True))
+        return df.join(ids, F.col(id) == F.col("_id"), "left").withColumn(name, F.when(F.col("_test"), "test").otherwise("train")).drop("_id", "_test")
+    if isinstance(spec, float):
+        spec = unit(seed, "split", id) < spec
+    elif isinstance(spec, Mapping):
+        spec = split_predicate(spec)
+    elif isinstance(spec, str):
+        spec = F.col(spec)
+    return df.withColumn(name, F.when(spec, "test").otherwise("train"))
+
+
 def filter_features(df: DataFrame, cols: Sequence[str], whitelist: DataFrame | Sequence | Mapping | None = None, blacklist: DataFrame | Sequence | Mapping | None = None) -> DataFrame:
     """FLT3: rows whose value in any of ``cols`` is listed stay; those with any blacklisted value go."""
 
@@ -140,8 +164,11 @@ def filter_features(df: DataFrame, cols: Sequence[str], whitelist: DataFrame | S
             continue
         if isinstance(names, DataFrame):
             ids = names.select(F.col(names.columns[0]).alias("_f")).distinct()
-            on = reduce(operator.or_, [F.col(c) == F.col("_f") for c in cols]) if len(cols) > 1 else F.col(cols[0]) == F.col("_f")
-            df = df.join(ids, on, "left_semi" if how == "white" else "left_anti")
+            hit = F.lit(False)
+            for i, c in enumerate(cols):  # an equality join a column, the flags merged
+                df = df.join(ids.select(F.col("_f").alias(f"_f{i}")), F.col(c) == F.col(f"_f{i}"), "left")
+                hit = hit | F.col(f"_f{i}").isNotNull()
+            df = df.where(hit if how == "white" else ~hit).drop(*[f"_f{i}" for i in range(len(cols))])
         else:
             df = df.where(listed(names) if how == "white" else ~listed(names))
     return df

@@ -153,10 +153,28 @@ def control_cv(df: DataFrame, x: str, id: str, target: str, control: str, k: int
     return real.unionByName(cross_validate(fake, x, id, [target], k, 1, seed, **kw).withColumn("control", F.lit(True)))
 
 
-def cluster_latents(acts: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """ML8: k-means of latents as rows of their activations by sample: ``latent, x, cluster``."""
-    rows = acts.groupBy("latent").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "act"))), lambda s: s["act"]).alias("x"))
-    model = KMeans(k=k, seed=seed).fit(_features(rows, "x"))
+def latent_profiles(acts: DataFrame, dims: int, seed: int = 0) -> DataFrame:
+    """``latent, x``: each latent's activations by sample, folded to ``dims`` sums by a signed hash of the sample; absent samples are zero.
+
+    A random fold keeps distances between latents in expectation, so no task holds a value a sample.
+    """
+    from ..functions.seeded import draw
+
+    h = draw(seed, "fold", "sample")
+    folded = acts.select("latent", (h % dims).cast("int").alias("d"), F.when(F.shiftright(h, 40) % 2 == 0, F.col("act")).otherwise(-F.col("act")).alias("v"))
+    sums = folded.groupBy("latent", "d").agg(F.sum("v").alias("v")).groupBy("latent").agg(F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"))  # dims values a latent
+    return sums.select("latent", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("x"))
+
+
+def cluster_latents(acts: DataFrame, k: int, seed: int = 0, dims: int = 256, clusterer: Estimator | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """ML8: clusters of latents by their activations: ``latent, x, cluster``.
+
+    UD3: ``clusterer`` is an estimator over ``features``, or a function from ``latent, x`` to ``latent, cluster``; by default k-means.
+    """
+    rows = latent_profiles(acts, dims, seed)
+    if clusterer is not None and not isinstance(clusterer, Estimator):
+        return rows.join(clusterer(rows).select("latent", "cluster"), "latent")
+    model = (clusterer or KMeans(k=k, seed=seed)).fit(_features(rows, "x"))
     return model.transform(_features(rows, "x")).select("latent", "x", F.col("prediction").alias("cluster"))
 
 

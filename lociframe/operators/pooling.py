@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeded import draw
+from ..scratch import materialise
 
 SCORES = ("cosine_distance", "cosine_similarity", "dot_product", "euclidean_distance", "euclidean_similarity", "manhattan_distance")
 
@@ -44,29 +45,84 @@ def pool_similarity(df: DataFrame, by: Sequence[str], x: str, metric: str = "euc
     """
     if metric not in SCORES or agg not in ("mean", "sum", "max"):
         raise ValueError(f"no such pooling: {metric}, {agg}")
-    from ..functions.columns import dot
-
     rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("array<double>").alias("_x"))
     if agg != "max" and metric in ("cosine_distance", "cosine_similarity", "dot_product"):
-        unit = F.col("_x") if metric == "dot_product" else F.transform("_x", lambda v: v / F.sqrt(dot("_x", "_x")))
-        rows = rows.withColumn("_u", unit)
-        total = _summary(rows, by, "_u", "sum").withColumnsRenamed({"x": "_s", "n": "_n"})
-        raw = dot("_u", "_s") - dot("_u", "_u")  # without its own
-        score = F.col("_n") - raw if metric == "cosine_distance" else raw
-        weight = score / F.col("_n") if agg == "mean" else score
-        weighted = rows.join(total, list(by)).withColumn("_w", weight).select(*by, F.transform("_x", lambda v: v * F.col("_w")).alias("_y"))
-        return _summary(weighted, by, "_y", "sum")
+        return _by_sum(rows, list(by), metric, agg)
     return _pairwise(rows, by, metric, agg)
 
 
+def _weighted_sum(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sum of ``_w`` times the vector ``_x``, multiplied by numpy a batch at a time."""
+    kinds = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
+
+    def run(batches):
+        for batch in batches:
+            x, w = batch.column(batch.schema.get_field_index("_x")), batch.column(batch.schema.get_field_index("_w"))
+            off = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+            y = x.flatten().to_numpy(zero_copy_only=False) * np.repeat(w.to_numpy(zero_copy_only=False), np.diff(off))
+            lists = pa.ListArray.from_arrays(pa.array(off - off[0]), pa.array(y))
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(b)) for b in by], lists], names=[*by, "_y"])
+
+    return _summary(rows.select(*by, "_x", "_w").mapInArrow(run, f"{kinds}, _y array<double>"), by, "_y", "sum")
+
+
+def _by_sum(rows: DataFrame, by: list[str], metric: str, agg: str) -> DataFrame:
+    """Cosine and dot scores, each row's against the sum of its group's vectors, in one pass of numpy a row."""
+    unit = metric != "dot_product"
+    kinds = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
+
+    def norms(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("_x")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_row_sums(batch.column(at), batch.column(at)))], names=[*batch.schema.names, "_n2"])
+
+    named = rows.mapInArrow(norms, f"{kinds}, _x array<double>, _n2 double")
+    scale = F.sqrt("_n2") if unit else F.lit(1.0)
+    total = named.where(F.col("_n2") > 0) if unit else named
+    total = total.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("_x"), (1 / scale) if unit else F.lit(1.0))).alias("_s"))
+    total = total.join(rows.groupBy(*by).agg(F.count("*").alias("_k")), by)
+
+    def weights(batches):
+        for batch in batches:
+            x, s, n2, k = (batch.column(batch.schema.get_field_index(c)) for c in ("_x", "_s", "_n2", "_k"))
+            n2, k = n2.to_numpy(), k.to_numpy()
+            raw = _row_sums(x, s)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                raw = raw / np.sqrt(n2) - 1 if unit else raw - n2  # without its own
+            score = k - raw if metric == "cosine_distance" else raw
+            keep = [batch.column(batch.schema.get_field_index(b)) for b in by]
+            yield pa.RecordBatch.from_arrays([*keep, x, pa.array(score / k if agg == "mean" else score)], names=[*by, "_x", "_w"])
+
+    weighted = named.join(total, by).select(*by, "_x", "_s", "_n2", "_k").mapInArrow(weights, f"{kinds}, _x array<double>, _w double")
+    return _weighted_sum(weighted, by)
+
+
+def _row_sums(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """The dot product of each pair of lists, as double precision."""
+    off = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+    a, b = (v.flatten().to_numpy(zero_copy_only=False).astype(float) for v in (x, y))
+    if len(a) != len(b):
+        raise ValueError("vectors of a group differ in length")
+    row = np.repeat(np.arange(len(x)), np.diff(off))
+    return np.bincount(row, a * b, len(x))
+
+
 CHUNK_ROWS = 1024
 
 
+def _members(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of the one list of ``_id, _x`` in a column."""
+    some = column.flatten()
+    ids = some.field("_id").to_numpy()
+    return ids, some.field("_x").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(float)
+
+
 def _pairwise(rows: DataFrame, by: Sequence[str], metric: str, agg: str) -> DataFrame:
     """Weights by pairs of chunks of a group: each chunk meets every chunk once, so a large group is many tasks."""
     keys = list(by)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    dealt = rows.withColumn("_id", F.xxhash64("_x", F.monotonically_increasing_id())).join(sizes, keys).withColumn("_k", F.ceil(F.col("_n") / CHUNK_ROWS).cast("int")).withColumn("_chunk", F.pmod("_id", F.col("_k")).cast("int"))
+    rows = materialise(rows.withColumn("_id", F.monotonically_increasing_id()))  # both sides of the join below must see the same ids
+    dealt = rows.join(sizes, keys).withColumn("_k", F.ceil(F.col("_n") / CHUNK_ROWS).cast("int")).withColumn("_chunk", F.pmod("_id", F.col("_k")).cast("int"))
     chunks = dealt.groupBy(*keys, "_k", "_n", "_chunk").agg(F.collect_list(F.struct("_id", "_x")).alias("_rows"))
     left = chunks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     right = chunks.select(*[F.col(b).alias(f"_{b}") for b in keys], F.col("_chunk").alias("_c2"), F.col("_rows").alias("_rows2"))
@@ -78,9 +134,7 @@ def _pairwise(rows: DataFrame, by: Sequence[str], metric: str, agg: str) -> Data
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                a, b = one.column("_rows")[0].as_py(), one.column("_rows2")[0].as_py()
-                x, y = np.array([r["_x"] for r in a]), np.array([r["_x"] for r in b])
-                ida, idb = np.array([r["_id"] for r in a]), np.array([r["_id"] for r in b])
+                (ida, x), (idb, y) = _members(one.column("_rows")), _members(one.column("_rows2"))
                 same = ida[:, None] == idb[None, :]
                 if metric.startswith("cosine") or metric == "dot_product":
                     u, v = (x, y) if metric == "dot_product" else (x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True))
@@ -93,13 +147,13 @@ def _pairwise(rows: DataFrame, by: Sequence[str], metric: str, agg: str) -> Data
                 score = 1 - raw if metric == "cosine_distance" else 1 / (1 + raw) if metric == "euclidean_similarity" else raw
                 w = score.max(1) if agg == "max" else score.sum(1)
                 names = keys + ["_n", "_id", "_x", "_w"]
-                cols = [pa.array([one.column(k)[0].as_py()] * len(a), one.column(k).type) for k in keys + ["_n"]] + [pa.array(ida), pa.array(list(x)), pa.array(w)]
+                cols = [one.column(k).take(pa.array(np.zeros(len(ida), np.int64))) for k in keys + ["_n"]] + [pa.array(ida), one.column("_rows").flatten().field("_x"), pa.array(w)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     parts = pairs.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, f"{kinds}, _n long, _id long, _x array<double>, _w double")
     merged = parts.groupBy(*keys, "_n", "_id", "_x").agg((F.max if agg == "max" else F.sum)("_w").alias("_w"))
     weight = F.col("_w") / F.col("_n") if agg == "mean" else F.col("_w")
-    return _summary(merged.withColumn("_w", weight).select(*keys, F.transform("_x", lambda v: v * F.col("_w")).alias("_y")), keys, "_y", "sum")
+    return _weighted_sum(merged.select(*keys, "_x", weight.alias("_w")), keys)
 
 
 def pool_concat(df: DataFrame, by: Sequence[str], x: str, order: str = "seqindex") -> DataFrame:

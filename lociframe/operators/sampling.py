@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seeded import draw, pick, unit
 from .curate import split_predicate
-from .windows import row_index
+from .windows import group_index, row_index
 
 
 def sample_n(df: DataFrame, id: str, n: int | None = None, fraction: float | None = None, by: Sequence[str] | None = None, seed: int = 0) -> DataFrame:
@@ -22,7 +22,7 @@ def sample_n(df: DataFrame, id: str, n: int | None = None, fraction: float | Non
     if not by:
         return row_index(df.withColumn("_h", h), ["_h", id], "_n").where(F.col("_n") <= round(fraction * df.count())).drop("_h", "_n")
     sizes = df.groupBy(*by).agg(F.count("*").alias("_size"))
-    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(h, id)))
+    ranked = group_index(df.withColumn("_h", h), list(by), ["_h", id], "_n").drop("_h")
     return ranked.join(sizes, list(by)).where(F.col("_n") <= F.floor(F.col("_size") * fraction)).drop("_n", "_size")
 
 
@@ -39,7 +39,7 @@ def subsample_union(df: DataFrame, rules: Sequence[Mapping], id: str, seed: int
             taken = known.join(sizes, by)
         else:
             # a row is drawn if any of n hash picks of its group's positions is its own
-            place = known.select(id, *by, (F.row_number().over(Window.partitionBy(*by).orderBy(draw(seed, "place", id), id)) - 1).alias("_i"))
+            place = group_index(known.select(id, *by, draw(seed, "place", id).alias("_h")), by, ["_h", id], "_i", start=0).drop("_h")
             sizes = place.groupBy(*by).agg(F.count("*").alias("_size"))
             picks = sizes.select(*by, F.explode(F.sequence(F.lit(1), F.lit(rule["n"]))).alias("_d"), "_size").select(*by, pick(F.col("_size"), seed, "replace", *by, "_d").alias("_i")).distinct()
             taken = place.join(picks, [*by, "_i"])
@@ -122,8 +122,7 @@ def kfold(df: DataFrame, id: str, k: int, repeats: int = 1, seed: int = 0, strat
     """SM9: ``repeat`` and ``fold`` of each row; folds differ by one row at most, within labels where stratified."""
     rows = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_h", draw(seed, "fold", "repeat", id))
     if stratify:
-        n = F.row_number().over(Window.partitionBy("repeat", stratify).orderBy("_h", id))
-        return rows.withColumn("fold", ((n - 1) % k).cast("int")).drop("_h")
+        return group_index(rows, ["repeat", stratify], ["_h", id], "_n", start=0).withColumn("fold", (F.col("_n") % k).cast("int")).drop("_h", "_n")
     return row_index(rows, ["repeat", "_h", id], "_n", start=0).withColumn("fold", (F.col("_n") % k).cast("int")).drop("_h", "_n")
 
 
@@ -143,13 +142,16 @@ def control_task(df: DataFrame, target: str, control: str, seed: int = 0, name:
 
 
 def permute(df: DataFrame, id: str, cols: Sequence[str], within: str | None = None, seed: int = 0) -> DataFrame:
-    """SM12: columns shuffled together over the table, or each on its own within groups."""
+    """SM12: columns shuffled together over the table, or each on its own (all of one type) within groups."""
     if within is None:
         left = row_index(df, [id], "_i")
         right = row_index(df.select(id, *cols).withColumn("_h", draw(seed, "permute", id)), ["_h", id], "_i").select("_i", *[F.col(c).alias(f"_{c}") for c in cols])
         return left.join(right, "_i").select(*[F.col(f"_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
-    out = df.withColumn("_i", F.row_number().over(Window.partitionBy(within).orderBy(id)))
-    for c in cols:
-        right = df.select(F.col(within).alias("_w"), F.row_number().over(Window.partitionBy(within).orderBy(draw(seed, c, id), id)).alias("_j"), F.col(c).alias("_v"))
-        out = out.drop(c).join(right, (F.col(within).eqNullSafe(F.col("_w"))) & (F.col("_i") == F.col("_j"))).drop("_w", "_j").withColumnRenamed("_v", c)
-    return out.select(*df.columns)
+    kinds = {df.schema[c].dataType.simpleString() for c in cols}
+    if len(kinds) > 1:
+        raise ValueError("columns shuffled within groups must be of one type")
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).alias("_v")) for c in cols]))
+    long = df.select(id, F.col(within).alias("_w"), values.alias("_r")).select(id, "_w", "_r.*").withColumn("_h", draw(seed, "within", "_c", id))
+    drawn = group_index(long, ["_w", "_c"], ["_h", id], "_j").groupBy("_w", "_j").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_v"))).alias("_m"))  # a value a column
+    out = group_index(df, [within], [id], "_i").join(drawn, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_i") == F.col("_j")))
+    return out.select(*[F.col("_m")[c].alias(c) if c in cols else F.col(c) for c in df.columns])

@@ -112,10 +112,7 @@ def mc_test_by(data: DataFrame, null_data: DataFrame, statistic: Callable[[DataF
 
 
 def multinomial_test(obs: DataFrame, cats: DataFrame, n_resample: int = 10_000, seed: int = 0, group: str = "group", category: str = "category") -> DataFrame:
-    """ST6: for each group of ``group, category`` rows the log-probability of its counts under the shares in ``cats``, and how much of as many drawn groups has less.
-
-    All groups must be of one size, as in the draws.
-    """
+    """ST6: for each group of ``group, category`` rows the log-probability of its counts under the shares in ``cats``, and how much of as many drawn groups of its size has less."""
     spark = obs.sparkSession
     shares = sorted((r[category], r["n"]) for r in cats.groupBy(category).agg(F.count("*").alias("n")).collect())  # a row a category
     total, at, bounds = sum(n for _, n in shares), 0, []
@@ -123,23 +120,30 @@ def multinomial_test(obs: DataFrame, cats: DataFrame, n_resample: int = 10_000,
         at += n
         bounds.append(F.struct(F.lit(at / total).alias("to"), F.lit(c).alias("c")))
     log_p = F.create_map(*[F.lit(v) for c, n in shares for v in (c, math.log(n / total))])
-    sizes = [r["n"] for r in obs.groupBy(group).agg(F.count("*").alias("n")).select("n").distinct().limit(2).collect()]
-    if len(sizes) != 1:
-        raise ValueError("all groups must be of one size")
-    n = sizes[0]
-    lg = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(n + 1)])
-
-    def log_pmf(counts: DataFrame, key: str) -> DataFrame:
-        return counts.groupBy(key).agg((F.lit(math.lgamma(n + 1)) + F.sum(F.col("k") * log_p[F.col(category)] - F.get(lg, F.col("k").cast("int")))).alias("value"))
-
-    observed = log_pmf(obs.groupBy(group, category).agg(F.count("*").alias("k")), group)
-    draws = spark.range(n_resample).select("id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
-    u = unit(seed, "multinomial", "id", "i")
-    drawn = draws.select("id", F.get(F.filter(F.array(*bounds), lambda b: b["to"] > u), F.lit(0))["c"].alias(category))
-    null = log_pmf(drawn.groupBy("id", category).agg(F.count("*").alias("k")), "id")
-    # equal counts give equal values only up to rounding, so both sides are rounded alike
-    rounded = lambda d: d.withColumn("value", F.round("value", 9))
-    return mc_test(rounded(observed), rounded(null), "less")
+    counts = obs.groupBy(group, category).agg(F.count("*").alias("k"))
+    sizes = counts.groupBy(group).agg(F.sum("k").cast("long").alias("_size"))
+    kinds = sizes.select("_size").distinct()
+    most = kinds.agg(F.max("_size")).first()[0] or 0
+    lg = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(most + 1)])
+
+    def log_pmf(rows: DataFrame, *keys: str) -> DataFrame:
+        """Equal counts give equal values only up to the order of their sums, so they are rounded."""
+        term = F.col("k") * log_p[F.col(category)] - F.get(lg, F.col("k").cast("int"))
+        value = rows.groupBy(*keys).agg(F.sum(term).alias("_s"), F.sum("k").alias("_k"))
+        return value.withColumn("value", F.round(F.col("_s") + F.get(lg, F.col("_k").cast("int")), 9)).drop("_s", "_k")
+
+    observed = log_pmf(counts, group).join(sizes, group)
+    draws = spark.range(n_resample).crossJoin(F.broadcast(kinds)).select("id", "_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_size"))).alias("i"))  # a row a size
+    u = unit(seed, "multinomial", "_size", "id", "i")
+    drawn = draws.select("id", "_size", F.get(F.filter(F.array(*bounds), lambda b: b["to"] > u), F.lit(0))["c"].alias(category))
+    null = log_pmf(drawn.groupBy("id", "_size", category).agg(F.count("*").alias("k")), "_size", "id")
+    # distinct values of a size are few: there are as many as ways to fill the categories
+    points = null.groupBy("_size", "value").agg(F.count("*").alias("n")).unionByName(observed.select("_size", "value", F.lit(0).cast("long").alias("n")).distinct()).groupBy("_size", "value").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("_size").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    cdf = points.select("_size", "value", (upto / F.lit(float(n_resample))).alias("cdf"))
+    out = observed.join(cdf, ["_size", "value"]).withColumn("p", F.when(F.col("cdf") == 0, 1e-10).otherwise(F.col("cdf"))).drop("_size")
+    least = out.agg(F.least(F.min("p") * F.count("*"), F.lit(1.0)).alias("p_adj"))
+    return out.join(F.broadcast(least))  # one row
 
 
 def pair_vectors(pairs: DataFrame, df: DataFrame, id: str, cols: Mapping[str, str]) -> DataFrame:

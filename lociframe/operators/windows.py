@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,14 @@ def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "n", sta
     return keyed.withColumn(name, (offset[F.col("_p")] + F.row_number().over(Window.partitionBy("_p").orderBy(*cols))).cast("long")).drop("_p")
 
 
+def group_index(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "n", start: int = 1) -> DataFrame:
+    """Number of each row within its group in ``order``; a group of any size is spread over range partitions, not sorted in one task."""
+    ranked = row_index(df, [*by, *order], "_row", start=0)
+    first = ranked.groupBy(*[F.col(b).alias(f"_by_{b}") for b in by]).agg(F.min("_row").alias("_first"))
+    on = reduce(operator.and_, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by])
+    return ranked.join(first, on).withColumn(name, F.col("_row") - F.col("_first") + start).drop("_row", "_first", *[f"_by_{b}" for b in by])
+
+
 def value_ranks(df: DataFrame, col: str) -> DataFrame:
     """``value, n, below``: each distinct value, its count and the number of rows below it; only distinct values are ordered."""
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))

@@ -10,10 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, labels, relations, sequences, statistics, vectors
+from . import curation, files, fits, labels, relations, sequences, statistics, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (vectors, curation, relations, sequences, labels, statistics):
+for _part in (vectors, curation, relations, sequences, labels, statistics, files, fits):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import aggregate, curate, joins, sampling, sets, windows
-from .registry import registry, rounded, table
+from .registry import drawn, drawn_unit, registry, rounded, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -146,14 +146,14 @@ def representation(s, d):
     return windows.representation(table(s, d, "orders"), "o_custkey")
 
 
-@query("""WITH b AS (SELECT o_orderkey AS uid, o_custkey AS k, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS start, CAST(epoch(o_orderdate) // 86400 AS BIGINT) + o_orderkey % 40 AS stop FROM orders), r AS (SELECT o_custkey AS k, CAST(epoch(o_orderdate) // 86400 AS BIGINT) - 5 AS start, CAST(epoch(o_orderdate) // 86400 AS BIGINT) + 15 AS stop, o_orderkey AS note FROM orders WHERE o_orderkey % 2 = 0),
+@query("""WITH b AS (SELECT o_orderkey AS uid, o_custkey AS k, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS start, CAST(epoch(o_orderdate) // 86400 AS BIGINT) + o_orderkey % 40 AS stop FROM orders), r AS (SELECT o_custkey AS k, CAST(epoch(o_orderdate) // 86400 AS BIGINT) - 5 AS start, CAST(epoch(o_orderdate) // 86400 AS BIGINT) + 15 AS stop, o_orderkey AS note FROM orders),
 m AS (SELECT b.uid, r.start AS start_right, r.stop AS stop_right, row_number() OVER (PARTITION BY b.uid ORDER BY r.start, r.stop) AS n FROM b JOIN r ON b.k = r.k AND ((r.start <= b.start AND r.stop >= b.stop) OR (r.start >= b.start AND r.stop <= b.stop)))
 SELECT b.uid, start_right, stop_right FROM b LEFT JOIN m ON b.uid = m.uid AND m.n = 1""")
 def interval_within(s, d):
     day = (F.unix_timestamp("o_orderdate") / 86400).cast("long")
     o = table(s, d, "orders")
     left = o.select(F.col("o_orderkey").alias("uid"), F.col("o_custkey").alias("k"), day.alias("start"), (day + F.col("o_orderkey") % 40).alias("stop"))
-    right = o.where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), (day - 5).alias("start"), (day + 15).alias("stop"), F.col("o_orderkey").alias("note"))
+    right = o.select(F.col("o_custkey").alias("k"), (day - 5).alias("start"), (day + 15).alias("stop"), F.col("o_orderkey").alias("note"))
     return joins.interval_within(left, right, ["k"], bin_size=30).select("uid", "start_right", "stop_right")
 
 
@@ -321,27 +321,33 @@ def priority_groups(s, d):
     return aggregate.priority_groups(ast, taxa, classes, rules)
 
 
-@query()
+@query(f"""WITH r AS (SELECT c_custkey, c_mktsegment, unnest(range(0, 2))::INTEGER AS repeat FROM customer), f AS (SELECT repeat, c_mktsegment, CAST((row_number() OVER (PARTITION BY repeat, c_mktsegment ORDER BY {drawn(0, 'fold', 'repeat', 'c_custkey')}, c_custkey) - 1) % 5 AS INTEGER) AS fold, c_custkey FROM r)
+SELECT repeat, fold, c_mktsegment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS ids FROM f GROUP BY ALL""")
 def kfold(s, d):
-    return sampling.kfold(table(s, d, "customer"), "c_custkey", 5, 2, stratify="c_mktsegment").groupBy("repeat", "fold", "c_mktsegment").agg(F.count("*").alias("n"))
+    return sampling.kfold(table(s, d, "customer"), "c_custkey", 5, 2, stratify="c_mktsegment").groupBy("repeat", "fold", "c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("ids"))
 
 
-@query()
+@query(f"""WITH a AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY {drawn(0, 'sample', 'c_custkey')}, c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) AS n FROM customer),
+b AS (SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer), p AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {drawn(0, 'place', 'c_custkey')}, c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer),
+k AS (SELECT DISTINCT c_mktsegment, {drawn(0, 'replace', 'c_mktsegment', 'd')} % n AS i FROM (SELECT DISTINCT c_mktsegment, n, unnest(range(1, 101)) AS d FROM p))
+SELECT c_custkey FROM a WHERE r <= floor(n * 0.2) UNION SELECT c_custkey FROM b WHERE n <= 50 UNION SELECT c_custkey FROM p JOIN k USING (c_mktsegment, i)""")
 def subsample_union(s, d):
     rules = [{"by": ["c_mktsegment", "c_nationkey"], "fraction": 0.2}, {"by": ["c_nationkey"], "max_size": 50}, {"by": ["c_mktsegment"], "n": 100}]
     return sampling.subsample_union(table(s, d, "customer"), rules, "c_custkey").select("c_custkey")
 
 
-@query()
+@query(f"""WITH c AS (SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) ORDER BY {drawn(0, 'outer', 'o_custkey')}, o_custkey LIMIT 50)
+SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY {drawn(0, 'sample', 'o_orderkey')}, o_orderkey) AS r FROM orders WHERE o_custkey IN (SELECT o_custkey FROM c)) WHERE r <= 5""")
 def sample_two_stage(s, d):
     return sampling.sample_two_stage(table(s, d, "orders"), "o_custkey", 50, 5, id="o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@query()
+@query(f"""WITH g AS (SELECT t, row_number() OVER (ORDER BY {drawn(0, 'goal', 't')}, t) - 1 AS i FROM (SELECT DISTINCT c_mktsegment AS t FROM customer WHERE c_mktsegment IS NOT NULL)), v AS (SELECT c, {drawn(0, 'control', 'c')} AS h, row_number() OVER (ORDER BY {drawn(0, 'control', 'c')}, c) - 1 AS k FROM (SELECT DISTINCT c_nationkey AS c FROM customer WHERE c_nationkey IS NOT NULL)), n AS (SELECT count(*) AS n FROM g)
+SELECT c_custkey, t AS control_target FROM customer LEFT JOIN (SELECT c, CASE WHEN k < n THEN k ELSE h % n END AS i FROM v, n) ON c_nationkey = c LEFT JOIN g USING (i)""")
 def control_task(s, d):
     return sampling.control_task(table(s, d, "customer"), "c_mktsegment", "c_nationkey").select("c_custkey", "control_target")
 
 
-@query()
+@query(f"""WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings), b AS (SELECT label, row_number() OVER (ORDER BY {drawn(0, 'permute', 'vec_id')}, vec_id) AS i FROM embeddings) SELECT vec_id, label FROM a JOIN b USING (i)""")
 def permuted_labels(s, d):
     return sampling.permute(table(s, d, "embeddings").select("vec_id", "label"), "vec_id", ["label"])

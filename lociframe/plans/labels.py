@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, curate, latents, models, windows
-from .registry import registry, rounded, table
+from .registry import long_vector, registry, rounded, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -50,9 +50,9 @@ def _transactions(s, d):
     return latents.transactions(rows, "o", "i")
 
 
-@query(f"""WITH x AS ({_TX}), n AS (SELECT count(DISTINCT o) AS n FROM x), s AS (SELECT i AS items, count(*) AS support FROM x GROUP BY 1 UNION ALL SELECT x.i || ';' || y.i, count(*) FROM x JOIN x y ON x.o = y.o AND x.i < y.i GROUP BY 1) SELECT items, support, support / n AS share FROM s, n WHERE support >= ceil(0.02 * n)""")
+@query(f"""WITH RECURSIVE x AS ({_TX}), n AS (SELECT count(DISTINCT o) AS n FROM x), s(o, last, items) AS (SELECT o, i, i FROM x UNION ALL SELECT s.o, x.i, s.items || ';' || x.i FROM s JOIN x ON s.o = x.o AND x.i > s.last) SELECT items, count(*) AS support, count(*) / any_value(n) AS share FROM s, n GROUP BY items HAVING count(*) >= ceil(0.002 * any_value(n))""")
 def frequent_itemsets(s, d):
-    found = latents.frequent_sets(_transactions(s, d), 0.02).where(F.size("items") <= 2)
+    found = latents.frequent_sets(_transactions(s, d), 0.002)
     return found.select(F.array_join("items", ";").alias("items"), "support", "share")
 
 
@@ -94,10 +94,12 @@ def latent_report(s, d):
     return rounded(latents.latent_report(_scores(s, d), 2, "sensitivity").select("latent", "label", "rank", "sensitivity"), "sensitivity")
 
 
-@query(_SCORES + """, r AS (SELECT latent, label, row_number() OVER (PARTITION BY latent ORDER BY tp / (tp + fn) DESC, CAST(label AS VARCHAR)) AS r FROM m), p AS (SELECT latent, min(CAST(label AS VARCHAR)) AS a, max(CAST(label AS VARCHAR)) AS b FROM r WHERE r <= 2 GROUP BY 1) SELECT a, b, count(*) AS n_latents, 0::BIGINT AS n, 0.0::DOUBLE AS share FROM p GROUP BY ALL""")
+@query(_SCORES + """, r AS (SELECT latent, label, row_number() OVER (PARTITION BY latent ORDER BY tp / (tp + fn) DESC, CAST(label AS VARCHAR)) AS r FROM m), p AS (SELECT latent, min(CAST(label AS VARCHAR)) AS a, max(CAST(label AS VARCHAR)) AS b FROM r WHERE r <= 2 GROUP BY 1), w AS (SELECT a, b, count(*) AS n_latents FROM p GROUP BY ALL), u AS (SELECT vec_id AS sample, CAST(label AS VARCHAR) AS l FROM embeddings UNION SELECT vec_id, CAST((label + 1 + vec_id % 3) % 10 AS VARCHAR) FROM embeddings), met AS (SELECT x.l AS a, y.l AS b, count(*) AS n FROM u x JOIN u y USING (sample) GROUP BY ALL)
+SELECT w.a, w.b, n_latents, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(*) FROM embeddings), 9) AS share FROM w LEFT JOIN met ON w.a = met.a AND w.b = met.b""")
 def pair_cooccurrence(s, d):
-    labels = table(s, d, "embeddings").select(F.col("vec_id").alias("sample"), F.col("label").cast("string").alias("label"))
-    return latents.pair_cooccurrence(labels, latents.latent_report(_scores(s, d), 2, "sensitivity"))
+    second = (F.col("label") + 1 + F.col("vec_id") % 3) % 10
+    labels = table(s, d, "embeddings").select(F.col("vec_id").alias("sample"), F.concat_ws(";", F.col("label").cast("string"), second.cast("string")).alias("label"))
+    return rounded(latents.pair_cooccurrence(labels, latents.latent_report(_scores(s, d), 2, "sensitivity")), "share", places=9)
 
 
 @query(f"""SELECT CAST(latent AS INTEGER) AS latent, label, max(act) AS value FROM ({_ACTS}) GROUP BY ALL""")
@@ -124,14 +126,14 @@ def activation_hist(s, d):
     return latents.activation_hist(latents.activations(e, "vec_id", "embedding"), e.select(F.col("vec_id").alias("sample"), "label"), [0, 5], 8, -0.4, 0.4)
 
 
-@query("""WITH l AS (SELECT DISTINCT l_suppkey AS s, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), r AS (SELECT DISTINCT o_custkey AS c, p_brand AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey % 20 = 1), k AS (SELECT c, count(*) AS n FROM r GROUP BY 1)
+@query("""WITH l AS (SELECT DISTINCT l_suppkey AS s, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), r AS (SELECT DISTINCT o_custkey AS c, p_brand AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey), k AS (SELECT c, count(*) AS n FROM r GROUP BY 1)
 SELECT s AS left_id, r.c AS right_id, count(*) AS common, count(*) / any_value(n) AS overlap FROM l JOIN r USING (i) JOIN k ON k.c = r.c GROUP BY s, r.c HAVING count(*) / any_value(n) >= 0.9""")
 def overlap_join(s, d):
     from ..operators.joins import overlap_join as join
 
     li = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     left = li.groupBy(F.col("l_suppkey").alias("left_id")).agg(F.collect_set("p_brand").alias("a"))
-    o = li.join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("o_custkey % 20 = 1")
+    o = li.join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return join(left, o.groupBy(F.col("o_custkey").alias("right_id")).agg(F.collect_set("p_brand").alias("b")), "a", "b", 0.9)
 
 
@@ -171,25 +173,40 @@ def cluster_latents(s, d):
     return models.cluster_latents(latents.activations(table(s, d, "embeddings"), "vec_id", "embedding"), 5).select("latent", "cluster")
 
 
-@query(f"""SELECT sample AS id, CAST(latent AS INTEGER) AS latent, act FROM ({_ACTS}) WHERE act > 0 AND act >= 0.1""")
-def sae_encode(s, d):
+_SAE = f"""WITH x AS (SELECT sample, latent AS i, act AS v FROM ({_ACTS})), j AS (SELECT unnest(range(0, 24)) AS j), b AS (SELECT unnest(range(0, 64)) AS i), h AS (SELECT sample, j, greatest(sum((v - ((i % 5) - 2) / 50.0) * sin(7.0 * i + 3 * j) / 4), 0) AS a FROM x, j GROUP BY ALL)"""
+
+
+def _weights():
+    """Encoder, decoder and bias from a rule that SQL repeats."""
     import numpy as np
 
-    w = models.SaeWeights(np.eye(64), np.eye(64), np.zeros(64))
-    return models.sae_encode(table(s, d, "embeddings"), "vec_id", "embedding", w, 0.1)
+    i, j = np.arange(64)[:, None], np.arange(24)[None, :]
+    return models.SaeWeights(np.sin(7.0 * i + 3 * j) / 4, (np.cos(2.0 * i + 5 * j) / 6).T, (np.arange(64) % 5 - 2) / 50)
+
+
+@query(_SAE + " SELECT sample AS id, CAST(j AS INTEGER) AS latent, round(a, 6) AS act FROM h WHERE a > 0 AND a >= 0.1")
+def sae_encode(s, d):
+    return rounded(models.sae_encode(table(s, d, "embeddings"), "vec_id", "embedding", _weights(), 0.1), "act")
 
 
-@query(f"""WITH a AS ({_ACTS}), l AS (SELECT latent, max(act) AS m FROM a GROUP BY 1) SELECT round(avg(CASE WHEN act > 0 THEN 0 ELSE act * act END), 6) AS mse, round(sum(greatest(act, 0)) / count(DISTINCT sample), 6) AS mean_l1, round(count(*) FILTER (act > 0) / count(DISTINCT sample), 6) AS mean_l0, (SELECT count(*) FROM l WHERE m <= 0) AS dead_latents FROM a""")
+@query(_SAE + """, k AS (SELECT sample, j, CASE WHEN a >= 0.1 THEN a ELSE 0 END AS a FROM h), r AS (SELECT sample, i, sum(a * cos(2.0 * i + 5 * j) / 6) + ((i % 5) - 2) / 50.0 AS y FROM k, b GROUP BY sample, i), m AS (SELECT sample, avg((v - y) * (v - y)) AS mse FROM x JOIN r USING (sample, i) GROUP BY 1), l AS (SELECT sample, sum(a) AS l1, count(*) FILTER (a > 0) AS l0 FROM k GROUP BY 1)
+SELECT round(avg(mse), 6) AS mse, round(avg(l1), 6) AS mean_l1, round(avg(l0), 6) AS mean_l0, (SELECT count(*) FROM (SELECT j FROM k GROUP BY j HAVING max(a) <= 0)) AS dead_latents FROM m JOIN l USING (sample)""")
 def sae_loss(s, d):
-    import numpy as np
+    return rounded(models.sae_loss(table(s, d, "embeddings"), "vec_id", "embedding", _weights(), 0.1), "mse", "mean_l1", "mean_l0")
+
 
-    w = models.SaeWeights(np.eye(64), np.eye(64), np.zeros(64))
-    return rounded(models.sae_loss(table(s, d, "embeddings"), "vec_id", "embedding", w), "mse", "mean_l1", "mean_l0")
+@query(_SAE + """, k AS (SELECT sample, j, CASE WHEN j IN (3, 8) THEN 0 ELSE a END AS a FROM h) SELECT sample AS id, CAST(i AS INTEGER) AS pos, round(sum(a * cos(2.0 * i + 5 * j) / 6) + ((i % 5) - 2) / 50.0, 6) AS value FROM k, b GROUP BY sample, i""")
+def sae_ablated(s, d):
+    return long_vector(models.sae_reconstruct(table(s, d, "embeddings"), "vec_id", "embedding", _weights(), ablate=[3, 8]), "id", x="recon")
 
 
-@query("""SELECT l_partkey AS part, l_returnflag AS feature, count(*) AS value FROM lineitem WHERE l_returnflag IN (SELECT l_returnflag FROM lineitem) GROUP BY ALL""")
+@query(f"""SELECT l_partkey AS part, l_returnflag AS feature, count(*) AS value FROM lineitem GROUP BY ALL UNION ALL SELECT DISTINCT l_partkey, 'odd', CAST(l_partkey % 2 AS BIGINT) FROM lineitem""")
 def drop_constant_features(s, d):
-    long = table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("feature")).agg(F.count("*").alias("value"))
+    li = table(s, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("feature"))
+    parts = li.select("part").distinct()
+    long = li.groupBy("part", "feature").agg(F.count("*").alias("value"))
+    for name, value in (("all", F.lit(7)), ("none", F.lit(0)), ("odd", F.col("part") % 2)):
+        long = long.unionByName(parts.select("part", F.lit(name).alias("feature"), value.cast("long").alias("value")))
     return curate.drop_constant_features(long, sample="part")
 
 

@@ -10,7 +10,7 @@ from ..functions import columns as C
 from ..operators import aggregate, curate, joins, models, neighbors, sampling, sequences, stats, windows
 from ..scratch import scratch_path
 from ..sources import readers, writers
-from .registry import registry, rounded, table
+from .registry import chi2_tail, drawn, drawn_unit, pairs_sql, random_pairs_sql, registry, rounded, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -190,22 +190,22 @@ def holdout_plan(s, d):
     return sampling.holdout_plan(table(s, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), "c_custkey", spec, bootstrap=2)
 
 
-@query("""SELECT c_mktsegment, least(25, count(*)) AS n FROM customer GROUP BY 1""")
+@query(f"""SELECT c_mktsegment, c_custkey FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {drawn(3, 'sample', 'c_custkey')}, c_custkey) AS r FROM customer) WHERE r <= 25""")
 def sample_sizes(s, d):
-    return sampling.sample_n(table(s, d, "customer"), "c_custkey", n=25, by=["c_mktsegment"], seed=3).groupBy("c_mktsegment").agg(F.countDistinct("c_custkey").alias("n"))
+    return sampling.sample_n(table(s, d, "customer"), "c_custkey", n=25, by=["c_mktsegment"], seed=3).select("c_mktsegment", "c_custkey")
 
 
-@query("""SELECT quality, (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality)) AS n FROM labels GROUP BY 1""")
+@query(f"""SELECT quality, doc_id FROM (SELECT quality, doc_id, row_number() OVER (PARTITION BY quality ORDER BY {drawn(0, 'sample', 'doc_id')}, doc_id) AS r FROM labels) WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality))""")
 def balanced_sizes(s, d):
-    return sampling.balance(table(s, d, "labels"), "quality", id="doc_id").groupBy("quality").agg(F.countDistinct("doc_id").alias("n"))
+    return sampling.balance(table(s, d, "labels"), "quality", id="doc_id").select("quality", "doc_id")
 
 
-@query()
+@query(f"""WITH {random_pairs_sql('customer', 'c_custkey', 500, 5)} SELECT a, b FROM p""")
 def random_pairs(s, d):
     return sampling.random_pairs(table(s, d, "customer"), "c_custkey", 500, seed=5)
 
 
-@query()
+@query(f"""SELECT c_custkey, c_mktsegment, CASE WHEN {drawn_unit(5, 'split', 'c_custkey')} < 0.2 THEN 'test' WHEN {drawn_unit(5, 'validation', 'c_custkey')} < 0.1 THEN 'validation' ELSE 'train' END AS split FROM customer""")
 def train_test(s, d):
     return sampling.train_test(table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", 0.2, seed=5, validation=0.1)
 
@@ -239,11 +239,12 @@ _RADII = (1.2, 1.35, 1.5)
 
 
 @query(f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), w AS (SELECT label, count(*) / (SELECT count(*) FROM e) AS share FROM e GROUP BY 1), p AS (SELECT a.vec_id AS id, b.label, list_distance(a.x, b.x) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id), q AS (SELECT id, label, r FROM p, (VALUES ({_RADII[0]}), ({_RADII[1]}), ({_RADII[2]})) v(r) WHERE d <= r),
-z AS (SELECT id, r, count(*) AS n FROM q GROUP BY ALL), g AS (SELECT id, coalesce(min(CASE WHEN n * (SELECT min(share) FROM w) >= 5 THEN r END), max(r)) AS r FROM z GROUP BY 1), o AS (SELECT id, r, label, count(*) AS o FROM q JOIN g USING (id, r) GROUP BY ALL)
-SELECT id, CAST(r AS DOUBLE) AS radius, n, round(sum(o * o / (n * share)) - n, 6) AS chi2, CAST((SELECT count(*) - 1 FROM w) AS INTEGER) AS df FROM o JOIN z USING (id, r) JOIN w USING (label) GROUP BY id, r, n""")
+z AS (SELECT id, r, count(*) AS n FROM q GROUP BY ALL), g AS (SELECT id, coalesce(min(CASE WHEN n * (SELECT min(share) FROM w) >= 5 THEN r END), max(r)) AS r FROM z GROUP BY 1), o AS (SELECT id, r, label, count(*) AS o FROM q JOIN g USING (id, r) GROUP BY ALL), x AS (SELECT id, CAST(r AS DOUBLE) AS radius, n, sum(o * o / (n * share)) - n AS chi2, (SELECT count(*) - 1 FROM w) AS df FROM o JOIN z USING (id, r) JOIN w USING (label) GROUP BY id, r, n), t AS (SELECT *, {chi2_tail('greatest(chi2, 1e-9)', 'df')} AS p FROM x)
+SELECT id, radius, n, round(chi2, 6) AS chi2, CAST(df AS INTEGER) AS df, round(p, 5) AS p, round(least(1, p * (SELECT count(*) FROM e)), 3) AS p_adj FROM t""")
 def neighbor_chi_square(s, d):
     e = table(s, d, "embeddings")
-    return rounded(neighbors.neighbor_chi_square(e, "vec_id", "embedding", "label", list(_RADII)).select("id", "radius", "n", "chi2", "df"), "chi2")
+    found = neighbors.neighbor_chi_square(e, "vec_id", "embedding", "label", list(_RADII)).select("id", "radius", "n", "chi2", "df", "p", "p_adj")
+    return rounded(rounded(rounded(found, "chi2"), "p", places=5), "p_adj", places=3)
 
 
 @query("""WITH e AS (SELECT 'n' || vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, 0.0::DOUBLE AS f FROM embeddings UNION ALL SELECT 'r' || vec_id, CAST(list_reverse(embedding) AS DOUBLE[]), 1.0 FROM embeddings), p AS (SELECT a.id, b.f, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.x, b.x), 12), b.id) AS k FROM e a JOIN e b ON a.f = 0 AND a.id <> b.id) SELECT 0 AS iter, round(avg(f), 6) AS score FROM p WHERE k <= 5""")
@@ -252,18 +253,30 @@ def random_neighbor_score(s, d):
     return rounded(neighbors.random_neighbor_score(e, e.withColumn("embedding", F.reverse("embedding")), "vec_id", "embedding", 5), "score")
 
 
-@query()
+@query(f"""WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), near AS (SELECT id, list(j) AS v FROM (SELECT a.id, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS r FROM e a JOIN e b ON a.id <> b.id) WHERE r <= 6 GROUP BY 1),
+o AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM e), along AS (SELECT a.id, list(b.id) FILTER (b.id IS NOT NULL) AS g FROM o a LEFT JOIN o b ON a.label = b.label AND a.k <> b.k AND abs(a.k - b.k) <= 3 GROUP BY 1),
+l AS (SELECT id, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS v FROM e), b AS (SELECT pos, min(v) AS lo, max(v) AS hi FROM l GROUP BY 1), f AS (SELECT q.id, list(lo + (hi - lo) * {drawn_unit(1, 'uniform', 'q.id', 'pos')} ORDER BY pos) AS x FROM range(0, (SELECT count(*) FROM e)) q(id), b GROUP BY 1),
+dr AS (SELECT i, list(j) AS u FROM (SELECT f.id AS i, e.id AS j, row_number() OVER (PARTITION BY f.id ORDER BY list_distance(f.x, e.x), e.id) AS r FROM f, e) WHERE r <= 6 GROUP BY 1), n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM e),
+z AS (SELECT n.id, len(list_intersect(v, coalesce(g, []))) AS o, len(list_intersect(u, coalesce(g, []))) AS r FROM n JOIN near USING (id) JOIN along USING (id) JOIN dr USING (i)) SELECT id, CAST(o AS INTEGER) AS overlap, CAST(r AS INTEGER) AS random_overlap, round(greatest(log10((o + 1) / (r + 1)), 0), 6) AS score FROM z""")
 def neighbor_preserving(s, d):
     e = table(s, d, "embeddings").select("vec_id", "embedding", "label", F.col("vec_id").alias("start"), (F.col("vec_id") + 1).alias("stop"))
-    return neighbors.neighbor_preserving(e, "vec_id", "embedding", "label", "start", "stop", k=6, seed=1)
+    return rounded(neighbors.neighbor_preserving(e, "vec_id", "embedding", "label", "start", "stop", k=6, seed=1), "score")
 
 
-@query()
+@query(f"""WITH e AS (SELECT vec_id AS id, label, embedding[1] > 0 AS up, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), near AS (SELECT id, j FROM (SELECT a.id, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS r FROM e a JOIN e b ON a.id <> b.id) WHERE r <= 5),
+n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM e), dr AS (SELECT a.id, d, b.id AS j FROM (SELECT id, d, CAST(floor({drawn_unit(1, 'neighbour', 'id', 'd')} * n) AS BIGINT) AS i FROM n, range(1, 6) q(d)) a JOIN n b USING (i)),
+s AS (SELECT 'c' AS kind, id, j AS k, j FROM near UNION ALL SELECT 'r', id, d, j FROM dr), m AS (SELECT x.kind, x.id, avg(CASE WHEN a.label = b.label AND a.up = b.up THEN 0.0 WHEN a.label = b.label OR a.up = b.up THEN 2 / 3.0::DOUBLE ELSE 1.0 END) AS v FROM s x JOIN s y ON x.kind = y.kind AND x.id = y.id AND x.k < y.k JOIN e a ON a.id = x.j JOIN e b ON b.id = y.j GROUP BY ALL)
+SELECT c.id, round(c.v, 6) AS coherence, round(r.v, 6) AS random FROM m c LEFT JOIN m r ON r.kind = 'r' AND c.id = r.id WHERE c.kind = 'c'""")
 def annotation_coherence(s, d):
     e = table(s, d, "embeddings").withColumn("words", F.array(F.col("label").cast("string"), F.when(F.get("embedding", F.lit(0)) > 0, "up").otherwise("down")))
-    return neighbors.annotation_coherence(e, "vec_id", "embedding", "words", k=5, seed=1)
+    return rounded(neighbors.annotation_coherence(e, "vec_id", "embedding", "words", k=5, seed=1), "coherence", "random")
 
 
-@query()
+@query(f"""{pairs_sql(1, 10)}, d AS (SELECT related, list_cosine_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d FROM p JOIN embeddings x ON p.a = x.vec_id JOIN embeddings y ON p.b = y.vec_id), c AS (SELECT d, sum(sum(CAST(related AS INTEGER))) OVER (ORDER BY d) AS ca, sum(sum(CAST(NOT related AS INTEGER))) OVER (ORDER BY d) AS cb FROM d GROUP BY d), n AS (SELECT count(*) FILTER (related) AS n1, count(*) FILTER (NOT related) AS n2, avg(d) FILTER (related) AS rm, avg(d) FILTER (NOT related) AS um FROM d), t AS (SELECT n1, n2, rm, um, greatest(max(ca / n1 - cb / n2), 0) AS s FROM c, n GROUP BY ALL),
+k AS (SELECT related, greatest(d, 1e-12) AS d, floor(rank() OVER (PARTITION BY related ORDER BY d) + (count(*) OVER (PARTITION BY related, d) - 1) / 2.0) AS k FROM d), b AS (SELECT k, sum(d) FILTER (related) AS da, sum(d) FILTER (NOT related) AS db FROM k GROUP BY k HAVING count(*) FILTER (related) > 0 AND count(*) FILTER (NOT related) > 0), z AS (SELECT sum(da) AS sa, sum(db) AS sb FROM b), q AS (SELECT sum(da / sa * ln((da / sa) / (db / sb))) AS kl FROM b, z)
+SELECT 'label' AS col, round(rm, 6) AS related_mean, round(um, 6) AS unrelated_mean, round(s, 6) AS statistic, round(exp(-2 * s * s * n1 * n2 / (n1 + n2)), 6) AS p, round(kl, 6) AS relative_entropy FROM t, q""")
 def pair_distribution(s, d):
-    return stats.pair_distribution(table(s, d, "embeddings"), "vec_id", "embedding", ["label"], n_per=10, seed=1)
+    found = stats.pair_distribution(table(s, d, "embeddings"), "vec_id", "embedding", ["label"], n_per=10, seed=1)
+    return rounded(found, "related_mean", "unrelated_mean", "statistic", "p", "relative_entropy")
+
+

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import aggregate, sequences, store
 from ..scratch import scratch_path
-from .registry import long_vector, registry, rounded, table
+from .registry import drawn, drawn_unit, long_vector, registry, rounded, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -55,16 +55,19 @@ def kmer_distance(s, d):
     return rounded(p.select("a", "b", C.kmer_distance("x", "y").alias("distance")), "distance")
 
 
-@query(f"""SELECT doc_id, length({_DNA}) // 3 AS n, md5(translate({_DNA}, 'ACGT', 'TGCA')) AS complement FROM documents""")
+@query(f"""WITH t AS (SELECT doc_id, {_DNA} AS q FROM documents)
+SELECT doc_id, length(q) // 3 AS n, md5(translate(q, 'ACGT', 'TGCA')) AS complement, md5(coalesce(array_to_string(list_transform(regexp_extract_all(q, '.{{3}}'), lambda c: substr('{C.CODE_RESIDUES}', CAST(16 * strpos('{C.CODE_BASES}', substr(c, 1, 1)) + 4 * strpos('{C.CODE_BASES}', substr(c, 2, 1)) + strpos('{C.CODE_BASES}', substr(c, 3, 1)) - 20 AS BIGINT), 1)), ''), '')) AS protein FROM t""")
 def protein_lengths(s, d):
     q = table(s, d, "documents").select("doc_id", _dna().alias("q"))
-    return q.select("doc_id", F.length(C.translate_dna("q")).cast("long").alias("n"), F.md5(F.reverse(C.reverse_complement("q")).cast("binary")).alias("complement"))
+    digest = lambda c: F.md5(c.cast("binary"))
+    protein = C.translate_dna("q")
+    return q.select("doc_id", F.length(protein).cast("long").alias("n"), digest(F.reverse(C.reverse_complement("q"))).alias("complement"), digest(protein).alias("protein"))
 
 
-@query("""SELECT doc_id, list_aggregate(list_sort(string_split(text, '')), 'string_agg', '') AS letters FROM documents""")
+@query(f"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS c FROM (SELECT doc_id, string_split(text, '') AS x FROM documents WHERE length(text) > 0)) SELECT doc_id, md5(string_agg(c, '' ORDER BY {drawn(0, 'permute', 'doc_id', 'i')}, i)) AS digest FROM l GROUP BY 1""")
 def permute_letters(s, d):
-    p = sequences.permute_seq(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text")
-    return p.select("doc_id", F.array_join(F.array_sort(F.filter(F.split("text", ""), lambda c: c != "")), "").alias("letters"))
+    p = sequences.permute_seq(table(s, d, "documents").where("length(text) > 0").select("doc_id", "text"), "doc_id", "text")
+    return p.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("""WITH p AS (SELECT doc_id, i, string_split(substr(text, i + 1, 2000), '') AS c FROM (SELECT doc_id, text, unnest(range(0, length(text), 2000)) AS i FROM documents WHERE length(text) > 0)),
@@ -77,9 +80,11 @@ def embed_store(s, d):
     return long_vector(pooled, "id", places=4)
 
 
-@query()
+@query(f"""WITH s AS (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark), l AS (SELECT item_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS c FROM (SELECT item_id, string_split(seq, '') AS x FROM s WHERE length(seq) > 0))
+SELECT item_id, seq, 'natural' AS variation, 'none' AS method FROM s UNION ALL SELECT s.item_id, coalesce(string_agg(c, '' ORDER BY {drawn(0, 'permute', 's.item_id', 'i')}, i), ''), 'perturbed', 'permute' FROM s LEFT JOIN l USING (item_id) GROUP BY s.item_id
+UNION ALL SELECT s.item_id, coalesce(string_agg(CASE WHEN i IS NOT NULL THEN substr('ACDEFGHIKLMNPQRSTVWY', CAST(floor({drawn_unit(0, 'letter', 's.item_id', 'i')} * 20) AS BIGINT) + 1, 1) END, '' ORDER BY i), ''), 'random', 'random' FROM s LEFT JOIN l USING (item_id) GROUP BY s.item_id""")
 def variants(s, d):
-    q = table(s, d, "benchmark").select("item_id", F.regexp_replace(F.upper("text"), "[^A-Z]", "").alias("seq"))
+    q = table(s, d, "benchmark").select("item_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
     return store.variants(q, "item_id", "seq", [{"method": "permute"}, {"method": "random", "variation": "random", "alphabet": "ACDEFGHIKLMNPQRSTVWY"}])
 
 

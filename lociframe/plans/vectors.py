@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import aggregate, curate, neighbors, pooling, sampling, stats
-from .registry import long_vector, registry, rounded, table
+from .registry import drawn, long_vector, pairs_sql, registry, rounded, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
 _LONG = "SELECT label, pos - 1 AS pos, x FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM embeddings)"
 
 
+_PAIRS = pairs_sql(0, 10)
+
+
 def _pool_sql(agg: str) -> str:
     return f"SELECT label, CAST(pos AS INTEGER) AS pos, round({agg}(CAST(x AS DOUBLE)), 6) AS value, count(*) AS n FROM ({_LONG}) GROUP BY ALL"
 
@@ -59,7 +62,8 @@ def pool_similarity_euclidean(s, d):
     return long_vector(pooling.pool_similarity(table(s, d, "embeddings"), ["label"], "embedding", "euclidean_distance"), "label", places=4).select("label", "pos", "value")
 
 
-@query()
+@query(f"""WITH r AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY {drawn(0, 'pool', 'vec_id')}, vec_id) AS r FROM embeddings), k AS (SELECT * FROM r WHERE r <= 20), x AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS v FROM k), c AS (SELECT label, count(*) AS n FROM k GROUP BY 1)
+SELECT label, any_value(n) AS n, CAST(pos AS INTEGER) AS pos, round(avg(CAST(v AS DOUBLE)), 6) AS value FROM x JOIN c USING (label) GROUP BY label, pos""")
 def pool_random(s, d):
     return long_vector(pooling.pool_random(table(s, d, "embeddings"), ["label"], "embedding", 20, id="vec_id"), "label", "n")
 
@@ -71,10 +75,11 @@ def pool_with_obs(s, d):
     return long_vector(pooling.pool_with_obs(e, ["label"], "embedding", "mean", ["first_vec"], "vec_id"), "label", "first_vec", "n").select("label", "pos", "value", "first_vec", "n")
 
 
-@query("""SELECT label, CAST(64 * max(count(*)) OVER () AS INTEGER) AS width, round(sum(list_sum(CAST(embedding AS DOUBLE[]))), 6) AS total, count(*) AS n FROM embeddings GROUP BY label""")
+@query(f"""WITH x AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), o AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS pos, v FROM x), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), g AS (SELECT label, n, unnest(range(0, 64 * (SELECT max(n) FROM n))) AS pos FROM n)
+SELECT g.label, g.n, CAST(g.pos AS INTEGER) AS pos, round(coalesce(v, 0), 6) AS value FROM g LEFT JOIN o ON g.label = o.label AND g.pos = o.pos""")
 def pool_concat(s, d):
     c = pooling.pool_concat(table(s, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>")), ["label"], "embedding", "vec_id")
-    return rounded(c.select("label", F.size("x").alias("width"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("total"), "n"), "total")
+    return long_vector(c, "label", "n")
 
 
 @query("""WITH p AS (SELECT a.vec_id AS id, b.label AS nl, a.label AS l, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(d, 12), b.vec_id) AS r, d FROM (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) q JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = j),
@@ -119,9 +124,11 @@ def data_spec(s, d):
     return aggregate.data_spec(table(s, d, "embeddings"), "embedding", ["label"])
 
 
-@query("""SELECT count(*) AS n_rows, 0::BIGINT AS nan_rows, 0::BIGINT AS inf_rows, 0.0::DOUBLE AS nan_share, 0.0::DOUBLE AS inf_share FROM embeddings""")
+@query(f"""WITH l AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), r AS (SELECT vec_id, count(*) AS n, count(*) FILTER (v > 0.3) AS a, count(*) FILTER (v < -0.35) AS b FROM l GROUP BY 1)
+SELECT count(*) AS n_rows, count(*) FILTER (a > 0) AS nan_rows, count(*) FILTER (b > 0) AS inf_rows, round(sum(a) / sum(n), 9) AS nan_share, round(sum(b) / sum(n), 9) AS inf_share FROM r""")
 def vector_health(s, d):
-    return aggregate.vector_health(table(s, d, "embeddings"), "embedding")
+    spoilt = F.transform("embedding", lambda v: F.when(v > 0.3, float("nan")).when(v < -0.35, float("-inf")).otherwise(v.cast("double")))
+    return rounded(aggregate.vector_health(table(s, d, "embeddings").select(spoilt.alias("embedding")), "embedding"), "nan_share", "inf_share", places=9)
 
 
 @query("""WITH l AS (SELECT label, generate_subscripts(embedding, 1) AS p, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), c AS (SELECT label, p, sum(v) AS s, sum(v * v) AS q, count(*) AS n FROM l GROUP BY ALL),
@@ -146,11 +153,12 @@ def clustering_agreement(s, d):
     return rounded(stats.clustering_agreement(e, "t", "p"), "ari", "homogeneity", "completeness")
 
 
-@query()
+@query(f"""{_PAIRS}, d AS (SELECT related, list_cosine_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d FROM p JOIN embeddings x ON p.a = x.vec_id JOIN embeddings y ON p.b = y.vec_id), c AS (SELECT d, sum(sum(CAST(related AS INTEGER))) OVER (ORDER BY d) AS ca, sum(sum(CAST(NOT related AS INTEGER))) OVER (ORDER BY d) AS cb FROM d GROUP BY d), n AS (SELECT count(*) FILTER (related) AS n1, count(*) FILTER (NOT related) AS n2 FROM d), t AS (SELECT n1, n2, greatest(max(ca / n1 - cb / n2), 0) AS statistic FROM c, n GROUP BY ALL)
+SELECT n1, n2, round(statistic, 6) AS statistic, round(exp(-2 * statistic * statistic * n1 * n2 / (n1 + n2)), 6) AS p FROM t""")
 def category_distance(s, d):
     return rounded(stats.category_distance(table(s, d, "embeddings"), "vec_id", "embedding", "label", 10), "statistic", "p")
 
 
-@query()
+@query(f"""{_PAIRS} SELECT a, b, related FROM p""")
 def related_pairs(s, d):
     return sampling.related_pairs(table(s, d, "embeddings"), "vec_id", "label", 10)
