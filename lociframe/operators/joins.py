@@ -96,11 +96,21 @@ def recode_join(df: DataFrame, recode: DataFrame, on: Sequence[str]) -> DataFram
 def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, min_overlap: float) -> DataFrame:
     """JN7: pairs whose share of the right row's items that the left row has is at least ``min_overlap``.
 
-    ``left`` and ``right`` have ``left_id`` and ``right_id`` and arrays; they meet on single items.
+    ``left`` and ``right`` have ``left_id`` and ``right_id`` and arrays. A pair that overlaps so much shares one of the
+    right row's rarest items, so many that the others alone are too few: only these are joined, and the pairs
+    they give are counted on all items. An item that all rows have makes no pairs by itself.
     """
-    l = left.select("left_id", F.explode(F.array_distinct(a)).alias("item"))
-    r = right.select("right_id", F.size(F.array_distinct(b)).alias("size"), F.explode(F.array_distinct(b)).alias("item"))
-    return l.join(r, "item").groupBy("left_id", "right_id", "size").agg(F.count("*").alias("common")).where(F.col("common") / F.col("size") >= min_overlap).select("left_id", "right_id", "common", (F.col("common") / F.col("size")).alias("overlap"))
+    l = materialise(left.select("left_id", F.array_distinct(a).alias("a")))
+    r = materialise(right.select("right_id", F.array_distinct(b).alias("b")))
+    count = l.select(F.explode("a").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    ranked = r.select("right_id", F.size("b").alias("size"), F.explode("b").alias("item")).join(count, "item")  # items that no left row has cannot be shared
+    order = F.array_sort(F.collect_list(F.struct("n", "item")))
+    need = F.greatest(F.ceil(F.col("size") * min_overlap - 1e-9), F.lit(1)).cast("int")
+    prefix = ranked.groupBy("right_id", "size").agg(order.alias("o")).where(F.size("o") >= need)
+    seeds = prefix.select("right_id", F.explode(F.slice("o", F.lit(1), F.size("o") - need + 1)).alias("s")).select("right_id", F.col("s.item").alias("item"))
+    pairs = l.select("left_id", F.explode("a").alias("item")).join(seeds, "item").select("left_id", "right_id").distinct()
+    both = pairs.join(l, "left_id").join(r, "right_id").select("left_id", "right_id", F.size(F.array_intersect("a", "b")).cast("long").alias("common"), F.size("b").alias("size"))
+    return both.where(F.col("common") / F.col("size") >= min_overlap).select("left_id", "right_id", "common", (F.col("common") / F.col("size")).alias("overlap"))
 
 
 def align_pairs(natural: DataFrame, perturbed: DataFrame, random: DataFrame, id: str = "id", x: str = "x", pairable: bool = True, seed: int = 0) -> DataFrame:
@@ -141,15 +151,16 @@ def group_references(queries: DataFrame, refs: DataFrame | None = None, via: str
     return lists.groupBy("references").agg(F.array_sort(F.collect_list("query")).alias("queries"))
 
 
-def ancestors(tax: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(tax: DataFrame, max_rounds: int = 32) -> DataFrame:
     """``tax_id, ancestor, depth, rank`` of every node and each of its ancestors, itself included (depth 0).
 
-    Paths are doubled round by round: a node's known ancestor is joined to that ancestor's own.
+    Paths are doubled round by round: a node's known ancestor is joined to that ancestor's own. A cycle of
+    parents, which no number of rounds ends, is an error once a path is longer than there are nodes.
     """
     nodes = tax.select("tax_id", "parent_tax_id", "rank")
     step = nodes.where("tax_id <> parent_tax_id and parent_tax_id is not null").select("tax_id", F.col("parent_tax_id").alias("ancestor"), F.lit(1).alias("depth"))
-    known, jump, reach = step, step, 1
-    while reach < max_depth:
+    known, jump, reach, n = step, step, 1, nodes.count()
+    for _ in range(max_rounds):
         nxt = jump.withColumnsRenamed({"tax_id": "_t", "ancestor": "_a", "depth": "_d"})
         more = known.join(nxt, F.col("ancestor") == F.col("_t")).select("tax_id", F.col("_a").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth"))
         jumps = jump.join(nxt, F.col("ancestor") == F.col("_t")).select("tax_id", F.col("_a").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth"))
@@ -158,6 +169,8 @@ def ancestors(tax: DataFrame, max_depth: int = 64) -> DataFrame:
         reach *= 2
         if not jump.take(1):
             break
+        if reach > n:
+            raise ValueError("the tree's parents run in a circle")
     own = nodes.select("tax_id", F.col("tax_id").alias("ancestor"), F.lit(0).alias("depth"))
     ranks = nodes.select(F.col("tax_id").alias("_n"), "rank")
     return known.unionByName(own).join(ranks, F.col("ancestor") == F.col("_n"), "left").drop("_n")

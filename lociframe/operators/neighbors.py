@@ -48,12 +48,22 @@ def _block_pairs(queries: DataFrame, refs: DataFrame, id: str, x: str) -> tuple[
     return pairs.select("ids", "xs", "rids", "rxs"), queries.schema[id].dataType.simpleString()
 
 
+def _same(ids: pa.Array, rids: pa.Array) -> np.ndarray:
+    """Which pairs have one id, compared as whole numbers."""
+    codes = pa.concat_arrays([ids, rids]).dictionary_encode().indices.to_numpy()
+    return codes[: len(ids), None] == codes[None, len(ids) :]
+
+
 def _kernel(pick, id_type: str):
+    """Blocks of vectors, all of one length, to what ``pick`` keeps of their pairs; a vector of zeros has no cosine (NaN), which nothing keeps."""
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, xs, rids, rxs = (batch.column(c)[i].values for c in range(4))
                 wid = len(xs.flatten()) // max(1, len(xs))
+                if any((np.diff(v.offsets.to_numpy()) != wid).any() for v in (xs, rxs)):
+                    raise ValueError("vectors differ in length")
                 a, b = xs.flatten().to_numpy().reshape(-1, wid), rxs.flatten().to_numpy().reshape(-1, wid)
                 row, col, d = pick(a, b, ids, rids)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), rids.take(pa.array(col)), pa.array(d)], names=["id", "neighbor", "distance"])
@@ -72,7 +82,7 @@ def knn(queries: DataFrame, refs: DataFrame, id: str, x: str, k: int, metric: st
 
         def best(a, b, ids, rids):
             d = _distances(a, b, metric)
-            d[np.asarray(ids.to_pylist(), object)[:, None] == np.asarray(rids.to_pylist(), object)[None, :]] = np.inf
+            d[_same(ids, rids) | np.isnan(d)] = np.inf
             m = min(k, d.shape[1])
             edge = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
             row, col = np.nonzero((d <= edge) & np.isfinite(d))
@@ -99,7 +109,7 @@ def radius_neighbors(queries: DataFrame, refs: DataFrame, id: str, x: str, radiu
 
     def near(a, b, ids, rids):
         d = _distances(a, b, metric)
-        d[np.asarray(ids.to_pylist(), object)[:, None] == np.asarray(rids.to_pylist(), object)[None, :]] = np.inf
+        d[_same(ids, rids)] = np.inf
         row, col = np.nonzero(d <= radius)
         return row, col, d[row, col]
 
@@ -153,9 +163,8 @@ def neighbor_chi_square(df: DataFrame, id: str, x: str, label: str, radii: Seque
     stat = counts.join(F.broadcast(shares), "_l").join(sizes, ["id", "radius"])  # a row a label
     # absent labels add their expected counts: the sum of o^2/e, less n
     out = stat.groupBy("id", "radius", "n").agg((F.sum(F.col("o") * F.col("o") / (F.col("n") * F.col("_share"))) - F.col("n")).alias("chi2")).withColumn("df", F.lit(kinds - 1))
-    tail = F.udf(lambda v, d: float(tails.chi2_sf(v, d)), "double")
     m = q.count()
-    return out.withColumn("p", tail("chi2", "df")).withColumn("p_adj", F.least(F.col("p") * m, F.lit(1.0)))
+    return out.withColumn("p", tails.column(lambda v: tails.chi2_sf(v, kinds - 1), "chi2")).withColumn("p_adj", F.least(F.col("p") * m, F.lit(1.0)))
 
 
 def annotation_coherence(df: DataFrame, id: str, x: str, labels: str, k: int = 10, metric: str = "euclidean", seed: int = 0) -> DataFrame:

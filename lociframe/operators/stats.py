@@ -33,7 +33,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] | None = None) ->
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*(by or []), F.col(x).alias("_x"), F.col(y).alias("_y"))
     ranked = avg_rank(avg_rank(rows, "_x", by, "_rx"), "_y", by, "_ry")
     out = ranked.groupBy(*(by or [])).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
-    return out.withColumn("p", F.udf(_t_tail, "double")("rho", "n"))
+    return out.withColumn("p", tails.column(_t_tail, "rho", "n"))
 
 
 def ks_2samp(df: DataFrame, value: str, group: str, alternative: str = "two-sided", by: Sequence[str] | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ def ks_2samp(df: DataFrame, value: str, group: str, alternative: str = "two-side
     stat = {"two-sided": F.abs(diff), "greater": diff, "less": -diff}[alternative]
     out = joined.groupBy(*by, "n1", "n2").agg(F.greatest(F.max(stat), F.lit(0.0)).alias("statistic"))
     tail = tails.ks_two_sided if alternative == "two-sided" else tails.ks_one_sided
-    return out.withColumn("p", F.udf(lambda d, n, m: float(tail(d, n, m)) if d is not None and n and m else None, "double")("statistic", "n1", "n2"))
+    return out.withColumn("p", tails.column(lambda d, n, m: tail(d, n, m) if n and m else None, "statistic", "n1", "n2"))
 
 
 def wilcoxon(df: DataFrame, x: str, y: str, by: Sequence[str] | None = None) -> DataFrame:
@@ -78,7 +78,7 @@ def wilcoxon(df: DataFrame, x: str, y: str, by: Sequence[str] | None = None) ->
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
     out = out.withColumn("z", (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0))).drop("_ties")
-    return out.withColumn("p", F.udf(lambda z: None if z is None else min(1.0, 2 * tails.normal_sf(abs(z))), "double")("z"))
+    return out.withColumn("p", tails.column(lambda z: min(1.0, 2 * tails.normal_sf(abs(z))), "z"))
 
 
 def mc_test(observed: DataFrame, null: DataFrame, alternative: str = "two-sided", value: str = "value") -> DataFrame:

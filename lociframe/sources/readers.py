@@ -163,12 +163,13 @@ def read_project_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_assembly_details(spark: SparkSession, path: str) -> DataFrame:
-    """SRC15: a table after one preamble line; a trailing empty column is dropped."""
+    """SRC15: tables after one preamble line that begins with ``#`` and a header, which each file has; a trailing empty column is dropped."""
     lines = spark.read.text(path).where("value <> ''")
-    preamble, header = (r[0] for r in lines.limit(2).collect())  # two lines
+    _, header = (r[0] for r in lines.limit(2).collect())  # two lines
     names = [n for n in header.lstrip("#").strip().split("\t") if n]
     schema = ", ".join(f"`{n.strip()}` string" for n in names) + ", `_rest` string"
-    return lines.where((F.col("value") != preamble) & (F.col("value") != header)).select(F.from_csv("value", schema, {"sep": "\t"}).alias("r")).select("r.*").drop("_rest")
+    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != header))  # preambles may differ between files
+    return rows.select(F.from_csv("value", schema, {"sep": "\t"}).alias("r")).select("r.*").drop("_rest")
 
 
 def load(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

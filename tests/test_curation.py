@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,58 @@ def test_confounding_and_fisher(spark):
     b = spark.createDataFrame([("m", 1.0, 0.05), ("m", 3.0, 0.2)], "metric string, value double, p double")
     got = aggregate.bootstrap_rollup(b, ["metric"]).first()
     assert got["combined_p"] == pytest.approx(aggregate.fisher_combined([0.05, 0.2]))
+
+
+def test_split_specs(spark):
+    df = spark.createDataFrame([(i, i % 2 == 0, "x" if i < 3 else None) for i in range(8)], "id long, even boolean, tag string")
+    test = lambda spec: sorted(r["id"] for r in curate.split_rows(df, spec, "id").where("split = 'test'").collect())
+    assert test("even") == test(F.col("even")) == test(lambda t: t["even"]) == [0, 2, 4, 6]
+    assert test([1, 5, 99]) == test(spark.createDataFrame([(5,), (1,), (None,)], "k long")) == [1, 5] and test([]) == []
+    assert test(F.col("tag") == "x") == [0, 1, 2]  # a null condition is train
+    assert 0 < len(test(0.5)) < 8 and test(0.0) == [] and test(1.0) == list(range(8))
+    assert test({"tag": {"EXACT": ["x"]}}) == [0, 1, 2]
+
+
+def test_lists_over_several_columns(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (2, "c", None), (3, None, "a"), (4, "d", "d")], "id long, p string, q string")
+    names = spark.createDataFrame([("a",), ("d",), ("a",), (None,)], "f string")
+    keep = curate.filter_features(df, ["p", "q"], whitelist=names)
+    assert keep.columns == df.columns and sorted(r["id"] for r in keep.collect()) == [1, 3, 4]
+    assert [r["id"] for r in curate.filter_features(df, ["p", "q"], blacklist=names).collect()] == [2]
+
+
+def test_overlaps_by_rare_items(spark):
+    rng = np.random.default_rng(0)
+    draw = lambda n: [["all", *map(str, rng.choice(20, rng.integers(0, 8), replace=False))] for _ in range(n)]
+    left, right = draw(40), draw(40) + [[], ["none"]]
+    a = spark.createDataFrame(list(enumerate(left)), "left_id long, a array<string>")
+    b = spark.createDataFrame(list(enumerate(right)), "right_id long, b array<string>")
+    for least in (0.3, 0.5, 0.75, 1.0):
+        got = {(r["left_id"], r["right_id"]): r["common"] for r in joins.overlap_join(a, b, "a", "b", least).collect()}
+        want = {(i, j): len(set(x) & set(y)) for i, x in enumerate(left) for j, y in enumerate(right) if y and len(set(x) & set(y)) / len(set(y)) >= least}
+        assert got == want
+
+
+def test_shuffles_within_groups_keep_values(spark):
+    df = spark.createDataFrame([(i, i % 3 if i < 20 else None, float(i), float(-i)) for i in range(24)], "id long, g long, x double, y double")
+    out = sampling.permute(df, "id", ["x", "y"], within="g")
+    got, want = rows(out), rows(df)
+    assert out.columns == df.columns and len(got) == 24
+    for g in (0, 1, 2, None):
+        for c in "xy":
+            assert sorted(r[c] for r in got if r["g"] == g) == sorted(r[c] for r in want if r["g"] == g)
+    assert any(r["x"] != float(r["id"]) for r in got) and any(r["x"] != -r["y"] for r in got)
+
+
+def test_groups_are_numbered(spark):
+    df = spark.createDataFrame([(i, i % 3 if i % 5 else None) for i in range(40)], "id long, g long")
+    got = rows(windows.group_index(df, ["g"], ["id"], "n"))
+    for g in (0, 1, 2, None):
+        mine = sorted(r["id"] for r in got if r["g"] == g)
+        assert [r["n"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["id"])] == list(range(1, len(mine) + 1))
+
+
+def test_circles_of_parents(spark):
+    tax = spark.createDataFrame([(1, 1, "root"), (2, 3, "a"), (3, 2, "b")], "tax_id long, parent_tax_id long, rank string")
+    with pytest.raises(ValueError):
+        joins.ancestors(tax)
