@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, only, parts, stage
+from .common import arrow_rows, components, only, parts, stage
 
 COSINE = 0.95
 CELL = 2.0
@@ -40,7 +40,8 @@ REACH = 1.5
 KEEP = 0.96
 MISS = 0.002
 ROWS = 2048
-BLOCK = 512
+BLOCK = 256
+BLOCK_ROWS = 128
 SPLIT = 8192
 PAIR_ROWS = 1 << 18
 
@@ -273,6 +274,7 @@ def candidate_balls(members: DataFrame, n: int, cosine: float, seed: int) -> Dat
 
 def near_duplicates(vectors: DataFrame, id: str = "vec_id", x: str = "embedding", cosine: float = COSINE, seed: int = 6) -> DataFrame:
     """``id, n_links, component_id, kept`` of every row."""
+    spark = vectors.sparkSession
     rows, classes = classes_of(vectors, id, x)
     classes = stage(classes.withColumn("c", F.monotonically_increasing_id()).withColumn("w", F.size("x")), "classes")
     n = classes.count()
@@ -289,7 +291,9 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", x: str = "embedding"
     place = lambda s: F.struct(f"inner_{s}", f"block_{s}")
     met = met.where((F.col("a") != F.col("b")) | (~(F.col("inner_a") & F.col("inner_b")) & (place("a") <= place("b"))))
     same = (F.col("a") == F.col("b")) & (place("a") == place("b"))
-    links = stage(met.select(same.alias("same"), "rows_a", "rows_b").mapInArrow(verify_rows(cosine), "c long, k long, low long"), "links")
+    verified = met.select(same.alias("same"), "rows_a", "rows_b").mapInArrow(verify_rows(cosine), "c long, k long, low long")
+    with arrow_rows(spark, BLOCK_ROWS):
+        links = stage(verified, "links")
     inner = sized.where("inner").select("c", (F.col("inside") - F.col("n")).alias("k"), F.col("ball").alias("low"))  # all of them are linked to each other
     degree = links.unionByName(inner).groupBy("c").agg(F.sum("k").alias("k"))
     near = members.where("ball <> c").select(F.col("c").alias("a"), F.col("ball").alias("b"))
