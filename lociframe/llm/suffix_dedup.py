@@ -104,11 +104,12 @@ def _small_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Record
 
 
 def piece_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (doc_id, th, text) to pieces."""
+    """Batches of (doc_id, th, tb, text) to pieces."""
     for rows, off, data in _small_blocks(batches):
         doc, s0, s1, _, h, p = pieces_of(data, off)
-        ids, th = rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[doc], pa.int64()), pa.array(th[doc], pa.int64()), pa.array(h), pa.array(p), pa.array(s0 - off[doc]), pa.array(s1 - off[doc])], names=["doc_id", "th", "h", "p", "s0", "s1"])
+        ids, th, tb = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        own = [pa.array(x[doc], pa.int64()) for x in (ids, th, tb)]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(h), pa.array(p), pa.array(s0 - off[doc]), pa.array(s1 - off[doc])], names=["doc_id", "th", "tb", "h", "p", "s0", "s1"])
 
 
 def suffix_order(text: np.ndarray, limit: int) -> np.ndarray:
@@ -182,7 +183,7 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarr
 
 
 def extract_rows(batches: Iterable[pa.RecordBatch], keys: np.ndarray, owners: np.ndarray, crowded: np.ndarray, single: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Batches of (doc_id, th, text) to the wanted pieces, ``far`` -1, or to the windows of crowded ones: distance to the anchor and digest.
+    """Batches of (doc_id, th, tb, text) to the wanted pieces, ``far`` -1, or to the windows of crowded ones: distance to the anchor and digest.
 
     ``keys`` are sorted, ``owners`` are the documents to take each from.
     """
@@ -190,7 +191,7 @@ def extract_rows(batches: Iterable[pa.RecordBatch], keys: np.ndarray, owners: np
         doc, s0, s1, a, h, p = pieces_of(data, off)
         if not len(doc) or not len(keys):
             continue
-        ids, th = rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False)
+        ids, th, tb = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         key = piece_key(h, p)
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         take = np.flatnonzero((keys[at] == key) & (owners[at] == ids[doc]))
@@ -200,16 +201,16 @@ def extract_rows(batches: Iterable[pa.RecordBatch], keys: np.ndarray, owners: np
         for i in take.tolist():
             b, e = int(s0[i]), int(s1[i])
             base = int(off[doc[i]])
-            rest = (int(h[i]), int(p[i]), int(th[doc[i]]), bool(single[at[i]]))
+            rest = (int(h[i]), int(p[i]), int(th[doc[i]]), int(tb[doc[i]]), bool(single[at[i]]))
             if not crowded[at[i]]:
                 out.append((*rest, -1, b - base, raw[b : e + LENGTH]))
                 continue
             out += [(*rest, int(a[i]) - w, w - base, hashlib.blake2b(raw[w : w + LENGTH], digest_size=DIGEST).digest()) for w in range(b, e + 1)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary()))], names=["h", "p", "th", "single", "far", "at", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary()))], names=["h", "p", "th", "tb", "single", "far", "at", "bytes"])
 
 
-PIECES = "h long, p long, th long, single boolean, far int, at long, bytes binary"
+PIECES = "h long, p long, th long, tb long, single boolean, far int, at long, bytes binary"
 
 
 def piece_key(h: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -217,31 +218,31 @@ def piece_key(h: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def sorted_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by (h, p) to the window ranges of single pieces that repeat: (th, b, e)."""
+    """Pieces sorted by (h, p) to the window ranges of single pieces that repeat: (th, tb, b, e)."""
     held: list[tuple] = []
     size = 0
 
     def close() -> Iterator[pa.RecordBatch]:
-        hits = repeated_windows([r[6] for r in held])
-        th, begin, end = [], [], []
+        hits = repeated_windows([r[7] for r in held])
+        out: list[list[int]] = [[], [], [], []]
         for r, hit in zip(held, hits, strict=True):
-            if r[3] and hit.any():
+            if r[4] and hit.any():
                 edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-                th += [r[2]] * (len(edge) // 2)
-                begin += (edge[::2] + r[5]).tolist()
-                end += (edge[1::2] - 1 + r[5]).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (th, begin, end)], names=["th", "b", "e"])
+                n = len(edge) // 2
+                for col, v in zip(out, ([r[2]] * n, [r[3]] * n, (edge[::2] + r[6]).tolist(), (edge[1::2] - 1 + r[6]).tolist()), strict=True):
+                    col += v
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["th", "tb", "b", "e"])
 
     last: tuple | None = None
     for batch in batches:
-        for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+        for r in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
             if last is not None and r[0] != last[0] and size >= CHUNK:
                 yield from close()
                 held, size = [], 0
-            if last is None or (r[0], r[1], r[5]) != last:  # a repeated row has brought it already
+            if last is None or (r[0], r[1], r[6]) != last:  # a repeated row has brought it already
                 held.append(r)
-                size += len(r[6])
-            last = (r[0], r[1], r[5])
+                size += len(r[7])
+            last = (r[0], r[1], r[6])
     if held:
         yield from close()
 
@@ -273,10 +274,10 @@ def remove_rows(with_text: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterato
 
 
 def repeats(docs: DataFrame, sent_pieces: int = SENT_PIECES, crowd: int = CROWD) -> DataFrame:
-    """``th, spans`` of every text of ``doc_id, th, text`` with repeats: ``spans`` has the first and last window of each range of repeated ones."""
+    """``th, tb, spans`` of every text of ``doc_id, th, tb, text`` with repeats: ``spans`` has the first and last window of each range of repeated ones."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "th", "text")
-    pieces = stage(docs.mapInArrow(piece_rows, "doc_id long, th long, h long, p long, s0 long, s1 long"), "pieces")
+    docs = docs.select("doc_id", "th", "tb", "text")
+    pieces = stage(docs.mapInArrow(piece_rows, "doc_id long, th long, tb long, h long, p long, s0 long, s1 long"), "pieces")
     again = stage(pieces.groupBy("h").agg(F.count("*").alias("k"), (F.min("p") != F.max("p")).alias("mixed")).where("k > 1").select("h", "mixed"), "again")
     met = stage(pieces.join(again, "h"), "met")
     kinds = met.where("mixed").groupBy("h", "p").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"))
@@ -302,30 +303,31 @@ def repeats(docs: DataFrame, sent_pieces: int = SENT_PIECES, crowd: int = CROWD)
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1)
-                    h, p = (np.array(row.column(c)[0].as_py(), np.int64) for c in (3, 4))
+                    h, p = (np.array(row.column(c)[0].as_py(), np.int64) for c in (4, 5))
                     key = piece_key(h, p)
                     order = np.argsort(key)
-                    yield from extract_rows([row], key[order], np.full(len(key), row.column(0)[0].as_py()), *(np.array(row.column(c)[0].as_py(), bool)[order] for c in (5, 6)))
+                    yield from extract_rows([row], key[order], np.full(len(key), row.column(0)[0].as_py()), *(np.array(row.column(c)[0].as_py(), bool)[order] for c in (6, 7)))
 
-        found = docs.join(lists, F.col("doc_id") == F.col("owner")).select("doc_id", "th", "text", "h", "p", "crowded", "single").mapInArrow(extract, PIECES)
+        found = docs.join(lists, F.col("doc_id") == F.col("owner")).select("doc_id", "th", "tb", "text", "h", "p", "crowded", "single").mapInArrow(extract, PIECES)
     found = stage(found, "found")
-    ranges = found.where("far < 0").repartition(4 * parts(spark), "h").sortWithinPartitions("h", "p", "at").mapInArrow(sorted_rows, "th long, b long, e long")
-    windows = found.where("far >= 0").select("h", "far", "bytes", "p", "th", "single", "at")
+    ranges = found.where("far < 0").repartition(4 * parts(spark), "h").sortWithinPartitions("h", "p", "at").mapInArrow(sorted_rows, "th long, tb long, b long, e long")
+    windows = found.where("far >= 0").select("h", "far", "bytes", "p", "th", "tb", "single", "at")
     shared = stage(windows.groupBy("h", "far", "bytes").agg((F.min("p") != F.max("p")).alias("shared")).where("shared").drop("shared"), "shared")
-    ranges = ranges.unionByName(windows.where("single").join(shared, ["h", "far", "bytes"]).select("th", F.col("at").alias("b"), F.col("at").alias("e")))
+    ranges = ranges.unionByName(windows.where("single").join(shared, ["h", "far", "bytes"]).select("th", "tb", F.col("at").alias("b"), F.col("at").alias("e")))
     twice = stage(kinds.where("n > 1").select("h", "p"), "twice")
-    whole = met.where("not mixed").select("th", "s0", "s1").unionByName(met.where("mixed").join(twice, ["h", "p"]).select("th", "s0", "s1"))
-    every = whole.select("th", F.col("s0").alias("b"), F.col("s1").alias("e")).unionByName(ranges).distinct()
-    return every.groupBy("th").agg(F.flatten(F.collect_list(F.array("b", "e"))).alias("spans"))
+    whole = met.where("not mixed").select("th", "tb", "s0", "s1").unionByName(met.where("mixed").join(twice, ["h", "p"]).select("th", "tb", "s0", "s1"))
+    every = whole.select("th", "tb", F.col("s0").alias("b"), F.col("s1").alias("e")).unionByName(ranges).distinct()
+    return every.groupBy("th", "tb").agg(F.flatten(F.collect_list(F.array("b", "e"))).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, with_text: bool = False, sent_pieces: int = SENT_PIECES, crowd: int = CROWD) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans`` and ``kept`` (the bytes left) or ``kept_sha256`` of every row of ``doc_id, text``."""
     text = F.coalesce("text", F.lit(""))
-    rows = only(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("th"), text.alias("text"))
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("th"), F.xxhash64(F.octet_length(text), F.md5(text.cast("binary"))).alias("tb"), text.alias("text"))
     spans = stage(repeats(rows, sent_pieces, crowd), "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = rows.select("id", "text", "th").join(spans.withColumnRenamed("th", "key"), F.col("th") == F.col("key"), "left").select("id", "text", "spans")
+    keyed = spans.withColumnsRenamed({"th": "key", "tb": "key2"})
+    joined = rows.join(keyed, (F.col("th") == F.col("key")) & (F.col("tb") == F.col("key2")), "left").select("id", "text", "spans")
     return joined.mapInArrow(remove_rows(with_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {'kept binary' if with_text else 'kept_sha256 string'}")
 
 

@@ -240,8 +240,34 @@ def test_a_common_passage_is_not_sorted_in_one_place():
     assert Counter(h).most_common(1)[0][1] > 50  # one anchor has a piece of most texts
     key = D.piece_key(np.array(h), np.array(p))
     order = np.argsort(key)
-    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "th": list(range(100)), "text": texts})
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "th": list(range(100)), "tb": list(range(100)), "text": texts})
     yes = np.ones(len(key), bool)
     rows = [r for out in D.extract_rows([batch], key[order], np.array(owner)[order], yes, yes) for r in out.to_pylist()]
     assert len(rows) == sum(len(t) - 199 for t in texts)  # every window is dealt
     assert Counter((r["h"], r["far"], r["bytes"]) for r in rows).most_common(1)[0][1] == 1
+
+
+def test_long_periodic_texts_and_a_passage_in_many_contexts(spark):
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    make = lambda n: "".join(rng.choice(letters, n))
+    passage = make(230)
+    rows = [(i, make(40) + passage + make(40)) for i in range(300)] + [(1000, "xyz " * 100_000), (1001, make(400)), (1002, "q" * 300_000)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in D.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (310, 230, 1) or got[i][1] > 230 for i in range(300))
+    assert got[1000] == (400_000, 400_000, 1) and got[1001] == (400, 0, 0) and got[1002] == (300_000, 300_000, 1)
+
+
+def test_queries_of_copies_on_a_written_table(spark, docs, texts, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    vectors(spark, [(i, [1.0, i % 3]) for i in range(9)]).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = S.op1_simhash(spark, str(tmp_path))
+    assert found.dtypes == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")]
+    assert {r["doc_id"]: r["fingerprint"] for r in found.collect()} == {i: f"{fingerprint(t):016x}" for i, t in enumerate(texts)}
+    found = E.op6_embedding_dedup(spark, str(tmp_path))
+    assert found.dtypes == [("vec_id", "bigint"), ("n_links", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    assert results(found)[8] == (2, 2, False) and results(found)[0] == (2, 0, True)
+    found = D.op10_suffix_dedup(spark, str(tmp_path))
+    assert found.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    want = {i: b for i, b in enumerate(brute(texts, 200))}
+    assert {r["doc_id"]: tuple(r)[1:] for r in found.collect()} == want
