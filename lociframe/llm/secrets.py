@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, text_blocks
+from .common import only, stage, text_blocks
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -79,8 +79,15 @@ def word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def identifiers(docs: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
     """The words of all texts that save the most bytes, the best last (zstandard reaches the end of a dictionary most cheaply)."""
     counts = only(docs, "text").mapInArrow(word_rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    saved = F.col("n") * F.octet_length("word")
-    best = counts.orderBy(F.desc(saved), "word").limit(size // (LEAST_WORD + 1)).collect()  # as many as the dictionary can hold
+    counts = stage(counts.withColumn("saved", F.col("n") * F.octet_length("word")), "words")
+    most = size // (LEAST_WORD + 1)  # words that the dictionary can hold
+    sizes = counts.groupBy(F.floor(F.log2("saved")).alias("power")).agg(F.count("*").alias("k")).orderBy(F.desc("power")).collect()  # 64 rows at most
+    least, held = 0, 0
+    for r in sizes:  # only words that may be among the best are sorted
+        held, least = held + r["k"], r["power"]
+        if held >= most:
+            break
+    best = counts.where(F.floor(F.log2("saved")) >= least).orderBy(F.desc("saved"), "word").limit(most).collect()
     out, left = [], size
     for r in best:
         word = bytes(r["word"])
