@@ -31,11 +31,23 @@ def _t_tail(r: float | None, n: int | None) -> float | None:
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] | None = None) -> DataFrame:
     """ST1: ``rho, n, p`` over rows with both values, of the table or of each group."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*(by or []), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    ranked = avg_rank(avg_rank(rows, "_x", by, "_rx"), "_y", by, "_ry")
+    ranked = avg_rank(avg_rank(rows, "_x", by, "_rx"), "_y", by, "_ry") if by else both_ranks(rows)
     out = ranked.groupBy(*(by or [])).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
     return out.withColumn("p", tails.column(_t_tail, "rho", "n"))
 
 
+def both_ranks(rows: DataFrame) -> DataFrame:
+    """``_rx, _ry``, the average ranks of ``_x, _y`` (without nulls), from one ordering of the distinct values of both."""
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in ("_x", "_y")]))
+    ranks = value_ranks(rows.select(values.alias("value")), "value").select("value.c", "value.v", "n", "below")
+    ranks = materialise(ranks)
+    before = ranks.where("c = '_x'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # those of _y come after all of _x
+    for c, r, less in (("_x", "_rx", 0), ("_y", "_ry", before)):
+        one = ranks.where(F.col("c") == c).select(F.col("v").alias(f"_v{c}"), (F.col("below") - less + (F.col("n") + 1) / 2).alias(r))
+        rows = rows.join(one, F.col(c).cast("double") == F.col(f"_v{c}")).drop(f"_v{c}")
+    return rows
+
+
 def ks_2samp(df: DataFrame, value: str, group: str, alternative: str = "two-sided", by: Sequence[str] | None = None) -> DataFrame:
     """ST2: largest difference of the two samples' distributions, ``statistic, n1, n2, p``; ``group`` is true for the first sample.
 

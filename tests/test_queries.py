@@ -40,10 +40,28 @@ def test_same_as_sql(spark, duck, name):
     assert got == sorted((tuple(_plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["kfold", "subsample_union", "sample_two_stage", "control_task", "permuted_labels", "related_pairs", "pool_random", "bootstrap_rounds", "variants", "category_distance", "random_pairs", "train_test", "annotation_coherence", "neighbor_preserving", "pair_distribution"])
-def test_drawn_queries_repeat_themselves(spark, name):
-    first, again = (sorted(map(repr, catalog.QUERIES[name](spark, DATA).collect())) for _ in range(2))
-    assert first and first == again
+def _values(spark, name: str, key: str) -> dict:
+    out: dict = {}
+    for r in catalog.QUERIES[name](spark, DATA).collect():
+        out.setdefault(r[key], []).append(r["value"])
+    return out
+
+
+def test_models_learn_what_vectors_tell(spark):
+    """Queries that SQL cannot follow, held to what their labels allow."""
+    level = _values(spark, "regression_cv", "metric")
+    assert min(level["pearson"]) > 0.9 and max(level["nrmse"]) < 0.2
+    kinds = _values(spark, "perceptron_cv", "metric")
+    assert min(kinds["acc"]) > 0.7 and min(kinds["auroc"]) > 0.7
+    report = _values(spark, "perturbation_report", "measure")
+    assert set(report) == {"mcc_perturbed", "mcc_random", "transfer", "random_neighbors", "wilcoxon_p"}
+    assert report["mcc_random"][0] > 0.3 and report["wilcoxon_p"][0] < 1e-6 and 0 <= report["random_neighbors"][0] <= 1
+
+
+def test_ablation_changes_scores(spark):
+    got = catalog.QUERIES["latent_ablation"](spark, DATA).collect()
+    assert {r["ablated"] for r in got} == {"0", "5"} and all(abs(r["after"] - r["before"] - r["delta"]) < 1e-9 for r in got)
+    assert any(r["delta"] != 0 for r in got)
 
 
 def test_names_are_registered():
