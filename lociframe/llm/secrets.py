@@ -40,7 +40,7 @@ ASSIGN_BYTES = (b"password", b"passwd", b"secret", b"token", b"api")
 CONTEXT = 64
 AROUND = 1024
 NOVEL_BYTES = 12
-NOVEL_SHARE = 0.6
+NOVEL_SHARE = 0.75
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 configuration application authentication authorization "
     "environment connection parameters description information credentials certificate certificates permission repository "

@@ -311,7 +311,7 @@ def test_secrets_by_plain_measurement(spark):
         for m in re.finditer(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]", t or ""):
             near = re.search(r"auth|api_key", t[max(0, m.start() - 64) : m.start()]) and not base(t)
             new = X.novelty(m[0].encode(), X.text_around(t, m.start(), m.end()).encode(), known)
-            if near and re.search(r"\d|[a-z][A-Z]", m[0]) and new >= max(12, 0.6 * len(m[0])):
+            if near and re.search(r"\d|[a-z][A-Z]", m[0]) and new >= max(X.NOVEL_BYTES, X.NOVEL_SHARE * len(m[0])):
                 want.append(("novel", m.start(), m.end(), new))
         assert [s for s in got[i] if s[0] == "novel"] == want
     assert sum(len(v) for k, v in got.items() if k < 30) >= 27 and got[70] == []
