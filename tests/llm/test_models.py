@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from lociframe.llm import decontaminate as B
@@ -349,3 +351,19 @@ def test_network_reads_across_words_and_windows():
     sums = L.pooled(net, raw, np.array([0, 0, 5, len(raw)]))
     letters = (raw != 32).cumsum()
     assert sums[:, 3].tolist() == [0, letters[4], letters[-1] - letters[4]]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the given tables are absent")
+def test_why_the_given_documents_have_no_novel_spans():
+    """Outside the base spans their only strings of the shape of a secret are parts of mail addresses, which are not new enough."""
+    texts = [x for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if x]
+    met = 0
+    for x in texts:
+        raw = x.encode()
+        base = X.base_spans(x, raw.lower(), raw)
+        for m in X.STRING.finditer(x):
+            if X.mixed(m[0]) and not any(s < m.end() and e > m.start() for s, _, e, _ in base):
+                met += 1
+                assert "@" in x[max(0, m.start() - 1) : m.end() + 1]
+                assert X.measured(x, m.start(), m.end(), X.IDENTIFIERS) < X.NOVEL_SHARE * len(m[0])
+    assert met > 5 and not any(s[1] == 3 for x in texts for s in X.find(x.encode()))
