@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociframe.llm import decontaminate, language, packing, secrets, similar
+from lociframe.llm import decontaminate, language, packing, secrets, similar, simhash
 from lociframe.llm.common import stage
 
 
@@ -14,8 +14,14 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the least id, of each group of texts whose five-word runs are similar to 0.8 or more."""
-    return similar.one_of_each(docs)
+    """One document, of the least id, of each group of near copies.
+
+    SimHash fingerprints of five-word runs, compared by pivots, group copies that differ in next to nothing; among
+    those left, texts whose five-word runs are similar to 0.8 or more, which is too far for fingerprints of 64 bits, are
+    grouped by the runs themselves.
+    """
+    first = stage(simhash.one_of_each(docs, words=similar.WORDS), "fingerprinted")
+    return similar.one_of_each(first)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
