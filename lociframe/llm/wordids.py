@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from .common import text_blocks
 
 #: Words of one generation of a worker's cache; at most two generations are held.
-CACHE_WORDS = 750_000
+CACHE_WORDS = 300_000
 #: Bytes of text that are encoded at a time.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 _ENCODERS: dict[str, "WordIds"] = {}
 
 
@@ -160,5 +160,6 @@ def id_rows(path: str, end_id: int) -> Callable[[Iterable[pa.RecordBatch]], Iter
             ids = enc(rows.column(1), end_id).cast(pa.binary())
             n = pc.cast(pc.divide(pc.binary_length(ids), width), pa.int64())
             yield pa.RecordBatch.from_arrays([rows.column(0), n, ids], names=["doc_id", "n_tokens", "ids"])
+        pa.default_memory_pool().release_unused()  # workers outlive tasks
 
     return run
