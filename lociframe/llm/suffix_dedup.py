@@ -313,7 +313,7 @@ def repeats(docs: DataFrame, sent_pieces: int = SENT_PIECES, crowd: int = CROWD)
     ranges = found.where("far < 0").repartition(4 * parts(spark), "h").sortWithinPartitions("h", "p", "at").mapInArrow(sorted_rows, "th long, tb long, b long, e long")
     windows = found.where("far >= 0").select("h", "far", "bytes", "p", "th", "tb", "single", "at")
     shared = stage(windows.groupBy("h", "far", "bytes").agg((F.min("p") != F.max("p")).alias("shared")).where("shared").drop("shared"), "shared")
-    ranges = ranges.unionByName(windows.where("single").join(shared, ["h", "far", "bytes"]).select("th", "tb", F.col("at").alias("b"), F.col("at").alias("e")))
+    ranges = ranges.unionByName(windows.where("single").join(shared, ["h", "far", "bytes"], "left_semi").select("th", "tb", F.col("at").alias("b"), F.col("at").alias("e")))
     twice = stage(kinds.where("n > 1").select("h", "p"), "twice")
     whole = met.where("not mixed").select("th", "tb", "s0", "s1").unionByName(met.where("mixed").join(twice, ["h", "p"]).select("th", "tb", "s0", "s1"))
     every = whole.select("th", "tb", F.col("s0").alias("b"), F.col("s1").alias("e")).unionByName(ranges).distinct()
