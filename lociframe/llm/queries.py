@@ -10,6 +10,7 @@ from .decontaminate import op5_decontaminate
 from .embedding_dedup import op6_embedding_dedup
 from .language import op3_language
 from .lm_score import op8_lm_score
+from .merkle import OP12_SQL, op12_merkle
 from .packing import op9_packing
 from .quality import op7_quality
 from .secrets import op4_secrets
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_merkle": op12_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_merkle": OP12_SQL}
