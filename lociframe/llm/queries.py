@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import OP13_SQL, op13_collocations
 from .decontaminate import op5_decontaminate
 from .embedding_dedup import op6_embedding_dedup
 from .language import op3_language
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op12_merkle": op12_merkle,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op12_merkle": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op12_merkle": OP12_SQL, "op13_collocations": OP13_SQL}
