@@ -18,6 +18,7 @@ from .secrets import op4_secrets
 from .simhash import op1_simhash
 from .suffix_dedup import op10_suffix_dedup
 from .token_output import op2_token_output
+from .url_filter import op11_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_url_filter": op11_url_filter,
     "op12_merkle": op12_merkle,
     "op13_collocations": op13_collocations,
 }
