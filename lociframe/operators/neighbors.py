@@ -1,36 +1,23 @@
-"""Exact nearest and radius neighbours by pairs of blocks (WN10, WN11), and measures over them."""
+"""Exact nearest and radius neighbours over a metric index (WN10, WN11), and measures over them."""
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..functions.columns import label_jaccard
+from ..functions.columns import label_jaccard, vec_distance
 from ..functions.seeded import draw, unit
 from ..scratch import materialise
+from . import vector_index as V
 from .aggregate import gini
 
 BLOCK = 1024
 
 
-def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        return 1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
-    if metric == "euclidean":
-        near = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T
-        return np.sqrt(np.maximum(near, 0))
-    if metric == "manhattan":
-        return np.stack([np.abs(y - r).sum(1) for r in x])
-    raise ValueError(f"no such metric: {metric}")
-
-
 def _blocks(df: DataFrame, id: str, x: str, n: int) -> DataFrame:
     """Vectors dealt by a hash of the id to blocks of about ``BLOCK`` rows, an array each."""
     k = max(1, -(-n // BLOCK))
@@ -48,53 +35,28 @@ def _block_pairs(queries: DataFrame, refs: DataFrame, id: str, x: str) -> tuple[
     return pairs.select("ids", "xs", "rids", "rxs"), queries.schema[id].dataType.simpleString()
 
 
-def _same(ids: pa.Array, rids: pa.Array) -> np.ndarray:
-    """Which pairs have one id, compared as whole numbers."""
-    codes = pa.concat_arrays([ids, rids]).dictionary_encode().indices.to_numpy()
-    return codes[: len(ids), None] == codes[None, len(ids) :]
-
-
-def _kernel(pick, id_type: str):
-    """Blocks of vectors, all of one length, to what ``pick`` keeps of their pairs; a vector of zeros has no cosine (NaN), which nothing keeps."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, xs, rids, rxs = (batch.column(c)[i].values for c in range(4))
-                wid = len(xs.flatten()) // max(1, len(xs))
-                if any((np.diff(v.offsets.to_numpy()) != wid).any() for v in (xs, rxs)):
-                    raise ValueError("vectors differ in length")
-                a, b = xs.flatten().to_numpy().reshape(-1, wid), rxs.flatten().to_numpy().reshape(-1, wid)
-                row, col, d = pick(a, b, ids, rids)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), rids.take(pa.array(col)), pa.array(d)], names=["id", "neighbor", "distance"])
-
-    return run
+def knn(queries: DataFrame, refs: DataFrame, id: str, x: str, k: int, metric: str = "euclidean") -> DataFrame:
+    """WN10: ``id, neighbor, distance, rank`` of the ``k`` nearest rows with other ids, ties (to 12 places) by id.
 
+    Only cells of a metric index are compared that can hold one of a query's nearest (``vector_index``). Equal vectors are compared once.
+    """
+    index, asked = _indexes(queries, refs, id, x, metric)
+    found = V.nearest_entries(index, k + 1, asked)
+    order = [F.round("distance", 12), F.col("neighbor")]
+    best = lambda df, by, n: df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
+    few = best(found.withColumnRenamed("entry", "neighbor"), "query", k + 1).drop("rank").withColumnRenamed("neighbor", "entry")
+    ids = best(few.join(V.first_members(index.members, k + 1).withColumnRenamed("id", "neighbor"), "entry").drop("entry"), "query", k + 1).drop("rank")
+    rows = ids.join((asked or index).members.withColumnRenamed("entry", "query"), "query").where("id <> neighbor")
+    return best(rows.select("id", "neighbor", "distance"), "id", k)
 
-def knn(queries: DataFrame, refs: DataFrame, id: str, x: str, k: int, metric: str = "euclidean", exact: bool = True) -> DataFrame:
-    """WN10: ``id, neighbor, distance, rank`` of the ``k`` nearest rows with other ids, ties by id.
 
-    Every pair of blocks is a row of work; each keeps its own ``k`` best, and only those are shuffled.
-    ``exact=False`` uses Spark's projection hashing instead and may miss some.
-    """
-    if exact:
-        pairs, kind = _block_pairs(queries, refs, id, x)
-
-        def best(a, b, ids, rids):
-            d = _distances(a, b, metric)
-            d[_same(ids, rids) | np.isnan(d)] = np.inf
-            m = min(k, d.shape[1])
-            edge = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
-            row, col = np.nonzero((d <= edge) & np.isfinite(d))
-            return row, col, d[row, col]
-
-        found = pairs.mapInArrow(_kernel(best, kind), f"id {kind}, neighbor {kind}, distance double")
-    else:
-        v = lambda df, n: df.select(F.col(id).alias(n), array_to_vector(F.col(x).cast("array<double>")).alias("v"))
-        lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=2.0, numHashTables=4, seed=1).fit(v(refs, "neighbor"))
-        found = lsh.approxSimilarityJoin(v(queries, "id"), v(refs, "neighbor"), float("inf"), "distance").select("datasetA.id", "datasetB.neighbor", "distance").where("id <> neighbor")
-    w = Window.partitionBy("id").orderBy(F.round("distance", 12), "neighbor")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _indexes(queries: DataFrame, refs: DataFrame, id: str, x: str, metric: str) -> tuple[V.Index, V.Index | None]:
+    """The index of ``refs``, and the queries' entries if these are another table."""
+    index = V.build(refs, id, x, metric)
+    if queries is refs:
+        return index, None
+    entries, members = V.distinct_vectors(queries, id, x)
+    return index, dataclasses.replace(index, id_type=queries.schema[id].dataType.simpleString(), entries=entries, members=members, chunks=V.placed_chunks(entries, index))
 
 
 def knn_summary(neighbors: DataFrame) -> DataFrame:
@@ -105,15 +67,26 @@ def knn_summary(neighbors: DataFrame) -> DataFrame:
 
 def radius_neighbors(queries: DataFrame, refs: DataFrame, id: str, x: str, radius: float, metric: str = "euclidean") -> DataFrame:
     """WN11: ``id, neighbor, distance`` of all rows with other ids within ``radius``."""
-    pairs, kind = _block_pairs(queries, refs, id, x)
+    index, asked = _indexes(queries, refs, id, x, metric)
+    found = V.entries_within(index, radius, asked)
+    near = found.join(index.members.withColumnRenamed("id", "neighbor"), "entry")
+    return near.join((asked or index).members.withColumnRenamed("entry", "query"), "query").where("id <> neighbor").select("id", "neighbor", "distance")
 
-    def near(a, b, ids, rids):
-        d = _distances(a, b, metric)
-        d[_same(ids, rids)] = np.inf
-        row, col = np.nonzero(d <= radius)
-        return row, col, d[row, col]
 
-    return pairs.mapInArrow(_kernel(near, kind), f"id {kind}, neighbor {kind}, distance double")
+def radius_counts(queries: DataFrame, refs: DataFrame, id: str, x: str, radii: Sequence[float], metric: str = "euclidean", label: str | None = None) -> DataFrame:
+    """WN11 counted: ``id, radius, label, n`` of rows with other ids within each radius, by label where one is named (else null); counts of 0 are no rows.
+
+    What leaves a comparison is a count a query, radius and label, never a pair.
+    """
+    index, asked = _indexes(queries, refs, id, x, metric)
+    named = None if label is None else refs.select(F.col(id).alias("id"), F.col(label).alias("label"))
+    found = V.counts_within(index, radii, named, asked).join((asked or index).members.withColumnRenamed("entry", "query"), "query").drop("query")
+    r = refs.select(F.col(id).alias("_id"), F.col(x).cast("array<double>").alias("_y"), (F.lit(None).cast("string") if label is None else F.col(label)).alias("label"))
+    own = queries.select(F.col(id).alias("id"), F.col(x).cast("array<double>").alias("_x")).join(r, F.col("id") == F.col("_id"))
+    d = F.when(F.col("_x") == F.col("_y"), vec_distance("_x", "_x", metric) * 0.0).otherwise(vec_distance("_x", "_y", metric))
+    own = own.select("id", "label", d.alias("d"), F.explode(F.array(*[F.lit(float(v)) for v in radii])).alias("radius")).where("d <= radius")
+    every = found.select("id", "radius", "label", "n").unionByName(own.select("id", "radius", "label", F.lit(-1).cast("long").alias("n")))
+    return every.groupBy("id", "radius", "label").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def neighbor_labels(neighbors: DataFrame, df: DataFrame, id: str, label: str) -> DataFrame:
@@ -155,11 +128,10 @@ def neighbor_chi_square(df: DataFrame, id: str, x: str, label: str, radii: Seque
     shares = shares.join(F.broadcast(total)).select(F.col(label).alias("_l"), (F.col("_n") / F.col("_all")).alias("_share"))  # one row
     rows = shares.collect()  # a row a label
     least, kinds = min(r["_share"] for r in rows), len(rows)
-    near = radius_neighbors(q, df, id, x, max(radii), metric)
-    near = near.select("id", "neighbor", F.explode(F.filter(F.array(*[F.lit(float(r)) for r in radii]), lambda r: r >= F.col("distance"))).alias("radius"))
-    sizes = near.groupBy("id", "radius").agg(F.count("*").alias("n"))
+    near = materialise(radius_counts(q, df, id, x, radii, metric, label).select("id", "radius", F.col("label").alias("_l"), F.col("n").alias("o")))
+    sizes = near.groupBy("id", "radius").agg(F.sum("o").alias("n"))
     good = sizes.groupBy("id").agg(F.coalesce(F.min(F.when(F.col("n") * least >= min_expected, F.col("radius"))), F.max("radius")).alias("radius"))
-    counts = near.join(good, ["id", "radius"]).join(df.select(F.col(id).alias("neighbor"), F.col(label).alias("_l")), "neighbor").groupBy("id", "radius", "_l").agg(F.count("*").alias("o"))
+    counts = near.join(good, ["id", "radius"])
     stat = counts.join(F.broadcast(shares), "_l").join(sizes, ["id", "radius"])  # a row a label
     # absent labels add their expected counts: the sum of o^2/e, less n
     out = stat.groupBy("id", "radius", "n").agg((F.sum(F.col("o") * F.col("o") / (F.col("n") * F.col("_share"))) - F.col("n")).alias("chi2")).withColumn("df", F.lit(kinds - 1))

@@ -246,7 +246,8 @@ def silhouette(df: DataFrame, id: str, x: str, cluster: str, metric: str = "eucl
     import numpy as np
     import pyarrow as pa
 
-    from .neighbors import _block_pairs, _distances
+    from .neighbors import _block_pairs
+    from .vector_index import distances as _distances
 
     rows = df.select(F.col(id), F.struct(F.col(x).cast("array<double>").alias("x"), F.col(cluster).cast("double").alias("c")).alias("s"))
     flat = rows.select(id, F.concat(F.array("s.c"), "s.x").alias("_x"))

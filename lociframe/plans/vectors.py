@@ -100,7 +100,7 @@ def knn_distances(s, d):
 @query("""SELECT a.vec_id AS id, count(*) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) <= 0.7 GROUP BY 1""")
 def radius_counts(s, d):
     e = table(s, d, "embeddings")
-    return neighbors.radius_neighbors(e, e, "vec_id", "embedding", 0.7, "cosine").groupBy("id").agg(F.count("*").alias("n"))
+    return neighbors.radius_counts(e, e, "vec_id", "embedding", [0.7], "cosine").select("id", "n")
 
 
 @query("""WITH v AS (SELECT pos, var_pop(CAST(x AS DOUBLE)) AS v FROM (""" + _LONG + """) GROUP BY pos), q AS (SELECT quantile_cont(v, 0.3) AS b FROM v), k AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, pos AS source FROM v, q WHERE v >= b)
