@@ -18,7 +18,7 @@ from ..scratch import materialise
 from .joins import taxon_distance
 from .sampling import random_pairs, related_pairs
 from .sets import union
-from .windows import avg_rank, value_ranks
+from .windows import avg_rank, running_sums, value_ranks
 
 
 
@@ -39,11 +39,9 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] | None = None) ->
 def both_ranks(rows: DataFrame) -> DataFrame:
     """``_rx, _ry``, the average ranks of ``_x, _y`` (without nulls), from one ordering of the distinct values of both."""
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in ("_x", "_y")]))
-    ranks = value_ranks(rows.select(values.alias("value")), "value").select("value.c", "value.v", "n", "below")
-    ranks = materialise(ranks)
-    before = ranks.where("c = '_x'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # those of _y come after all of _x
-    for c, r, less in (("_x", "_rx", 0), ("_y", "_ry", before)):
-        one = ranks.where(F.col("c") == c).select(F.col("v").alias(f"_v{c}"), (F.col("below") - less + (F.col("n") + 1) / 2).alias(r))
+    ranks = value_ranks(rows.select(values.alias("s")).select("s.*"), "v", ["c"])
+    for c, r in (("_x", "_rx"), ("_y", "_ry")):
+        one = ranks.where(F.col("c") == c).select(F.col("value").alias(f"_v{c}"), (F.col("below") + (F.col("n") + 1) / 2).alias(r))
         rows = rows.join(one, F.col(c).cast("double") == F.col(f"_v{c}")).drop(f"_v{c}")
     return rows
 
@@ -55,21 +53,7 @@ def ks_2samp(df: DataFrame, value: str, group: str, alternative: str = "two-side
     """
     by = list(by or [])
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count_if(F.col(group)).alias("a"), F.count_if(~F.col(group)).alias("b"))
-    if by:
-        w = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        run = counts.select(*by, F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"))
-    else:
-        parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        keyed = materialise(counts.repartitionByRange(parts, "_v").withColumn("_p", F.spark_partition_id()))
-        sums = sorted(keyed.groupBy("_p").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect())  # a row a partition
-        ta = tb = 0
-        pairs: list = []
-        for r in sums:
-            pairs += [F.lit(r["_p"]), F.struct(F.lit(ta).cast("long").alias("a"), F.lit(tb).cast("long").alias("b"))]
-            ta, tb = ta + r["a"], tb + r["b"]
-        base = F.create_map(*(pairs or [F.lit(-1), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))]))[F.col("_p")]
-        w = Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        run = keyed.select((base["a"] + F.sum("a").over(w)).alias("ca"), (base["b"] + F.sum("b").over(w)).alias("cb"))
+    run = running_sums(counts, by, ["_v"], ["a", "b"]).select(*by, F.col("_run_a").alias("ca"), F.col("_run_b").alias("cb"))
     sizes = counts.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     joined = run.join(sizes, by) if by else run.join(F.broadcast(sizes))  # one row
     diff = F.col("ca") / F.col("n1") - F.col("cb") / F.col("n2")
@@ -123,36 +107,70 @@ def mc_test_by(data: DataFrame, null_data: DataFrame, statistic: Callable[[DataF
     return mc_test(statistic(data), statistic(null_data), alternative)
 
 
+_SMALL_LOG_FACTORIALS = 32
+
+
+def log_factorial(k: Column) -> Column:
+    """Natural logarithm of k!: a table up to 31, beyond it Stirling's series, whose error is below that of a double."""
+    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(_SMALL_LOG_FACTORIALS)])
+    x = k.cast("double") + 1
+    series = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    return F.when(k < _SMALL_LOG_FACTORIALS, F.get(table, k.cast("int"))).otherwise(series)
+
+
+def _multinomial_counts(probs: Sequence[float]) -> Callable:
+    """Sizes and uniform numbers to counts by category: each category takes a binomial share of what those before it left."""
+    import numpy as np
+    import pyarrow as pa
+
+    left = np.append(np.cumsum(probs[::-1])[::-1], 0.0)
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(batch.schema.get_field_index("_size")).to_numpy()
+            if not len(n):
+                continue
+            u = batch.column(batch.schema.get_field_index("u"))
+            u = u.flatten().to_numpy().reshape(len(n), -1)
+            rest, out = n.copy(), np.zeros((len(n), len(probs)), np.int64)
+            for c, p in enumerate(probs):
+                last = c == len(probs) - 1
+                out[:, c] = rest if last else tails.binomial_quantile(rest, min(1.0, p / left[c]), u[:, c])
+                rest = rest - out[:, c]
+            at = pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(probs))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_size")), pa.ListArray.from_arrays(at, pa.array(out.reshape(-1)))], names=["_size", "ks"])
+
+    return run
+
+
 def multinomial_test(obs: DataFrame, cats: DataFrame, n_resample: int = 10_000, seed: int = 0, group: str = "group", category: str = "category") -> DataFrame:
-    """ST6: for each group of ``group, category`` rows the log-probability of its counts under the shares in ``cats``, and how much of as many drawn groups of its size has less."""
-    spark = obs.sparkSession
+    """ST6: for each group of ``group, category`` rows the log-probability of its counts under the shares in ``cats``, and how much of as many drawn groups of its size has less.
+
+    A drawn group is one row: a binomial draw a category (in order of names), whatever the group's size. Counts are summed in that
+    order, so equal counts have equal values.
+    """
     shares = sorted((r[category], r["n"]) for r in cats.groupBy(category).agg(F.count("*").alias("n")).collect())  # a row a category
-    total, at, bounds = sum(n for _, n in shares), 0, []
-    for c, n in shares:
-        at += n
-        bounds.append(F.struct(F.lit(at / total).alias("to"), F.lit(c).alias("c")))
-    log_p = F.create_map(*[F.lit(v) for c, n in shares for v in (c, math.log(n / total))])
+    total = sum(n for _, n in shares)
+    probs = [n / total for _, n in shares]
+    if not shares:
+        raise ValueError("there are no categories")
+    place = F.create_map(*[F.lit(v) for i, (c, _) in enumerate(shares) for v in (c, i)])
+    log_p = F.array(*[F.lit(math.log(p)) for p in probs])
+    term = lambda i, k: k * F.get(log_p, i) - log_factorial(k)
     counts = obs.groupBy(group, category).agg(F.count("*").alias("k"))
-    sizes = counts.groupBy(group).agg(F.sum("k").cast("long").alias("_size"))
-    kinds = sizes.select("_size").distinct()
-    most = kinds.agg(F.max("_size")).first()[0] or 0
-    lg = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(most + 1)])
-
-    def log_pmf(rows: DataFrame, *keys: str) -> DataFrame:
-        """Equal counts give equal values only up to the order of their sums, so they are rounded."""
-        term = F.col("k") * log_p[F.col(category)] - F.get(lg, F.col("k").cast("int"))
-        value = rows.groupBy(*keys).agg(F.sum(term).alias("_s"), F.sum("k").alias("_k"))
-        return value.withColumn("value", F.round(F.col("_s") + F.get(lg, F.col("_k").cast("int")), 9)).drop("_s", "_k")
-
-    observed = log_pmf(counts, group).join(sizes, group)
-    draws = spark.range(n_resample).crossJoin(F.broadcast(kinds)).select("id", "_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_size"))).alias("i"))  # a row a size
-    u = unit(seed, "multinomial", "_size", "id", "i")
-    drawn = draws.select("id", "_size", F.get(F.filter(F.array(*bounds), lambda b: b["to"] > u), F.lit(0))["c"].alias(category))
-    null = log_pmf(drawn.groupBy("id", "_size", category).agg(F.count("*").alias("k")), "_size", "id")
-    # distinct values of a size are few: there are as many as ways to fill the categories
-    points = null.groupBy("_size", "value").agg(F.count("*").alias("n")).unionByName(observed.select("_size", "value", F.lit(0).cast("long").alias("n")).distinct()).groupBy("_size", "value").agg(F.sum("n").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("_size").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    cdf = points.select("_size", "value", (upto / F.lit(float(n_resample))).alias("cdf"))
+    listed = counts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.coalesce(place[F.col(category)], F.lit(-1)).alias("i"), "k"))).alias("cells"), F.sum("k").cast("long").alias("_size"))  # a cell a category
+    known = F.forall("cells", lambda c: c["i"] >= 0)
+    observed = listed.select(group, "_size", F.when(known, F.round(F.aggregate("cells", F.lit(0.0), lambda s, c: s + term(c["i"], c["k"])) + log_factorial(F.col("_size")), 9)).alias("value"))
+    observed = materialise(observed)
+    kinds = observed.where("value is not null").select("_size").distinct()
+    parts = max(1, int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    draws = kinds.select("_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_resample - 1).cast("long"))).alias("id")).repartition(parts, "_size", "id")
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(len(shares))), lambda i: unit(seed, "multinomial", F.col("_size"), F.col("id"), i))
+    drawn = draws.select("_size", numbers.alias("u")).mapInArrow(_multinomial_counts(probs), "_size long, ks array<long>")
+    cells = F.transform("ks", lambda k, i: F.struct(i.alias("i"), k.alias("k")))
+    null = drawn.select("_size", F.round(F.aggregate(cells, F.lit(0.0), lambda s, c: s + term(c["i"], c["k"])) + log_factorial(F.col("_size")), 9).alias("value"))
+    points = null.groupBy("_size", "value").agg(F.count("*").alias("n")).unionByName(observed.where("value is not null").select("_size", "value", F.lit(0).cast("long").alias("n")).distinct()).groupBy("_size", "value").agg(F.sum("n").alias("n"))
+    cdf = running_sums(points, ["_size"], ["value"], ["n"]).select("_size", "value", (F.col("_run_n") / F.lit(float(n_resample))).alias("cdf"))
     out = observed.join(cdf, ["_size", "value"]).withColumn("p", F.when(F.col("cdf") == 0, 1e-10).otherwise(F.col("cdf"))).drop("_size")
     least = out.agg(F.least(F.min("p") * F.count("*"), F.lit(1.0)).alias("p_adj"))
     return out.join(F.broadcast(least))  # one row
@@ -318,9 +336,11 @@ def ranking_areas(df: DataFrame, score: str, hit: str, by: Sequence[str]) -> Dat
     """``auroc`` by rank sums and ``aupr`` (average precision) of each group; ties share a threshold."""
     by = list(by)
     levels = df.groupBy(*by, F.col(score).alias("v")).agg(F.sum(hit).alias("pos"), F.count("*").cast("double").alias("n"))
-    up = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*by).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
-    x = levels.select(*by, "v", "pos", "n", (F.coalesce(F.sum("n").over(up), F.lit(0.0)) + (F.col("n") + 1) / 2).alias("rank"), F.sum("pos").over(down).alias("cp"), F.sum("n").over(down).alias("cn"))
+    run = running_sums(levels.withColumn("pos", F.coalesce("pos", F.lit(0.0)).cast("double")), by, ["v"], ["n", "pos"])
+    all_of = levels.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sum("n").alias("_n"), F.coalesce(F.sum("pos"), F.lit(0.0)).alias("_pos"))
+    run = run.join(all_of, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]) if by else run.join(F.broadcast(all_of))  # one row
+    down = lambda c: F.col(f"_{c}") - F.col(f"_run_{c}") + F.col(c)
+    x = run.select(*by, "v", "pos", "n", (F.col("_run_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"), down("pos").alias("cp"), down("n").alias("cn"))
     g = x.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("n").alias("N"), F.sum(F.col("pos") * F.col("rank")).alias("R"), F.sum(F.col("pos") * F.col("cp") / F.col("cn")).alias("A"))
     neg = F.col("N") - F.col("P")
     return g.select(*by, ((F.col("R") - F.col("P") * (F.col("P") + 1) / 2) / F.nullif(F.col("P") * neg, F.lit(0.0))).alias("auroc"), (F.col("A") / F.nullif("P", F.lit(0.0))).alias("aupr"))

@@ -79,8 +79,15 @@ def mc_test(s, d):
     return rounded(out.select("value", "cdf", "p"), "cdf", "p", places=9)
 
 
-@query(f"""WITH s AS (SELECT f, count(*) AS n, sum(count(*)) OVER () AS all_n, sum(count(*)) OVER (ORDER BY f) / sum(count(*)) OVER () AS upto FROM (SELECT l_returnflag AS f FROM lineitem) GROUP BY f), o AS (SELECT l_orderkey AS grp, l_returnflag AS f, count(*) AS k FROM lineitem GROUP BY ALL), sz AS (SELECT grp, sum(k) AS size FROM o GROUP BY 1),
-d AS (SELECT size, id, i, {drawn_unit(0, 'multinomial', 'CAST(size AS BIGINT)', 'id', 'i')} AS u FROM (SELECT size, id, unnest(range(1, CAST(size AS BIGINT) + 1)) AS i FROM (SELECT DISTINCT size FROM sz), range(0, 2000) a(id))), e AS (SELECT size, id, (SELECT min(f) FROM s WHERE upto > u) AS f FROM d), dk AS (SELECT size, id, f, count(*) AS k FROM e GROUP BY ALL),
+@query(f"""WITH RECURSIVE s AS (SELECT f, count(*) AS n, sum(count(*)) OVER () AS all_n, sum(count(*)) OVER (ORDER BY f) / sum(count(*)) OVER () AS upto FROM (SELECT l_returnflag AS f FROM lineitem) GROUP BY f), o AS (SELECT l_orderkey AS grp, l_returnflag AS f, count(*) AS k FROM lineitem GROUP BY ALL), sz AS (SELECT grp, sum(k) AS size FROM o GROUP BY 1),
+q AS (SELECT f, n, all_n, row_number() OVER (ORDER BY f) AS i, n::DOUBLE / sum(n) OVER (ORDER BY f DESC) AS p FROM s),
+d AS (SELECT size, id, i, p, {drawn_unit(0, 'multinomial', 'CAST(size AS BIGINT)', 'id', 'i')} AS u FROM (SELECT DISTINCT CAST(size AS BIGINT) AS size FROM sz), range(0, 2000) a(id), q),
+b AS (SELECT m, r.i AS i, k, exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(p) + (m - k) * ln(1 - p)) AS pmf FROM (SELECT i, p FROM q WHERE p < 1) r, range(0, (SELECT max(size) + 1 FROM sz)::BIGINT) ms(m), range(0, (SELECT max(size) + 1 FROM sz)::BIGINT) ks(k) WHERE k <= m),
+bc AS (SELECT m, i, k, sum(pmf) OVER (PARTITION BY m, i ORDER BY k) AS upto FROM b),
+bl AS (SELECT m, i, list(upto ORDER BY k) AS steps FROM bc GROUP BY ALL),
+ch AS (SELECT DISTINCT size, id, 0::BIGINT AS i, size AS rest, 0::BIGINT AS k FROM d UNION ALL
+ SELECT h.size, h.id, d.i, h.rest - t.k, t.k FROM ch h JOIN d ON d.size = h.size AND d.id = h.id AND d.i = h.i + 1 LEFT JOIN bl ON bl.m = h.rest AND bl.i = d.i, LATERAL (SELECT CASE WHEN d.p >= 1 THEN h.rest ELSE len(list_filter(bl.steps, lambda v: v < d.u AND v < 1 - 1e-12))::BIGINT END AS k) t),
+dk AS (SELECT size, id, f, k FROM ch JOIN q USING (i) WHERE k > 0),
 ov AS (SELECT grp, size, round(lgamma(any_value(size) + 1) + sum(k * ln(n / all_n) - lgamma(k + 1)), 9) AS v FROM o JOIN sz USING (grp) JOIN s USING (f) GROUP BY grp, size), nv AS (SELECT size, id, round(lgamma(any_value(size) + 1) + sum(k * ln(n / all_n) - lgamma(k + 1)), 9) AS v FROM dk JOIN s USING (f) GROUP BY size, id),
 c AS (SELECT size, v, (SELECT count(*) FROM nv WHERE nv.size = x.size AND nv.v <= x.v) / 2000 AS cdf FROM (SELECT DISTINCT size, v FROM ov) x), r AS (SELECT grp, v, CASE WHEN cdf = 0 THEN 1e-10 ELSE cdf END AS p FROM ov JOIN c USING (size, v)) SELECT grp AS "group", round(v, 6) AS value, round(p, 6) AS p FROM r""")
 def multinomial_test(s, d):
