@@ -192,8 +192,11 @@ def min_group_size(df: DataFrame, by: str | Sequence[str], n: int = 50) -> DataF
 
 
 def keep_known_keys(df: DataFrame, key: str, store: DataFrame) -> DataFrame:
-    """FLT5."""
-    return df.join(store.select(F.col("key").alias("_key")), F.col(key) == F.col("_key"), "left_semi")
+    """FLT5: of a laid-out store only the buckets of the table's keys are read, and of these the key."""
+    from .store import asked_for
+
+    have = asked_for(store, df, key).select(F.col("key").alias("_key"))
+    return df.join(have, F.col(key) == F.col("_key"), "left_semi")
 
 
 def long_components(df: DataFrame, x: str, *keep: str) -> DataFrame:

@@ -68,14 +68,20 @@ def interval_within(left: DataFrame, right: DataFrame, on: Sequence[str], start:
 
 
 def store_lookup(df: DataFrame, key: str, store: DataFrame, level: str = "seq", strict: bool = True) -> DataFrame:
-    """JN4: rows with their stored vectors, one row a key; ``strict`` raises on missing keys and names some."""
-    one = dedup(store, ["key"])
-    cols = [c for c in one.columns if c != "key" and (c == "seq" if level == "seq" else c.startswith("token"))]
+    """JN4: rows with their stored vectors, one row a key; ``strict`` raises on missing keys and names some.
+
+    The store is reduced to the wanted keys, by files where it is laid out by a hash of the key, before one row a key is chosen.
+    """
+    from .store import asked_for
+
+    cols = [c for c in store.columns if c != "key" and (c == "seq" if level == "seq" else c.startswith("token"))]
+    one = dedup(asked_for(store, df, key).select("key", *cols), ["key"])
     if strict:
-        missing = df.select(F.col(key).alias("k")).distinct().join(store.select(F.col("key").alias("k")), "k", "left_anti").take(5)
+        one = materialise(one)
+        missing = df.select(F.col(key).alias("k")).distinct().join(one.select(F.col("key").alias("k")), "k", "left_anti").take(5)
         if missing:
             raise KeyError(f"keys that are not in the store: {[r['k'] for r in missing]}")
-    return df.join(one.select(F.col("key").alias("_key"), *cols), F.col(key) == F.col("_key")).drop("_key")
+    return df.join(one.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key")).drop("_key")
 
 
 def join_ast_runs(runs: DataFrame, ast: DataFrame, standard: str = "CLSI", id: str = "BioSample", ast_id: str = "#BioSample", mic: str = "MIC (mg/L)", standard_col: str = "Testing standard", synonyms: Mapping[str, str] | None = None, drug: str = "Antibiotic") -> DataFrame:

@@ -4,26 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeded import draw, pick, unit
 from .curate import split_predicate
-from .windows import group_index, row_index
+from .windows import group_index, row_index, running_sums
+
+
+#: Up to so many rows a group, each task's own best are few enough to be put in order together.
+FEW = 1000
+#: Draws are cut at 12 of their 60 bits for the histogram that finds where a selection ends.
+BUCKET_BITS = 12
+
+
+def least_rows(df: DataFrame, h: Column, id: str, n: int | Column, by: Sequence[str] | None = None) -> DataFrame:
+    """The ``n`` rows of the table, or of each group, with the least draws ``h`` (ties by ``id``); ``n`` may depend on ``by`` and on ``_size``, the group's rows.
+
+    A histogram of the draws' leading bits tells in which bucket each group's selection ends. Rows of lower buckets are taken
+    where they are read, and only the last bucket's, one in 4,096 of a group, are put in order. A selection of up to ``FEW`` is put in
+    order at once, as no task passes on more than that of a group.
+    """
+    by = list(by or [])
+    if isinstance(n, int) and n <= FEW:
+        if not by:
+            return df.orderBy(h, id).limit(n)
+        return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(h, id))).where(F.col("_r") <= n).drop("_r")
+    keyed = df.withColumn("_draw", h).withColumn("_slot", F.shiftright("_draw", 60 - BUCKET_BITS))
+    cells = keyed.groupBy(*by, "_slot").agg(F.count("*").alias("_k"))
+    names = {c: f"_by{i}" for i, c in enumerate(by)}
+    sums = running_sums(cells, by, ["_slot"], ["_k"]).withColumnsRenamed(names)
+    sizes = cells.groupBy(*by).agg(F.sum("_k").alias("_size")).withColumn("_n", (F.lit(n) if isinstance(n, int) else n).cast("long")).withColumnsRenamed({c: f"{m}_" for c, m in names.items()})
+    on = [F.col(m).eqNullSafe(F.col(f"{m}_")) for m in names.values()]
+    cut = sums.join(sizes, on) if by else sums.join(F.broadcast(sizes))  # one row
+    last = cut.where((F.col("_run__k") >= F.col("_n")) & (F.col("_run__k") - F.col("_k") < F.col("_n")))
+    last = last.select(*names.values(), F.col("_slot").alias("_last"), (F.col("_n") - F.col("_run__k") + F.col("_k")).alias("_need"))
+    whole = sizes.where(F.col("_n") > F.col("_size")).select(*[F.col(f"{m}_").alias(m) for m in names.values()], F.lit(1 << BUCKET_BITS).cast("long").alias("_last"), F.lit(0).cast("long").alias("_need"))
+    ends = last.unionByName(whole)
+    near = keyed.join(ends, [F.col(c).eqNullSafe(F.col(m)) for c, m in names.items()]) if by else keyed.join(F.broadcast(ends))  # one row
+    near = near.where(F.col("_slot") <= F.col("_last"))
+    taken = near.where(F.col("_slot") < F.col("_last")).select(*df.columns)
+    edge = near.where(F.col("_slot") == F.col("_last")).withColumn("_r", F.row_number().over(Window.partitionBy(*names.values(), "_last").orderBy("_draw", id)))
+    return taken.unionByName(edge.where(F.col("_r") <= F.col("_need")).select(*df.columns))
 
 
 def sample_n(df: DataFrame, id: str, n: int | None = None, fraction: float | None = None, by: Sequence[str] | None = None, seed: int = 0) -> DataFrame:
     """SM1: ``n`` rows or a share of them, of the table or of each group."""
     h = draw(seed, "sample", id)
     if n is not None:
-        if not by:
-            return df.orderBy(h, id).limit(n)
-        return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(h, id))).where(F.col("_n") <= n).drop("_n")
+        return least_rows(df, h, id, n, by)
     if not by:
-        return row_index(df.withColumn("_h", h), ["_h", id], "_n").where(F.col("_n") <= round(fraction * df.count())).drop("_h", "_n")
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_size"))
-    ranked = group_index(df.withColumn("_h", h), list(by), ["_h", id], "_n").drop("_h")
-    return ranked.join(sizes, list(by)).where(F.col("_n") <= F.floor(F.col("_size") * fraction)).drop("_n", "_size")
+        return least_rows(df, h, id, round(fraction * df.count()))
+    return least_rows(df, h, id, F.floor(F.col("_size") * fraction), by)
 
 
 def subsample_union(df: DataFrame, rules: Sequence[Mapping], id: str, seed: int = 0) -> DataFrame:
@@ -52,15 +84,14 @@ def subsample_union(df: DataFrame, rules: Sequence[Mapping], id: str, seed: int
 
 def sample_two_stage(df: DataFrame, sample: str, n: int, n_inner: int, seed: int = 0, id: str = "uid") -> DataFrame:
     """SM3: ``n`` samples, then ``n_inner`` rows of each."""
-    chosen = df.select(sample).distinct().orderBy(draw(seed, "outer", sample), sample).limit(n)
-    return sample_n(df.join(F.broadcast(chosen), sample, "left_semi"), id, n_inner, by=[sample], seed=seed)  # n rows
+    chosen = least_rows(df.select(sample).distinct(), draw(seed, "outer", sample), sample, n)
+    return sample_n(df.join(chosen, sample, "left_semi"), id, n_inner, by=[sample], seed=seed)
 
 
 def bootstrap(df: DataFrame, sample: str, rounds: int, n: int, seed: int = 0, id: str = "uid") -> DataFrame:
     """SM4: ``round`` and the ``n`` rows of each sample drawn in it, all rounds in one job."""
     rows = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    w = Window.partitionBy("round", sample).orderBy(draw(seed, "round", "round", id), id)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    return least_rows(rows, draw(seed, "round", "round", id), id, n, ["round", sample])
 
 
 def random_pairs(df: DataFrame, id: str, n: int, seed: int = 0) -> DataFrame:
@@ -77,7 +108,8 @@ def random_pairs(df: DataFrame, id: str, n: int, seed: int = 0) -> DataFrame:
     else:
         x, y = pick(F.lit(total), seed, "first", "id"), pick(F.lit(total), seed, "second", "id")
         over = spark.range(3 * n + 64).select(x.alias("_x"), y.alias("_y")).where("_x <> _y").select(F.least("_x", "_y").alias("_l"), F.greatest("_x", "_y").alias("_h")).distinct()
-    chosen = over.orderBy(draw(seed, "pair", "_l", "_h"), "_l", "_h").limit(want)
+    keyed = over.withColumn("_pair", F.struct("_l", "_h"))
+    chosen = least_rows(keyed, draw(seed, "pair", "_l", "_h"), "_pair", want).select("_l", "_h")
     a, b = (index.select(F.col("_i").alias(k), F.col(id).alias(v)) for k, v in (("_l", "a"), ("_h", "b")))
     return chosen.join(a, "_l").join(b, "_h").select("a", "b")
 

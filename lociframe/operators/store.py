@@ -1,31 +1,30 @@
-"""The content-addressed embedding store (EM, UD1): ``key, seq, token, token_idx, token_pr``."""
+"""The content-addressed embedding store (EM, UD1): ``key, seq, token, token_idx, token_pr``.
+
+A store is laid out by a hash of the key: a folder ``bucket_<n>=<b>`` for each of ``n`` buckets, rows sorted by key. What is asked
+for names its buckets, at most ``n`` numbers, and the others' files are not read; a flat folder of files is a store as well, read whole.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from .curate import drop_null_columns
 from .sequences import expand_max_len, one_token, permute_seq, pool_pieces, random_seq, substitute
 from .sets import dedup
 
 SCHEMA = "key string, seq array<float>, token array<array<float>>, token_idx array<long>, token_pr array<float>"
+#: Buckets of a new store: enough that a few keys read a small share, few enough that each is more than a file.
+BUCKETS = 64
 Embedder = Callable[[list[str]], list[tuple[np.ndarray, np.ndarray | None]]]
 
 
-def letter_embedder(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
-    """A deterministic stand-in for a model: a token a letter, (place in the alphabet, place in the text, 1)."""
-    out = []
-    for t in texts:
-        x = np.array([[max(0, ord(c.lower()) - 97) % 26, i, 1] for i, c in enumerate(t)], np.float32).reshape(-1, 3)
-        out.append((x, np.full(len(x), 1.0, np.float32)))
-    return out
-
-
 def _embed(fn: Embedder, level: str, pooling: str, amount: int | float | None, save_proba: bool, batch: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     schema = pa.schema([("key", pa.string()), ("seq", pa.list_(pa.float32())), ("token", pa.list_(pa.list_(pa.float32()))), ("token_idx", pa.list_(pa.int64())), ("token_pr", pa.list_(pa.float32()))])
 
@@ -51,8 +50,18 @@ def _embed(fn: Embedder, level: str, pooling: str, amount: int | float | None, s
     return run
 
 
+def layout(store: DataFrame) -> int | None:
+    """The number of buckets of a store's rows as read, None for a flat one."""
+    named = [int(m[1]) for c in store.columns if (m := re.fullmatch(r"bucket_(\d+)", c))]
+    return named[0] if named else None
+
+
+def bucket_of(key: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("store"), F.col(key) if isinstance(key, str) else key), F.lit(buckets)).cast("int")
+
+
 def open_store(spark: SparkSession, store: str) -> DataFrame:
-    """The store's rows, none where nothing has been written yet."""
+    """The store's rows, none where nothing has been written yet; a laid-out store's bucket is a column more."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -63,13 +72,49 @@ def open_store(spark: SparkSession, store: str) -> DataFrame:
         return spark.createDataFrame([], SCHEMA)
 
 
+def write_rows(df: DataFrame, store: str, buckets: int = BUCKETS, mode: str = "append", most: int | None = None) -> None:
+    """Rows of the store's columns written as it is laid out, or in ``buckets`` if it is new; files have at most ``most`` rows."""
+    spark = df.sparkSession
+    there = open_store(spark, store)
+    old, flat = layout(there), bool(there.inputFiles())
+    n = old or buckets
+    rows = df.select(*[c for c in df.columns if not c.startswith("bucket_")])
+    if mode == "append" and flat and old is None:
+        rows.write.mode(mode).parquet(store)
+        return
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"bucket_{n}"
+    # a bucket is one task, or several where there are more tasks than buckets
+    dealt = rows.withColumn(name, bucket_of("key", n)).repartition(parts, name, F.pmod(F.hash("key"), F.lit(max(1, parts // n)))).sortWithinPartitions(name, "key")
+    writer = dealt.write.mode(mode).partitionBy(name)
+    (writer.option("maxRecordsPerFile", most) if most else writer).parquet(store)
+
+
+def with_buckets_of(store: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """A laid-out store without the files of buckets that none of ``wanted``'s keys has; a flat one as it is."""
+    n = layout(store)
+    if not n:
+        return store
+    held = [r[0] for r in wanted.where(F.col(key).isNotNull()).select(bucket_of(key, n).alias("b")).distinct().collect()]  # n numbers at most
+    return store.where(F.col(f"bucket_{n}").isin(held)) if len(held) < n else store
+
+
+def asked_for(store: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The store's rows whose key is among ``keys``; of a laid-out store only the keys' buckets are read."""
+    wanted = keys.select(F.col(key).cast(store.schema["key"].dataType).alias("_key")).where("_key is not null").distinct()
+    if layout(store):
+        wanted = materialise(wanted)
+    return with_buckets_of(store, wanted, "_key").join(wanted, F.col("key") == F.col("_key"), "left_semi")
+
+
 def embed_missing(df: DataFrame, text: str, store: str, fn: Embedder, level: str = "seq", pooling: str = "mean", token_amount: int | float | None = None, save_proba: bool = False, batch: int = 256) -> None:
     """EM1: distinct texts that the store lacks, embedded in batches by ``fn`` and appended."""
     spark = df.sparkSession
-    have = open_store(spark, store).select("key")
-    todo = df.select(F.col(text).alias("key")).where("key is not null").distinct().join(have, "key", "left_anti")
+    texts = df.select(F.col(text).alias("key")).where("key is not null").distinct()
+    have = asked_for(open_store(spark, store), texts, "key").select("key")
+    todo = texts.join(have, "key", "left_anti")
     todo = todo.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key")
-    todo.mapInArrow(_embed(fn, level, pooling, token_amount, save_proba, batch), SCHEMA).write.mode("append").parquet(store)
+    write_rows(todo.mapInArrow(_embed(fn, level, pooling, token_amount, save_proba, batch), SCHEMA), store)
 
 
 def embed_long(df: DataFrame, text: str, id: str, store: str, fn: Embedder, max_len: int, pooling: str = "mean", agg: str = "mean") -> DataFrame:
@@ -80,7 +125,7 @@ def embed_long(df: DataFrame, text: str, id: str, store: str, fn: Embedder, max_
 
 def to_dataset(df: DataFrame, key: str, store: DataFrame, level: str = "seq") -> DataFrame:
     """EM3: rows with their vectors as ``x``, a row a token at token level; columns without a value are dropped."""
-    one = dedup(store, ["key"]).withColumnRenamed("key", "_key")
+    one = dedup(asked_for(store, df, key).select(*[c for c in store.columns if not c.startswith("bucket_")]), ["key"]).withColumnRenamed("key", "_key")
     joined = df.join(one, F.col(key) == F.col("_key")).drop("_key")
     if level == "seq":
         return drop_null_columns(joined.withColumnRenamed("seq", "x").drop("token", "token_idx", "token_pr"))

@@ -94,8 +94,10 @@ def clean_drug_names(s, d):
 
 @query("""SELECT o_orderkey, c_acctbal AS balance FROM orders JOIN customer ON o_custkey = c_custkey""")
 def store_lookup(s, d):
-    store = table(s, d, "customer").select(F.col("c_custkey").alias("key"), F.array("c_acctbal").alias("seq"))
-    found = joins.store_lookup(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", store, strict=False)
+    path = scratch_path(s, f"balances-{uuid.uuid4().hex}")
+    writers.store_append(path, table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.array(F.col("c_acctbal")).alias("seq")))
+    orders = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"))
+    found = joins.store_lookup(orders, "o_custkey", s.read.parquet(path), strict=False)
     return found.select("o_orderkey", F.get("seq", F.lit(0)).alias("balance"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -11,6 +12,15 @@ from ..operators import aggregate, sequences, store
 from ..scratch import scratch_path
 from .registry import drawn, drawn_unit, long_vector, registry, rounded, table
 
+def letter_embedder(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """A stand-in for a model that SQL can follow: a token a letter, (place in the alphabet, place in the text, 1)."""
+    out = []
+    for t in texts:
+        x = np.array([[max(0, ord(c.lower()) - 97) % 26, i, 1] for i, c in enumerate(t)], np.float32).reshape(-1, 3)
+        out.append((x, np.full(len(x), 1.0, np.float32)))
+    return out
+
+
 QUERIES, ORACLE_SQL, query = registry()
 
 _DNA = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
@@ -76,7 +86,7 @@ SELECT id, 0 AS pos, round(a, 4) AS value FROM g UNION ALL SELECT id, 1, round(b
 def embed_store(s, d):
     docs = table(s, d, "documents").where("length(text) > 0")
     path = scratch_path(s, f"store-{uuid.uuid4().hex}")
-    pooled = store.embed_long(docs, "text", "doc_id", path, store.letter_embedder, 2000)
+    pooled = store.embed_long(docs, "text", "doc_id", path, letter_embedder, 2000)
     return long_vector(pooled, "id", places=4)
 
 

@@ -33,8 +33,10 @@ def write_fasta(df: DataFrame, path: str, seq_col: str = "sequence", required: t
 
 
 def store_append(store: str, df: DataFrame) -> None:
-    """SNK3: vectors as new files of the store."""
-    df.write.mode("append").parquet(store)
+    """SNK3: vectors as new files of the store, by the buckets of their keys."""
+    from ..operators.store import write_rows
+
+    write_rows(df, store)
 
 
 def _unique(df: DataFrame, key: str = "key") -> DataFrame:
@@ -45,13 +47,17 @@ def _unique(df: DataFrame, key: str = "key") -> DataFrame:
 
 def store_rewrite(spark: SparkSession, store: str | list[str], out: str, n_rows: int = 100_000, token_prop: float | None = None, seed: int = 0) -> None:
     """SNK4: one row a key in files of at most ``n_rows``, written to a new path; a share of token matrices may be kept, the rest nulled."""
-    df = _unique(spark.read.option("mergeSchema", "true").parquet(*([store] if isinstance(store, str) else store)))
+    from ..operators.store import write_rows
+
+    each = [spark.read.option("mergeSchema", "true").parquet(p) for p in ([store] if isinstance(store, str) else store)]
+    each = [e.select(*[c for c in e.columns if not c.startswith("bucket_")]) for e in each]
+    df = _unique(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each))
     if token_prop is not None:
         keep = unit(seed, "token", "key") < token_prop
         for c in ("token", "token_idx"):
             if c in df.columns:
                 df = df.withColumn(c, F.when(keep, F.col(c)))
-    df.write.mode("errorifexists").option("maxRecordsPerFile", n_rows).parquet(out)
+    write_rows(df, out, mode="errorifexists", most=n_rows)
 
 
 def store_combine(spark: SparkSession, stores: list[str], out: str, n_rows: int = 100_000) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import columns as C
 from lociframe.operators import aggregate, pooling, sequences, store
+from lociframe.plans.sequences import letter_embedder
 from lociframe.sources import readers, writers
 
 from .conftest import rows
@@ -62,9 +63,9 @@ def test_random_variants(spark):
 def test_store(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     df = spark.createDataFrame([(w,) for w in WORDS * 2], "word string")
-    store.embed_missing(df, "word", path, store.letter_embedder, level="both", save_proba=True)
+    store.embed_missing(df, "word", path, letter_embedder, level="both", save_proba=True)
     assert store.open_store(spark, path).count() == len(WORDS)
-    store.embed_missing(df, "word", path, store.letter_embedder)
+    store.embed_missing(df, "word", path, letter_embedder)
     assert store.open_store(spark, path).count() == len(WORDS)
     got = {r["word"]: r["x"] for r in store.to_dataset(df.distinct(), "word", store.open_store(spark, path)).collect()}
     assert got["linen"] == pytest.approx([(11 + 8 + 13 + 4 + 13) / 5, 2.0, 1.0])
@@ -73,10 +74,10 @@ def test_store(spark, tmp_path):
     assert store.token_view(store.open_store(spark, path), one_per_key=True).count() == len(WORDS)
     assert sequences.sample_tokens(store.open_store(spark, path), 2).select(F.max(F.size("token"))).first()[0] == 2
     other = f"file://{tmp_path}/other"
-    store.embed_missing(spark.createDataFrame([("new",), ("linen",)], "word string"), "word", other, store.letter_embedder)
+    store.embed_missing(spark.createDataFrame([("new",), ("linen",)], "word string"), "word", other, letter_embedder)
     writers.store_combine(spark, [path, other], f"file://{tmp_path}/both")
     assert store.open_store(spark, f"file://{tmp_path}/both").count() == len(WORDS) + 1
-    long = store.embed_long(df.distinct(), "word", "word", f"file://{tmp_path}/long", store.letter_embedder, 3)
+    long = store.embed_long(df.distinct(), "word", "word", f"file://{tmp_path}/long", letter_embedder, 3)
     assert long.count() == len(WORDS)
 
 
@@ -86,7 +87,7 @@ def test_stream_into_store(spark, tmp_path):
     src = f"file://{tmp_path}/in"
     spark.createDataFrame([(w,) for w in WORDS], "word string").write.parquet(src)
     for _ in range(2):
-        embed_stream(spark.readStream.schema("word string").parquet(src), "word", f"file://{tmp_path}/s", store.letter_embedder, f"file://{tmp_path}/ck").awaitTermination()
+        embed_stream(spark.readStream.schema("word string").parquet(src), "word", f"file://{tmp_path}/s", letter_embedder, f"file://{tmp_path}/ck").awaitTermination()
     assert store.open_store(spark, f"file://{tmp_path}/s").count() == len(WORDS)
 
 
