@@ -13,6 +13,7 @@ from ..functions import tails
 from ..functions.columns import kmers, reverse_complement, split_labels
 from .curate import filter_ops
 from .sets import dedup, union
+from .base_runs import LONGEST, run_counts, spelt
 
 
 def pivot_first(df: DataFrame, index: Sequence[str], names: str, values: str, columns: Sequence[str], order: str | None = None, suffix: str = "") -> DataFrame:
@@ -51,7 +52,9 @@ def presence_vectors(presence: DataFrame, sample: str, features: DataFrame | Non
 
 
 def _kmer_rows(df: DataFrame, sample: str, seq: str, k: int) -> DataFrame:
-    """Runs are counted as they stand; only the distinct ones of a sample are checked and made canonical."""
+    """Runs of up to 31 bases are counted as numbers in blocks; longer ones as text, of which only a sample's distinct ones are made canonical."""
+    if k <= LONGEST:
+        return run_counts(df, sample, seq, k).select(F.col("sample").alias(sample), "run", "n")
     runs = df.select(sample, F.explode(kmers(F.upper(seq), k)).alias("kmer")).groupBy(sample, "kmer").agg(F.count("*").alias("n"))
     plain = runs.where(F.col("kmer").rlike("^[ACGT]+$"))
     return plain.groupBy(sample, F.least("kmer", reverse_complement("kmer")).alias("kmer")).agg(F.sum("n").alias("n"))
@@ -59,7 +62,8 @@ def _kmer_rows(df: DataFrame, sample: str, seq: str, k: int) -> DataFrame:
 
 def kmer_counts(df: DataFrame, sample: str, seq: str, k: int, cap: int = 255, min_count: int = 2) -> DataFrame:
     """AG5: counts of each sample's runs of ``k`` bases and their reverse complements as one; rare ones dropped, high ones capped."""
-    return _kmer_rows(df, sample, seq, k).where(F.col("n") >= min_count).withColumn("n", F.least("n", F.lit(cap)))
+    kept = _kmer_rows(df, sample, seq, k).where(F.col("n") >= min_count)
+    return kept.select(sample, spelt("run", k).alias("kmer") if k <= LONGEST else "kmer", F.least("n", F.lit(cap)).alias("n"))
 
 
 def kmer_stats(df: DataFrame, sample: str, seq: str, k: int, min_count: int = 2) -> DataFrame:
