@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeded import draw
 from ..scratch import materialise
 from .sets import dedup
+from .windows import row_index
 
 #: Taxonomic ranks from the highest to the lowest.
 RANKS = (
@@ -46,25 +49,84 @@ def with_metadata(df: DataFrame, kinds: Mapping[str, tuple[DataFrame, str, str]]
     return df
 
 
+def _first_containers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals of a key and bin by ascending start, right ones first, to each left one's first container.
+
+    A right interval can be the first only if it ends after all before it, so only those are kept, by rising ends.
+    """
+    stops, rows, key = [], [], None
+    for batch in batches:
+        found: list[tuple] = []
+        for k, uid, stop, place in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_key", "_uid", "_e", "_place")), strict=True):
+            if k != key:
+                stops, rows, key = [], [], k
+            if place is not None:
+                if not stops or stop > stops[-1]:
+                    stops.append(stop)
+                    rows.append(place)
+            elif (i := bisect_left(stops, stop)) < len(stops):
+                found.append((uid, rows[i]))
+        yield _met(found)
+
+
+def _first_contained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals of a key and bin by descending start, right ones first, to each left one's first contained.
+
+    A right interval hides those after it that end no sooner; the others' ends fall from the first on.
+    """
+    stops, rows, key = [], [], None
+    for batch in batches:
+        found: list[tuple] = []
+        for k, uid, stop, place in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_key", "_uid", "_e", "_place")), strict=True):
+            if k != key:
+                stops, rows, key = [], [], k
+            if place is not None:
+                while stops and stops[-1] >= stop:
+                    stops.pop()
+                    rows.pop()
+                stops.append(stop)
+                rows.append(place)
+            elif i := bisect_right(stops, stop):
+                found.append((uid, rows[i - 1]))
+        yield _met(found)
+
+
+def _met(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["_uid", "_place"])
+
+
 def interval_within(left: DataFrame, right: DataFrame, on: Sequence[str], start: str = "start", stop: str = "stop", uid: str = "uid", bin_size: int = 10_000) -> DataFrame:
     """JN3: left rows with the first right row (by start, stop, then its hash) of equal keys that contains or is contained in them; the others with nulls.
 
-    Intervals are dealt to bins of ``bin_size``, so that a contig with many features is many keys. A
-    contained interval's first bin is among the bins of its container, so either side's first bin
-    meets all bins of the other.
+    Intervals are dealt to bins of ``bin_size``, so that a contig with many features is many keys. In a bin a sweep over the starts
+    finds each left row's first container and a sweep back its first contained row: a match a row and bin leaves them, however deep
+    features nest. A container covers the left row's first bin; a contained row starts in one of its bins. Rows whose key, start or stop
+    is null meet none.
     """
     rest = [c for c in right.columns if c not in on and c not in (start, stop)]
-    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], F.col(start).alias("_start"), F.col(stop).alias("_stop"), *rest)
-    bins = lambda s, e: F.sequence(F.floor(F.col(s) / bin_size), F.floor(F.greatest(s, e) / bin_size))
-    first = lambda s: F.array(F.floor(F.col(s) / bin_size))
-    keys = [F.col(c) == F.col(f"_r_{c}") for c in on]
-    slim = left.select(uid, *on, start, stop)
-    inside = slim.withColumn("_bin", F.explode(first(start))).join(r.withColumn("_rbin", F.explode(bins("_start", "_stop"))), [*keys, F.col("_bin") == F.col("_rbin"), F.col("_start") <= F.col(start), F.col("_stop") >= F.col(stop)])
-    around = slim.withColumn("_bin", F.explode(bins(start, stop))).join(r.withColumn("_rbin", F.explode(first("_start"))), [*keys, F.col("_bin") == F.col("_rbin"), F.col("_start") >= F.col(start), F.col("_stop") <= F.col(stop)])
-    met = inside.unionByName(around).select(F.col(uid).alias("_uid"), "_start", "_stop", *rest)
-    w = Window.partitionBy("_uid").orderBy("_start", "_stop", F.xxhash64(*rest) if rest else F.lit(0))
-    one = met.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").withColumnsRenamed({"_start": f"{start}_right", "_stop": f"{stop}_right"})
-    return left.join(one, F.col(uid) == F.col("_uid"), "left").drop("_uid")
+    named = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], F.col(start).alias("_start"), F.col(stop).alias("_stop"), F.xxhash64(*rest).alias("_hash") if rest else F.lit(0).cast("long").alias("_hash"), *rest)
+    r = materialise(row_index(named, ["_start", "_stop", "_hash"], "_place", start=0))  # the place in the order in which the first is chosen
+    l = materialise(row_index(left.select(uid, *on, start, stop), [uid], "_uid", start=0))
+    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.floor(F.greatest(s, e) / bin_size)))
+    first = lambda s: F.floor(F.col(s) / bin_size)
+    known = lambda df, cols: df.na.drop(subset=cols)
+    parts = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def sweep(lrows: DataFrame, rrows: DataFrame, run: Callable, down: bool) -> DataFrame:
+        none, bin_ = F.lit(None).cast("long"), F.col("_bin").alias("bin")
+        lone = lrows.select(F.struct(*on, bin_).alias("_k"), "_uid", F.col(start).alias("_s"), F.col(stop).alias("_e"), none.alias("_place"))
+        rone = rrows.select(F.struct(*[F.col(f"_r_{c}").alias(c) for c in on], bin_).alias("_k"), none.alias("_uid"), F.col("_start").alias("_s"), F.col("_stop").alias("_e"), "_place")
+        order = [F.desc("_s"), F.desc_nulls_last("_place")] if down else [F.asc("_s"), F.asc_nulls_last("_place")]
+        both = lone.union(rone).repartition(parts, "_k").sortWithinPartitions("_k", *order)
+        return both.select(F.to_json("_k").alias("_key"), "_uid", "_e", "_place").mapInArrow(run, "_uid long, _place long")
+
+    lefts, rights = known(l, [*on, start, stop]), known(r, [*[f"_r_{c}" for c in on], "_start", "_stop"])
+    around = sweep(lefts.withColumn("_bin", first(start)), rights.withColumn("_bin", bins("_start", "_stop")), _first_containers, False)
+    inside = sweep(lefts.withColumn("_bin", bins(start, stop)), rights.withColumn("_bin", first("_start")), _first_contained, True)
+    one = around.unionByName(inside).groupBy("_uid").agg(F.min("_place").alias("_place"))
+    met = one.join(r.select("_place", "_start", "_stop", *rest), "_place").join(l.select("_uid", F.col(uid).alias("_id")), "_uid")
+    met = met.select("_id", F.col("_start").alias(f"{start}_right"), F.col("_stop").alias(f"{stop}_right"), *rest)
+    return left.join(met, F.col(uid) == F.col("_id"), "left").drop("_id")
 
 
 def store_lookup(df: DataFrame, key: str, store: DataFrame, level: str = "seq", strict: bool = True) -> DataFrame:
@@ -99,23 +161,36 @@ def recode_join(df: DataFrame, recode: DataFrame, on: Sequence[str]) -> DataFram
     return df.join(recode.select(*on, "new"), list(on))
 
 
+#: Bits of the signatures that tell apart lists of items before these are compared.
+SIGNATURE_WORDS = 4
+
+
+def _signature(items: str) -> Column:
+    """A bit an item, by a hash: what one list's signature has and another's lacks, at least so many items the other lacks."""
+    word = lambda w: F.aggregate(F.filter(items, lambda i: F.pmod(F.xxhash64(F.lit("bit"), i), F.lit(64 * SIGNATURE_WORDS)).between(64 * w, 64 * w + 63)), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit("bit"), i), F.lit(64)).cast("int"))))
+    return F.array(*[word(w) for w in range(SIGNATURE_WORDS)])
+
+
 def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, min_overlap: float) -> DataFrame:
     """JN7: pairs whose share of the right row's items that the left row has is at least ``min_overlap``.
 
     ``left`` and ``right`` have ``left_id`` and ``right_id`` and arrays. A pair that overlaps so much shares one of the
-    right row's rarest items, so many that the others alone are too few: only these are joined, and the pairs
-    they give are counted on all items. An item that all rows have makes no pairs by itself.
+    right row's rarest items, so many that the others alone are too few: only these are joined. Of the pairs they give,
+    those whose left row has too few items, or whose signatures (256 bits each, which travel in place of the arrays) show too many
+    items missing, are dropped before the arrays are met. An item that all rows have makes no pairs by itself.
     """
-    l = materialise(left.select("left_id", F.array_distinct(a).alias("a")))
-    r = materialise(right.select("right_id", F.array_distinct(b).alias("b")))
+    l = materialise(left.select("left_id", F.array_distinct(a).alias("a")).withColumns({"sa": _signature("a"), "na": F.size("a")}))
+    r = materialise(right.select("right_id", F.array_distinct(b).alias("b")).withColumns({"sb": _signature("b"), "size": F.size("b")}))
+    need = F.greatest(F.ceil(F.col("size") * min_overlap - 1e-9), F.lit(1)).cast("int")
     count = l.select(F.explode("a").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    ranked = r.select("right_id", F.size("b").alias("size"), F.explode("b").alias("item")).join(count, "item")  # items that no left row has cannot be shared
+    ranked = r.select("right_id", "size", "sb", F.explode("b").alias("item")).join(count, "item")  # items that no left row has cannot be shared
     order = F.array_sort(F.collect_list(F.struct("n", "item")))
-    need = F.greatest(F.ceil(F.col("size") * min_overlap - 1e-9), F.lit(1)).cast("int")
-    prefix = ranked.groupBy("right_id", "size").agg(order.alias("o")).where(F.size("o") >= need)
-    seeds = prefix.select("right_id", F.explode(F.slice("o", F.lit(1), F.size("o") - need + 1)).alias("s")).select("right_id", F.col("s.item").alias("item"))
-    pairs = l.select("left_id", F.explode("a").alias("item")).join(seeds, "item").select("left_id", "right_id").distinct()
-    both = pairs.join(l, "left_id").join(r, "right_id").select("left_id", "right_id", F.size(F.array_intersect("a", "b")).cast("long").alias("common"), F.size("b").alias("size"))
+    prefix = ranked.groupBy("right_id", "size", "sb").agg(order.alias("o")).where(F.size("o") >= need)
+    seeds = prefix.select("right_id", "size", "sb", F.explode(F.slice("o", F.lit(1), F.size("o") - need + 1)).alias("s")).select("right_id", "size", "sb", F.col("s.item").alias("item"))
+    met = l.where("na > 0").select("left_id", "sa", "na", F.explode("a").alias("item")).join(seeds, "item")
+    lacking = sum((F.bit_count(F.get("sb", F.lit(w)).bitwiseAND(F.bitwise_not(F.get("sa", F.lit(w))))) for w in range(SIGNATURE_WORDS)), F.lit(0))
+    pairs = met.where((F.col("na") >= need) & (F.col("size") - lacking >= need)).select("left_id", "right_id").distinct()
+    both = pairs.join(l.select("left_id", "a"), "left_id").join(r.select("right_id", "b", "size"), "right_id").select("left_id", "right_id", F.size(F.array_intersect("a", "b")).cast("long").alias("common"), "size")
     return both.where(F.col("common") / F.col("size") >= min_overlap).select("left_id", "right_id", "common", (F.col("common") / F.col("size")).alias("overlap"))
 
 

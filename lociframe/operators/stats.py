@@ -259,8 +259,80 @@ def silhouette_mean(df: DataFrame, x: str, cluster: str) -> float:
     return ClusteringEvaluator().evaluate(rows)
 
 
+#: Cluster sums of up to so many bytes are sent to the workers; more are met by blocks of rows.
+CLUSTER_BYTES = 64 << 20
+
+
+def _silhouette_from_sums(metric: str, clusters: list, sums, squares, sizes) -> Callable:
+    """Each row's mean distance to every cluster in closed form: squared Euclidean from sums and sums of squares, cosine from sums of unit vectors."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .vector_index import matrix
+
+    place = {c: i for i, c in enumerate(clusters)}
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                some = batch.slice(at, 1024)
+                x = matrix(some.column(1))
+                own = np.array([place[c] for c in some.column(2).to_pylist()], np.int64)
+                if metric == "cosine":
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        total = sizes - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ sums.T
+                else:
+                    total = sizes * (x**2).sum(1)[:, None] - 2 * x @ sums.T + squares
+                rows = np.arange(len(x))
+                n = sizes[own]
+                a = np.where(n > 1, total[rows, own] / np.maximum(n - 1, 1), np.nan)
+                total[rows, own] = np.inf
+                b = (total / sizes).min(axis=1)
+                with np.errstate(invalid="ignore"):
+                    value = np.where(np.isfinite(b) & (n > 1), (b - a) / np.maximum(a, b), 0.0)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.nan_to_num(value))], names=["id", "silhouette"])
+
+    return run
+
+
+def silhouette_closed(df: DataFrame, id: str, x: str, cluster: str, metric: str = "sqeuclidean") -> DataFrame:
+    """ST17: silhouette of every row by squared Euclidean (``sqeuclidean``) or cosine distance, from sums by cluster: one pass for the sums, one for the rows.
+
+    Rows without a vector or cluster are left out; a cluster of one row scores 0, as does a row where there is one cluster. Sums that
+    take over ``CLUSTER_BYTES`` raise an error: so many clusters need ``silhouette``.
+    """
+    import numpy as np
+
+    if metric not in ("sqeuclidean", "cosine"):
+        raise ValueError(f"no closed form for {metric}")
+    rows = df.where(F.col(x).isNotNull() & F.col(cluster).isNotNull()).select(F.col(id).alias("id"), F.col(x).cast("array<double>").alias("x"), F.col(cluster).cast("string").alias("c"))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
+    unit_x = F.transform("x", lambda v: v / norm) if metric == "cosine" else F.col("x")
+    if metric == "cosine":
+        rows = rows.where(norm > 0)
+    shape = rows.agg(F.count_distinct("c").alias("k"), F.max(F.size("x")).alias("w"), F.min(F.size("x")).alias("least")).first()
+    if not shape["k"]:
+        return rows.select("id", F.lit(0.0).alias("silhouette"))
+    if shape["w"] != shape["least"]:
+        raise ValueError("vectors differ in length")
+    if shape["k"] * shape["w"] * 8 > CLUSTER_BYTES:
+        raise ValueError("the sums of so many clusters are too large to send: use silhouette")
+    long = rows.select("c", F.posexplode(unit_x).alias("pos", "v"))
+    cells = long.groupBy("c", "pos").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count("*").alias("n")).collect()  # CLUSTER_BYTES or less
+    clusters = sorted({r["c"] for r in cells})
+    at = {c: i for i, c in enumerate(clusters)}
+    sums, squares, sizes = np.zeros((len(clusters), shape["w"])), np.zeros(len(clusters)), np.zeros(len(clusters))
+    for r in cells:
+        sums[at[r["c"]], r["pos"]] = r["s"]
+        squares[at[r["c"]]] += r["q"]
+        sizes[at[r["c"]]] = r["n"]
+    return rows.mapInArrow(_silhouette_from_sums(metric, clusters, sums, squares, sizes), f"id {df.schema[id].dataType.simpleString()}, silhouette double")
+
+
 def silhouette(df: DataFrame, id: str, x: str, cluster: str, metric: str = "euclidean") -> DataFrame:
-    """ST17: exact silhouette of every row by pairs of blocks; sums of distances to clusters are what is shuffled."""
+    """ST17: exact silhouette of every row; squared Euclidean and cosine distance have a closed form, others go by pairs of blocks, whose sums of distances to clusters are what is shuffled."""
+    if metric in ("sqeuclidean", "cosine"):
+        return silhouette_closed(df, id, x, cluster, metric)
     import numpy as np
     import pyarrow as pa
 

@@ -101,8 +101,8 @@ def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "n", sta
     """Global 1, 2, 3, ... in ``order``: range partitions number their sorted rows as they write them, and each one's first number comes from the counts of those before."""
     cols = _columns(order)
     place = F.monotonically_increasing_id()  # the partition in the upper 31 bits, the row in the lower 33
-    keyed = materialise(df.repartitionByRange(_parts(df), *cols).sortWithinPartitions(*cols).withColumn("_place", place))
-    part = F.shiftright("_place", 33)
+    keyed = materialise(df.repartitionByRange(_parts(df), *cols).sortWithinPartitions(*cols).withColumn("__place", place))
+    part = F.shiftright("__place", 33)
     counts = keyed.groupBy(part.alias("_p")).agg(F.count("*").alias("k")).collect()  # one row a partition
     before, at = [], start - 1
     for r in sorted(counts):
@@ -111,7 +111,7 @@ def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "n", sta
     if not before:
         return df.withColumn(name, F.lit(0).cast("long"))
     offset = F.create_map(*[F.lit(v) for pair in before for v in pair])
-    return keyed.withColumn(name, (offset[part] + F.col("_place").bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop("_place")
+    return keyed.withColumn(name, (offset[part] + F.col("__place").bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop("__place")
 
 
 def group_index(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str = "n", start: int = 1) -> DataFrame:

@@ -112,12 +112,12 @@ def filter_ops(s, d):
     return curate.filter_ops(table(s, d, "part"), [("p_size", ">", 10), ("p_retailprice", "<=", 1500), ("p_brand", "!=", "Brand#11")]).select("p_partkey")
 
 
-@query("""SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) > 3) AND p_type NOT IN (SELECT p_type FROM part WHERE p_size = 1)""")
+@query("""SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 HAVING avg(p_size) > 25) AND p_partkey % 40 NOT IN (SELECT p_partkey % 40 FROM part WHERE p_size = 1 AND p_brand <= 'Brand#15')""")
 def filter_features(s, d):
-    p = table(s, d, "part")
-    white = p.groupBy("p_brand").count().where("count > 3").select("p_brand")
-    black = p.where("p_size = 1").select("p_type").distinct()
-    return curate.filter_features(curate.filter_features(p, ["p_brand"], whitelist=white), ["p_type"], blacklist=black).select("p_partkey")
+    p = table(s, d, "part").withColumn("line", F.col("p_partkey") % 40)
+    white = p.groupBy("p_brand").agg(F.avg("p_size").alias("mean")).where("mean > 25").select("p_brand")
+    black = p.where("p_size = 1 AND p_brand <= 'Brand#15'").select("line").distinct()
+    return curate.filter_features(curate.filter_features(p, ["p_brand"], whitelist=white), ["line"], blacklist=black).select("p_partkey")
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE n >= 5""")
@@ -235,13 +235,14 @@ def qc_rules(s, d):
     return sets.passing_all([quast, ani, table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("sample"))])
 
 
-@query("""WITH r AS (SELECT l_suppkey AS sample, l_linenumber AS taxid, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_suppkey) AS p FROM lineitem GROUP BY l_suppkey, l_linenumber) SELECT a.sample FROM r a LEFT JOIN (SELECT sample, max(p) AS other FROM r WHERE taxid <> 1 GROUP BY 1) b USING (sample) WHERE a.taxid = 1 AND a.p >= 20 AND coalesce(other, 0) <= 30""")
+@query("""WITH r AS (SELECT l_orderkey AS sample, l_returnflag AS taxid, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY l_orderkey) AS p FROM lineitem GROUP BY l_orderkey, l_returnflag) SELECT a.sample FROM r a LEFT JOIN (SELECT sample, max(p) AS other FROM r WHERE taxid <> 'N' GROUP BY 1) b USING (sample) WHERE a.taxid = 'N' AND a.p >= 50 AND coalesce(other, 0) <= 30""")
 def qc_kraken2(s, d):
-    n = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample"), F.col("l_linenumber").alias("taxid")).agg(F.count("*").alias("n"))
+    """Orders as samples, return flags as taxa: mostly the expected one, and no other of more than 30 %."""
+    n = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample"), F.col("l_returnflag").alias("taxid")).agg(F.count("*").alias("n"))
     total = n.groupBy("sample").agg(F.sum("n").alias("t"))
     reports = n.join(total, "sample").select("sample", "taxid", F.lit("S").alias("rank"), (F.lit(100.0) * F.col("n") / F.col("t")).alias("p_reads_covered"))
-    expected = total.select("sample", F.lit(1).alias("taxid"))
-    return aggregate.qc_kraken2(reports, expected, 20, 30)
+    expected = total.select("sample", F.lit("N").alias("taxid"))
+    return aggregate.qc_kraken2(reports, expected, 50, 30)
 
 
 @query("""SELECT doc_id AS id, 1::BIGINT AS n FROM documents WHERE 1 = 0 UNION ALL SELECT min(doc_id), count(*) FROM documents GROUP BY lang, source""")

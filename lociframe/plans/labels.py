@@ -126,15 +126,16 @@ def activation_hist(s, d):
     return latents.activation_hist(latents.activations(e, "vec_id", "embedding"), e.select(F.col("vec_id").alias("sample"), "label"), [0, 5], 8, -0.4, 0.4)
 
 
-@query("""WITH l AS (SELECT DISTINCT l_suppkey AS s, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), r AS (SELECT DISTINCT o_custkey AS c, p_brand AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey), k AS (SELECT c, count(*) AS n FROM r GROUP BY 1)
-SELECT s AS left_id, r.c AS right_id, count(*) AS common, count(*) / any_value(n) AS overlap FROM l JOIN r USING (i) JOIN k ON k.c = r.c GROUP BY s, r.c HAVING count(*) / any_value(n) >= 0.9""")
+@query("""WITH l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS i FROM lineitem), r AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS i FROM lineitem), k AS (SELECT c, count(*) AS n FROM r GROUP BY 1)
+SELECT s AS left_id, r.c AS right_id, count(*) AS common, count(*) / any_value(n) AS overlap FROM l JOIN r USING (i) JOIN k ON k.c = r.c WHERE n >= 3 GROUP BY s, r.c HAVING count(*) / any_value(n) >= 0.6""")
 def overlap_join(s, d):
+    """Suppliers that could deliver most parts of an order of three or more."""
     from ..operators.joins import overlap_join as join
 
-    li = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    left = li.groupBy(F.col("l_suppkey").alias("left_id")).agg(F.collect_set("p_brand").alias("a"))
-    o = li.join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return join(left, o.groupBy(F.col("o_custkey").alias("right_id")).agg(F.collect_set("p_brand").alias("b")), "a", "b", 0.9)
+    li = table(s, d, "lineitem")
+    left = li.groupBy(F.col("l_suppkey").alias("left_id")).agg(F.collect_set("l_partkey").alias("a"))
+    right = li.groupBy(F.col("l_orderkey").alias("right_id")).agg(F.collect_set("l_partkey").alias("b")).where(F.size("b") >= 3)
+    return join(left, right, "a", "b", 0.6)
 
 
 @query("""WITH e AS (SELECT l_suppkey AS s, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY ALL) SELECT s AS supplier, 1 - sum(n * n) / (sum(n) * sum(n)) AS gini FROM e GROUP BY 1""")

@@ -145,6 +145,22 @@ def silhouette_rows(s, d):
     return rounded(stats.silhouette(table(s, d, "embeddings"), "vec_id", "embedding", "label"), "silhouette", places=5)
 
 
+def _silhouette_sql(distance: str) -> str:
+    return f"""WITH p AS (SELECT a.vec_id AS id, a.label AS own, b.label AS c, {distance} AS d FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) a, (SELECT label, CAST(embedding AS DOUBLE[]) AS y FROM embeddings) b),
+s AS (SELECT id, own, c, sum(d) AS s, count(*) AS k FROM p GROUP BY ALL), g AS (SELECT id, max(CASE WHEN c = own THEN k END) AS n, max(CASE WHEN c = own AND k > 1 THEN s / (k - 1) END) AS a, min(CASE WHEN c <> own THEN s / k END) AS b FROM s GROUP BY id)
+SELECT id, round(CASE WHEN n > 1 AND b IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0 END, 5) AS silhouette FROM g"""
+
+
+@query(_silhouette_sql("list_cosine_distance(x, y)"))
+def silhouette_cosine(s, d):
+    return rounded(stats.silhouette(table(s, d, "embeddings"), "vec_id", "embedding", "label", "cosine"), "silhouette", places=5)
+
+
+@query(_silhouette_sql("list_sum(list_transform(list_zip(x, y), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"))
+def silhouette_squared(s, d):
+    return rounded(stats.silhouette(table(s, d, "embeddings"), "vec_id", "embedding", "label", "sqeuclidean"), "silhouette", places=5)
+
+
 @query("""WITH e AS (SELECT label AS t, CAST(floor(embedding[1] * 8) AS BIGINT) AS p FROM embeddings), c AS (SELECT t, p, count(*) AS n FROM e GROUP BY ALL), a AS (SELECT t, sum(n) AS n FROM c GROUP BY 1), b AS (SELECT p, sum(n) AS n FROM c GROUP BY 1), z AS (SELECT count(*)::DOUBLE AS n FROM e),
 v AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM c) AS c2, (SELECT sum(n * (n - 1) / 2.0) FROM a) AS t2, (SELECT sum(n * (n - 1) / 2.0) FROM b) AS p2, z.n * (z.n - 1) / 2 AS a2, ln(z.n) - (SELECT sum(n * ln(n)) FROM a) / z.n AS ht, ln(z.n) - (SELECT sum(n * ln(n)) FROM b) / z.n AS hp, ln(z.n) - (SELECT sum(n * ln(n)) FROM c) / z.n AS hj FROM z)
 SELECT round((c2 - t2 * p2 / a2) / ((t2 + p2) / 2 - t2 * p2 / a2), 6) AS ari, round((ht + hp - hj) / ht, 6) AS homogeneity, round((ht + hp - hj) / hp, 6) AS completeness FROM v""")
