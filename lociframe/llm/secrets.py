@@ -33,12 +33,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{16}")
+NOT_BLANK = re.compile(r"\S")
 STRING = re.compile(r"[A-Za-z0-9+/_=-](?:[A-Za-z0-9+/_.=-]{10,})[A-Za-z0-9+/_=-]")
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?|secret|token|api[_-]?key|[_-]key\b|\bkey\b|auth|bearer|credential|private|signature|\bpwd\b", re.I | re.A)
 SENSITIVE_BYTES = (b"pass", b"secret", b"token", b"key", b"auth", b"bearer", b"credential", b"private", b"signature", b"pwd")
 ASSIGN_BYTES = (b"password", b"passwd", b"secret", b"token", b"api")
 CONTEXT = 64
 AROUND = 1024
+PIECE = 48
 NOVEL_BYTES = 12
 NOVEL_SHARE = 0.75
 IDENTIFIERS = (
@@ -119,7 +121,16 @@ Span = tuple[int, int, int, int]  # start, kind, end, new bytes
 
 
 def measured(text: str, start: int, end: int, known: bytes) -> int:
-    return novelty(text[start:end].encode(), text_around(text, start, end).encode(), known)
+    """New bytes of a span. Of a long one each piece is measured after what stands before it in the span, as zstandard codes the letters of
+    long inputs by their frequency, which would make a secret of few different letters look less new the longer it is."""
+    around = text_around(text, start, end).encode()
+    if end - start <= PIECE + PIECE // 2:
+        return novelty(text[start:end].encode(), around, known)
+    total = 0
+    for at in range(start, end - PIECE // 2, PIECE):
+        stop = at + PIECE if end - at - PIECE >= PIECE // 2 else end
+        total += novelty(text[at:stop].encode(), around + text[max(start, at - AROUND) : at].encode(), known)
+    return total
 
 
 def base_spans(text: str, low: bytes, raw: bytes, known: bytes = IDENTIFIERS) -> list[Span]:
@@ -138,11 +149,6 @@ def near_sensitive(text: str, start: int, end: int) -> bool:
     return bool(SENSITIVE.search(text, max(0, start - CONTEXT), start) or SENSITIVE.search(text, end, end + CONTEXT))
 
 
-def carried(text: str, told: int, start: int) -> bool:
-    """Whether only blanks or line ends part a place from the secret before it."""
-    return 0 <= told <= start and not text[told:start].strip()
-
-
 def mixed(s: str) -> bool:
     """Letters with digits, or capitals inside of a word."""
     return any(c.isalpha() for c in s) and (any(c.isdigit() for c in s) or any(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False)))
@@ -153,6 +159,7 @@ def novel_spans(text: str, low: bytes, base: list[Span], known: bytes = IDENTIFI
     if not any(x in low for x in SENSITIVE_BYTES):
         return []
     out, at, told = [], 0, -1  # told: the end of the last span that is surely of a secret
+    word_at, word = -1, -1  # the first place after ``told`` that is not blank, looked for once
     for m in STRING.finditer(text):
         s = m.group()
         if not mixed(s):
@@ -160,7 +167,11 @@ def novel_spans(text: str, low: bytes, base: list[Span], known: bytes = IDENTIFI
         while at < len(base) and base[at][2] <= m.start():
             told = base[at][2] if base[at][1] < 2 else told
             at += 1
-        if (at < len(base) and base[at][0] < m.end()) or not (carried(text, told, m.start()) or near_sensitive(text, m.start(), m.end())):
+        if told >= 0 and word_at != told:
+            found = NOT_BLANK.search(text, told)
+            word_at, word = told, found.start() if found else len(text)
+        carried = 0 <= told <= m.start() <= word  # only blanks or line ends part it from the secret before it
+        if (at < len(base) and base[at][0] < m.end()) or not (carried or near_sensitive(text, m.start(), m.end())):
             continue
         new = measured(text, m.start(), m.end(), known)
         if new >= NOVEL_BYTES and new >= NOVEL_SHARE * len(s):
@@ -211,8 +222,9 @@ def redact_rows(mark: str, known: bytes) -> Callable[[Iterable[pa.RecordBatch]],
         for batch in batches:
             at = batch.schema.get_field_index("text")
             chars = batch.schema.get_field_index("n_chars")
+            counted = chars >= 0 and pa.types.is_integer(batch.schema.field(chars).type)  # other columns of that name are not counts
             for rows, off, data in text_blocks([batch]):
-                raw, out, sizes = data.tobytes(), rows.column(at).to_pylist(), rows.column(chars).to_pylist() if chars >= 0 else []
+                raw, out, sizes = data.tobytes(), rows.column(at).to_pylist(), rows.column(chars).to_pylist() if counted else []
                 for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                     if spans := find(raw[a:b], known):
                         text, done, kept = out[i], 0, []
@@ -233,7 +245,7 @@ def redact_rows(mark: str, known: bytes) -> Callable[[Iterable[pa.RecordBatch]],
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by ``mark`` (``n_chars`` follows where there is such a column)."""
+    """``docs`` with every span of ``text`` replaced by ``mark`` (``n_chars`` follows where there is such a column of whole numbers)."""
     return docs.mapInArrow(redact_rows(mark, identifiers(docs)), docs.schema)
 
 
@@ -242,4 +254,5 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"] != "novel")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    new = F.array_join(F.transform("spans", lambda x: x["new_bytes"].cast("string")), ",")
+    return found.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), count("novel"), new.alias("new_bytes"))

@@ -236,6 +236,39 @@ def test_wrapped_secrets_and_words_after():
     assert novel("f00d" * 8 + "\n" + lines[1]) == []  # a digest is no secret to carry on
 
 
+@pytest.mark.parametrize("letters", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_secrets_of_any_alphabet_and_length(letters):
+    rng = np.random.default_rng(len(letters))
+    for n in (20, 24, 32, 40, 64, 95, 96, 97, 128, 256, 512, 1000, 2000):
+        key = "".join(rng.choice(list(letters), n))
+        while not X.mixed(key):
+            key = "".join(rng.choice(list(letters), n))
+        assert novel(f"private key material {key} end") == [key], n
+    assert novel("private key material " + "mailhost2.example.com/index-page/" * 20) == []
+    known = X.IDENTIFIERS + b" internal network services"  # a corpus that has such hosts has their words
+    assert X.find(b"auth server build7.internal.network.services.example.com", known) == []
+
+
+def test_long_texts_end():
+    """One early secret and many later candidates: work grows with the text."""
+    import time
+
+    line = "see Identifier27Name and other9Identifiers here, some words of text\n"
+    took = []
+    for n in (20_000, 80_000):
+        text = ('token = "q7RtX2mLz9KpV4sWb8Nc"\n' + "x " + line * n).encode()
+        began = time.time()
+        assert [k for _, k, _, _ in X.find(text)] == [0]
+        took.append(time.time() - began)
+    assert took[1] < 10 and took[1] < 10 * max(took[0], 0.1)
+
+
+def test_redaction_leaves_other_columns(spark):
+    odd = spark.createDataFrame([(1, "api_key = 'q7RtX2mLz9KpV4sWb8Nc' end", "many")], "doc_id long, text string, n_chars string")
+    row = X.redact(odd).first()
+    assert row["n_chars"] == "many" and row["text"] == "[SECRET]' end"
+
+
 def plain_alignment(a, b):
     """(best score, [start, end) of each best alignment in b) cell by cell."""
     best, places = 0, set()
