@@ -17,6 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from .neighbors import random_neighbor_score
 from .sampling import control_task, kfold, permute
 from .sets import union
@@ -101,8 +102,8 @@ def _score(done: DataFrame, regression: bool, by: Sequence[str]) -> DataFrame:
     return classification_metrics(done.where("truth is not null"), "truth", "pred", "proba", by)
 
 
-def evaluate(df: DataFrame, x: str, id: str, tasks: Sequence[str], plan: Sequence[Mapping], estimator: Factory | None = None, regression: bool = False, preprocess: Sequence[Estimator] = ()) -> DataFrame:
-    """ML4: ``task, metric, value`` and each split's names, for splits ``{"train": predicate, "test": predicate, names...}``.
+def split_predictions(df: DataFrame, x: str, id: str, tasks: Sequence[str], plan: Sequence[Mapping], estimator: Factory | None = None, regression: bool = False, preprocess: Sequence[Estimator] = ()) -> list[tuple[DataFrame, dict]]:
+    """ML4: the written predictions of each split's test rows (``id, task, truth, pred, proba``), with the split's names; each is made once, whatever is read from it.
 
     Preprocessing is fitted on the training rows alone. Fits are the one thing done in turn: one a split and task.
     """
@@ -113,10 +114,21 @@ def evaluate(df: DataFrame, x: str, id: str, tasks: Sequence[str], plan: Sequenc
             fitted = Pipeline(stages=list(preprocess)).fit(_features(train, x))
             of = lambda d: fitted.transform(_features(d, x)).withColumn(x, vector_to_array(preprocess[-1].getOutputCol())).drop("features", *[p.getOutputCol() for p in preprocess])  # noqa: B023,E731
             train, test = of(train), of(test)
-        done = predict_tasks(test, x, id, fit_tasks(train, x, tasks, estimator, regression))
-        names = {k: v for k, v in split.items() if k not in ("train", "test")}
-        out.append(_score(done, regression, ["task"]).withColumns({k: F.lit(v) for k, v in names.items()}))
-    return union(out, diagonal=True)
+        done = materialise(predict_tasks(test, x, id, fit_tasks(train, x, tasks, estimator, regression)))
+        out.append((done, {k: v for k, v in split.items() if k not in ("train", "test")}))
+    return out
+
+
+def evaluate(df: DataFrame, x: str, id: str, tasks: Sequence[str], plan: Sequence[Mapping], estimator: Factory | None = None, regression: bool = False, preprocess: Sequence[Estimator] = ()) -> DataFrame:
+    """ML4: ``task, metric, value`` and each split's names, for splits ``{"train": predicate, "test": predicate, names...}``."""
+    done = split_predictions(df, x, id, tasks, plan, estimator, regression, preprocess)
+    return union([_score(rows, regression, ["task"]).withColumns({k: F.lit(v) for k, v in names.items()}) for rows, names in done], diagonal=True)
+
+
+def cv_predictions(df: DataFrame, x: str, id: str, tasks: Sequence[str], k: int = 5, repeats: int = 1, seed: int = 0, stratify: str | None = None, **kw) -> DataFrame:
+    """ML4: each row's prediction by the model that was fitted without its fold, with ``iter``."""
+    done = split_predictions(kfold(df, id, k, repeats, seed, stratify), x, id, tasks, cv_plan(k, repeats), **kw)
+    return union([rows.withColumns({n: F.lit(v) for n, v in names.items()}) for rows, names in done], diagonal=True)
 
 
 def cv_plan(k: int, repeats: int = 1) -> list[dict]:

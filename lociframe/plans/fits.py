@@ -90,6 +90,62 @@ def _two(s, d):
     return e.withColumn("task", F.when(F.get("embedding", F.lit(0)) + F.get("embedding", F.lit(1)) > 0, "up").otherwise("down"))
 
 
+_FOLDS = "SELECT vec_id AS id, CAST(label AS INTEGER) AS label, CAST(embedding AS DOUBLE[]) AS x, (row_number() OVER (ORDER BY {h}, vec_id) - 1) % {k} AS fold FROM embeddings"
+
+
+def _folds(k: int) -> str:
+    return _FOLDS.format(h=drawn(0, "fold", "0", "vec_id"), k=k)
+
+
+@query(f"""WITH e AS (SELECT id, fold, x[1] AS x, 2 * x[2] + x[1] * x[1] AS y FROM ({_folds(3)})), f AS (SELECT DISTINCT fold FROM e), m AS (SELECT f.fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM f JOIN e ON e.fold <> f.fold GROUP BY f.fold),
+p AS (SELECT fold, y AS t, a * x + b AS p FROM e JOIN m USING (fold)), r AS (SELECT fold, t, p, rank() OVER (PARTITION BY fold ORDER BY t) + (count(*) OVER (PARTITION BY fold, t) - 1) / 2.0 AS u, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2.0 AS v FROM p),
+s AS (SELECT fold, avg((t - p) * (t - p)) AS mse, corr(t, p) AS pearson, corr(u, v) AS spearman, sqrt(avg((t - p) * (t - p))) / (max(t) - min(t)) AS nrmse FROM r GROUP BY fold)
+SELECT 'level' AS task, CAST(fold AS INTEGER) AS iter, metric, round(value, 6) AS value FROM s UNPIVOT (value FOR metric IN (mse, pearson, spearman, nrmse))""")
+def linear_cv(s, d):
+    """A least-squares line, whose fit and errors in each fold SQL can follow."""
+    from pyspark.ml.regression import LinearRegression
+
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    e = table(s, d, "embeddings").select("vec_id", F.array(at(0)).alias("x"), (2 * at(1) + at(0) * at(0)).alias("level"))
+    return rounded(models.cross_validate(e, "x", "vec_id", ["level"], 3, regression=True, estimator=LinearRegression(solver="normal")).select("task", "iter", "metric", "value"), "value")
+
+
+@query(f"""WITH e AS (SELECT id, fold, x[1] + x[2] > 0 AS b, CASE WHEN label < 3 THEN 'low' WHEN label < 7 THEN 'middle' ELSE 'top' END AS t FROM ({_folds(3)})), f AS (SELECT DISTINCT fold FROM e), c AS (SELECT f.fold, b, t, count(*) AS n FROM f JOIN e ON e.fold <> f.fold GROUP BY ALL),
+m AS (SELECT fold, b, t AS p FROM c QUALIFY row_number() OVER (PARTITION BY fold, b ORDER BY n DESC, t) = 1), q AS (SELECT fold, t, p, count(*) AS n FROM e JOIN m USING (fold, b) GROUP BY ALL), s AS (SELECT fold, sum(n) AS s, sum(n) FILTER (t = p) AS c FROM q GROUP BY 1),
+a AS (SELECT fold, t AS l, sum(n) AS nt FROM q GROUP BY ALL), z AS (SELECT fold, p AS l, sum(n) AS np FROM q GROUP BY ALL), g AS (SELECT fold, sum(coalesce(nt, 0) * coalesce(np, 0)) AS tp, sum(coalesce(nt, 0) ** 2) AS tt, sum(coalesce(np, 0) ** 2) AS pp FROM a FULL JOIN z USING (fold, l) GROUP BY fold),
+w AS (SELECT fold, c / s AS acc, (c / s - tp / (s * s)) / nullif(1 - tp / (s * s), 0) AS kappa, (c * s - tp) / nullif(sqrt((s * s - pp) * (s * s - tt)), 0) AS mcc FROM s JOIN g USING (fold))
+SELECT 'kind' AS task, CAST(fold AS INTEGER) AS iter, metric, round(value, 6) AS value FROM (SELECT fold, acc, coalesce(kappa, 0) AS kappa, coalesce(mcc, 0) AS mcc, (coalesce(mcc, 0) + 1) / 2 AS mcc_normalised FROM w) UNPIVOT (value FOR metric IN (acc, kappa, mcc, mcc_normalised))""")
+def stump_cv(s, d):
+    """A tree of one question, which answers with the commonest kind on each side, as SQL can count."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    kind = F.when(F.col("label") < 3, "low").when(F.col("label") < 7, "middle").otherwise("top")
+    e = table(s, d, "embeddings").select("vec_id", F.array((at(0) + at(1) > 0).cast("double")).alias("x"), kind.alias("kind"))
+    found = models.cross_validate(e, "x", "vec_id", ["kind"], 3, estimator=lambda width: DecisionTreeClassifier(maxDepth=1))
+    return rounded(found.where("metric NOT IN ('auroc', 'aupr')").select("task", "iter", "metric", "value"), "value")
+
+
+@query(f"""SELECT id, CAST(fold AS INTEGER) AS iter, 'task' AS task, CASE WHEN x[1]::FLOAT + x[2]::FLOAT > 0 THEN 'up' ELSE 'down' END AS truth, true AS known, 1.0 AS total FROM ({_folds(2)})""")
+def cv_predictions(s, d):
+    """Each row is predicted once, in its own fold, with a label of its task and probabilities that sum to 1."""
+    done = models.cv_predictions(_two(s, d), "embedding", "vec_id", ["task"], 2, estimator=models.classifier("forest", numTrees=5, maxDepth=3))
+    total = F.aggregate(F.map_values("proba"), F.lit(0.0), lambda a, v: a + v)
+    return rounded(done.select("id", "iter", "task", "truth", F.col("pred").isin("up", "down").alias("known"), total.alias("total")), "total")
+
+
+@query("""WITH l AS (SELECT vec_id, generate_subscripts(embedding, 1) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), c AS (SELECT a.p AS i, b.p AS j, covar_samp(a.x, b.x) AS v FROM l a JOIN l b USING (vec_id) GROUP BY ALL),
+q AS (SELECT a.i AS i, b.j AS j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.j = b.i GROUP BY ALL)
+SELECT 1 AS power, round(sum(v), 6) AS value FROM c WHERE i = j UNION ALL SELECT 2, round(sum(v), 6) FROM q WHERE i = j UNION ALL SELECT 3, round(sum(q.v * c.v), 6) FROM q JOIN c ON q.i = c.j AND q.j = c.i""")
+def pca_variances(s, d):
+    """The variances of all components are the eigenvalues of the covariance matrix: sums of their powers are traces of its powers."""
+    e = table(s, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    width = e.select(F.size("embedding")).first()[0]
+    pcs = models.pca(e, "embedding", width).select(F.posexplode("pc").alias("i", "v")).groupBy("i").agg(F.var_samp("v").alias("v"))
+    powers = F.explode(F.array(*[F.struct(F.lit(p).alias("power"), F.pow("v", F.lit(float(p))).alias("x")) for p in (1, 2, 3)]))
+    return rounded(pcs.select(powers.alias("r")).groupBy("r.power").agg(F.sum("r.x").alias("value")), "value")
+
+
 @query()
 def perceptron_cv(s, d):
     return models.cross_validate(_two(s, d), "embedding", "vec_id", ["task"], 2, estimator=lambda width: models.perceptron([width, 8, 2], maxIter=20))
