@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task holds as arrays at a time.
@@ -58,6 +58,31 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def text_key(text: Column) -> Column:
+    """What tells one text from another: a hash of it and its length; null is empty."""
+    filled = F.coalesce(text, F.lit(""))
+    return F.xxhash64(filled, F.octet_length(filled))
+
+
+def rows_named(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``first`` (a written table of ``id, th, many``) names by ``doc_id`` and text; of equal ones (``many``) one.
+
+    Whole texts are read once and meet ids; only where rows are repeated are those put together.
+    """
+    th = "__th"
+    while th in docs.columns:
+        th += "_"
+    keyed = docs.withColumn(th, text_key(F.col("text")))
+
+    def some(named: DataFrame) -> DataFrame:
+        named = named.select(F.col("id").alias(f"{th}id"), F.col("th").alias(f"{th}own"))
+        return keyed.join(named, (F.col(th) == F.col(f"{th}own")) & F.col("doc_id").cast("long").eqNullSafe(F.col(f"{th}id")), "left_semi")
+
+    if first.where("many").isEmpty():
+        return some(first).drop(th)
+    return some(first.where("not many")).unionByName(some(first.where("many")).dropDuplicates(["doc_id", th])).drop(th)
+
+
 def buffers_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets from 0, and bytes, of an Arrow array of strings or binaries."""
     wide = pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type)

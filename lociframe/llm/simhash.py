@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, only, parts, stage, text_blocks
+from .common import components, only, parts, rows_named, stage, text_blocks, text_key
 
 WORDS = 3
 SEED = 42
@@ -186,15 +186,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     return marked.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def first_of_each(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``id, th, many``: the row of the least id of each near-duplicate group, by its id and ``text_key``, and whether several rows are equal to it; a written table."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("th"), F.col("text"))
+    marked = stage(fingerprints(rows, words, keep_text=False), "marked")
+    named = classes(marked, max_bits)
+    first = named.where(F.col("first_id").eqNullSafe(F.col("component_id"))).groupBy("component", "component_id").agg(F.min("fp").alias("first_fp"))
+    met = marked.join(first, (F.col("fp") == F.col("first_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = met.groupBy("doc_id", "fp").agg(F.min("th").alias("th"), F.count("*").alias("k"))
+    return stage(least.select(F.col("doc_id").alias("id"), "th", (F.col("k") > 1).alias("many")), "first")
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs``, all columns, with one row of each near-duplicate group: the one of the least ``doc_id``."""
-    fp = "__fingerprint"
-    marked = stage(fingerprints(docs, words, name=fp), "marked")
-    named = classes(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp")), max_bits)
-    first = named.where(F.col("first_id").eqNullSafe(F.col("component_id"))).groupBy("component", "component_id").agg(F.min("fp").alias("fp"))
-    first = stage(first.select(F.col("fp").alias("__fp"), F.col("component_id").alias("__id")), "first")
-    kept = marked.join(first, (F.col(fp) == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", fp]).drop(fp)
+    return rows_named(docs, first_of_each(docs, words, max_bits))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Two texts are linked if the Jaccard similarity of their sets of ``WORDS``-word runs is at least 0.8. Texts
 of equal sets are one class. Candidates share one of ``BANDS`` bands of ``LINES`` min-hashes (a pair at the
 limit is missed in 1 of 12,000 cases) and have numbers of runs that allow the similarity; each is verified on
-the whole sets. In bands shared by more than ``CROWD`` classes all are compared with two of them first;
+the whole sets, which are made once. In bands shared by more than ``CROWD`` classes all are compared with two of them first;
 then those outside the band's largest component are compared with every member of other components, so
 that no pair which could join two components is left out.
 
@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, only, stage, text_blocks
+from .common import components, only, rows_named, stage, text_blocks, text_key
 
 WORDS = 5
 SEED = 42
 BANDS = 40
 LINES = 7
-CROWD = 64
+CROWD = 4
 #: Least similarity as a fraction of whole numbers, so that the limit itself is exact.
 OVER, UNDER = 4, 5
 FITS = f"{UNDER} * least(n_a, n_b) >= {OVER} * greatest(n_a, n_b)"
@@ -100,17 +100,22 @@ def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(texts: DataFrame, classes: DataFrame, words: int = WORDS, crowd: int = CROWD) -> DataFrame:
-    """Links ``a, b`` of ``c``, with the components of all similar pairs; ``classes`` has ``c, own, n, bands``."""
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs.distinct(), "pairs")
-        met = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-        owners = classes.join(met, "c").select("c", F.col("own.id").alias("own_id"), F.col("own.th").alias("own_th"))
-        sets = texts.join(owners, (F.col("th") == F.col("own_th")) & F.col("id").eqNullSafe(F.col("own_id"))).dropDuplicates(["c"]).select("c", "text").mapInArrow(set_rows(words), "c long, runs binary")
-        sets = stage(sets, "sets")
+    """Links ``a, b`` of ``c``, with the components of all similar pairs; ``classes`` has ``c, own, many, n, bands``."""
+
+    def run_sets_of(met: DataFrame) -> DataFrame:
+        owners = classes.join(met, "c").select("c", "many", F.col("own.id").alias("own_id"), F.col("own.th").alias("own_th"))
+        rows = texts.join(owners, (F.col("th") == F.col("own_th")) & F.col("id").eqNullSafe(F.col("own_id"))).select("c", "many", "text")
+        if repeated:
+            rows = rows.where("not many").unionByName(rows.where("many").dropDuplicates(["c"]))
+        rows = rows.select("c", "text")
+        return stage(rows.mapInArrow(set_rows(words), "c long, runs binary"), "sets")
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("c").alias(k), F.col("runs").alias(v)) for k, v in (("a", "x"), ("b", "y")))
         return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "links")
 
+    repeated = not classes.where("many").isEmpty()
+    ends = lambda pairs: pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     keyed = classes.select("c", "n", F.explode("bands").alias("val")).where("n > 0")
     sizes = stage(keyed.groupBy("val").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     shared = stage(keyed.join(sizes, "val"), "bands")
@@ -119,8 +124,11 @@ def links(texts: DataFrame, classes: DataFrame, words: int = WORDS, crowd: int =
     near = side(few, "a").join(side(few, "b"), "val").where(f"a < b AND {FITS}").select("a", "b")
     hubs = many.groupBy("val").agg(F.array(F.min(F.struct("c", "n")), F.max(F.struct("c", "n"))).alias("hubs")).select("val", F.explode("hubs").alias("hub")).select("val", F.col("hub.c").alias("b"), F.col("hub.n").alias("n_b"))
     stars = side(many, "a").join(hubs, "val").where(f"a <> b AND {FITS}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = verified(near.unionByName(stars))
-    if many.limit(1).count() == 0:
+    pairs = stage(near.unionByName(stars).distinct(), "pairs")
+    met = stage(ends(pairs), "met")
+    sets = run_sets_of(met)
+    found = verified(pairs, sets)
+    if many.isEmpty():
         return found
     member = stage(many.join(components(found), F.col("c") == F.col("node"), "left").select("val", "c", "n", F.coalesce("component", "c").alias("comp")), "members")
     count = member.groupBy("val", "comp").agg(F.count("*").alias("k")).groupBy("val").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
@@ -128,19 +136,30 @@ def links(texts: DataFrame, classes: DataFrame, words: int = WORDS, crowd: int =
     rest = side(member.where("comp <> top"), "a", F.col("comp").alias("comp_a"))
     others = side(member, "b", F.col("comp").alias("comp_b"))
     across = rest.join(others, "val").where(f"comp_a <> comp_b AND {FITS}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.unionByName(verified(across))
-
-
-def one_of_each(docs: DataFrame, words: int = WORDS, crowd: int = CROWD) -> DataFrame:
-    """``docs``, all columns, with one row of each group of similar texts: the one of the least ``doc_id``."""
-    text = F.coalesce("text", F.lit(""))
-    th = F.xxhash64(text, F.octet_length(text))
-    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), th.alias("th"), text.alias("text"))
-    marked = stage(texts.mapInArrow(band_rows(words), "id long, th long, key binary, n long, bands array<long>"), "marked")
+    across = stage(across.distinct().join(pairs, ["a", "b"], "left_anti"), "across")
+    more = stage(ends(across).join(met, "c", "left_anti"), "more")
+    if not more.isEmpty():
+        sets = sets.unionByName(run_sets_of(more))
+    return found.unionByName(verified(across, sets))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, crowd: int = CROWD, among: DataFrame | None = None) -> DataFrame:
+    """``docs``, all columns, with one row of each group of similar texts: the one of the least ``doc_id``.
+
+    ``among`` names the rows to choose from, by ``id, th`` (``common.text_key``): by default all. What is decided is decided on ids,
+    text hashes and bands; whole texts are read again where pairs are verified, and once at the end.
+    """
+    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    marked = texts.mapInArrow(band_rows(words), "id long, th long, key binary, n long, bands array<long>")
+    if among is not None:
+        named = among.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
+        marked = marked.join(named, (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    marked = stage(marked, "marked")
     classes = marked.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("own"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    again = marked.groupBy("id", "th").agg(F.count("*").alias("k")).where("k > 1").select(F.col("id").alias("_id"), F.col("th").alias("_th"))
+    classes = classes.join(again, (F.col("own.th") == F.col("_th")) & F.col("own.id").eqNullSafe(F.col("_id")), "left").select("own", "n", "bands", F.col("_th").isNotNull().alias("many"))
     classes = stage(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     found = components(links(texts, classes, words, crowd))
-    first = classes.join(found, F.col("c") == F.col("node"), "left").groupBy(F.coalesce("component", "c").alias("component")).agg(F.min("own").alias("own"))
-    first = stage(first.select(F.col("own.id").alias("__id"), F.col("own.th").alias("__own")), "first")
-    kept = docs.withColumn("__th", th).join(first, (F.col("__th") == F.col("__own")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__th"]).drop("__th")
+    first = classes.join(found, F.col("c") == F.col("node"), "left").groupBy(F.coalesce("component", "c").alias("component")).agg(F.min(F.struct("own", "many")).alias("m"))
+    first = first.select(F.col("m.own.id").alias("id"), F.col("m.own.th").alias("th"), F.col("m.many").alias("many"))
+    return rows_named(docs, stage(first, "first"))
