@@ -20,8 +20,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     those left, texts whose five-word runs are similar to 0.8 or more, which is too far for fingerprints of 64 bits, are
     grouped by the runs themselves.
     """
-    first = stage(simhash.one_of_each(docs, words=similar.WORDS), "fingerprinted")
-    return similar.one_of_each(first)
+    return similar.one_of_each(docs, among=simhash.first_of_each(docs, words=similar.WORDS))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
