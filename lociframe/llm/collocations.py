@@ -105,7 +105,8 @@ def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, offs, raw in text_blocks(batches, limit=BLOCK_BYTES):
         b = Block(rows, offs, raw, 0)
         at, n = _counted(b.lang * len(b.words) + b.index)
-        yield pa.RecordBatch.from_arrays([b.langs.take(pa.array(b.lang[at])), b.words.take(pa.array(b.index[at])), pa.array(n)], names=["lang", "word", "n"])
+        yield pa.RecordBatch.from_arrays([b.langs.take(pa.array(b.lang[at])), b.words.take(pa.array(b.index[at])), pa.array(n)],
+            names=["lang", "word", "n"])
 
 
 def _pair_counts(seed: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -121,7 +122,8 @@ def _pair_counts(seed: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _suffixes(seed: int, table: np.ndarray, heavy_words: np.ndarray, heavy_pairs: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _suffixes(seed: int, table: np.ndarray, heavy_words: np.ndarray, heavy_pairs: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]],
+    Iterator[pa.RecordBatch]]:
     """(grp, whole, lang, c1..c4, n): suffixes with counts, dealt by ``grp``; nodes of at least ``whole`` words are in one group."""
     mask = np.uint64(len(table) * 64 - 1)
 
@@ -154,7 +156,8 @@ def _suffixes(seed: int, table: np.ndarray, heavy_words: np.ndarray, heavy_pairs
             whole = np.where(again, DEPTH, np.where(split, 2, 1)).astype(np.int32)
             names = ["grp", "whole", "lang", "c1", "c2", "c3", "c4", "n"]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grp.view(np.int64)), pa.array(whole), b.langs.take(pa.array(b.lang[two])), *[pa.array(x.view(np.int64)) for x in c], pa.array(n)], names=names
+                [pa.array(grp.view(np.int64)), pa.array(whole), b.langs.take(pa.array(b.lang[two])),
+                    *[pa.array(x.view(np.int64)) for x in c], pa.array(n)], names=names
             )
 
     return run
@@ -185,7 +188,8 @@ def _subtrees(least: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
                 at = starts[keep]
                 if len(at):
                     cs = [keys[d][at] if d <= depth else np.zeros(len(at), np.int64) for d in range(1, DEPTH + 1)]
-                    yield pa.RecordBatch.from_arrays([col["lang"].take(pa.array(at)), *[pa.array(x) for x in cs], pa.array(totals[keep])], names=["lang", "c1", "c2", "c3", "c4", "n"])
+                    yield pa.RecordBatch.from_arrays([col["lang"].take(pa.array(at)), *[pa.array(x) for x in cs], pa.array(totals[keep])],
+                        names=["lang", "c1", "c2", "c3", "c4", "n"])
 
     return run
 
@@ -206,7 +210,8 @@ def _bit_table(pairs: DataFrame) -> np.ndarray:
     """A bit for each pair's hash, in 64-bit words: 16 bits or more a pair, up to ``TABLE_BITS`` in all."""
     bits = min(TABLE_BITS, max(1 << 13, 1 << (16 * pairs.count()).bit_length()))
     at = F.col("pair").bitwiseAND(bits - 1)
-    found = pairs.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((pair & {bits - 1}) & 63 as int))")).alias("bits")).toArrow()
+    found = pairs.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((pair & {bits - 1}) & 63 as int))"))
+        .alias("bits")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
     table[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return table
@@ -216,23 +221,27 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, split: int = SPLIT) -> tu
     """All words ``lang, word, n``, and the phrases of two to four words that occur ``least`` times, ``lang, words, a``; both written tables."""
     spark = docs.sparkSession
     rows = only(docs, "lang", "text").withColumns({"lang": F.col("lang").cast("string"), "text": F.col("text").cast("string")})
-    words = stage(rows.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    words = stage(rows.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")),
+        "words")
     seed, code = _seed(words)
-    pairs = stage(rows.mapInArrow(_pair_counts(seed), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "pairs")
+    pairs = stage(rows.mapInArrow(_pair_counts(seed), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= least), "pairs")
     total = words.agg(F.sum("n")).first()[0] or 0
     budget = max(least, total // (split * parts(spark)))
     hot = words.where(F.col("n") > budget).select("lang", "word").collect()  # at most split a shuffle partition, as are the pairs
     u64 = lambda w: xxhash.xxh64_intdigest(w.encode(), seed)
     heavy_words = np.unique(_mix(*(np.array([u64(r[c]) for r in hot], np.uint64) for c in ("lang", "word"))))
     heavy_pairs = np.array(sorted(r["pair"] for r in pairs.where(F.col("n") > budget).select("pair").collect()), np.uint64)
-    dealt = rows.mapInArrow(_suffixes(seed, _bit_table(pairs), heavy_words, heavy_pairs), "grp long, whole int, lang string, c1 long, c2 long, c3 long, c4 long, n long")
+    dealt = rows.mapInArrow(_suffixes(seed, _bit_table(pairs), heavy_words, heavy_pairs),
+        "grp long, whole int, lang string, c1 long, c2 long, c3 long, c4 long, n long")
     codes = ["c1", "c2", "c3", "c4"]
     groups = dealt.repartition(parts(spark), "grp").sortWithinPartitions("lang", *codes)
     nodes = groups.mapInArrow(_subtrees(least), "lang string, c1 long, c2 long, c3 long, c4 long, n long")
     frequent = stage(nodes.groupBy("lang", *codes).agg(F.sum("n").alias("a")).where(F.col("a") >= least), "nodes")
     names = words.where(F.col("n") >= least).select(code.alias("code"), "word").distinct()
     each = frequent.select("*", F.posexplode(F.array(*codes)).alias("at", "code")).where("code <> 0").join(names, "code")
-    spelt = each.groupBy("lang", *codes, "a").agg(F.array_sort(F.collect_list(F.struct("at", "word")))["word"].alias("words"))  # four words at most
+    spelt = each.groupBy("lang", *codes, "a").agg(F.array_sort(F.collect_list(F.struct("at", "word")))["word"]
+        .alias("words"))  # four words at most
     return words, stage(spelt.select("lang", "words", "a"), "phrases")
 
 
@@ -248,33 +257,44 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, cover: int
     counts = words.where(F.col("n") >= least).select("lang", F.col("word").alias("part"), F.col("n").alias("f"))
     counts = counts.unionByName(phrases.select("lang", F.concat_ws(" ", "words").alias("part"), F.col("a").alias("f")))
     cuts = phrases.select("*", F.concat_ws(" ", "words").alias("phrase"), F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "a", "k", text(F.lit(1), F.col("k")).alias("head"), text(F.col("k") + 1, size - F.col("k")).alias("rest"))
+    cuts = cuts.select("lang", "phrase", "a", "k", text(F.lit(1), F.col("k")).alias("head"),
+        text(F.col("k") + 1, size - F.col("k")).alias("rest"))
     cuts = cuts.join(counts.select("lang", F.col("part").alias("head"), F.col("f").alias("l")), ["lang", "head"])
     cuts = cuts.join(counts.select("lang", F.col("part").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
     whole = lambda c: F.col(c).cast("decimal(19,0)")
     score = F.expr("(cast(2000000 as decimal(7,0)) * cast(a as decimal(19,0))) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))")
     scored = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda m: F.transform(F.sequence(F.lit(1), size - m + 1), lambda s: text(s, m))))
-    longer = phrases.where(size > 2).select("lang", F.explode(spans).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("over"))
+    spans = F.flatten(F.transform(F.sequence(F.lit(2), size - 1),
+        lambda m: F.transform(F.sequence(F.lit(1), size - m + 1), lambda s: text(s, m))))
+    longer = phrases.where(size > 2).select("lang", F.explode(spans).alias("phrase"), "a").groupBy("lang",
+        "phrase").agg(F.max("a").alias("over"))
     own = scored.join(longer, ["lang", "phrase"], "left").where(F.col("over").isNull() | (whole("over") * 100 < whole("a") * cover))
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
+    ranked = own.withColumn("rank",
+        F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n",
+        "cut.score")
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-OP13_SQL = f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+OP13_SQL = f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+ 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
 lists AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS ws FROM pieces),
-grams AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM lists, range(1, {DEPTH + 1}) sizes(m) WHERE len(ws) >= m),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+ FROM lists, range(1, {DEPTH + 1}) sizes(m) WHERE len(ws) >= m),
 counts AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
 totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang),
 cands AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM counts WHERE m > 1 AND f >= {LEAST}),
-cuts AS (SELECT lang, phrase, m, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:m], ' ') AS rest FROM cands, range(1, {DEPTH}) ks(k) WHERE k < m),
-scored AS (SELECT c.*, h.f AS l, r.f AS r, (2000000::HUGEINT * a // (h.f + r.f))::BIGINT AS score FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts r ON r.lang = c.lang AND r.phrase = c.rest),
+cuts AS (SELECT lang, phrase, m, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:m], ' ') AS rest FROM cands, range(1,
+ {DEPTH}) ks(k) WHERE k < m),
+scored AS (SELECT c.*, h.f AS l, r.f AS r, (2000000::HUGEINT * a // (h.f + r.f))::BIGINT AS score FROM cuts c
+ JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts r ON r.lang = c.lang AND r.phrase = c.rest),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
-inner_ AS (SELECT lang, max(a) AS over, array_to_string(ws[s:s + k - 1], ' ') AS phrase FROM cands, range(2, {DEPTH}) ks(k), range(1, {DEPTH}) ss(s) WHERE k < m AND s + k - 1 <= m GROUP BY ALL),
+inner_ AS (SELECT lang, max(a) AS over, array_to_string(ws[s:s + k - 1], ' ') AS phrase FROM cands, range(2, {DEPTH}) ks(k), range(1,
+ {DEPTH}) ss(s) WHERE k < m AND s + k - 1 <= m GROUP BY ALL),
 own AS (SELECT b.* FROM best b LEFT JOIN inner_ i USING (lang, phrase) WHERE i.over IS NULL OR 100 * i.over::HUGEINT < {COVER} * b.a)
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM own JOIN totals USING (lang) QUALIFY rank <= {TOP}"""
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM own
+ JOIN totals USING (lang) QUALIFY rank <= {TOP}"""

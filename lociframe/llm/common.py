@@ -87,7 +87,8 @@ def buffers_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets from 0, and bytes, of an Arrow array of strings or binaries."""
     wide = pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type)
     _, off, data = arr.buffers()
-    offs = np.frombuffer(off, np.int64 if wide else np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64) if len(arr) else np.zeros(1, np.int64)
+    offs = np.frombuffer(off, np.int64 if wide else np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64) if len(
+        arr) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return offs - offs[0], raw[offs[0] : offs[-1]]
 
@@ -111,7 +112,8 @@ def text_blocks(
 
 
 def batch_of(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c,
+        f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def crc_mod(col: str, n: int):
@@ -139,7 +141,8 @@ def forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parent[max(ra, rb)] = min(ra, rb)
         pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
         if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
+                names=["a", "b"])
 
 
 def _stars(edges: DataFrame, least: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 def leaf_hash(*values: Column) -> Column:
     texts = [v.cast("string") for v in values]
-    return F.sha2(F.concat(*[F.when(t.isNull(), "-").otherwise(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t)) for t in texts]), 256)
+    return F.sha2(F.concat(*[F.when(t.isNull(), "-").otherwise(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t)) for t in texts]),
+        256)
 
 
 def hashed(text: str) -> str:
@@ -138,7 +139,8 @@ def _grow(levels: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Recor
         n = rows.column(rows.schema.get_field_index("n"))[0].as_py()
         root = tree.root(n <= ARITY**levels)
         witness = pa.array([bytes.fromhex("".join(w)) for w in tree.witness], pa.binary())
-        return pa.RecordBatch.from_arrays([*rows.columns, witness, pa.array([root] * len(rows))], names=[*rows.schema.names, "witness", "root"])
+        return pa.RecordBatch.from_arrays([*rows.columns, witness, pa.array([root] * len(rows))],
+            names=[*rows.schema.names, "witness", "root"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -164,14 +166,16 @@ def tree_rounds(nodes: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
     """Rounds of block trees over ``key, pos, n, digest`` and other columns, each round's nodes with ``block, witness, root``."""
     size, rounds, now = ARITY**levels, [], nodes
     while True:
-        cut = now.withColumn("block", F.floor(F.col("pos") / size)).repartition(parts(now.sparkSession), "key", "block").sortWithinPartitions("key", "block", "pos")
+        cut = now.withColumn("block", F.floor(F.col("pos") / size)).repartition(parts(now.sparkSession), "key",
+            "block").sortWithinPartitions("key", "block", "pos")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields) + ", witness binary, root string"
         done = stage(cut.mapInArrow(_grow(levels), schema), "blocks")
         rounds.append(done)
         top = done.agg(F.max("n")).first()[0] or 0
         if top <= size:
             return rounds
-        now = done.where(F.col("pos") % size == 0).select("key", F.col("block").alias("pos"), F.ceil(F.col("n") / size).alias("n"), F.col("root").alias("digest"))
+        now = done.where(F.col("pos") % size == 0).select("key", F.col("block").alias("pos"), F.ceil(F.col("n") / size).alias("n"),
+            F.col("root").alias("digest"))
 
 
 def full_witnesses(rounds: Sequence[DataFrame], above: DataFrame) -> DataFrame:
@@ -188,13 +192,15 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
         proofs, folded = [], []
-        for leaf, changed, pos, n, s_pos, s_n, up in zip(*(cols[c].to_pylist() for c in ("digest", "tampered", "pos", "n", "s_pos", "s_n", "up")), strict=True):
+        for leaf, changed, pos, n, s_pos, s_n, up in zip(
+            *(cols[c].to_pylist() for c in ("digest", "tampered", "pos", "n", "s_pos", "s_n", "up")), strict=True):
             text = up.hex()
             proofs.append(hashed(text))
             folded.append(fold(leaf if changed is None else changed, ((pos, n), (s_pos, s_n)), text))
         roots = cols["top"].to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [cols["doc_id"], cols["digest"], cols["subroot"], cols["top"], pa.array(proofs, pa.string()), pa.array(folded, pa.string()), pa.array([a == b for a, b in zip(folded, roots, strict=True)], pa.bool_())],
+            [cols["doc_id"], cols["digest"], cols["subroot"], cols["top"], pa.array(proofs, pa.string()), pa.array(folded, pa.string()),
+                pa.array([a == b for a, b in zip(folded, roots, strict=True)], pa.bool_())],
             names=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
         )
 
@@ -209,16 +215,19 @@ def manifest(docs: DataFrame, altered: Column | None = None, levels: int = LEVEL
     same = F.col("text").eqNullSafe(now)
     others = [F.col(c) for c in FIELDS[:-1]]
     leaves = rows.select(
-        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("key"),
+            F.col("doc_id").cast("long").alias("doc_id"),
         leaf_hash(*others, F.col("text")).alias("digest"), F.when(~same, leaf_hash(*others, now)).alias("tampered"),
     )
     rounds = tree_rounds(placed(leaves, "key", ["doc_id", "digest"]), levels)
     subroots = rounds[-1].where("pos = 0").select(F.lit("").alias("key"), F.col("key").alias("name"), F.col("root").alias("digest"))
     over = tree_rounds(placed(subroots, "key", ["name"]), levels)
     top = over[-1].where("pos = 0").select("key", F.col("root").alias("top"), F.lit(b"").alias("up"))
-    above = full_witnesses(over, top).select(F.col("name").alias("key"), F.col("digest").alias("subroot"), "top", F.col("pos").alias("s_pos"), F.col("n").alias("s_n"), "up")
+    above = full_witnesses(over, top).select(F.col("name").alias("key"), F.col("digest").alias("subroot"), "top",
+        F.col("pos").alias("s_pos"), F.col("n").alias("s_n"), "up")
     whole = full_witnesses(rounds, above)
-    return whole.mapInArrow(_verify, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    return whole.mapInArrow(_verify,
+        "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
 
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,25 +241,35 @@ _RUN = "string_agg(d, '' ORDER BY i)"
 _LEAF = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in FIELDS)
 
 #: Bitwise CRC-32 of the id's digits; then levels of runs of three from the leaves up, and proofs folded along them.
-OP12_SQL = f"""WITH RECURSIVE crcs AS (SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * length(CAST(doc_id AS VARCHAR)))), lambda c, k:
+OP12_SQL = f"""WITH RECURSIVE crcs AS (SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, range(0,
+ 8 * length(CAST(doc_id AS VARCHAR)))), lambda c, k:
   CASE WHEN (CASE WHEN k % 8 = 0 THEN xor(c, ascii(CAST(doc_id AS VARCHAR)[(k // 8 + 1)::INTEGER])::BIGINT) ELSE c END) % 2 = 1
   THEN xor((CASE WHEN k % 8 = 0 THEN xor(c, ascii(CAST(doc_id AS VARCHAR)[(k // 8 + 1)::INTEGER])::BIGINT) ELSE c END) // 2, 3988292384)
-  ELSE (CASE WHEN k % 8 = 0 THEN xor(c, ascii(CAST(doc_id AS VARCHAR)[(k // 8 + 1)::INTEGER])::BIGINT) ELSE c END) // 2 END) AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
-rows0 AS (SELECT d.*, coalesce('=' || d.source, '') AS key, CASE WHEN c % 2 = 1 THEN replace(text, chr(10), '') ELSE text END AS altered FROM documents d LEFT JOIN crcs USING (doc_id)),
+  ELSE (CASE WHEN k % 8 = 0 THEN xor(c, ascii(CAST(doc_id AS VARCHAR)[(k // 8 + 1)::INTEGER])::BIGINT) ELSE c END) // 2 END) AS c
+ FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+rows0 AS (SELECT d.*, coalesce('=' || d.source, '') AS key, CASE WHEN c % 2 = 1 THEN replace(text, chr(10), '') ELSE text END AS altered
+ FROM documents d LEFT JOIN crcs USING (doc_id)),
 hashes AS (SELECT key, doc_id, sha256({_LEAF}) AS leaf, sha256({_LEAF.replace("text", "altered")}) AS now FROM rows0),
-leaves AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM hashes),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY key) AS n
+ FROM hashes),
 low AS (SELECT key, 0 AS level, i, n, leaf AS d FROM leaves UNION ALL
  SELECT key, level + 1, i // 3, (any_value(n) + 2) // 3, sha256({_RUN}) FROM low WHERE n > 1 GROUP BY key, level, i // 3),
 subs AS (SELECT key, d, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
-high AS (SELECT 0 AS level, i, n, d FROM subs UNION ALL SELECT level + 1, i // 3, (any_value(n) + 2) // 3, sha256({_RUN}) FROM high WHERE n > 1 GROUP BY level, i // 3),
+high AS (SELECT 0 AS level, i, n, d FROM subs UNION ALL SELECT level + 1, i // 3, (any_value(n) + 2) // 3, sha256({_RUN}) FROM high
+ WHERE n > 1 GROUP BY level, i // 3),
 every AS (SELECT '=' || key AS key, level, i, d FROM low UNION ALL SELECT '', level, i, d FROM high),
-walk AS (SELECT row_number() OVER () AS id, doc_id, leaf, now, key, 0 AS level, i, n, false AS upper, now AS d, '' AS proof FROM leaves UNION ALL
- SELECT w.id, w.doc_id, w.leaf, w.now, w.key, CASE WHEN w.n > 1 THEN w.level + 1 ELSE 0 END, CASE WHEN w.n > 1 THEN w.i // 3 ELSE s.i END, CASE WHEN w.n > 1 THEN (w.n + 2) // 3 ELSE s.n END, w.upper OR w.n = 1,
-  CASE WHEN w.n = 1 THEN w.d ELSE sha256(concat(CASE WHEN w.i % 3 = 0 THEN w.d ELSE a.d END, CASE WHEN w.i % 3 = 1 THEN w.d ELSE b.d END, CASE WHEN w.i % 3 = 2 THEN w.d ELSE c.d END)) END,
-  CASE WHEN w.n = 1 THEN w.proof ELSE w.proof || concat(CASE WHEN w.i % 3 <> 0 THEN a.d END, CASE WHEN w.i % 3 <> 1 THEN b.d END, CASE WHEN w.i % 3 <> 2 THEN c.d END) END
+walk AS (SELECT row_number() OVER () AS id, doc_id, leaf, now, key, 0 AS level, i, n, false AS upper, now AS d, '' AS proof FROM leaves
+ UNION ALL
+ SELECT w.id, w.doc_id, w.leaf, w.now, w.key, CASE WHEN w.n > 1 THEN w.level + 1 ELSE 0 END, CASE WHEN w.n > 1 THEN w.i // 3 ELSE s.i END,
+ CASE WHEN w.n > 1 THEN (w.n + 2) // 3 ELSE s.n END, w.upper OR w.n = 1,
+  CASE WHEN w.n = 1 THEN w.d ELSE sha256(concat(CASE WHEN w.i % 3 = 0 THEN w.d ELSE a.d END, CASE WHEN w.i % 3 = 1 THEN w.d ELSE b.d END,
+ CASE WHEN w.i % 3 = 2 THEN w.d ELSE c.d END)) END,
+  CASE WHEN w.n = 1 THEN w.proof ELSE w.proof || concat(CASE WHEN w.i % 3 <> 0 THEN a.d END, CASE WHEN w.i % 3 <> 1 THEN b.d END, CASE
+ WHEN w.i % 3 <> 2 THEN c.d END) END
  FROM walk w JOIN subs s USING (key)
  LEFT JOIN every a ON a.key = CASE WHEN w.upper THEN '' ELSE '=' || w.key END AND a.level = w.level AND a.i = w.i // 3 * 3
  LEFT JOIN every b ON b.key = CASE WHEN w.upper THEN '' ELSE '=' || w.key END AND b.level = w.level AND b.i = w.i // 3 * 3 + 1
  LEFT JOIN every c ON c.key = CASE WHEN w.upper THEN '' ELSE '=' || w.key END AND c.level = w.level AND c.i = w.i // 3 * 3 + 2
  WHERE w.n > 1 OR NOT w.upper)
-SELECT w.doc_id, w.leaf, s.d AS subroot, r.d AS root, sha256(w.proof) AS proof_sha256, w.d AS folded_root, w.d = r.d AS verified FROM walk w JOIN subs s USING (key), (SELECT d FROM high WHERE n = 1) r WHERE w.upper AND w.n = 1"""
+SELECT w.doc_id, w.leaf, s.d AS subroot, r.d AS root, sha256(w.proof) AS proof_sha256, w.d AS folded_root, w.d = r.d AS verified FROM walk w
+ JOIN subs s USING (key), (SELECT d FROM high WHERE n = 1) r WHERE w.upper AND w.n = 1"""

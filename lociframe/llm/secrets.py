@@ -35,7 +35,8 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{16}")
 NOT_BLANK = re.compile(r"\S")
 STRING = re.compile(r"[A-Za-z0-9+/_=-](?:[A-Za-z0-9+/_.=-]{10,})[A-Za-z0-9+/_=-]")
-SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?|secret|token|api[_-]?key|[_-]key\b|\bkey\b|auth|bearer|credential|private|signature|\bpwd\b", re.I | re.A)
+SENSITIVE = re.compile(
+    r"pass(?:word|wd|phrase)?|secret|token|api[_-]?key|[_-]key\b|\bkey\b|auth|bearer|credential|private|signature|\bpwd\b", re.I | re.A)
 SENSITIVE_BYTES = (b"pass", b"secret", b"token", b"key", b"auth", b"bearer", b"credential", b"private", b"signature", b"pwd")
 ASSIGN_BYTES = (b"password", b"passwd", b"secret", b"token", b"api")
 CONTEXT = 64
@@ -63,7 +64,8 @@ def word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter[bytes] = Counter()
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())],
+            names=["word", "n"])
         held.clear()
         return out
 
@@ -83,7 +85,8 @@ def identifiers(docs: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
     counts = only(docs, "text").mapInArrow(word_rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counts = stage(counts.withColumn("saved", F.col("n") * F.octet_length("word")), "words")
     most = size // (LEAST_WORD + 1)  # words that the dictionary can hold
-    sizes = counts.groupBy(F.floor(F.log2("saved")).alias("power")).agg(F.count("*").alias("k")).orderBy(F.desc("power")).collect()  # 64 rows at most
+    sizes = counts.groupBy(F.floor(F.log2("saved")).alias("power")).agg(F.count("*").alias("k")).orderBy(F.desc("power")).collect(
+        )  # 64 rows at most
     least, held = 0, 0
     for r in sizes:  # only words that may be among the best are sorted
         held, least = held + r["k"], r["power"]
@@ -93,7 +96,8 @@ def identifiers(docs: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
     out, left = [], size
     for r in best:
         word = bytes(r["word"])
-        if len(word) + 1 <= left and not (len(word) >= NOVEL_BYTES and mixed(word.decode("utf-8", "replace"))):  # it could be a secret itself
+        if len(word) + 1 <= left and not (len(word) >= NOVEL_BYTES
+            and mixed(word.decode("utf-8", "replace"))):  # it could be a secret itself
             out.append(word)
             left -= len(word) + 1
     return IDENTIFIERS + b" " + b" ".join(out[::-1])
@@ -151,7 +155,8 @@ def near_sensitive(text: str, start: int, end: int) -> bool:
 
 def mixed(s: str) -> bool:
     """Letters with digits, or capitals inside of a word."""
-    return any(c.isalpha() for c in s) and (any(c.isdigit() for c in s) or any(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False)))
+    return any(c.isalpha() for c in s) and (any(c.isdigit() for c in s)
+        or any(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False)))
 
 
 def novel_spans(text: str, low: bytes, base: list[Span], known: bytes = IDENTIFIERS) -> list[Span]:
@@ -214,7 +219,8 @@ def scan(docs: DataFrame, known: bytes | None = None) -> DataFrame:
     ``known`` is the dictionary of identifiers, by default that of ``docs``.
     """
     known = identifiers(docs) if known is None else known
-    return only(docs, "doc_id", "text").mapInArrow(scan_rows(known), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {SPANS_SQL}")
+    return only(docs, "doc_id", "text").mapInArrow(scan_rows(known),
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {SPANS_SQL}")
 
 
 def redact_rows(mark: str, known: bytes) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -251,8 +257,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    line = lambda spans: F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"] != "novel")
     new = F.array_join(F.transform("spans", lambda x: x["new_bytes"].cast("string")), ",")
-    return found.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), count("novel"), new.alias("new_bytes"))
+    return found.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(line(base), 256).alias("base_sha256"),
+        line(F.col("spans")).alias("spans"), count("novel"), new.alias("new_bytes"))

@@ -71,8 +71,11 @@ def band_rows(words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
                         value = (value ^ (low >> np.uint64(7)) ^ low) * mix[i, j]
                         value ^= value >> np.uint64(32)
                     bands[full, i] = value
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(n), lists], names=["id", "th", "key", "n", "bands"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS),
+                pa.array(bands.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1),
+                pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(n), lists],
+                    names=["id", "th", "key", "n", "bands"])
 
     return run
 
@@ -82,7 +85,8 @@ def set_rows(words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, off, data in text_blocks(batches):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in run_sets(off, data, words)], pa.binary())], names=["c", "runs"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in run_sets(off, data, words)], pa.binary())],
+                names=["c", "runs"])
 
     return run
 
@@ -122,20 +126,25 @@ def links(texts: DataFrame, classes: DataFrame, words: int = WORDS, crowd: int =
     side = lambda df, k, *more: df.select("val", F.col("c").alias(k), F.col("n").alias(f"n_{k}"), *more)
     few, many = shared.where(F.col("size") <= crowd), shared.where(F.col("size") > crowd)
     near = side(few, "a").join(side(few, "b"), "val").where(f"a < b AND {FITS}").select("a", "b")
-    hubs = many.groupBy("val").agg(F.array(F.min(F.struct("c", "n")), F.max(F.struct("c", "n"))).alias("hubs")).select("val", F.explode("hubs").alias("hub")).select("val", F.col("hub.c").alias("b"), F.col("hub.n").alias("n_b"))
-    stars = side(many, "a").join(hubs, "val").where(f"a <> b AND {FITS}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hubs = many.groupBy("val").agg(F.array(F.min(F.struct("c", "n")), F.max(F.struct("c", "n"))).alias("hubs")).select("val",
+        F.explode("hubs").alias("hub")).select("val", F.col("hub.c").alias("b"), F.col("hub.n").alias("n_b"))
+    stars = side(many, "a").join(hubs, "val").where(f"a <> b AND {FITS}").select(F.least("a", "b").alias("a"),
+        F.greatest("a", "b").alias("b"))
     pairs = stage(near.unionByName(stars).distinct(), "pairs")
     met = stage(ends(pairs), "met")
     sets = run_sets_of(met)
     found = verified(pairs, sets)
     if many.isEmpty():
         return found
-    member = stage(many.join(components(found), F.col("c") == F.col("node"), "left").select("val", "c", "n", F.coalesce("component", "c").alias("comp")), "members")
-    count = member.groupBy("val", "comp").agg(F.count("*").alias("k")).groupBy("val").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    member = stage(many.join(components(found), F.col("c") == F.col("node"), "left").select("val", "c", "n",
+        F.coalesce("component", "c").alias("comp")), "members")
+    count = member.groupBy("val", "comp").agg(F.count("*").alias("k")).groupBy("val").agg(F.max(F.struct("k", "comp")).alias("top"),
+        F.count("*").alias("comps")).where("comps > 1")
     member = stage(member.join(count.select("val", F.col("top.comp").alias("top")), "val"), "split")
     rest = side(member.where("comp <> top"), "a", F.col("comp").alias("comp_a"))
     others = side(member, "b", F.col("comp").alias("comp_b"))
-    across = rest.join(others, "val").where(f"comp_a <> comp_b AND {FITS}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = rest.join(others, "val").where(f"comp_a <> comp_b AND {FITS}").select(F.least("a", "b").alias("a"),
+        F.greatest("a", "b").alias("b"))
     across = stage(across.distinct().join(pairs, ["a", "b"], "left_anti"), "across")
     more = stage(ends(across).join(met, "c", "left_anti"), "more")
     if not more.isEmpty():
@@ -149,17 +158,22 @@ def one_of_each(docs: DataFrame, words: int = WORDS, crowd: int = CROWD, among:
     ``among`` names the rows to choose from, by ``id, th`` (``common.text_key``): by default all. What is decided is decided on ids,
     text hashes and bands; whole texts are read again where pairs are verified, and once at the end.
     """
-    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("th"),
+        F.coalesce("text", F.lit("")).alias("text"))
     marked = texts.mapInArrow(band_rows(words), "id long, th long, key binary, n long, bands array<long>")
     if among is not None:
         named = among.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
         marked = marked.join(named, (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     marked = stage(marked, "marked")
-    classes = marked.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("own"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    again = marked.groupBy("id", "th").agg(F.count("*").alias("k")).where("k > 1").select(F.col("id").alias("_id"), F.col("th").alias("_th"))
-    classes = classes.join(again, (F.col("own.th") == F.col("_th")) & F.col("own.id").eqNullSafe(F.col("_id")), "left").select("own", "n", "bands", F.col("_th").isNotNull().alias("many"))
+    classes = marked.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("own"),
+        F.first("n").alias("n"), F.first("bands").alias("bands"))
+    again = marked.groupBy("id", "th").agg(F.count("*").alias("k")).where("k > 1").select(F.col("id").alias("_id"),
+        F.col("th").alias("_th"))
+    classes = classes.join(again, (F.col("own.th") == F.col("_th")) & F.col("own.id").eqNullSafe(F.col("_id")), "left").select("own", "n",
+        "bands", F.col("_th").isNotNull().alias("many"))
     classes = stage(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     found = components(links(texts, classes, words, crowd))
-    first = classes.join(found, F.col("c") == F.col("node"), "left").groupBy(F.coalesce("component", "c").alias("component")).agg(F.min(F.struct("own", "many")).alias("m"))
+    first = classes.join(found, F.col("c") == F.col("node"), "left").groupBy(F.coalesce("component", "c").alias("component")).agg(
+        F.min(F.struct("own", "many")).alias("m"))
     first = first.select(F.col("m.own.id").alias("id"), F.col("m.own.th").alias("th"), F.col("m.many").alias("many"))
     return rows_named(docs, stage(first, "first"))

@@ -42,7 +42,8 @@ class Rule:
 
 
 #: The rules of the query.
-RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
+RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
 
 # Subjects of sites to keep and of sites to leave out, and syllables of invented names, from which the labelled table is built.
 KEPT = (
@@ -64,14 +65,17 @@ SYLLABLES = "ba co di fen gor han il ket lor men non or per qua res sol th ti un
 
 def labelled_rows() -> list[tuple[str, int]]:
     """``url, blocked`` by rule: each subject in three forms, and invented names, which are kept."""
-    names = [a + b + c for i, a in enumerate(SYLLABLES) for b in (SYLLABLES[(i * 7 + 3) % len(SYLLABLES)],) for c in ("", SYLLABLES[(i * 5 + 11) % len(SYLLABLES)], SYLLABLES[(i * 11 + 2) % len(SYLLABLES)])]
+    names = [a + b + c for i, a in enumerate(SYLLABLES) for b in (SYLLABLES[(i * 7 + 3) % len(SYLLABLES)],)
+        for c in ("", SYLLABLES[(i * 5 + 11) % len(SYLLABLES)], SYLLABLES[(i * 11 + 2) % len(SYLLABLES)])]
     tops, tongues = ("com", "org", "net"), ("en", "de", "fr", "es")
     out = []
     for blocked, subjects in ((0, KEPT + names), (1, LEFT_OUT)):
         for i, s in enumerate(subjects):
             top, tongue = tops[i % 3], tongues[i % 4]
-            out += [(f"https://www.{s}.example.{top}/{tongue}/{i * 37 % 991}.html", blocked), (f"http://{s}.example.{tops[(i + 1) % 3]}/", blocked)]
-            out += [(f"https://{('m', 'blog')[i % 2]}.{s}.example.{tops[(i + 2) % 3]}/{tongues[(i + 1) % 4]}/{i * 53 % 997}/", blocked), (f"https://pages.example.{top}/{s}/{i}", blocked)]
+            out += [(f"https://www.{s}.example.{top}/{tongue}/{i * 37 % 991}.html", blocked),
+                (f"http://{s}.example.{tops[(i + 1) % 3]}/", blocked)]
+            out += [(f"https://{('m', 'blog')[i % 2]}.{s}.example.{tops[(i + 2) % 3]}/{tongues[(i + 1) % 4]}/{i * 53 % 997}/", blocked),
+                (f"https://pages.example.{top}/{s}/{i}", blocked)]
     return out
 
 
@@ -90,7 +94,8 @@ def _after(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """The position in ``rules`` of the one that counts, or null; for lists that fit an expression."""
     order = sorted(range(len(rules)), key=lambda i: (-len(str(rules[i])), -len(rules[i].host), rules[i].action != "block", i))
-    fits = [F.when(((host == r.host) | F.endswith(host, F.lit(f".{r.host}"))) & F.startswith(path, F.lit(r.path)), i) for i in order for r in (rules[i],)]
+    fits = [F.when(((host == r.host) | F.endswith(host, F.lit(f".{r.host}"))) & F.startswith(path, F.lit(r.path)), i) for i in order
+        for r in (rules[i],)]
     return F.coalesce(*fits) if fits else F.lit(None).cast("int")
 
 
@@ -136,8 +141,10 @@ class UrlModel:
 def fit_urls(labelled: DataFrame, steps: int = 400, rate: float = 4.0, ridge: float = 2e-4, most: int = MOST_LABELLED) -> UrlModel:
     """Logistic regression of ``url, blocked`` (1 or 0; null labels are left out) by gradient descent with momentum, in numpy; no labels at all give one half everywhere."""
     url = F.col("url")
-    some = labelled.where(F.col("blocked").isNotNull()).orderBy(F.xxhash64("url"), "url", "blocked").limit(most)  # a bound on what the driver gets
-    got = some.select(host_of(url).alias("h"), path_of(url).alias("p"), F.col("blocked").cast("double").alias("y")).toArrow().combine_chunks()
+    some = labelled.where(F.col("blocked").isNotNull()).orderBy(F.xxhash64("url"), "url",
+        "blocked").limit(most)  # a bound on what the driver gets
+    got = some.select(host_of(url).alias("h"), path_of(url).alias("p"), F.col("blocked").cast("double").alias("y")).toArrow(
+        ).combine_chunks()
     weights, bias = np.zeros(BUCKETS), 0.0
     y = got["y"].to_numpy()
     if not len(y):

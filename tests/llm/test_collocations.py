@@ -40,14 +40,16 @@ def texts(seed: int, docs: int) -> list[tuple]:
     for _ in range(docs):
         ws = []
         for _ in range(rnd.randrange(0, 60)):
-            ws += rnd.choice([["new", "york", "City"], ["THE", "city", "hall", "of"], [rnd.choice(vocab)], [rnd.choice(vocab) + rnd.choice(".,;:!?\n\r\x0b\x0c")], ["\t", ""]])
+            ws += rnd.choice([["new", "york", "City"], ["THE", "city", "hall", "of"], [rnd.choice(vocab)],
+                [rnd.choice(vocab) + rnd.choice(".,;:!?\n\r\x0b\x0c")], ["\t", ""]])
         out.append((rnd.choice(["en", "de", None, "und", ""]), " ".join(ws)))
     return out
 
 
 @pytest.mark.parametrize(("least", "split", "top"), [(2, 16, 2000), (3, 1, 5), (5, 2000, 2000)])
 def test_same_as_counting_all(spark, least, split, top):
-    rows = texts(least, 150) + [(None, None), ("en", ""), ("en", " \t "), ("en", "..,"), ("fr", "one")] + [("en", "new york city hall of the new york city")] * 40
+    rows = texts(least, 150) + [(None, None), ("en", ""), ("en", " \t "), ("en", "..,"),
+        ("fr", "one")] + [("en", "new york city hall of the new york city")] * 40
     docs = spark.createDataFrame(rows, "lang string, text string")
     clash = docs.withColumns({c: F.lit("q") for c in ("word", "n", "words", "a", "grp", "c1")}).repartition(6)
     got = sorted(tuple(r) for r in C.collocations(clash, least, top, split=split).collect())

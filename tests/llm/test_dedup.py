@@ -74,7 +74,8 @@ def test_simhash_against_brute_force(spark, docs, texts):
 def test_crowds_are_linked_alike(spark):
     rng = np.random.default_rng(2)
     center = rng.integers(0, 1 << 63, 3)
-    fps = {int(c) for c in center} | {int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in center for a, b in rng.integers(0, 63, (40, 2))} | {int(x) for x in rng.integers(0, 1 << 63, 50)}
+    fps = {int(c) for c in center} | {int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in center for a, b in rng.integers(0, 63, (40, 2))} | {
+        int(x) for x in rng.integers(0, 1 << 63, 50)}
     df = spark.createDataFrame([(x,) for x in sorted(fps)], "fp long")
     order = sorted(fps)
     want = groups(len(order), [(i, j) for i in range(len(order)) for j in range(i) if (order[i] ^ order[j]).bit_count() <= 2])
@@ -92,7 +93,8 @@ def test_pivots_only_discard_far_pairs():
     fps = rng.integers(0, 1 << 63, 60).astype(np.uint64)
     fps = np.r_[fps, fps[:20] ^ np.uint64(5)]
     a, b = S.close_pairs(fps, S.pivot_table(fps, rng.integers(0, 1 << 63, 16).astype(np.uint64)), 2)
-    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == {(i, j) for i in range(80) for j in range(i + 1, 80) if int(fps[i] ^ fps[j]).bit_count() <= 2}
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == {(i, j) for i in range(80) for j in range(i + 1, 80)
+        if int(fps[i] ^ fps[j]).bit_count() <= 2}
 
 
 def test_vectors_against_brute_force(spark):
@@ -103,7 +105,8 @@ def test_vectors_against_brute_force(spark):
     x = [*base, *near, *close, base[1], base[1] * 2.5]
     bad = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0]]
     rows = [(i, [float(v) for v in r], "l") for i, r in enumerate(x)] + [(1000 + i, r, "l") for i, r in enumerate(bad)]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n string")).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"])
+        for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n string")).collect()}
     u = np.array(x) / np.linalg.norm(x, axis=1)[:, None]
     hit = u @ u.T >= 0.95
     want = groups(len(x), [(int(a), int(b)) for a, b in zip(*np.nonzero(hit), strict=True)])
@@ -122,7 +125,8 @@ def test_calibration():
 
 
 def vectors(spark, rows):
-    return spark.createDataFrame([(i, None if v is None else [float(x) for x in v], 1, 2) for i, v in rows], "vec_id long, embedding array<double>, ball int, w int")
+    return spark.createDataFrame([(i, None if v is None else [float(x) for x in v], 1, 2) for i, v in rows],
+        "vec_id long, embedding array<double>, ball int, w int")
 
 
 def results(df) -> dict:
@@ -132,7 +136,8 @@ def results(df) -> dict:
 def test_vectors_of_other_lengths_cost_only_their_own_links(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=24)
-    rows = [(0, [1.0]), (None, [2.0, 1.0])] + [(i, base + rng.normal(size=24) * 0.01) for i in range(1, 6)] + [(6, [1.0, 2.0]), (7, [1.0, 2.01]), (8, [3.0]), (9, [1e300] * 3), (10, [1e299] * 3), (11, [])]
+    rows = [(0, [1.0]), (None, [2.0, 1.0])] + [(i, base + rng.normal(size=24) * 0.01) for i in range(1, 6)] + [(6, [1.0, 2.0]),
+        (7, [1.0, 2.01]), (8, [3.0]), (9, [1e300] * 3), (10, [1e299] * 3), (11, [])]
     got = results(E.near_duplicates(vectors(spark, rows)))
     assert all(got[i] == (4, 1, i == 1) for i in range(1, 6))
     assert got[0] == (1, 0, True) and got[8] == (1, 0, False) and got[6] == (1, 6, True) and got[7] == (1, 6, False)
@@ -196,7 +201,8 @@ def brute(texts, length):
                 cover[i] += 1
                 cover[i + length] -= 1
         on = np.cumsum(cover[:-1]) > 0
-        out.append((len(b), int(on.sum()), int((np.diff(np.r_[0, on.astype(int)]) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~on].tobytes()).hexdigest()))
+        out.append((len(b), int(on.sum()), int((np.diff(np.r_[0, on.astype(int)]) == 1).sum()),
+            hashlib.sha256(np.frombuffer(b, np.uint8)[~on].tobytes()).hexdigest()))
     return out
 
 
@@ -216,12 +222,14 @@ def test_repeats_against_brute_force(spark):
     rng = np.random.default_rng(5)
     make = lambda n: "".join(rng.choice(list("abcdé "), n))
     p, q = make(260), make(900)
-    texts = [make(500) + p + make(300), p + make(100), make(50) + q + make(50), q, q, q[:450] + "X" + q[450:], None, "", "a" * 700, "ab" * 400, make(199), p[:199], p[:200], make(3000) + q[100:700] + make(10), q]
+    texts = [make(500) + p + make(300), p + make(100), make(50) + q + make(50), q, q, q[:450] + "X" + q[450:], None, "", "a" * 700,
+        "ab" * 400, make(199), p[:199], p[:200], make(3000) + q[100:700] + make(10), q]
     rows = [(i, t, "t") for i, t in enumerate(texts)] + [(3, q, "t"), (None, p, "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, th string")
     want = sorted((str(r[0]), *w) for r, w in zip(rows, brute([r[1] for r in rows], 200), strict=True))
     for kw in ({}, {"crowd": 1}, {"sent_pieces": 0}):
-        got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in D.without_repeats(df, **kw).collect())
+        got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+            for r in D.without_repeats(df, **kw).collect())
         assert got == want
     assert D.without_repeats(df.limit(0)).count() == 0
 
@@ -253,7 +261,8 @@ def test_long_periodic_texts_and_a_passage_in_many_contexts(spark):
     make = lambda n: "".join(rng.choice(letters, n))
     passage = make(230)
     rows = [(i, make(40) + passage + make(40)) for i in range(300)] + [(1000, "xyz " * 100_000), (1001, make(400)), (1002, "q" * 300_000)]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in D.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"])
+        for r in D.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == (310, 230, 1) or got[i][1] > 230 for i in range(300))
     assert got[1000] == (400_000, 400_000, 1) and got[1001] == (400, 0, 0) and got[1002] == (300_000, 300_000, 1)
 
@@ -268,6 +277,7 @@ def test_queries_of_copies_on_a_written_table(spark, docs, texts, tmp_path):
     assert found.dtypes == [("vec_id", "bigint"), ("n_links", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
     assert results(found)[8] == (2, 2, False) and results(found)[0] == (2, 0, True)
     found = D.op10_suffix_dedup(spark, str(tmp_path))
-    assert found.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    assert found.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"),
+        ("kept_sha256", "string")]
     want = {i: b for i, b in enumerate(brute(texts, 200))}
     assert {r["doc_id"]: tuple(r)[1:] for r in found.collect()} == want

@@ -70,14 +70,16 @@ def rows_of(sizes: dict) -> list[dict]:
     for s, n in sizes.items():
         for _ in range(n):
             text = [None, "", "one\ntwo", "plain é", "\n\n", "x" * 3000][i % 6]
-            out.append({"doc_id": (i * 7) % 1000, "text": text, "lang": [None, "de"][i % 2], "source": s, "n_chars": None if i % 5 == 0 else i})
+            out.append({"doc_id": (i * 7) % 1000, "text": text, "lang": [None, "de"][i % 2], "source": s, "n_chars": None if i % 5 == 0
+                else i})
             i += 1
     return out
 
 
 def query(docs, levels):
     even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
-    return sorted((tuple(r) for r in M.manifest(docs, F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")), levels).collect()), key=repr)
+    return sorted((tuple(r) for r in M.manifest(docs, F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")),
+        levels).collect()), key=repr)
 
 
 @pytest.mark.parametrize("levels", [1, 2, M.LEVELS])

@@ -19,10 +19,13 @@ def folder(spark, tmp_path_factory):
     words = {"en": [f"the{i}" for i in range(400)], "fr": [f"été{i}" for i in range(400)]}
     item = " ".join(rng.choice(words["en"], 40))
     rows = [(i, " ".join(rng.choice(words["en" if i % 2 else "fr"], 60)), "en" if i % 2 else "fr") for i in range(80)]
-    rows += [(100, rows[3][1], "en"), (101, rows[5][1] + " " + item, "en"), (102, rows[7][1] + ' token = "0123456789abcdef0123"', "en"), (103, None, None), (104, "12 345", None)]
-    rows += [(105, " ".join(rng.choice(words["en"], 60)) + ' token = "0123456789abcdef0123"', "en"), (106, rows[9][1][: len(rows[9][1]) // 2], "en")]
+    rows += [(100, rows[3][1], "en"), (101, rows[5][1] + " " + item, "en"), (102, rows[7][1] + ' token = "0123456789abcdef0123"', "en"),
+        (103, None, None), (104, "12 345", None)]
+    rows += [(105, " ".join(rng.choice(words["en"], 60)) + ' token = "0123456789abcdef0123"', "en"),
+        (106, rows[9][1][: len(rows[9][1]) // 2], "en")]
     path = tmp_path_factory.mktemp("tables")
-    spark.createDataFrame([(i, t, la, "s", len(t or "")) for i, t, la in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{path}/documents.parquet")
+    spark.createDataFrame([(i, t, la, "s", len(t or "")) for i, t, la in rows],
+        "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{path}/documents.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"file://{path}/benchmark.parquet")
     return f"file://{path}", rows, item
 

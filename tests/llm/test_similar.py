@@ -66,5 +66,6 @@ def test_many_repeated_rows(spark, texts):
     rows = [(1, texts[0])] * 300 + [(2, texts[20])] * 300 + [(3, texts[3])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(r["doc_id"] for r in M.one_of_each(docs).collect()) == [1, 3]
-    among = docs.select("doc_id", M.text_key(docs["text"]).alias("th")).where("doc_id > 1").select("doc_id", "th").withColumnRenamed("doc_id", "id").distinct()
+    among = docs.select("doc_id", M.text_key(docs["text"]).alias("th")).where("doc_id > 1").select("doc_id",
+        "th").withColumnRenamed("doc_id", "id").distinct()
     assert sorted(r["doc_id"] for r in M.one_of_each(docs, among=among).collect()) == [2, 3]

@@ -12,12 +12,14 @@ from lociframe.llm import packing as P
 from lociframe.llm import token_output as T
 from lociframe.llm.wordids import default_tokenizer, encoder
 
-ODD = ["a<|endoftext|>B  it's We'll,.. 'S x's,", "é́, «é», É… ﬁ İstanbul ΑΣ ΣΑΣ. a", "1,234.56 a1b2 x_y", "", " ", "<|STARTOFTEXT|> <|startoftext|>", "日本語 テスト。", "a\x1cb\x85c", "w" * 5000, "the cat " * 3000]
+ODD = ["a<|endoftext|>B  it's We'll,.. 'S x's,", "é́, «é», É… ﬁ İstanbul ΑΣ ΣΑΣ. a", "1,234.56 a1b2 x_y", "", " ",
+    "<|STARTOFTEXT|> <|startoftext|>", "日本語 テスト。", "a\x1cb\x85c", "w" * 5000, "the cat " * 3000]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i * 3, t, "x") for i, t in enumerate(ODD)] + [(1, None, "x"), (None, "no id", "x"), (3, ODD[1], "x")], "doc_id long, text string, ids string")
+    return spark.createDataFrame([(i * 3, t, "x") for i, t in enumerate(ODD)] + [(1, None, "x"), (None, "no id", "x"), (3, ODD[1], "x")],
+        "doc_id long, text string, ids string")
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +32,8 @@ def library():
 
 def test_words_are_what_the_library_gives(library):
     enc = encoder(default_tokenizer())
-    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc(pa.array([*ODD, None]), 2).to_pylist()] == [library(t) + [2] for t in [*ODD, ""]]
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc(pa.array([*ODD, None]), 2).to_pylist()] == [library(t) + [2]
+        for t in [*ODD, ""]]
     assert len(enc(pa.array([], pa.string()), 2)) == 0
 
 
@@ -74,7 +77,8 @@ def test_one_id_and_none():
 
 def test_written_ids_come_back(spark, docs, library, tmp_path):
     T.write_tokens(docs, f"file://{tmp_path}/t")
-    got = [(r["doc_id"], r["start"], r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist()) for r in T.read_tokens(spark, f"file://{tmp_path}/t").orderBy("start").collect()]
+    got = [(r["doc_id"], r["start"], r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist())
+        for r in T.read_tokens(spark, f"file://{tmp_path}/t").orderBy("start").collect()]
     want = sorted(((r["doc_id"], library(r["text"]) + [2]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, len(r[1])))
     assert [g[0] for g in got] == [w[0] for w in want]
     assert sorted(map(str, (g[3] for g in got))) == sorted(map(str, (w[1] for w in want)))
@@ -122,7 +126,8 @@ def test_pieces_hold_all_ids(docs, library):
     for r in got:
         if r["doc_id"] in ids and len(ids[r["doc_id"]]) == 1:
             x = ids[r["doc_id"]][0]
-            assert r["doc_tokens"] == len(x) and r["ids_crc32"] == zlib.crc32(np.array(x[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+            assert r["doc_tokens"] == len(x) and r["ids_crc32"] == zlib.crc32(np.array(x[r["start"] : r["start"] + r["length"]], "<u4")
+                .tobytes())
     seqs: dict = {}
     for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["offset"] == seqs.get(r["sequence_id"], 0)
@@ -147,7 +152,8 @@ def test_large_groups_are_packed_in_runs(spark):
 
 
 def test_queries_on_a_written_table(spark, library, tmp_path):
-    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in enumerate([*ODD, None])], "doc_id long, text string, ids string, start int, grp int")
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in enumerate([*ODD, None])],
+        "doc_id long, text string, ids string, start int, grp int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     want = {i: library(t) for i, t in enumerate([*ODD, None])}
     at, got = 0, {r["doc_id"]: r for r in T.op2_token_output(spark, str(tmp_path)).collect()}

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from lociframe.llm import url_filter as U
 
 ODD = [
-    None, "", "no scheme", "http://", "http:///x", "https://EXAMPLE.com/en/1", "https://www.example.com/en/", "http://a.b.Example.COM/en", "http://badexample.com/en/x",
-    "ftp://x.net/es/1?q=http://y.com/", "http://x.net?/fr/", "http://net/fr/é#://z", "http://x.NET/FR/", "HTTP://É.com/", "http://a.com", "://com/", "x://y://com/", "http://a.com:80/",
-    "http://u@x.net/es/#f", "http://line\nbreak.com/a\nb?c", "http://example.com//en/", "http://www.example.com/en/a?b", "http://x.www.example.com/en/", "http://" + "a" * 300_000 + ".com/" + "b/" * 300_000,
+    None, "", "no scheme", "http://", "http:///x", "https://EXAMPLE.com/en/1", "https://www.example.com/en/", "http://a.b.Example.COM/en",
+        "http://badexample.com/en/x",
+    "ftp://x.net/es/1?q=http://y.com/", "http://x.net?/fr/", "http://net/fr/é#://z", "http://x.NET/FR/", "HTTP://É.com/", "http://a.com",
+        "://com/", "x://y://com/", "http://a.com:80/",
+    "http://u@x.net/es/#f", "http://line\nbreak.com/a\nb?c", "http://example.com//en/", "http://www.example.com/en/a?b",
+        "http://x.www.example.com/en/", "http://" + "a" * 300_000 + ".com/" + "b/" * 300_000,
 ]
 
 
@@ -24,7 +27,8 @@ def brute(url: str | None) -> tuple:
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
     best = None
-    for action, h, p in [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]:
+    for action, h, p in [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+        ("block", "net", "/es/"), ("block", "net", "/fr/")]:
         if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[1])):
             best = (action, h + p)
     return host, path, best and best[1], best and best[0]
@@ -37,9 +41,11 @@ def model(spark):
 
 def test_hosts_paths_and_rules(spark, model):
     rows = [(i, u) for i, u in enumerate(ODD)] + [(1, ODD[5]), (None, ODD[6])]
-    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("z") for c in ("host", "path", "score", "rule", "html")})
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns(
+        {c: F.lit("z") for c in ("host", "path", "score", "rule", "html")})
     got = U.judge(pages, model).collect()
-    assert sorted(((r["page_id"], r["host"], r["path"], r["rule"]) for r in got), key=repr) == sorted(((i, *brute(u)[:3]) for i, u in rows), key=repr)
+    assert sorted(((r["page_id"], r["host"], r["path"], r["rule"]) for r in got), key=repr) == sorted(((i, *brute(u)[:3]) for i, u in rows),
+        key=repr)
     for r in got:
         ruled = {str(x): x.action for x in U.RULES}.get(r["rule"])
         assert r["verdict"] == (ruled or ("block" if r["score"] >= U.THRESHOLD else "allow")) and 0 <= r["score"] <= 1
