@@ -20,10 +20,12 @@ def smooth_log2(mic: Column | str, lo: int = -8, hi: int = 9) -> Column:
     log = F.log2(x)
     # halfway between two powers goes to the lower one; rint alone would round half to even
     near = F.ceil(log - 0.5)
-    return F.when(x.isNull() | (x <= 0), F.lit(None)).when(log == F.rint(log), x).otherwise(F.pow(F.lit(2.0), F.least(F.greatest(near, F.lit(lo)), F.lit(hi)).cast("double")))
+    return F.when(x.isNull() | (x <= 0), F.lit(None)).when(log == F.rint(log),
+        x).otherwise(F.pow(F.lit(2.0), F.least(F.greatest(near, F.lit(lo)), F.lit(hi)).cast("double")))
 
 
-def recode_by_pattern(col: Column | str, rules: Sequence[tuple[Sequence[str], str]] | Mapping[str, Sequence[str]], default: str = "unknown") -> Column:
+def recode_by_pattern(col: Column | str, rules: Sequence[tuple[Sequence[str], str]] | Mapping[str, Sequence[str]],
+    default: str = "unknown") -> Column:
     """PRJ7: label of the first rule one of whose patterns is found, whatever the case; null stays null."""
     x = _c(col)
     pairs = [(p, label) for label, p in rules.items()] if isinstance(rules, Mapping) else list(rules)
@@ -37,7 +39,8 @@ def partial_date_year(col: Column | str) -> Column:
     """PRJ9: the year of ``yyyy``, ``yyyy-MM`` or ``yyyy-MM-dd``, letters and blanks dropped; null where it is no date."""
     x = F.regexp_replace(_c(col), "[A-Za-z ]+", "")
     dashes = F.length(x) - F.length(F.regexp_replace(x, "-", ""))
-    parsed = F.when(dashes == 1, F.try_to_timestamp(x, F.lit("yyyy-MM"))).when(dashes == 2, F.try_to_timestamp(x, F.lit("yyyy-MM-dd"))).when(dashes == 0, F.try_to_timestamp(x, F.lit("yyyy")))
+    parsed = F.when(dashes == 1, F.try_to_timestamp(x, F.lit("yyyy-MM"))).when(dashes == 2,
+        F.try_to_timestamp(x, F.lit("yyyy-MM-dd"))).when(dashes == 0, F.try_to_timestamp(x, F.lit("yyyy")))
     return F.year(parsed)
 
 
@@ -59,18 +62,21 @@ def class_code(col: Column | str) -> Column:
 def phenotype_word(col: Column | str) -> Column:
     """PRJ2: I, S, R to words; ``not defined`` to null; others as they are."""
     x = _c(col)
-    return F.when(x == "R", "resistant").when(x == "S", "susceptible").when(x == "I", "intermediate").when(x == "not defined", F.lit(None)).otherwise(x)
+    return F.when(x == "R", "resistant").when(x == "S", "susceptible").when(x == "I", "intermediate").when(x == "not defined",
+        F.lit(None)).otherwise(x)
 
 
 def project_group(project: Column | str, title: Column | str) -> Column:
     """PRJ8: umbrella project from names."""
     p, t = _c(project), _c(title)
-    return F.when(p.rlike("GenomeTrakr.*NARMS") | t.rlike("NARMS"), "NARMS").when(t.rlike("Vet-LIRN"), "Vet-LIRN").when(t.rlike("GenomeTrakr"), "GenomeTrakr")
+    return F.when(p.rlike("GenomeTrakr.*NARMS") | t.rlike("NARMS"), "NARMS").when(t.rlike("Vet-LIRN"),
+        "Vet-LIRN").when(t.rlike("GenomeTrakr"), "GenomeTrakr")
 
 
 def tested_by(project: Column | str, title: Column | str, collected_by: Column | str) -> Column:
     """PRJ8: who tested: the central programme, else whoever collected."""
-    return F.when(F.coalesce(_c(project).rlike("GenomeTrakr.*NARMS"), F.lit(False)) | F.coalesce(_c(title).rlike("NARMS"), F.lit(False)), "NARMS").otherwise(_c(collected_by))
+    return F.when(F.coalesce(_c(project).rlike("GenomeTrakr.*NARMS"), F.lit(False)) | F.coalesce(_c(title).rlike("NARMS"), F.lit(False)),
+        "NARMS").otherwise(_c(collected_by))
 
 
 def fill_label(col: Column | str, label: str = "unknown") -> Column:
@@ -79,18 +85,21 @@ def fill_label(col: Column | str, label: str = "unknown") -> Column:
 
 
 #: Factors of the reference-genome score.
-ANI_STATUS_FACTORS = {"species_match": 1.2, "synonym_match": 1.2, "derived_species_match": 1.5, "subspecies_match": 2.0, "below_threshold_mismatch": 1.0}
+ANI_STATUS_FACTORS = {"species_match": 1.2, "synonym_match": 1.2, "derived_species_match": 1.5, "subspecies_match": 2.0,
+    "below_threshold_mismatch": 1.0}
 LEVEL_FACTORS = {"Chromosome": 1.2, "Complete Genome": 1.3, "Scaffold": 1.1, "Contig": 1.0}
 
 
 def genome_score(status: Column | str, category: Column | str, level: Column | str, ani: Column | str) -> Column:
     """SC20: product of the factors of ANI status, category and assembly level, and the ANI; unknown values give null."""
-    by = lambda x, table: reduce(lambda out, kv: out.when(x == kv[0], kv[1]), list(table.items())[1:], F.when(x == next(iter(table)), next(iter(table.values()))))
+    by = lambda x, table: reduce(lambda out, kv: out.when(x == kv[0], kv[1]), list(table.items())[1:],
+        F.when(x == next(iter(table)), next(iter(table.values()))))
     category_factor = F.when(_c(category).isNull(), 1.0).when(_c(category) == "reference genome", 1.5)
     return by(_c(status), ANI_STATUS_FACTORS) * category_factor * by(_c(level), LEVEL_FACTORS) * _c(ani)
 
 
-def make_uid(sample: Column | str = "sample", seqid: Column | str = "seqid", start: Column | str = "start", stop: Column | str = "stop") -> Column:
+def make_uid(sample: Column | str = "sample", seqid: Column | str = "seqid", start: Column | str = "start",
+    stop: Column | str = "stop") -> Column:
     """SC7: ``sample_seqid:start-stop``."""
     return F.concat(_c(sample), F.lit("_"), _c(seqid), F.lit(":"), _c(start).cast("string"), F.lit("-"), _c(stop).cast("string"))
 
@@ -146,7 +155,8 @@ def label_jaccard(a: Column | str, b: Column | str) -> Column:
     return one / F.nullif(one + F.size(F.array_intersect(a, b)), F.lit(0))
 
 
-def gap_distance(start_a: Column | str, stop_a: Column | str, start_b: Column | str, stop_b: Column | str, same: Column | None = None, far: Column | None = None) -> Column:
+def gap_distance(start_a: Column | str, stop_a: Column | str, start_b: Column | str, stop_b: Column | str, same: Column | None = None,
+    far: Column | None = None) -> Column:
     """SC15: bases between two intervals, 0 where they overlap, ``far`` on different contigs."""
     gap = F.greatest(_c(start_b) - _c(stop_a), _c(start_a) - _c(stop_b), F.lit(0))
     return gap if same is None else F.when(same, gap).otherwise(F.lit(None) if far is None else far)
@@ -188,7 +198,8 @@ AMBIGUOUS, FIRST_BASE = "RYSWKMBDHVN", "ACCAGACAAAA"
 
 
 def codon_table() -> dict[str, str]:
-    return {a + b + c: CODE_RESIDUES[16 * i + 4 * j + k] for i, a in enumerate(CODE_BASES) for j, b in enumerate(CODE_BASES) for k, c in enumerate(CODE_BASES)}
+    return {a + b + c: CODE_RESIDUES[16 * i + 4 * j + k] for i, a in enumerate(CODE_BASES) for j, b in enumerate(CODE_BASES) for k,
+        c in enumerate(CODE_BASES)}
 
 
 def codons(seq: Column | str) -> Column:
@@ -211,5 +222,6 @@ def translate_dna(seq: Column | str, degenerate: str = "first") -> Column:
     if degenerate == "ignore":
         return F.when(s.isNotNull() & ~is_degenerate(s), of(s))
     if degenerate == "error":
-        return F.when(s.isNull(), F.lit(None)).when(is_degenerate(s), F.raise_error(F.concat(F.lit("ambiguous letters in "), s)).cast("string")).otherwise(of(s))
+        return F.when(s.isNull(), F.lit(None)).when(is_degenerate(s),
+            F.raise_error(F.concat(F.lit("ambiguous letters in "), s)).cast("string")).otherwise(of(s))
     raise ValueError(f"no such policy: {degenerate}")

@@ -16,13 +16,15 @@ from .sets import dedup, union
 from .base_runs import LONGEST, run_counts, spelt
 
 
-def pivot_first(df: DataFrame, index: Sequence[str], names: str, values: str, columns: Sequence[str], order: str | None = None, suffix: str = "") -> DataFrame:
+def pivot_first(df: DataFrame, index: Sequence[str], names: str, values: str, columns: Sequence[str], order: str | None = None,
+    suffix: str = "") -> DataFrame:
     """AG1: one column a listed name with the first value by ``order`` (else the least value)."""
     wide = df.groupBy(*index).pivot(names, list(columns)).agg(F.min_by(values, order or values))
     return wide.withColumnsRenamed({c: c + suffix for c in columns}) if suffix else wide
 
 
-def binary_form(df: DataFrame, sample: str, label: str, sep: str = ";", wide: bool = False, labels: Sequence[str] | None = None) -> DataFrame:
+def binary_form(df: DataFrame, sample: str, label: str, sep: str = ";", wide: bool = False,
+    labels: Sequence[str] | None = None) -> DataFrame:
     """AG2: distinct ``sample, label`` pairs (a sample without labels keeps a row of null), or 0/1 columns for ``labels``."""
     long = df.select(sample, F.explode_outer(F.array_distinct(split_labels(label, sep))).alias("label")).distinct()
     if not wide:
@@ -68,15 +70,18 @@ def kmer_counts(df: DataFrame, sample: str, seq: str, k: int, cap: int = 255, mi
 
 def kmer_stats(df: DataFrame, sample: str, seq: str, k: int, min_count: int = 2) -> DataFrame:
     """AG6: total, distinct, and kept runs of each sample before the cap."""
-    return _kmer_rows(df, sample, seq, k).groupBy(sample).agg(F.sum("n").alias("total"), F.count("*").alias("n_distinct"), F.count_if(F.col("n") >= min_count).alias("kept"), F.max("n").alias("max_count"))
+    return _kmer_rows(df, sample, seq, k).groupBy(sample).agg(F.sum("n").alias("total"), F.count("*").alias("n_distinct"),
+        F.count_if(F.col("n") >= min_count).alias("kept"), F.max("n").alias("max_count"))
 
 
-def external_calls(df: DataFrame, known_drugs: DataFrame, sample: str = "sample", tool: str = "tool", drugs: str = "drugs", sep: str = ";") -> DataFrame:
+def external_calls(df: DataFrame, known_drugs: DataFrame, sample: str = "sample", tool: str = "tool", drugs: str = "drugs",
+    sep: str = ";") -> DataFrame:
     """AG7: ``sample, tool, drug, n``: reported drugs, unknown ones as ``other_drug``, and all genes of a tool as ``any``."""
     rows = df.select(sample, tool, F.explode_outer(split_labels(drugs, sep)).alias("raw"))
     named = rows.where("raw is not null").withColumn("drug", F.regexp_replace(F.lower("raw"), "[ -]+", "_"))
     known = known_drugs.select(F.col("drug").alias("_known")).distinct()
-    calls = named.join(known, F.col("drug") == F.col("_known"), "left").select(sample, tool, F.when(F.col("_known").isNull(), "other_drug").otherwise(F.col("drug")).alias("drug"))
+    calls = named.join(known, F.col("drug") == F.col("_known"), "left").select(sample, tool,
+        F.when(F.col("_known").isNull(), "other_drug").otherwise(F.col("drug")).alias("drug"))
     return calls.unionByName(df.select(sample, tool, F.lit("any").alias("drug"))).groupBy(sample, tool, "drug").agg(F.count("*").alias("n"))
 
 
@@ -86,12 +91,14 @@ def confusion_codes(calls: DataFrame, ast: DataFrame, min_args: int = 1, tools:
     grid = ast.select("sample", "drug", "class").join(F.broadcast(names))  # a row a tool
     got = grid.join(calls.select("sample", "tool", "drug", "n"), ["sample", "tool", "drug"], "left")
     hit, bad = F.coalesce(F.col("n"), F.lit(0)) >= min_args, F.col("class") == "resistant"
-    return got.withColumn("code", F.when(F.col("class").isNull(), F.lit(None)).when(hit & bad, "TP").when(hit, "FP").when(bad, "FN").otherwise("TN")).drop("n")
+    return got.withColumn("code", F.when(F.col("class").isNull(), F.lit(None)).when(hit & bad, "TP").when(hit, "FP").when(bad,
+        "FN").otherwise("TN")).drop("n")
 
 
 def common_features(df: DataFrame, sample: str, cols: Sequence[str], count: int) -> DataFrame:
     """AG9: values in most samples, ties by value."""
-    rows = df.select(sample, F.explode(F.array(*[F.col(c).cast("string") for c in cols])).alias("feature")).where("feature is not null").distinct()
+    rows = df.select(sample, F.explode(F.array(*[F.col(c).cast("string") for c in cols])).alias("feature")).where(
+        "feature is not null").distinct()
     return rows.groupBy("feature").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "feature").limit(count)
 
 
@@ -100,7 +107,8 @@ def count_table(df: DataFrame, sample: str, col: str, sep: str | None = None) ->
     values = F.explode(split_labels(col, sep)) if sep else F.col(col)
     total = df.agg(F.count_distinct(sample).alias("total"))
     rows = df.select(sample, values.alias("value")).where("value is not null").distinct()
-    return rows.groupBy("value").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("total")).alias("share"))  # total is one row
+    return rows.groupBy("value").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("value", "n",
+        (F.col("n") / F.col("total")).alias("share"))  # total is one row
 
 
 def distinct_per_sample(df: DataFrame, sample: str, cols: Sequence[str]) -> DataFrame:
@@ -111,13 +119,15 @@ def distinct_per_sample(df: DataFrame, sample: str, cols: Sequence[str]) -> Data
 def null_profile(df: DataFrame) -> DataFrame:
     """AG12: ``column, n_null, share`` of every column, in one pass."""
     one = df.agg(F.count("*").alias("_all"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
-    return one.select("_all", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("n_null")) for c in df.columns])).alias("r")).select("r.column", "r.n_null", (F.col("r.n_null") / F.nullif("_all", F.lit(0))).alias("share"))
+    return one.select("_all", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("n_null")) for c in df.columns]))
+        .alias("r")).select("r.column", "r.n_null", (F.col("r.n_null") / F.nullif("_all", F.lit(0))).alias("share"))
 
 
 def freq_table(df: DataFrame, col: str) -> DataFrame:
     """AG13."""
     counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("_total")))).select(col, "n", (F.col("n") / F.col("_total")).alias("share"))  # the total is one row
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("_total")))).select(col, "n",
+        (F.col("n") / F.col("_total")).alias("share"))  # the total is one row
 
 
 def confounding_score(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -126,13 +136,17 @@ def confounding_score(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for i, a in enumerate(cols):
         for b in cols[i + 1 :]:
             for x, y in ((a, b), (b, a)):
-                cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("string").alias("xv"), F.col(y).cast("string").alias("level")).agg(F.count("*").alias("n"))
+                cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("string").alias("xv"),
+                    F.col(y).cast("string").alias("level")).agg(F.count("*").alias("n"))
                 levels = df.where(F.col(x).isNotNull()).agg(F.count_distinct(x).alias("k"))
-                per = cells.groupBy("level").agg(F.sum("n").alias("total"), F.collect_list("n").alias("ns"), F.count("*").alias("present")).join(F.broadcast(levels))  # one row
+                per = cells.groupBy("level").agg(F.sum("n").alias("total"), F.collect_list("n").alias("ns"),
+                    F.count("*").alias("present")).join(F.broadcast(levels))  # one row
                 even = 1 / F.col("k")
-                dev = F.aggregate("ns", F.lit(0.0), lambda acc, v: acc + F.abs(v / F.col("total") - even)) + (F.col("k") - F.col("present")) * even
+                dev = F.aggregate("ns", F.lit(0.0), lambda acc, v: acc + F.abs(v / F.col("total") - even)) + (F.col("k")
+                    - F.col("present")) * even
                 top = even * (F.col("k") - 1) + (1 - even)
-                out.append(per.select(F.lit(f"{a}|{b}").alias("pair"), F.lit(x).alias("x"), F.lit(y).alias("y"), "level", (dev / top).alias("score")))
+                out.append(per.select(F.lit(f"{a}|{b}").alias("pair"), F.lit(x).alias("x"), F.lit(y).alias("y"), "level",
+                    (dev / top).alias("score")))
     scores = reduce(DataFrame.unionByName, out)
     side = scores.groupBy("pair", "x").agg(F.avg("score").alias("s")).groupBy("pair").agg(F.avg("s").alias("avg"))
     return scores.join(side, "pair").drop("pair")
@@ -141,7 +155,8 @@ def confounding_score(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def cluster_rollup(df: DataFrame, cluster: str, cols: Sequence[str], sep: str = "@") -> DataFrame:
     """AG15: size of each cluster, and for each column its number of distinct values and their joined text."""
     sets = [F.array_sort(F.collect_set(c)) for c in cols]
-    return df.groupBy(cluster).agg(F.count("*").alias("size"), *[F.size(s).alias(f"n_{c}") for c, s in zip(cols, sets, strict=True)], *[F.array_join(s, sep).alias(c) for c, s in zip(cols, sets, strict=True)])
+    return df.groupBy(cluster).agg(F.count("*").alias("size"), *[F.size(s).alias(f"n_{c}") for c, s in zip(cols, sets, strict=True)],
+        *[F.array_join(s, sep).alias(c) for c, s in zip(cols, sets, strict=True)])
 
 
 def cluster_summary(rollup: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -157,17 +172,22 @@ def cluster_recode(df: DataFrame, cols: Sequence[str], cluster: str = "cluster")
 def qc_kraken2(reports: DataFrame, expected: DataFrame, min_expected: float, max_other: float) -> DataFrame:
     """AG17: samples whose expected taxon (``sample, taxid``) has at least ``min_expected`` and no other of its rank more than ``max_other`` (percent of reads)."""
     e = expected.select("sample", F.col("taxid").alias("_want"))
-    mine = reports.join(e, "sample").where(F.col("taxid") == F.col("_want")).select("sample", "_want", F.col("rank").alias("_rank"), F.col("p_reads_covered").alias("_share"))
-    others = reports.join(mine, "sample").where((F.col("rank") == F.col("_rank")) & (F.col("taxid") != F.col("_want"))).groupBy("sample").agg(F.max("p_reads_covered").alias("other"))
-    return mine.join(others, "sample", "left").where((F.col("_share") >= min_expected) & (F.coalesce(F.col("other"), F.lit(0.0)) <= max_other)).select("sample")
+    mine = reports.join(e, "sample").where(F.col("taxid") == F.col("_want")).select("sample", "_want", F.col("rank").alias("_rank"),
+        F.col("p_reads_covered").alias("_share"))
+    others = reports.join(mine, "sample").where((F.col("rank") == F.col("_rank")) & (F.col("taxid") != F.col("_want"))).groupBy(
+        "sample").agg(F.max("p_reads_covered").alias("other"))
+    return mine.join(others, "sample", "left").where((F.col("_share") >= min_expected)
+        & (F.coalesce(F.col("other"), F.lit(0.0)) <= max_other)).select("sample")
 
 
 def qc_fastani(df: DataFrame, spec: Mapping[str, tuple[str, float]]) -> DataFrame:
     """AG18: samples that meet all of ``avg``, ``all`` and ``any`` conditions ``(operator, value)`` on ANI."""
     from .curate import _OPS
 
-    of = {"avg": lambda op, v: _OPS[op](F.avg("ANI"), F.lit(v)), "all": lambda op, v: F.bool_and(_OPS[op](F.col("ANI"), F.lit(v))), "any": lambda op, v: F.bool_or(_OPS[op](F.col("ANI"), F.lit(v)))}
-    return df.groupBy("sample").agg(*[of[k](*v).alias(f"_{k}") for k, v in spec.items()]).where(reduce(operator.and_, [F.col(f"_{k}") for k in spec])).select("sample")
+    of = {"avg": lambda op, v: _OPS[op](F.avg("ANI"), F.lit(v)), "all": lambda op, v: F.bool_and(_OPS[op](F.col("ANI"), F.lit(v))),
+        "any": lambda op, v: F.bool_or(_OPS[op](F.col("ANI"), F.lit(v)))}
+    return df.groupBy("sample").agg(*[of[k](*v).alias(f"_{k}") for k, v in spec.items()]).where(
+        reduce(operator.and_, [F.col(f"_{k}") for k in spec])).select("sample")
 
 
 def qc_quast(df: DataFrame, filters: Sequence[tuple]) -> DataFrame:
@@ -177,7 +197,8 @@ def qc_quast(df: DataFrame, filters: Sequence[tuple]) -> DataFrame:
 
 def bootstrap_rollup(df: DataFrame, by: Sequence[str] = ("metric", "method", "name", "dataset")) -> DataFrame:
     """AG29: mean, standard deviation, median of ``value`` and Fisher's combined ``p`` of each group."""
-    rows = df.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.median("value").alias("median"), (-2 * F.sum(F.ln(F.greatest("p", F.lit(1e-300))))).alias("fisher"), F.count("p").alias("k"))
+    rows = df.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.median("value").alias("median"),
+        (-2 * F.sum(F.ln(F.greatest("p", F.lit(1e-300))))).alias("fisher"), F.count("p").alias("k"))
     # the tail of chi-square with 2k degrees of freedom is a sum of k Poisson terms, kept as logarithms
     half = F.col("fisher") / 2
     start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("sum"))
@@ -186,14 +207,16 @@ def bootstrap_rollup(df: DataFrame, by: Sequence[str] = ("metric", "method", "na
         term = a["term"] + F.ln(half) - F.ln(i)
         return F.struct(term.alias("term"), (F.greatest(a["sum"], term) + F.log1p(F.exp(-F.abs(a["sum"] - term)))).alias("sum"))
 
-    log = F.aggregate(F.slice(F.sequence(F.lit(0), F.col("k").cast("int")), F.lit(2), F.greatest(F.col("k").cast("int") - 1, F.lit(0))), start, more)["sum"]
+    log = F.aggregate(F.slice(F.sequence(F.lit(0), F.col("k").cast("int")), F.lit(2), F.greatest(F.col("k").cast("int") - 1, F.lit(0))),
+        start, more)["sum"]
     p = F.when(half <= 0, 1.0).otherwise(F.least(F.exp(log - half), F.lit(1.0)))
     return rows.withColumn("combined_p", F.when(F.col("k") > 0, p)).drop("fisher")
 
 
 def eval_summary(df: DataFrame, by: Sequence[str] = ("task", "metric", "dataset", "model"), wide: Sequence[str] | None = None) -> DataFrame:
     """AG30: mean, std, min, max of ``value``; with dataset names, one column a dataset of ``mean``."""
-    out = df.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    out = df.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.min("value").alias("min"),
+        F.max("value").alias("max"))
     return out if wide is None else out.groupBy(*[b for b in by if b != "dataset"]).pivot("dataset", list(wide)).agg(F.first("mean"))
 
 
@@ -216,8 +239,10 @@ def first_group(df: DataFrame, id: str, group: str, order: Sequence[str]) -> Dat
 def confusion_summary(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """AG34: for each label over all confusion matrices (``by``): true positives summed and their standard deviation and mean, total, accuracy, share."""
     cells = df.groupBy(*by, truth).agg(F.count("*").alias("total"), F.count_if(F.col(truth) == F.col(pred)).alias("tp"))
-    out = cells.groupBy(F.col(truth).alias("label")).agg(F.sum("tp").alias("tp"), F.stddev("tp").alias("tp_std"), F.avg("tp").alias("tp_mean"), F.sum("total").alias("total"))
-    return out.join(F.broadcast(out.agg(F.sum("total").alias("_all")))).select("label", "tp", "tp_std", "tp_mean", "total", (F.col("tp") / F.col("total")).alias("accuracy"), (F.col("total") / F.col("_all")).alias("share"))  # one row
+    out = cells.groupBy(F.col(truth).alias("label")).agg(F.sum("tp").alias("tp"), F.stddev("tp").alias("tp_std"),
+        F.avg("tp").alias("tp_mean"), F.sum("total").alias("total"))
+    return out.join(F.broadcast(out.agg(F.sum("total").alias("_all")))).select("label", "tp", "tp_std", "tp_mean", "total",
+        (F.col("tp") / F.col("total")).alias("accuracy"), (F.col("total") / F.col("_all")).alias("share"))  # one row
 
 
 def gini(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
@@ -228,7 +253,8 @@ def gini(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
 
 def data_spec(df: DataFrame, x: str, tasks: Sequence[str]) -> DataFrame:
     """AG36: width of the vectors and number of classes of each task."""
-    return df.agg(F.max(F.size(x)).alias("width"), F.min(F.size(x)).alias("least_width"), *[F.count_distinct(t).alias(f"n_{t}") for t in tasks])
+    return df.agg(F.max(F.size(x)).alias("width"), F.min(F.size(x)).alias("least_width"),
+        *[F.count_distinct(t).alias(f"n_{t}") for t in tasks])
 
 
 def vector_health(df: DataFrame, x: str) -> DataFrame:
@@ -236,7 +262,9 @@ def vector_health(df: DataFrame, x: str) -> DataFrame:
     nan = F.size(F.filter(x, lambda v: F.isnan(v)))
     inf = F.size(F.filter(x, lambda v: F.abs(v) == float("inf")))
     n = F.sum(F.greatest(F.size(x), F.lit(0)))
-    return df.agg(F.count("*").alias("n_rows"), F.count_if(nan > 0).alias("nan_rows"), F.count_if(inf > 0).alias("inf_rows"), (F.sum(F.when(F.col(x).isNotNull(), nan)) / n).alias("nan_share"), (F.sum(F.when(F.col(x).isNotNull(), inf)) / n).alias("inf_share"))
+    return df.agg(F.count("*").alias("n_rows"), F.count_if(nan > 0).alias("nan_rows"), F.count_if(inf > 0).alias("inf_rows"),
+        (F.sum(F.when(F.col(x).isNotNull(), nan)) / n).alias("nan_share"),
+            (F.sum(F.when(F.col(x).isNotNull(), inf)) / n).alias("inf_share"))
 
 
 def priority_groups(ast_long: DataFrame, taxa: DataFrame, classes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -244,7 +272,8 @@ def priority_groups(ast_long: DataFrame, taxa: DataFrame, classes: DataFrame, ru
     bad = ast_long.where(F.col("class") == "resistant").select("sample", "drug").distinct()
     by_class = bad.join(classes.select("drug", "drug_class"), "drug").select("sample", F.col("drug_class").alias("drug"))
     any_drug = bad.unionByName(by_class).distinct()
-    return taxa.select("sample", "taxon").join(rules.select("group", "taxon", "drug"), "taxon").join(any_drug, ["sample", "drug"]).select("sample", "group").distinct()
+    return taxa.select("sample", "taxon").join(rules.select("group", "taxon", "drug"), "taxon").join(any_drug,
+        ["sample", "drug"]).select("sample", "group").distinct()
 
 
 def fisher_combined(ps: Sequence[float]) -> float:

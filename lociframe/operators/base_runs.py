@@ -108,7 +108,8 @@ def _count_blocks(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
             if not len(of):
                 continue
             at, runs, n = _counted(of.astype(np.int64), np.minimum(f, r)[ok], k)
-            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(at)), pa.array(runs), pa.array(n)], names=["sample", "run", "n"])
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(at)), pa.array(runs), pa.array(n)],
+                names=["sample", "run", "n"])
 
     return run
 
@@ -140,9 +141,11 @@ def _super_runs(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
             which = np.repeat(np.arange(len(starts)), sizes)
             j = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             packed = np.zeros(offs[-1], np.uint8)
-            np.bitwise_or.at(packed, offs[which] + j // 4, (codes[starts[which] + j] << (6 - 2 * (j % 4)).astype(np.uint8)).astype(np.uint8))
+            np.bitwise_or.at(packed, offs[which] + j // 4,
+                (codes[starts[which] + j] << (6 - 2 * (j % 4)).astype(np.uint8)).astype(np.uint8))
             data = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(packed)])
-            yield pa.RecordBatch.from_arrays([samples.take(pa.array(rows[starts])), pa.array(least[starts]), pa.array(sizes.astype(np.int64)), data], names=["sample", "minimiser", "bases", "packed"])
+            yield pa.RecordBatch.from_arrays([samples.take(pa.array(rows[starts])), pa.array(least[starts]),
+                pa.array(sizes.astype(np.int64)), data], names=["sample", "minimiser", "bases", "packed"])
 
     return run
 
@@ -162,7 +165,8 @@ def _count_super_runs(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[p
                 place = np.repeat(offs, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 of = np.repeat(names.indices.to_numpy(zero_copy_only=False), n)
                 rows, runs, k_n = _counted(of.astype(np.int64), np.minimum(f, r)[place], k)
-                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(rows)), pa.array(runs), pa.array(k_n)], names=["sample", "run", "n"])
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(rows)), pa.array(runs), pa.array(k_n)],
+                    names=["sample", "run", "n"])
 
     return run
 

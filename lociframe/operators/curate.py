@@ -33,7 +33,8 @@ def recode_phenotype(df: DataFrame, suffix: str = "_class") -> DataFrame:
     return df.withColumns({c: C.phenotype_word(c) for c in class_columns(df, suffix)})
 
 
-def discretize(df: DataFrame, cols: Sequence[str], susceptible: float = 0.3, resistant: float = 0.8, suffix: str = "", interpolation: str = "nearest") -> DataFrame:
+def discretize(df: DataFrame, cols: Sequence[str], susceptible: float = 0.3, resistant: float = 0.8, suffix: str = "",
+    interpolation: str = "nearest") -> DataFrame:
     """PRJ3: below and above two quantiles of the whole column, strictly; null stays null.
 
     ``nearest`` takes the value of rank round(q (n - 1)), half to even, ``linear`` interpolates. Ranks are
@@ -44,7 +45,8 @@ def discretize(df: DataFrame, cols: Sequence[str], susceptible: float = 0.3, res
     for c in cols:
         lo, hi = bounds[c]
         x = F.col(c)
-        out[f"{c}_{suffix}" if suffix else c] = F.when(x.isNull(), F.lit(None).cast("string")).when(x < lo, "susceptible").when(x > hi, "resistant").otherwise("intermediate")
+        out[f"{c}_{suffix}" if suffix else c] = F.when(x.isNull(), F.lit(None).cast("string")).when(x < lo, "susceptible").when(x > hi,
+            "resistant").otherwise("intermediate")
     return df.withColumns(out)
 
 
@@ -54,7 +56,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], interpola
         row = df.agg(*[F.percentile(c, F.array(*[F.lit(q) for q in qs])).alias(c) for c in cols]).first()
         return {c: list(row[c] or [None] * len(qs)) for c in cols}
     n = df.agg(*[F.count(c).alias(c) for c in cols]).first()
-    exprs = [F.percentile(c, F.array(*[F.lit(min(1.0, round(q * (n[c] - 1)) / (n[c] - 1)) if n[c] > 1 else 0.0) for q in qs])).alias(c) for c in cols]
+    exprs = [F.percentile(c, F.array(*[F.lit(min(1.0, round(q * (n[c] - 1)) / (n[c] - 1)) if n[c] > 1 else 0.0) for q in qs])).alias(c)
+        for c in cols]
     row = df.agg(*exprs).first()
     return {c: list(row[c] or [None] * len(qs)) for c in cols}
 
@@ -63,7 +66,8 @@ def binarize_phenotype(df: DataFrame, suffix: str = "_class") -> DataFrame:
     """PRJ5: each class column as 0/1, and ``any_resistant``, ``any_susceptible``."""
     cols = class_columns(df, suffix)
     any_of = lambda v: F.exists(F.array(*[F.col(c) for c in cols]), lambda x: F.coalesce(x == v, F.lit(False)))
-    return df.select("*", any_of("resistant").alias("any_resistant"), any_of("susceptible").alias("any_susceptible")).withColumns({c: F.coalesce((F.col(c) == "resistant").cast("int"), F.lit(0)) for c in cols})
+    return df.select("*", any_of("resistant").alias("any_resistant"), any_of("susceptible").alias("any_susceptible")).withColumns(
+        {c: F.coalesce((F.col(c) == "resistant").cast("int"), F.lit(0)) for c in cols})
 
 
 def class_codes(df: DataFrame, suffix: str = "_class") -> DataFrame:
@@ -77,7 +81,8 @@ def unite_numbered(df: DataFrame, prefixes: Sequence[str], sep: str = "_") -> Da
     for p in prefixes:
         parts = [c for c in df.columns if c == p or c.startswith(p + "...")]
         if parts:
-            df = df.withColumn("_united", F.nullif(F.concat_ws(sep, *[F.col(f"`{c}`") for c in parts]), F.lit(""))).drop(*[F.col(f"`{c}`") for c in parts]).withColumnRenamed("_united", p)
+            df = df.withColumn("_united", F.nullif(F.concat_ws(sep, *[F.col(f"`{c}`") for c in parts]), F.lit(""))).drop(
+                *[F.col(f"`{c}`") for c in parts]).withColumnRenamed("_united", p)
     return df
 
 
@@ -95,7 +100,10 @@ def in_gene(df: DataFrame, pattern: str = "gene") -> DataFrame:
 
 def ast_long(df: DataFrame, drugs: Sequence[str], suffix: str = "_class", sample: str = "sample") -> DataFrame:
     """PRJ14: ``sample, antibiotic, class, mic, mic_smooth`` of a wide table."""
-    rows = F.explode(F.array(*[F.struct(F.lit(d).alias("antibiotic"), F.col(d + suffix).alias("class") if d + suffix in df.columns else F.lit(None).cast("string").alias("class"), F.col(d).cast("double").alias("mic") if d in df.columns else F.lit(None).cast("double").alias("mic")) for d in drugs]))
+    rows = F.explode(F.array(
+        *[F.struct(F.lit(d).alias("antibiotic"), F.col(d + suffix).alias("class") if d + suffix in df.columns
+            else F.lit(None).cast("string").alias("class"), F.col(d).cast("double").alias("mic") if d in df.columns
+                else F.lit(None).cast("double").alias("mic")) for d in drugs]))
     long = df.select(sample, rows.alias("r")).select(sample, "r.*")
     return long.withColumn("class", C.phenotype_word("class")).withColumn("mic_smooth", C.smooth_log2("mic"))
 
@@ -117,8 +125,10 @@ def split_predicate(spec: Mapping[str, Mapping]) -> Column:
         for rule, v in rules.items():
             values = list(v) if isinstance(v, (list, tuple, set)) else [v]
             found.append({
-                "EXACT": lambda x=x, v=values: x.isin(v), "NOT": lambda x=x, v=values: ~x.isin(v), "LT": lambda x=x, v=values: x < v[0], "GT": lambda x=x, v=values: x > v[0],
-                "CONTAINS": lambda x=x, v=values: x.rlike(v[0]), "CONTAINS_ANY": lambda x=x, v=values: reduce(operator.or_, [x.contains(s) for s in v]),
+                "EXACT": lambda x=x, v=values: x.isin(v), "NOT": lambda x=x, v=values: ~x.isin(v), "LT": lambda x=x, v=values: x < v[0],
+                    "GT": lambda x=x, v=values: x > v[0],
+                "CONTAINS": lambda x=x, v=values: x.rlike(v[0]), "CONTAINS_ANY": lambda x=x,
+                    v=values: reduce(operator.or_, [x.contains(s) for s in v]),
             }[rule]())
     return F.coalesce(reduce(operator.or_, found), F.lit(False)) if found else F.lit(False)
 
@@ -128,7 +138,8 @@ def split_mask(df: DataFrame, spec: Mapping[str, Mapping], name: str = "split")
     return df.withColumn(name, F.when(split_predicate(spec), "test").otherwise("train"))
 
 
-def split_rows(df: DataFrame, spec: Column | str | float | Mapping | DataFrame | Callable[[DataFrame], Column], id: str, seed: int = 0, name: str = "split") -> DataFrame:
+def split_rows(df: DataFrame, spec: Column | str | float | Mapping | DataFrame | Callable[[DataFrame], Column], id: str, seed: int = 0,
+    name: str = "split") -> DataFrame:
     """UD5: ``test`` or ``train`` by a condition, the name of a boolean column, a share of the ids, FLT2's rules, a table or list of ids, or a function that gives a condition.
 
     A null condition is ``train``.
@@ -141,7 +152,8 @@ def split_rows(df: DataFrame, spec: Column | str | float | Mapping | DataFrame |
         spec = df.sparkSession.createDataFrame([(v,) for v in spec], df.select(id).schema)
     if isinstance(spec, DataFrame):
         ids = spec.select(F.col(spec.columns[0]).alias("_id")).distinct().withColumn("_test", F.lit(True))
-        return df.join(ids, F.col(id) == F.col("_id"), "left").withColumn(name, F.when(F.col("_test"), "test").otherwise("train")).drop("_id", "_test")
+        return df.join(ids, F.col(id) == F.col("_id"), "left").withColumn(name, F.when(F.col("_test"), "test").otherwise("train")).drop(
+            "_id", "_test")
     if isinstance(spec, float):
         spec = unit(seed, "split", id) < spec
     elif isinstance(spec, Mapping):
@@ -151,7 +163,8 @@ def split_rows(df: DataFrame, spec: Column | str | float | Mapping | DataFrame |
     return df.withColumn(name, F.when(spec, "test").otherwise("train"))
 
 
-def filter_features(df: DataFrame, cols: Sequence[str], whitelist: DataFrame | Sequence | Mapping | None = None, blacklist: DataFrame | Sequence | Mapping | None = None) -> DataFrame:
+def filter_features(df: DataFrame, cols: Sequence[str], whitelist: DataFrame | Sequence | Mapping | None = None,
+    blacklist: DataFrame | Sequence | Mapping | None = None) -> DataFrame:
     """FLT3: rows whose value in any of ``cols`` is listed stay; those with any blacklisted value go."""
 
     def listed(names) -> Column | None:
@@ -228,7 +241,8 @@ def variance_transform(df: DataFrame, x: str, indices: Sequence[int]) -> DataFra
 def drop_constant_features(long_df: DataFrame, feature: str = "feature", value: str = "value", sample: str = "sample") -> DataFrame:
     """FLT7: features of a long table, absent values zero, that are the same in all samples go."""
     n = long_df.select(F.count_distinct(sample)).first()[0]
-    varying = long_df.groupBy(feature).agg(F.count_distinct(sample).alias("k"), F.min(value).alias("lo"), F.max(value).alias("hi")).where((F.col("lo") != F.col("hi")) | ((F.col("k") < n) & ((F.col("lo") != 0) | (F.col("hi") != 0))))
+    varying = long_df.groupBy(feature).agg(F.count_distinct(sample).alias("k"), F.min(value).alias("lo"), F.max(value).alias("hi")).where(
+        (F.col("lo") != F.col("hi")) | ((F.col("k") < n) & ((F.col("lo") != 0) | (F.col("hi") != 0))))
     return long_df.join(varying.select(F.col(feature).alias("_f")), F.col(feature) == F.col("_f"), "left_semi")
 
 

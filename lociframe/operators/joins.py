@@ -17,9 +17,12 @@ from .windows import row_index
 
 #: Taxonomic ranks from the highest to the lowest.
 RANKS = (
-    "acellular root", "cellular root", "domain", "kingdom", "subkingdom", "superphylum", "phylum", "subphylum", "superclass", "class", "subclass", "infraclass",
-    "cohort", "subcohort", "superorder", "order", "suborder", "infraorder", "parvorder", "superfamily", "family", "subfamily", "tribe", "subtribe", "genus", "subgenus",
-    "section", "subsection", "series", "species group", "species subgroup", "species", "subspecies", "varietas", "subvariety", "forma", "forma specialis", "strain",
+    "acellular root", "cellular root", "domain", "kingdom", "subkingdom", "superphylum", "phylum", "subphylum", "superclass", "class",
+        "subclass", "infraclass",
+    "cohort", "subcohort", "superorder", "order", "suborder", "infraorder", "parvorder", "superfamily", "family", "subfamily", "tribe",
+        "subtribe", "genus", "subgenus",
+    "section", "subsection", "series", "species group", "species subgroup", "species", "subspecies", "varietas", "subvariety", "forma",
+        "forma specialis", "strain",
     "isolate", "biotype", "genotype", "morph", "pathogroup", "serogroup", "serotype",
 )
 
@@ -57,7 +60,8 @@ def _first_containers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
     stops, rows, key = [], [], None
     for batch in batches:
         found: list[tuple] = []
-        for k, uid, stop, place in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_key", "_uid", "_e", "_place")), strict=True):
+        for k, uid, stop, place in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist()
+            for c in ("_key", "_uid", "_e", "_place")), strict=True):
             if k != key:
                 stops, rows, key = [], [], k
             if place is not None:
@@ -77,7 +81,8 @@ def _first_contained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
     stops, rows, key = [], [], None
     for batch in batches:
         found: list[tuple] = []
-        for k, uid, stop, place in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_key", "_uid", "_e", "_place")), strict=True):
+        for k, uid, stop, place in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist()
+            for c in ("_key", "_uid", "_e", "_place")), strict=True):
             if k != key:
                 stops, rows, key = [], [], k
             if place is not None:
@@ -92,10 +97,12 @@ def _first_contained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _met(found: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["_uid", "_place"])
+    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())],
+        names=["_uid", "_place"])
 
 
-def interval_within(left: DataFrame, right: DataFrame, on: Sequence[str], start: str = "start", stop: str = "stop", uid: str = "uid", bin_size: int = 10_000) -> DataFrame:
+def interval_within(left: DataFrame, right: DataFrame, on: Sequence[str], start: str = "start", stop: str = "stop", uid: str = "uid",
+    bin_size: int = 10_000) -> DataFrame:
     """JN3: left rows with the first right row (by start, stop, then its hash) of equal keys that contains or is contained in them; the others with nulls.
 
     Intervals are dealt to bins of ``bin_size``, so that a contig with many features is many keys. In a bin a sweep over the starts
@@ -104,8 +111,10 @@ def interval_within(left: DataFrame, right: DataFrame, on: Sequence[str], start:
     is null meet none.
     """
     rest = [c for c in right.columns if c not in on and c not in (start, stop)]
-    named = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], F.col(start).alias("_start"), F.col(stop).alias("_stop"), F.xxhash64(*rest).alias("_hash") if rest else F.lit(0).cast("long").alias("_hash"), *rest)
-    r = materialise(row_index(named, ["_start", "_stop", "_hash"], "_place", start=0))  # the place in the order in which the first is chosen
+    named = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], F.col(start).alias("_start"), F.col(stop).alias("_stop"),
+        F.xxhash64(*rest).alias("_hash") if rest else F.lit(0).cast("long").alias("_hash"), *rest)
+    r = materialise(row_index(named, ["_start", "_stop", "_hash"], "_place",
+        start=0))  # the place in the order in which the first is chosen
     l = materialise(row_index(left.select(uid, *on, start, stop), [uid], "_uid", start=0))
     bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.floor(F.greatest(s, e) / bin_size)))
     first = lambda s: F.floor(F.col(s) / bin_size)
@@ -114,8 +123,10 @@ def interval_within(left: DataFrame, right: DataFrame, on: Sequence[str], start:
 
     def sweep(lrows: DataFrame, rrows: DataFrame, run: Callable, down: bool) -> DataFrame:
         none, bin_ = F.lit(None).cast("long"), F.col("_bin").alias("bin")
-        lone = lrows.select(F.struct(*on, bin_).alias("_k"), "_uid", F.col(start).alias("_s"), F.col(stop).alias("_e"), none.alias("_place"))
-        rone = rrows.select(F.struct(*[F.col(f"_r_{c}").alias(c) for c in on], bin_).alias("_k"), none.alias("_uid"), F.col("_start").alias("_s"), F.col("_stop").alias("_e"), "_place")
+        lone = lrows.select(F.struct(*on, bin_).alias("_k"), "_uid", F.col(start).alias("_s"), F.col(stop).alias("_e"),
+            none.alias("_place"))
+        rone = rrows.select(F.struct(*[F.col(f"_r_{c}").alias(c) for c in on], bin_).alias("_k"), none.alias("_uid"),
+            F.col("_start").alias("_s"), F.col("_stop").alias("_e"), "_place")
         order = [F.desc("_s"), F.desc_nulls_last("_place")] if down else [F.asc("_s"), F.asc_nulls_last("_place")]
         both = lone.union(rone).repartition(parts, "_k").sortWithinPartitions("_k", *order)
         return both.select(F.to_json("_k").alias("_key"), "_uid", "_e", "_place").mapInArrow(run, "_uid long, _place long")
@@ -146,7 +157,9 @@ def store_lookup(df: DataFrame, key: str, store: DataFrame, level: str = "seq",
     return df.join(one.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key")).drop("_key")
 
 
-def join_ast_runs(runs: DataFrame, ast: DataFrame, standard: str = "CLSI", id: str = "BioSample", ast_id: str = "#BioSample", mic: str = "MIC (mg/L)", standard_col: str = "Testing standard", synonyms: Mapping[str, str] | None = None, drug: str = "Antibiotic") -> DataFrame:
+def join_ast_runs(runs: DataFrame, ast: DataFrame, standard: str = "CLSI", id: str = "BioSample", ast_id: str = "#BioSample",
+    mic: str = "MIC (mg/L)", standard_col: str = "Testing standard", synonyms: Mapping[str, str] | None = None,
+        drug: str = "Antibiotic") -> DataFrame:
     """JN5: test rows of runs with an accession, of one standard and with a value."""
     a = ast.where(F.col(mic).isNotNull() & (F.col(standard_col) == standard)).withColumnsRenamed({ast_id: "_id", mic: "MIC"})
     for old, new in (synonyms or {}).items():
@@ -167,7 +180,10 @@ SIGNATURE_WORDS = 4
 
 def _signature(items: str) -> Column:
     """A bit an item, by a hash: what one list's signature has and another's lacks, at least so many items the other lacks."""
-    word = lambda w: F.aggregate(F.filter(items, lambda i: F.pmod(F.xxhash64(F.lit("bit"), i), F.lit(64 * SIGNATURE_WORDS)).between(64 * w, 64 * w + 63)), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit("bit"), i), F.lit(64)).cast("int"))))
+    word = lambda w: F.aggregate(F.filter(items, lambda i: F.pmod(F.xxhash64(F.lit("bit"), i), F.lit(64 * SIGNATURE_WORDS)).between(64 * w,
+        64 * w + 63)), F.lit(0).cast("long"), lambda s,
+            i: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"),
+                F.pmod(F.xxhash64(F.lit("bit"), i), F.lit(64)).cast("int"))))
     return F.array(*[word(w) for w in range(SIGNATURE_WORDS)])
 
 
@@ -183,18 +199,24 @@ def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, min_overlap:
     r = materialise(right.select("right_id", F.array_distinct(b).alias("b")).withColumns({"sb": _signature("b"), "size": F.size("b")}))
     need = F.greatest(F.ceil(F.col("size") * min_overlap - 1e-9), F.lit(1)).cast("int")
     count = l.select(F.explode("a").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    ranked = r.select("right_id", "size", "sb", F.explode("b").alias("item")).join(count, "item")  # items that no left row has cannot be shared
+    ranked = r.select("right_id", "size", "sb", F.explode("b").alias("item")).join(count,
+        "item")  # items that no left row has cannot be shared
     order = F.array_sort(F.collect_list(F.struct("n", "item")))
     prefix = ranked.groupBy("right_id", "size", "sb").agg(order.alias("o")).where(F.size("o") >= need)
-    seeds = prefix.select("right_id", "size", "sb", F.explode(F.slice("o", F.lit(1), F.size("o") - need + 1)).alias("s")).select("right_id", "size", "sb", F.col("s.item").alias("item"))
+    seeds = prefix.select("right_id", "size", "sb", F.explode(F.slice("o", F.lit(1), F.size("o") - need + 1)).alias("s")).select("right_id",
+        "size", "sb", F.col("s.item").alias("item"))
     met = l.where("na > 0").select("left_id", "sa", "na", F.explode("a").alias("item")).join(seeds, "item")
-    lacking = sum((F.bit_count(F.get("sb", F.lit(w)).bitwiseAND(F.bitwise_not(F.get("sa", F.lit(w))))) for w in range(SIGNATURE_WORDS)), F.lit(0))
+    lacking = sum((F.bit_count(F.get("sb", F.lit(w)).bitwiseAND(F.bitwise_not(F.get("sa", F.lit(w))))) for w in range(SIGNATURE_WORDS)),
+        F.lit(0))
     pairs = met.where((F.col("na") >= need) & (F.col("size") - lacking >= need)).select("left_id", "right_id").distinct()
-    both = pairs.join(l.select("left_id", "a"), "left_id").join(r.select("right_id", "b", "size"), "right_id").select("left_id", "right_id", F.size(F.array_intersect("a", "b")).cast("long").alias("common"), "size")
-    return both.where(F.col("common") / F.col("size") >= min_overlap).select("left_id", "right_id", "common", (F.col("common") / F.col("size")).alias("overlap"))
+    both = pairs.join(l.select("left_id", "a"), "left_id").join(r.select("right_id", "b", "size"), "right_id").select("left_id", "right_id",
+        F.size(F.array_intersect("a", "b")).cast("long").alias("common"), "size")
+    return both.where(F.col("common") / F.col("size") >= min_overlap).select("left_id", "right_id", "common",
+        (F.col("common") / F.col("size")).alias("overlap"))
 
 
-def align_pairs(natural: DataFrame, perturbed: DataFrame, random: DataFrame, id: str = "id", x: str = "x", pairable: bool = True, seed: int = 0) -> DataFrame:
+def align_pairs(natural: DataFrame, perturbed: DataFrame, random: DataFrame, id: str = "id", x: str = "x", pairable: bool = True,
+    seed: int = 0) -> DataFrame:
     """JN8: ``id, natural, perturbed, random`` vectors; without ``pairable`` the random partner is drawn by hash order."""
     from .windows import row_index
 
@@ -202,7 +224,8 @@ def align_pairs(natural: DataFrame, perturbed: DataFrame, random: DataFrame, id:
     if pairable:
         return both.join(random.select(id, F.col(x).alias("random")), id)
     n = random.count()
-    partners = row_index(random.withColumn("_h", draw(seed, "partner", id)), ["_h", id], "_i", start=0).select("_i", F.col(x).alias("random"))
+    partners = row_index(random.withColumn("_h", draw(seed, "partner", id)), ["_h", id], "_i", start=0).select("_i",
+        F.col(x).alias("random"))
     mine = row_index(both, [id], "_i", start=0).withColumn("_i", F.pmod("_i", F.lit(max(1, n))))
     return mine.join(partners, "_i").drop("_i")
 
@@ -239,12 +262,15 @@ def ancestors(tax: DataFrame, max_rounds: int = 32) -> DataFrame:
     parents, which no number of rounds ends, is an error once a path is longer than there are nodes.
     """
     nodes = tax.select("tax_id", "parent_tax_id", "rank")
-    step = nodes.where("tax_id <> parent_tax_id and parent_tax_id is not null").select("tax_id", F.col("parent_tax_id").alias("ancestor"), F.lit(1).alias("depth"))
+    step = nodes.where("tax_id <> parent_tax_id and parent_tax_id is not null").select("tax_id", F.col("parent_tax_id").alias("ancestor"),
+        F.lit(1).alias("depth"))
     known, jump, reach, n = step, step, 1, nodes.count()
     for _ in range(max_rounds):
         nxt = jump.withColumnsRenamed({"tax_id": "_t", "ancestor": "_a", "depth": "_d"})
-        more = known.join(nxt, F.col("ancestor") == F.col("_t")).select("tax_id", F.col("_a").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth"))
-        jumps = jump.join(nxt, F.col("ancestor") == F.col("_t")).select("tax_id", F.col("_a").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth"))
+        more = known.join(nxt, F.col("ancestor") == F.col("_t")).select("tax_id", F.col("_a").alias("ancestor"),
+            (F.col("depth") + F.col("_d")).alias("depth"))
+        jumps = jump.join(nxt, F.col("ancestor") == F.col("_t")).select("tax_id", F.col("_a").alias("ancestor"),
+            (F.col("depth") + F.col("_d")).alias("depth"))
         jump = materialise(jumps)
         known = materialise(known.unionByName(more))
         reach *= 2
@@ -257,7 +283,8 @@ def ancestors(tax: DataFrame, max_rounds: int = 32) -> DataFrame:
     return known.unionByName(own).join(ranks, F.col("ancestor") == F.col("_n"), "left").drop("_n")
 
 
-def taxid_to_ranks(df: DataFrame, tax: DataFrame, taxid: str = "taxid", ranks: Sequence[str] = ("species", "genus", "family", "order"), names: DataFrame | None = None) -> DataFrame:
+def taxid_to_ranks(df: DataFrame, tax: DataFrame, taxid: str = "taxid", ranks: Sequence[str] = ("species", "genus", "family", "order"),
+    names: DataFrame | None = None) -> DataFrame:
     """JN12: the ancestor (its id, or name of ``tax_id, name``) of each row at each rank."""
     a = ancestors(tax).where(F.col("rank").isin(list(ranks)))
     value = F.col("ancestor")
@@ -270,17 +297,21 @@ def taxid_to_ranks(df: DataFrame, tax: DataFrame, taxid: str = "taxid", ranks: S
 
 def taxon_distance(pairs: DataFrame, tax: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """SC14: levels from species up to the rank of the lowest common ancestor that has one; 0 at or below species, null without any."""
-    up = ancestors(tax).withColumn("level", rank_level(F.col("rank"))).where("level is not null").select("tax_id", "ancestor", "level", "depth")
+    up = ancestors(tax).withColumn("level", rank_level(F.col("rank"))).where("level is not null").select("tax_id", "ancestor", "level",
+        "depth")
     ids = pairs.select(a, b).distinct()
-    met = ids.join(up.select(F.col("tax_id").alias(a), "ancestor", "level", "depth"), a).join(up.select(F.col("tax_id").alias(b), "ancestor"), [b, "ancestor"])
+    met = ids.join(up.select(F.col("tax_id").alias(a), "ancestor", "level", "depth"),
+        a).join(up.select(F.col("tax_id").alias(b), "ancestor"), [b, "ancestor"])
     species = len(RANKS) - RANKS.index("species")
-    low = met.groupBy(a, b).agg(F.min_by("level", "depth").alias("level")).withColumn("distance", F.greatest(F.col("level") - species, F.lit(0))).drop("level")
+    low = met.groupBy(a, b).agg(F.min_by("level", "depth").alias("level")).withColumn("distance",
+        F.greatest(F.col("level") - species, F.lit(0))).drop("level")
     return pairs.join(low, [a, b], "left")
 
 
 def cluster_metadata(meta: DataFrame, clusters: DataFrame, member: str = "member", rep: str = "rep") -> DataFrame:
     """JN13: members with their metadata, empty text as null, and whether they are the representative."""
-    text = {f.name: F.nullif(F.col(f.name), F.lit("")) for f in meta.schema.fields if f.dataType.simpleString() == "string" and f.name != "accession"}
+    text = {f.name: F.nullif(F.col(f.name), F.lit("")) for f in meta.schema.fields if f.dataType.simpleString() == "string"
+        and f.name != "accession"}
     m = meta.withColumns(text)
     return clusters.join(m, F.col(member) == F.col("accession"), "left").drop("accession").withColumn("is_rep", F.col(member) == F.col(rep))
 
@@ -289,8 +320,10 @@ def drug_classes(drugs: DataFrame, compounds: DataFrame, custom: DataFrame, patt
     """JN14: the class of each ``drug``, from ``compounds`` else ``custom`` (``drug, drug_class``), and the class of interest whose pattern it matches."""
     c1 = dedup(compounds.select(F.col("drug").alias("_d1"), F.col("drug_class").alias("_c1")), ["_d1"], ["_c1"])
     c2 = dedup(custom.select(F.col("drug").alias("_d2"), F.col("drug_class").alias("_c2")), ["_d2"], ["_c2"])
-    out = drugs.join(c1, F.col("drug") == F.col("_d1"), "left").join(c2, F.col("drug") == F.col("_d2"), "left").withColumn("drug_class", F.coalesce("_c1", "_c2")).drop("_d1", "_d2", "_c1", "_c2")
+    out = drugs.join(c1, F.col("drug") == F.col("_d1"), "left").join(c2, F.col("drug") == F.col("_d2"), "left").withColumn("drug_class",
+        F.coalesce("_c1", "_c2")).drop("_d1", "_d2", "_c1", "_c2")
     if patterns:
-        label = reduce(lambda w, kv: w.when(F.col("drug_class").rlike("(?i)" + kv[1]), kv[0]), patterns.items(), F.when(F.col("drug_class").isNull(), F.lit(None).cast("string")))
+        label = reduce(lambda w, kv: w.when(F.col("drug_class").rlike("(?i)" + kv[1]), kv[0]), patterns.items(),
+            F.when(F.col("drug_class").isNull(), F.lit(None).cast("string")))
         out = out.withColumn("interest", label)
     return out

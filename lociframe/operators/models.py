@@ -33,7 +33,8 @@ def classifier(name: str = "forest", seed: int = 0, **kw) -> Estimator:
     if name == "logistic":
         lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=kw.pop("regParam", 0.01), **kw)
         grid = ParamGridBuilder().addGrid(lr.elasticNetParam, [0.0, 1.0]).build()
-        return CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="logLoss"), numFolds=3, seed=seed)
+        return CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="logLoss"),
+            numFolds=3, seed=seed)
     raise ValueError(f"no such classifier: {name}")
 
 
@@ -75,7 +76,8 @@ def fit_tasks(df: DataFrame, x: str, tasks: Sequence[str], estimator: Factory |
     for t in tasks:
         rows = _features(df.where(F.col(t).isNotNull()).select(F.col(x), F.col(t).alias("_task")), x)
         if regression:
-            models[t] = (_make(estimator or GBTRegressor(maxIter=20), width).fit(rows.withColumn("label", F.col("_task").cast("double"))), None)
+            models[t] = (_make(estimator or GBTRegressor(maxIter=20), width).fit(rows.withColumn("label", F.col("_task").cast("double"))),
+                None)
         else:
             index = StringIndexer(inputCol="_task", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
             models[t] = (_make(estimator or RandomForestClassifier(seed=0), width).fit(index.transform(rows)), index.labels)
@@ -88,21 +90,25 @@ def predict_tasks(df: DataFrame, x: str, id: str, models: Mapping[str, tuple]) -
     for t, (model, labels) in models.items():
         done = model.transform(rows)
         if labels is None:
-            out.append(done.select(F.col(id).alias("id"), F.lit(t).alias("task"), F.col(t).cast("string").alias("truth"), F.col("prediction").cast("string").alias("pred"), F.lit(None).cast("map<string,double>").alias("proba")))
+            out.append(done.select(F.col(id).alias("id"), F.lit(t).alias("task"), F.col(t).cast("string").alias("truth"),
+                F.col("prediction").cast("string").alias("pred"), F.lit(None).cast("map<string,double>").alias("proba")))
         else:
             names = F.array(*[F.lit(n) for n in labels])
             p = F.map_from_arrays(names, F.slice(vector_to_array("probability"), 1, len(labels)))
-            out.append(done.select(F.col(id).alias("id"), F.lit(t).alias("task"), F.col(t).alias("truth"), F.get(names, F.col("prediction").cast("int")).alias("pred"), p.alias("proba")))
+            out.append(done.select(F.col(id).alias("id"), F.lit(t).alias("task"), F.col(t).alias("truth"),
+                F.get(names, F.col("prediction").cast("int")).alias("pred"), p.alias("proba")))
     return union(out, diagonal=False)
 
 
 def _score(done: DataFrame, regression: bool, by: Sequence[str]) -> DataFrame:
     if regression:
-        return regression_metrics(done.withColumns({"truth": F.col("truth").cast("double"), "pred": F.col("pred").cast("double")}), "truth", "pred", by)
+        return regression_metrics(done.withColumns({"truth": F.col("truth").cast("double"), "pred": F.col("pred").cast("double")}), "truth",
+            "pred", by)
     return classification_metrics(done.where("truth is not null"), "truth", "pred", "proba", by)
 
 
-def split_predictions(df: DataFrame, x: str, id: str, tasks: Sequence[str], plan: Sequence[Mapping], estimator: Factory | None = None, regression: bool = False, preprocess: Sequence[Estimator] = ()) -> list[tuple[DataFrame, dict]]:
+def split_predictions(df: DataFrame, x: str, id: str, tasks: Sequence[str], plan: Sequence[Mapping], estimator: Factory | None = None,
+    regression: bool = False, preprocess: Sequence[Estimator] = ()) -> list[tuple[DataFrame, dict]]:
     """ML4: the written predictions of each split's test rows (``id, task, truth, pred, proba``), with the split's names; each is made once, whatever is read from it.
 
     Preprocessing is fitted on the training rows alone. Fits are the one thing done in turn: one a split and task.
@@ -112,20 +118,24 @@ def split_predictions(df: DataFrame, x: str, id: str, tasks: Sequence[str], plan
         train, test = df.where(split["train"]), df.where(split["test"])
         if preprocess:
             fitted = Pipeline(stages=list(preprocess)).fit(_features(train, x))
-            of = lambda d: fitted.transform(_features(d, x)).withColumn(x, vector_to_array(preprocess[-1].getOutputCol())).drop("features", *[p.getOutputCol() for p in preprocess])  # noqa: B023,E731
+            of = lambda d: fitted.transform(_features(d, x)).withColumn(x, vector_to_array(preprocess[-1].getOutputCol())).drop("features",
+                *[p.getOutputCol() for p in preprocess])  # noqa: B023,E731
             train, test = of(train), of(test)
         done = materialise(predict_tasks(test, x, id, fit_tasks(train, x, tasks, estimator, regression)))
         out.append((done, {k: v for k, v in split.items() if k not in ("train", "test")}))
     return out
 
 
-def evaluate(df: DataFrame, x: str, id: str, tasks: Sequence[str], plan: Sequence[Mapping], estimator: Factory | None = None, regression: bool = False, preprocess: Sequence[Estimator] = ()) -> DataFrame:
+def evaluate(df: DataFrame, x: str, id: str, tasks: Sequence[str], plan: Sequence[Mapping], estimator: Factory | None = None,
+    regression: bool = False, preprocess: Sequence[Estimator] = ()) -> DataFrame:
     """ML4: ``task, metric, value`` and each split's names, for splits ``{"train": predicate, "test": predicate, names...}``."""
     done = split_predictions(df, x, id, tasks, plan, estimator, regression, preprocess)
-    return union([_score(rows, regression, ["task"]).withColumns({k: F.lit(v) for k, v in names.items()}) for rows, names in done], diagonal=True)
+    return union([_score(rows, regression, ["task"]).withColumns({k: F.lit(v) for k, v in names.items()}) for rows, names in done],
+        diagonal=True)
 
 
-def cv_predictions(df: DataFrame, x: str, id: str, tasks: Sequence[str], k: int = 5, repeats: int = 1, seed: int = 0, stratify: str | None = None, **kw) -> DataFrame:
+def cv_predictions(df: DataFrame, x: str, id: str, tasks: Sequence[str], k: int = 5, repeats: int = 1, seed: int = 0,
+    stratify: str | None = None, **kw) -> DataFrame:
     """ML4: each row's prediction by the model that was fitted without its fold, with ``iter``."""
     done = split_predictions(kfold(df, id, k, repeats, seed, stratify), x, id, tasks, cv_plan(k, repeats), **kw)
     return union([rows.withColumns({n: F.lit(v) for n, v in names.items()}) for rows, names in done], diagonal=True)
@@ -133,15 +143,18 @@ def cv_predictions(df: DataFrame, x: str, id: str, tasks: Sequence[str], k: int
 
 def cv_plan(k: int, repeats: int = 1) -> list[dict]:
     """Splits of the columns that ``kfold`` adds."""
-    return [{"train": (F.col("repeat") == r) & (F.col("fold") != f), "test": (F.col("repeat") == r) & (F.col("fold") == f), "iter": r * k + f} for r in range(repeats) for f in range(k)]
+    return [{"train": (F.col("repeat") == r) & (F.col("fold") != f), "test": (F.col("repeat") == r) & (F.col("fold") == f),
+        "iter": r * k + f} for r in range(repeats) for f in range(k)]
 
 
-def cross_validate(df: DataFrame, x: str, id: str, tasks: Sequence[str], k: int = 5, repeats: int = 1, seed: int = 0, stratify: str | None = None, **kw) -> DataFrame:
+def cross_validate(df: DataFrame, x: str, id: str, tasks: Sequence[str], k: int = 5, repeats: int = 1, seed: int = 0,
+    stratify: str | None = None, **kw) -> DataFrame:
     """ML4 over folds."""
     return evaluate(kfold(df, id, k, repeats, seed, stratify), x, id, tasks, cv_plan(k, repeats), **kw)
 
 
-def permutation_test(df: DataFrame, x: str, id: str, task: str, kind: int = 1, rounds: int = 5, k: int = 3, seed: int = 0, **kw) -> DataFrame:
+def permutation_test(df: DataFrame, x: str, id: str, task: str, kind: int = 1, rounds: int = 5, k: int = 3, seed: int = 0,
+    **kw) -> DataFrame:
     """ML5: p-value of a classifier's cross-validated error: against permuted labels (1), or against features permuted within classes (2)."""
 
     def error(d: DataFrame, r: int) -> DataFrame:
@@ -151,7 +164,8 @@ def permutation_test(df: DataFrame, x: str, id: str, task: str, kind: int = 1, r
     if kind == 2:
         width = _width(rows, x)
         flat = rows.select(id, task, *[F.get(x, F.lit(i)).alias(f"_x{i}") for i in range(width)])
-        other = lambda r: permute(flat, id, [f"_x{i}" for i in range(width)], within=task, seed=seed + r).select(id, task, F.array(*[F.col(f"_x{i}") for i in range(width)]).alias(x))
+        other = lambda r: permute(flat, id, [f"_x{i}" for i in range(width)], within=task, seed=seed + r).select(id, task,
+            F.array(*[F.col(f"_x{i}") for i in range(width)]).alias(x))
     else:
         other = lambda r: permute(rows, id, [task], seed=seed + r)
     null = union([error(other(r), r) for r in range(rounds)], diagonal=False)
@@ -173,12 +187,16 @@ def latent_profiles(acts: DataFrame, dims: int, seed: int = 0) -> DataFrame:
     from ..functions.seeded import draw
 
     h = draw(seed, "fold", "sample")
-    folded = acts.select("latent", (h % dims).cast("int").alias("d"), F.when(F.shiftright(h, 40) % 2 == 0, F.col("act")).otherwise(-F.col("act")).alias("v"))
-    sums = folded.groupBy("latent", "d").agg(F.sum("v").alias("v")).groupBy("latent").agg(F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"))  # dims values a latent
-    return sums.select("latent", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("x"))
+    folded = acts.select("latent", (h % dims).cast("int").alias("d"),
+        F.when(F.shiftright(h, 40) % 2 == 0, F.col("act")).otherwise(-F.col("act")).alias("v"))
+    sums = folded.groupBy("latent", "d").agg(F.sum("v").alias("v")).groupBy("latent").agg(
+        F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"))  # dims values a latent
+    return sums.select("latent",
+        F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("x"))
 
 
-def cluster_latents(acts: DataFrame, k: int, seed: int = 0, dims: int = 256, clusterer: Estimator | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def cluster_latents(acts: DataFrame, k: int, seed: int = 0, dims: int = 256, clusterer: Estimator | Callable[[DataFrame], DataFrame]
+    | None = None) -> DataFrame:
     """ML8: clusters of latents by their activations: ``latent, x, cluster``.
 
     UD3: ``clusterer`` is an estimator over ``features``, or a function from ``latent, x`` to ``latent, cluster``; by default k-means.
@@ -193,7 +211,8 @@ def cluster_latents(acts: DataFrame, k: int, seed: int = 0, dims: int = 256, clu
 def pca(df: DataFrame, x: str, k: int) -> DataFrame:
     """ML9: ``pc``, the first ``k`` coordinates."""
     rows = _features(df, x)
-    return PCA(k=k, inputCol="features", outputCol="_pc").fit(rows).transform(rows).withColumn("pc", vector_to_array("_pc")).drop("features", "_pc")
+    return PCA(k=k, inputCol="features", outputCol="_pc").fit(rows).transform(rows).withColumn("pc",
+        vector_to_array("_pc")).drop("features", "_pc")
 
 
 class SaeWeights:
@@ -217,7 +236,8 @@ def sae_encode(df: DataFrame, id: str, x: str, weights: SaeWeights, threshold: f
             a = np.maximum((v - w.bias) @ w.enc, 0)
             a[a < threshold] = 0
             row, col = np.nonzero(a)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(col, pa.int32()), pa.array(a[row, col])], names=["id", "latent", "act"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(col, pa.int32()), pa.array(a[row, col])],
+                names=["id", "latent", "act"])
 
     return df.where(F.col(x).isNotNull()).select(id, F.col(x).cast("array<double>")).mapInArrow(run, f"id {kind}, latent int, act double")
 
@@ -235,9 +255,11 @@ def sae_reconstruct(df: DataFrame, id: str, x: str, weights: SaeWeights, thresho
             a[a < threshold] = 0
             a[:, off] = 0
             out = a @ w.dec + w.bias
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(out), pa.list_(pa.float64())), pa.array((a > 0).sum(1)), pa.array(a.sum(1))], names=["id", "x", "recon", "n_active", "l1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(out), pa.list_(pa.float64())),
+                pa.array((a > 0).sum(1)), pa.array(a.sum(1))], names=["id", "x", "recon", "n_active", "l1"])
 
-    return df.where(F.col(x).isNotNull()).select(id, F.col(x).cast("array<double>")).mapInArrow(run, f"id {kind}, x array<double>, recon array<double>, n_active long, l1 double")
+    return df.where(F.col(x).isNotNull()).select(id, F.col(x).cast("array<double>")).mapInArrow(run,
+        f"id {kind}, x array<double>, recon array<double>, n_active long, l1 double")
 
 
 def sae_loss(df: DataFrame, id: str, x: str, weights: SaeWeights, threshold: float = 0.0) -> DataFrame:
@@ -246,20 +268,24 @@ def sae_loss(df: DataFrame, id: str, x: str, weights: SaeWeights, threshold: flo
     gap = F.aggregate(F.zip_with("x", "recon", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / F.size("x")
     live = sae_encode(df, id, x, weights, threshold).agg(F.count_distinct("latent").alias("live"))
     one = done.agg(F.avg(gap).alias("mse"), F.avg("l1").alias("mean_l1"), F.avg("n_active").alias("mean_l0"))
-    return one.join(F.broadcast(live)).select("mse", "mean_l1", "mean_l0", (F.lit(weights.enc.shape[1]) - F.col("live")).alias("dead_latents"))  # one row each
+    return one.join(F.broadcast(live)).select("mse", "mean_l1", "mean_l0",
+        (F.lit(weights.enc.shape[1]) - F.col("live")).alias("dead_latents"))  # one row each
 
 
-def ablation(df: DataFrame, x: str, id: str, tasks: Sequence[str], weights: SaeWeights, latents: Sequence[int], how: str = "each", k: int = 3, seed: int = 0, **kw) -> DataFrame:
+def ablation(df: DataFrame, x: str, id: str, tasks: Sequence[str], weights: SaeWeights, latents: Sequence[int], how: str = "each",
+    k: int = 3, seed: int = 0, **kw) -> DataFrame:
     """ML12: ``task, metric, before, after, delta`` with the latents zeroed ``each`` alone, ``all`` at once, or all but them (``keep``)."""
     every = set(range(weights.enc.shape[1]))
     sets = {"each": [[i] for i in latents], "all": [list(latents)], "keep": [sorted(every - set(latents))]}[how]
 
     def score(off: Sequence[int]) -> DataFrame:
         new = sae_reconstruct(df, id, x, weights, ablate=off).select(F.col("id").alias(id), F.col("recon").alias(x))
-        return cross_validate(df.drop(x).join(new, id), x, id, tasks, k, 1, seed, **kw).groupBy("task", "metric").agg(F.avg("value").alias("value"))
+        return cross_validate(df.drop(x).join(new, id), x, id, tasks, k, 1, seed, **kw).groupBy("task",
+            "metric").agg(F.avg("value").alias("value"))
 
     before = score([]).withColumnRenamed("value", "before")
-    out = [score(off).select("task", "metric", F.col("value").alias("after"), F.lit(",".join(map(str, off))).alias("ablated")) for off in sets]
+    out = [score(off).select("task", "metric", F.col("value").alias("after"), F.lit(",".join(map(str, off))).alias("ablated"))
+        for off in sets]
     return union(out, diagonal=False).join(before, ["task", "metric"]).withColumn("delta", F.col("after") - F.col("before"))
 
 
@@ -269,21 +295,26 @@ def external_metrics(codes: DataFrame) -> DataFrame:
     g = codes.groupBy("tool", "drug").agg(*n.values())
     tp, fp, fn, tn = (F.col(c) for c in n)
     safe = lambda a, b: a / F.nullif(b, F.lit(0.0))
-    return g.select("tool", "drug", safe(tp + tn, tp + fp + fn + tn).alias("acc"), F.coalesce(safe(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))), F.lit(0.0)).alias("mcc"), safe(tp, tp + fn).alias("sensitivity"), safe(tn, tn + fp).alias("specificity"))
+    return g.select("tool", "drug", safe(tp + tn, tp + fp + fn + tn).alias("acc"),
+        F.coalesce(safe(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))), F.lit(0.0)).alias("mcc"),
+            safe(tp, tp + fn).alias("sensitivity"), safe(tn, tn + fp).alias("specificity"))
 
 
-def random_label_baseline(df: DataFrame, x: str, id: str, n: int = 3, k: int = 3, seed: int = 0, estimator: Factory | None = None) -> DataFrame:
+def random_label_baseline(df: DataFrame, x: str, id: str, n: int = 3, k: int = 3, seed: int = 0,
+    estimator: Factory | None = None) -> DataFrame:
     """ST29: ``iter, mcc`` of a classifier on labels drawn by hash."""
     from ..functions.seeded import pick
 
     out = []
     for r in range(n):
         rows = df.select(id, x, pick(F.lit(2), seed, "label", F.lit(r), id).cast("string").alias("_y"))
-        out.append(cross_validate(rows, x, id, ["_y"], k, 1, seed + r, estimator=estimator).where("metric = 'mcc'").agg(F.lit(r).alias("iter"), F.avg("value").alias("mcc")))
+        out.append(cross_validate(rows, x, id, ["_y"], k, 1, seed + r, estimator=estimator).where("metric = 'mcc'")
+            .agg(F.lit(r).alias("iter"), F.avg("value").alias("mcc")))
     return union(out, diagonal=False)
 
 
-def perturbation_report(natural: DataFrame, perturbed: DataFrame, random: DataFrame, id: str, x: str, k: int = 3, neighbors: int = 10, seed: int = 0, estimator: Factory | None = None) -> DataFrame:
+def perturbation_report(natural: DataFrame, perturbed: DataFrame, random: DataFrame, id: str, x: str, k: int = 3, neighbors: int = 10,
+    seed: int = 0, estimator: Factory | None = None) -> DataFrame:
     """ST28: ``measure, value``: cross-validated mcc of telling natural from perturbed and from random rows, the share of perturbed rows that the natural-from-random classifier calls natural, random neighbours of natural rows, and the p-value that perturbed rows stay nearer to their origin than random ones."""
     from ..functions.columns import vec_distance
     from .joins import align_pairs
@@ -292,10 +323,14 @@ def perturbation_report(natural: DataFrame, perturbed: DataFrame, random: DataFr
     out = []
     for name, other in (("perturbed", perturbed), ("random", random)):
         both = tag(natural, "natural").unionByName(tag(other, name))
-        out.append(cross_validate(both, x, "id", ["_y"], k, 1, seed, estimator=estimator).where("metric = 'mcc'").agg(F.lit(f"mcc_{name}").alias("measure"), F.avg("value").alias("value")))
+        out.append(cross_validate(both, x, "id", ["_y"], k, 1, seed, estimator=estimator).where("metric = 'mcc'")
+            .agg(F.lit(f"mcc_{name}").alias("measure"), F.avg("value").alias("value")))
     models = fit_tasks(tag(natural, "natural").unionByName(tag(random, "random")), x, ["_y"], estimator)
-    out.append(predict_tasks(tag(perturbed, "perturbed"), x, "id", models).agg(F.lit("transfer").alias("measure"), F.avg((F.col("pred") == "natural").cast("double")).alias("value")))
-    out.append(random_neighbor_score(natural, random, id, x, neighbors, seed=seed).agg(F.lit("random_neighbors").alias("measure"), F.avg("score").alias("value")))
-    pairs = align_pairs(natural, perturbed, random, id, x).select(vec_distance("natural", "perturbed").alias("a"), vec_distance("natural", "random").alias("b"))
+    out.append(predict_tasks(tag(perturbed, "perturbed"), x, "id", models).agg(F.lit("transfer").alias("measure"),
+        F.avg((F.col("pred") == "natural").cast("double")).alias("value")))
+    out.append(random_neighbor_score(natural, random, id, x, neighbors, seed=seed).agg(F.lit("random_neighbors").alias("measure"),
+        F.avg("score").alias("value")))
+    pairs = align_pairs(natural, perturbed, random, id, x).select(vec_distance("natural", "perturbed").alias("a"),
+        vec_distance("natural", "random").alias("b"))
     out.append(wilcoxon(pairs, "a", "b").select(F.lit("wilcoxon_p").alias("measure"), F.col("p").alias("value")))
     return union(out, diagonal=False)

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from ..functions.seeded import draw
 from ..scratch import materialise
 
+#: The names of the scores.
 SCORES = ("cosine_distance", "cosine_similarity", "dot_product", "euclidean_distance", "euclidean_similarity", "manhattan_distance")
 
 
 def _summary(df: DataFrame, by: Sequence[str], x: str, what: str) -> DataFrame:
     v = array_to_vector(F.col(x).cast("array<double>"))
-    return df.where(F.col(x).isNotNull()).groupBy(*by).agg(vector_to_array(getattr(Summarizer, what)(v)).alias("x"), F.count("*").alias("n"))
+    return df.where(F.col(x).isNotNull()).groupBy(*by).agg(vector_to_array(getattr(Summarizer, what)(v)).alias("x"),
+        F.count("*").alias("n"))
 
 
 def pool_mean(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
@@ -36,7 +38,8 @@ def pool_max(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     return _summary(df, by, x, "max")
 
 
-def pool_similarity(df: DataFrame, by: Sequence[str], x: str, metric: str = "euclidean_distance", agg: str = "mean", uid: str | None = None) -> DataFrame:
+def pool_similarity(df: DataFrame, by: Sequence[str], x: str, metric: str = "euclidean_distance", agg: str = "mean",
+    uid: str | None = None) -> DataFrame:
     """AG21: each vector times the mean, sum or max of its scores against its group (its own raw score counts as 0), then summed.
 
     Cosine and dot scores with mean or sum follow from the group's summed vector. The others compare
@@ -74,7 +77,8 @@ def _by_sum(rows: DataFrame, by: list[str], metric: str, agg: str) -> DataFrame:
     def norms(batches):
         for batch in batches:
             at = batch.schema.get_field_index("_x")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_row_sums(batch.column(at), batch.column(at)))], names=[*batch.schema.names, "_n2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_row_sums(batch.column(at), batch.column(at)))],
+                names=[*batch.schema.names, "_n2"])
 
     named = rows.mapInArrow(norms, f"{kinds}, _x array<double>, _n2 double")
     scale = F.sqrt("_n2") if unit else F.lit(1.0)
@@ -122,7 +126,8 @@ def _pairwise(rows: DataFrame, by: Sequence[str], metric: str, agg: str) -> Data
     keys = list(by)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     rows = materialise(rows.withColumn("_id", F.monotonically_increasing_id()))  # both sides of the join below must see the same ids
-    dealt = rows.join(sizes, keys).withColumn("_k", F.ceil(F.col("_n") / CHUNK_ROWS).cast("int")).withColumn("_chunk", F.pmod("_id", F.col("_k")).cast("int"))
+    dealt = rows.join(sizes, keys).withColumn("_k", F.ceil(F.col("_n") / CHUNK_ROWS).cast("int")).withColumn("_chunk",
+        F.pmod("_id", F.col("_k")).cast("int"))
     chunks = dealt.groupBy(*keys, "_k", "_n", "_chunk").agg(F.collect_list(F.struct("_id", "_x")).alias("_rows"))
     left = chunks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     right = chunks.select(*[F.col(b).alias(f"_{b}") for b in keys], F.col("_chunk").alias("_c2"), F.col("_rows").alias("_rows2"))
@@ -137,7 +142,8 @@ def _pairwise(rows: DataFrame, by: Sequence[str], metric: str, agg: str) -> Data
                 (ida, x), (idb, y) = _members(one.column("_rows")), _members(one.column("_rows2"))
                 same = ida[:, None] == idb[None, :]
                 if metric.startswith("cosine") or metric == "dot_product":
-                    u, v = (x, y) if metric == "dot_product" else (x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True))
+                    u, v = (x, y) if metric == "dot_product" else (x / np.linalg.norm(x, axis=1, keepdims=True),
+                        y / np.linalg.norm(y, axis=1, keepdims=True))
                     raw = u @ v.T
                 elif metric.startswith("euclidean"):
                     raw = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
@@ -147,10 +153,12 @@ def _pairwise(rows: DataFrame, by: Sequence[str], metric: str, agg: str) -> Data
                 score = 1 - raw if metric == "cosine_distance" else 1 / (1 + raw) if metric == "euclidean_similarity" else raw
                 w = score.max(1) if agg == "max" else score.sum(1)
                 names = keys + ["_n", "_id", "_x", "_w"]
-                cols = [one.column(k).take(pa.array(np.zeros(len(ida), np.int64))) for k in keys + ["_n"]] + [pa.array(ida), one.column("_rows").flatten().field("_x"), pa.array(w)]
+                cols = [one.column(k).take(pa.array(np.zeros(len(ida), np.int64))) for k in keys + ["_n"]] + [pa.array(ida),
+                    one.column("_rows").flatten().field("_x"), pa.array(w)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    parts = pairs.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, f"{kinds}, _n long, _id long, _x array<double>, _w double")
+    parts = pairs.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run,
+        f"{kinds}, _n long, _id long, _x array<double>, _w double")
     merged = parts.groupBy(*keys, "_n", "_id", "_x").agg((F.max if agg == "max" else F.sum)("_w").alias("_w"))
     weight = F.col("_w") / F.col("_n") if agg == "mean" else F.col("_w")
     return _weighted_sum(merged.select(*keys, "_x", weight.alias("_w")), keys)
@@ -158,14 +166,19 @@ def _pairwise(rows: DataFrame, by: Sequence[str], metric: str, agg: str) -> Data
 
 def pool_concat(df: DataFrame, by: Sequence[str], x: str, order: str = "seqindex") -> DataFrame:
     """AG22: a group's vectors end to end in ``order``, padded with zeros to the longest."""
-    joined = df.groupBy(*by).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(x).alias("_x")))), lambda s: s["_x"])).alias("x"), F.count("*").alias("n"))
+    joined = df.groupBy(*by).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(x).alias("_x")))), lambda s: s["_x"])).alias("x"),
+            F.count("*").alias("n"))
     longest = joined.agg(F.max(F.size("x")).alias("_max"))
-    return joined.join(F.broadcast(longest)).select(*by, F.concat("x", F.array_repeat(F.lit(0.0).cast("double"), (F.col("_max") - F.size("x")).cast("int"))).alias("x"), "n")  # one row
+    return joined.join(F.broadcast(longest)).select(*by,
+        F.concat("x", F.array_repeat(F.lit(0.0).cast("double"), (F.col("_max") - F.size("x")).cast("int"))).alias("x"), "n")  # one row
 
 
-def pool_priority(df: DataFrame, by: Sequence[str], x: str, label: str, priority: Sequence[str], how: str = "mean", order: str | None = None) -> DataFrame:
+def pool_priority(df: DataFrame, by: Sequence[str], x: str, label: str, priority: Sequence[str], how: str = "mean",
+    order: str | None = None) -> DataFrame:
     """AG23: only a group's rows of the best label by ``priority`` (unlisted last): their mean or max, or the first row by ``order``."""
-    place = reduce(lambda w, kv: w.when(F.col(label) == kv[1], kv[0]), enumerate(priority), F.when(F.lit(False), 0)).otherwise(len(priority))
+    place = reduce(lambda w, kv: w.when(F.col(label) == kv[1], kv[0]), enumerate(priority), F.when(F.lit(False), 0)).otherwise(
+        len(priority))
     ranked = df.withColumn("_p", place)
     best = ranked.groupBy(*by).agg(F.min("_p").alias("_best"))
     top = ranked.join(best, list(by)).where("_p = _best")
@@ -183,7 +196,8 @@ def pool_random(df: DataFrame, by: Sequence[str], x: str, n_per: int, how: str =
 def pool(df: DataFrame, by: Sequence[str] | str, x: str, method: str = "mean", **kw) -> DataFrame:
     """AG20-AG24 by name."""
     by = [by] if isinstance(by, str) else list(by)
-    return {"mean": pool_mean, "sum": pool_sum, "max": pool_max, "similarity": pool_similarity, "concat": pool_concat, "seq_subset": pool_priority, "random": pool_random}[method](df, by, x, **kw)
+    return {"mean": pool_mean, "sum": pool_sum, "max": pool_max, "similarity": pool_similarity, "concat": pool_concat,
+        "seq_subset": pool_priority, "random": pool_random}[method](df, by, x, **kw)
 
 
 def pool_with_obs(df: DataFrame, by: Sequence[str], x: str, method: str, obs: Sequence[str], order: str, **kw) -> DataFrame:

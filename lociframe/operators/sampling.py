@@ -34,21 +34,25 @@ def least_rows(df: DataFrame, h: Column, id: str, n: int | Column, by: Sequence[
     cells = keyed.groupBy(*by, "_slot").agg(F.count("*").alias("_k"))
     names = {c: f"_by{i}" for i, c in enumerate(by)}
     sums = running_sums(cells, by, ["_slot"], ["_k"]).withColumnsRenamed(names)
-    sizes = cells.groupBy(*by).agg(F.sum("_k").alias("_size")).withColumn("_n", (F.lit(n) if isinstance(n, int) else n).cast("long")).withColumnsRenamed({c: f"{m}_" for c, m in names.items()})
+    sizes = cells.groupBy(*by).agg(F.sum("_k").alias("_size")).withColumn("_n",
+        (F.lit(n) if isinstance(n, int) else n).cast("long")).withColumnsRenamed({c: f"{m}_" for c, m in names.items()})
     on = [F.col(m).eqNullSafe(F.col(f"{m}_")) for m in names.values()]
     cut = sums.join(sizes, on) if by else sums.join(F.broadcast(sizes))  # one row
     last = cut.where((F.col("_run__k") >= F.col("_n")) & (F.col("_run__k") - F.col("_k") < F.col("_n")))
     last = last.select(*names.values(), F.col("_slot").alias("_last"), (F.col("_n") - F.col("_run__k") + F.col("_k")).alias("_need"))
-    whole = sizes.where(F.col("_n") > F.col("_size")).select(*[F.col(f"{m}_").alias(m) for m in names.values()], F.lit(1 << BUCKET_BITS).cast("long").alias("_last"), F.lit(0).cast("long").alias("_need"))
+    whole = sizes.where(F.col("_n") > F.col("_size")).select(*[F.col(f"{m}_").alias(m) for m in names.values()],
+        F.lit(1 << BUCKET_BITS).cast("long").alias("_last"), F.lit(0).cast("long").alias("_need"))
     ends = last.unionByName(whole)
     near = keyed.join(ends, [F.col(c).eqNullSafe(F.col(m)) for c, m in names.items()]) if by else keyed.join(F.broadcast(ends))  # one row
     near = near.where(F.col("_slot") <= F.col("_last"))
     taken = near.where(F.col("_slot") < F.col("_last")).select(*df.columns)
-    edge = near.where(F.col("_slot") == F.col("_last")).withColumn("_r", F.row_number().over(Window.partitionBy(*names.values(), "_last").orderBy("_draw", id)))
+    edge = near.where(F.col("_slot") == F.col("_last")).withColumn("_r",
+        F.row_number().over(Window.partitionBy(*names.values(), "_last").orderBy("_draw", id)))
     return taken.unionByName(edge.where(F.col("_r") <= F.col("_need")).select(*df.columns))
 
 
-def sample_n(df: DataFrame, id: str, n: int | None = None, fraction: float | None = None, by: Sequence[str] | None = None, seed: int = 0) -> DataFrame:
+def sample_n(df: DataFrame, id: str, n: int | None = None, fraction: float | None = None, by: Sequence[str] | None = None,
+    seed: int = 0) -> DataFrame:
     """SM1: ``n`` rows or a share of them, of the table or of each group."""
     h = draw(seed, "sample", id)
     if n is not None:
@@ -63,7 +67,8 @@ def subsample_union(df: DataFrame, rules: Sequence[Mapping], id: str, seed: int
     ids = []
     for k, rule in enumerate(rules):
         by = list(rule["by"])
-        known = df.where(F.coalesce(*[F.lit(None).cast("string")] + [F.when(F.col(b).isNull(), F.lit("x")) for b in by]).isNull()) if rule.get("skip_null") else df
+        known = df.where(F.coalesce(*[F.lit(None).cast("string")] + [F.when(F.col(b).isNull(), F.lit("x")) for b in by])
+            .isNull()) if rule.get("skip_null") else df
         if "fraction" in rule:
             taken = sample_n(known, id, fraction=rule["fraction"], by=by, seed=seed + k)
         elif "max_size" in rule:
@@ -73,7 +78,8 @@ def subsample_union(df: DataFrame, rules: Sequence[Mapping], id: str, seed: int
             # a row is drawn if any of n hash picks of its group's positions is its own
             place = group_index(known.select(id, *by, draw(seed, "place", id).alias("_h")), by, ["_h", id], "_i", start=0).drop("_h")
             sizes = place.groupBy(*by).agg(F.count("*").alias("_size"))
-            picks = sizes.select(*by, F.explode(F.sequence(F.lit(1), F.lit(rule["n"]))).alias("_d"), "_size").select(*by, pick(F.col("_size"), seed, "replace", *by, "_d").alias("_i")).distinct()
+            picks = sizes.select(*by, F.explode(F.sequence(F.lit(1), F.lit(rule["n"]))).alias("_d"), "_size").select(*by,
+                pick(F.col("_size"), seed, "replace", *by, "_d").alias("_i")).distinct()
             taken = place.join(picks, [*by, "_i"])
         ids.append(taken.select(id))
     kept = ids[0]
@@ -104,10 +110,13 @@ def random_pairs(df: DataFrame, id: str, n: int, seed: int = 0) -> DataFrame:
     most = total * (total - 1) // 2
     want = min(n, most)
     if most <= 4 * n:  # nearly all pairs: listed once and drawn from
-        over = index.select(F.col("_i").alias("_x")).where(F.col("_x") > 0).select("_x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_x") - 1)).alias("_y")).select(F.col("_y").alias("_l"), F.col("_x").alias("_h"))
+        over = index.select(F.col("_i").alias("_x")).where(F.col("_x") > 0).select("_x",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("_x") - 1)).alias("_y")).select(F.col("_y").alias("_l"),
+                F.col("_x").alias("_h"))
     else:
         x, y = pick(F.lit(total), seed, "first", "id"), pick(F.lit(total), seed, "second", "id")
-        over = spark.range(3 * n + 64).select(x.alias("_x"), y.alias("_y")).where("_x <> _y").select(F.least("_x", "_y").alias("_l"), F.greatest("_x", "_y").alias("_h")).distinct()
+        over = spark.range(3 * n + 64).select(x.alias("_x"), y.alias("_y")).where("_x <> _y").select(F.least("_x", "_y").alias("_l"),
+            F.greatest("_x", "_y").alias("_h")).distinct()
     keyed = over.withColumn("_pair", F.struct("_l", "_h"))
     chosen = least_rows(keyed, draw(seed, "pair", "_l", "_h"), "_pair", want).select("_l", "_h")
     a, b = (index.select(F.col("_i").alias(k), F.col(id).alias(v)) for k, v in (("_l", "a"), ("_h", "b")))
@@ -117,18 +126,22 @@ def random_pairs(df: DataFrame, id: str, n: int, seed: int = 0) -> DataFrame:
 def related_pairs(df: DataFrame, id: str, by: str, n_per: int, seed: int = 0) -> DataFrame:
     """SM6: up to ``n_per`` pairs within each group of enough rows, and as many with partners of other groups: ``a, b, related``."""
     w = Window.partitionBy(by).orderBy(draw(seed, "pairs", id), id)
-    ranked = df.where(F.col(by).isNotNull()).select(F.col(id).alias("_id"), F.col(by).alias("_g"), F.row_number().over(w).alias("_n")).where(F.col("_n") <= 2 * n_per)
+    ranked = df.where(F.col(by).isNotNull()).select(F.col(id).alias("_id"), F.col(by).alias("_g"),
+        F.row_number().over(w).alias("_n")).where(F.col("_n") <= 2 * n_per)
     whole = ranked.groupBy("_g").agg(F.max("_n").alias("_top")).where(F.col("_top") >= 2 * n_per).select("_g")
     ranked = ranked.join(whole, "_g", "left_semi")
     odd = ranked.where(F.col("_n") % 2 == 1).select("_g", F.col("_id").alias("a"), ((F.col("_n") + 1) / 2).cast("int").alias("_k"))
-    even = ranked.where(F.col("_n") % 2 == 0).select(F.col("_g").alias("_g2"), F.col("_id").alias("b"), (F.col("_n") / 2).cast("int").alias("_k2"))
+    even = ranked.where(F.col("_n") % 2 == 0).select(F.col("_g").alias("_g2"), F.col("_id").alias("b"),
+        (F.col("_n") / 2).cast("int").alias("_k2"))
     inside = odd.join(even, (F.col("_g") == F.col("_g2")) & (F.col("_k") == F.col("_k2"))).select("a", "b", F.lit(True).alias("related"))
     groups = row_index(ranked.select("_g").distinct(), ["_g"], "_i", start=0)
     n = groups.count()
     if n < 2:
         return inside
-    nxt = groups.select(F.col("_g").alias("_g"), F.pmod(F.col("_i") + 1 + pick(F.lit(n - 1), seed, "other", "_g"), F.lit(n)).alias("_j")).join(groups.select(F.col("_g").alias("_other"), F.col("_i").alias("_j")), "_j").select("_g", "_other")
-    across = odd.join(nxt, "_g").join(even, (F.col("_other") == F.col("_g2")) & (F.col("_k") == F.col("_k2"))).select("a", "b", F.lit(False).alias("related"))
+    nxt = groups.select(F.col("_g").alias("_g"), F.pmod(F.col("_i") + 1 + pick(F.lit(n - 1), seed, "other", "_g"), F.lit(n))
+        .alias("_j")).join(groups.select(F.col("_g").alias("_other"), F.col("_i").alias("_j")), "_j").select("_g", "_other")
+    across = odd.join(nxt, "_g").join(even, (F.col("_other") == F.col("_g2")) & (F.col("_k") == F.col("_k2"))).select("a", "b",
+        F.lit(False).alias("related"))
     return inside.unionByName(across)
 
 
@@ -146,7 +159,8 @@ def train_test(df: DataFrame, id: str, share: float, seed: int = 0, validation:
 
 def named_splits(df: DataFrame, specs: Mapping[str, Mapping], name: str = "test_set") -> DataFrame:
     """SM8: each row once for each named mask, with its ``split`` there."""
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias(name), F.when(split_predicate(s), "test").otherwise("train").alias("split")) for k, s in specs.items()]))
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias(name), F.when(split_predicate(s), "test").otherwise("train").alias("split")) for k,
+        s in specs.items()]))
     return df.select("*", rows.alias("_r")).select(*df.columns, "_r.*")
 
 
@@ -154,7 +168,8 @@ def kfold(df: DataFrame, id: str, k: int, repeats: int = 1, seed: int = 0, strat
     """SM9: ``repeat`` and ``fold`` of each row; folds differ by one row at most, within labels where stratified."""
     rows = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_h", draw(seed, "fold", "repeat", id))
     if stratify:
-        return group_index(rows, ["repeat", stratify], ["_h", id], "_n", start=0).withColumn("fold", (F.col("_n") % k).cast("int")).drop("_h", "_n")
+        return group_index(rows, ["repeat", stratify], ["_h", id], "_n", start=0).withColumn("fold", (F.col("_n") % k).cast("int")).drop(
+            "_h", "_n")
     return row_index(rows, ["repeat", "_h", id], "_n", start=0).withColumn("fold", (F.col("_n") % k).cast("int")).drop("_h", "_n")
 
 
@@ -166,10 +181,13 @@ def holdout_plan(df: DataFrame, id: str, spec: Mapping[str, Mapping], bootstrap:
 
 def control_task(df: DataFrame, target: str, control: str, seed: int = 0, name: str = "control_target") -> DataFrame:
     """SM11: each value of ``control`` mapped to a drawn value of ``target``; every target is used where there are enough values."""
-    goals = row_index(df.where(F.col(target).isNotNull()).select(F.col(target).alias("_t")).distinct().withColumn("_h", draw(seed, "goal", "_t")), ["_h", "_t"], "_i", start=0).select("_t", "_i")
+    goals = row_index(df.where(F.col(target).isNotNull()).select(F.col(target).alias("_t")).distinct().withColumn("_h",
+        draw(seed, "goal", "_t")), ["_h", "_t"], "_i", start=0).select("_t", "_i")
     n = max(1, goals.count())
-    values = row_index(df.where(F.col(control).isNotNull()).select(F.col(control).alias("_c")).distinct().withColumn("_h", draw(seed, "control", "_c")), ["_h", "_c"], "_k", start=0)
-    linked = values.withColumn("_i", F.when(F.col("_k") < n, F.col("_k")).otherwise(F.pmod("_h", F.lit(n)))).join(goals, "_i").select("_c", F.col("_t").alias(name))
+    values = row_index(df.where(F.col(control).isNotNull()).select(F.col(control).alias("_c")).distinct().withColumn("_h",
+        draw(seed, "control", "_c")), ["_h", "_c"], "_k", start=0)
+    linked = values.withColumn("_i", F.when(F.col("_k") < n, F.col("_k")).otherwise(F.pmod("_h", F.lit(n)))).join(goals, "_i").select("_c",
+        F.col("_t").alias(name))
     return df.join(linked, F.col(control) == F.col("_c"), "left").drop("_c")
 
 
@@ -177,13 +195,16 @@ def permute(df: DataFrame, id: str, cols: Sequence[str], within: str | None = No
     """SM12: columns shuffled together over the table, or each on its own (all of one type) within groups."""
     if within is None:
         left = row_index(df, [id], "_i")
-        right = row_index(df.select(id, *cols).withColumn("_h", draw(seed, "permute", id)), ["_h", id], "_i").select("_i", *[F.col(c).alias(f"_{c}") for c in cols])
+        right = row_index(df.select(id, *cols).withColumn("_h", draw(seed, "permute", id)), ["_h", id], "_i").select("_i",
+            *[F.col(c).alias(f"_{c}") for c in cols])
         return left.join(right, "_i").select(*[F.col(f"_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
     kinds = {df.schema[c].dataType.simpleString() for c in cols}
     if len(kinds) > 1:
         raise ValueError("columns shuffled within groups must be of one type")
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).alias("_v")) for c in cols]))
-    long = df.select(id, F.col(within).alias("_w"), values.alias("_r")).select(id, "_w", "_r.*").withColumn("_h", draw(seed, "within", "_c", id))
-    drawn = group_index(long, ["_w", "_c"], ["_h", id], "_j").groupBy("_w", "_j").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_v"))).alias("_m"))  # a value a column
+    long = df.select(id, F.col(within).alias("_w"), values.alias("_r")).select(id, "_w", "_r.*").withColumn("_h",
+        draw(seed, "within", "_c", id))
+    drawn = group_index(long, ["_w", "_c"], ["_h", id], "_j").groupBy("_w",
+        "_j").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_v"))).alias("_m"))  # a value a column
     out = group_index(df, [within], [id], "_i").join(drawn, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_i") == F.col("_j")))
     return out.select(*[F.col("_m")[c].alias(c) if c in cols else F.col(c) for c in df.columns])

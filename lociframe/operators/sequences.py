@@ -22,21 +22,26 @@ def bin_split(df: DataFrame, seq: str, max_len: int, up: int = 0, down: int = 0,
     n = F.length(seq)
     rows = df.select("*", F.posexplode(_starts(n, max_len, keep_tail)).alias("seqindex", "_s"))
     rows = rows.withColumn("start", F.greatest(F.col("_s") - up, F.lit(0))).withColumn("stop", F.least(F.col("_s") + max_len + down, n))
-    return rows.withColumn("_piece", F.substring(seq, F.col("start") + 1, F.col("stop") - F.col("start"))).drop("_s", seq).withColumnRenamed("_piece", "sequence")
+    return rows.withColumn("_piece", F.substring(seq, F.col("start") + 1, F.col("stop") - F.col("start"))).drop("_s",
+        seq).withColumnRenamed("_piece", "sequence")
 
 
 def split_features(df: DataFrame, max_len: int | None, start: str = "start", stop: str = "stop") -> DataFrame:
     """SC2: each interval as chunks of at most ``max_len`` (one without a limit), with ``is_5prime`` and ``is_3prime``; no chunk is empty."""
     if max_len is None:
-        return df.select("*", F.col(start).alias("chunk_start"), F.col(stop).alias("chunk_stop"), F.lit(0).alias("chunk"), F.lit(True).alias("is_5prime"), F.lit(True).alias("is_3prime"))
+        return df.select("*", F.col(start).alias("chunk_start"), F.col(stop).alias("chunk_stop"), F.lit(0).alias("chunk"),
+            F.lit(True).alias("is_5prime"), F.lit(True).alias("is_3prime"))
     n = F.col(stop) - F.col(start)
-    rows = df.select("*", F.posexplode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"), F.lit(max_len).cast("long")))).alias("chunk", "_s"))
+    rows = df.select("*", F.posexplode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"), F.lit(max_len).cast("long"))))
+        .alias("chunk", "_s"))
     lo = F.col(start) + F.col("_s")
     hi = F.least(lo + max_len, F.col(stop))
-    return rows.select(*df.columns, lo.alias("chunk_start"), hi.alias("chunk_stop"), "chunk", (F.col("_s") == 0).alias("is_5prime"), (hi == F.col(stop)).alias("is_3prime"))
+    return rows.select(*df.columns, lo.alias("chunk_start"), hi.alias("chunk_stop"), "chunk", (F.col("_s") == 0).alias("is_5prime"),
+        (hi == F.col(stop)).alias("is_3prime"))
 
 
-def cut_features(contigs: DataFrame, features: DataFrame, utr: tuple[int | float, int | float] | None = None, up: int = 0, down: int = 0, by: Sequence[str] = ("sample", "seqid"), seq: str = "sequence") -> DataFrame:
+def cut_features(contigs: DataFrame, features: DataFrame, utr: tuple[int | float, int | float] | None = None, up: int = 0, down: int = 0,
+    by: Sequence[str] = ("sample", "seqid"), seq: str = "sequence") -> DataFrame:
     """SC3: the text of each chunk. Untranslated ends are added only at a feature's own ends, as bases or, for fractions, as a share of the gap; other context only where none was added. The contig's text is dropped in the join's projection."""
     f = features
     zero = F.lit(0)
@@ -52,13 +57,15 @@ def cut_features(contigs: DataFrame, features: DataFrame, utr: tuple[int | float
     joined = f.join(contigs.select(*by, F.col(seq).alias("_seq")), list(by))
     lo = F.greatest(F.col("chunk_start") - up_n, zero)
     hi = F.least(F.col("chunk_stop") + down_n, F.length("_seq"))
-    return joined.select(*f.columns, lo.alias("cut_start"), hi.alias("cut_stop"), F.substring("_seq", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("sequence"))
+    return joined.select(*f.columns, lo.alias("cut_start"), hi.alias("cut_stop"),
+        F.substring("_seq", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("sequence"))
 
 
 def expand_max_len(df: DataFrame, seq: str, id: str, max_len: int) -> DataFrame:
     """SC4: ``id, subseq_no, piece``, the short tail included; empty text keeps one null piece."""
     pieces = F.regexp_extract_all(seq, F.lit("(?s)(.{1,%d})" % max_len), F.lit(1))  # one pass over the text, which no piece's row carries
-    return df.select(F.col(id).alias("id"), F.posexplode_outer(pieces).alias("subseq_no", "piece")).withColumn("subseq_no", F.coalesce("subseq_no", F.lit(0)))
+    return df.select(F.col(id).alias("id"), F.posexplode_outer(pieces).alias("subseq_no", "piece")).withColumn("subseq_no",
+        F.coalesce("subseq_no", F.lit(0)))
 
 
 def pool_pieces(df: DataFrame, store: DataFrame, seq: str, id: str, max_len: int, agg: str = "mean") -> DataFrame:
@@ -75,17 +82,20 @@ def piece_tokens(df: DataFrame, store: DataFrame, seq: str, id: str, max_len: in
     from .joins import store_lookup
 
     found = store_lookup(expand_max_len(df, seq, id, max_len).where("piece is not null"), "piece", store, "token")
-    return found.withColumn("token_idx", F.transform("token_idx", lambda i: i + F.col("subseq_no") * max_len)).select("id", "subseq_no", "token", "token_idx")
+    return found.withColumn("token_idx", F.transform("token_idx", lambda i: i + F.col("subseq_no") * max_len)).select("id", "subseq_no",
+        "token", "token_idx")
 
 
 def sample_tokens(df: DataFrame, amount: int | float, seed: int = 0, key: str = "key") -> DataFrame:
     """SC18: so many, or such a share, of a row's tokens, drawn by the key; ``token_idx`` tells which."""
     n = F.size("token")
     count = F.lit(amount) if isinstance(amount, int) else F.ceil(n * amount)
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(draw(seed, "token", F.col(key), i).alias("h"), i.alias("i"))))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(draw(seed, "token", F.col(key), i).alias("h"),
+        i.alias("i"))))
     chosen = F.array_sort(F.transform(F.slice(order, F.lit(1), F.least(count, n).cast("int")), lambda s: s["i"]))
     picked = df.withColumn("_i", F.when(n > 0, chosen).otherwise(F.array().cast("array<int>")))
-    return picked.withColumn("token", F.transform("_i", lambda i: F.get("token", i))).withColumn("token_idx", F.transform("_i", lambda i: i.cast("long"))).drop("_i")
+    return picked.withColumn("token", F.transform("_i", lambda i: F.get("token", i))).withColumn("token_idx",
+        F.transform("_i", lambda i: i.cast("long"))).drop("_i")
 
 
 def one_token(df: DataFrame, seed: int = 0, key: str = "key") -> DataFrame:
@@ -100,7 +110,8 @@ def _letters(seq: str) -> Column:
 
 def permute_seq(df: DataFrame, id: str, seq: str, seed: int = 0) -> DataFrame:
     """SC21: the letters in a drawn order."""
-    order = F.array_sort(F.transform(_letters(seq), lambda c, i: F.struct(draw(seed, "permute", F.col(id), i).alias("h"), i.alias("i"), c.alias("c"))))
+    order = F.array_sort(F.transform(_letters(seq), lambda c, i: F.struct(draw(seed, "permute", F.col(id), i).alias("h"), i.alias("i"),
+        c.alias("c"))))
     return df.withColumn(seq, F.array_join(F.transform(order, lambda s: s["c"]), ""))
 
 
@@ -125,12 +136,14 @@ def random_seq(df: DataFrame, id: str, seq: str, alphabet: str | None = None, di
     return df.withColumn(seq, F.array_join(F.transform(_letters(seq), pick), ""))
 
 
-def substitute(df: DataFrame, id: str, seq: str, scores: Mapping[str, Mapping[str, float]], k: int = 3, rate: float = 0.1, seed: int = 0, groups: Mapping[str, str] | None = None) -> DataFrame:
+def substitute(df: DataFrame, id: str, seq: str, scores: Mapping[str, Mapping[str, float]], k: int = 3, rate: float = 0.1, seed: int = 0,
+    groups: Mapping[str, str] | None = None) -> DataFrame:
     """SC23: a share of positions replaced by one of the ``k`` residues of the highest score, or one of the same group; unknown letters stay."""
     if groups is not None:
         choices = {a: [b for b in sorted(groups) if b != a and groups[b] == groups[a]] for a in groups}
     else:
-        choices = {a: [b for b, _ in sorted(((b, s) for b, s in row.items() if b != a), key=lambda p: (-p[1], p[0]))[:k]] for a, row in scores.items()}
+        choices = {a: [b for b, _ in sorted(((b, s) for b, s in row.items() if b != a), key=lambda p: (-p[1], p[0]))[:k]] for a,
+            row in scores.items()}
     choices = {a: c for a, c in choices.items() if c}
     if not choices:
         return df
@@ -147,7 +160,8 @@ def substitute(df: DataFrame, id: str, seq: str, scores: Mapping[str, Mapping[st
 def codon_usage(df: DataFrame, seq: str) -> DataFrame:
     """``codon, residue, n`` of full codons in frame."""
     table = F.create_map(*[F.lit(v) for kv in codon_table().items() for v in kv])
-    return df.select(F.explode(codons(F.upper(seq))).alias("codon")).groupBy("codon").agg(F.count("*").alias("n")).select("codon", table[F.col("codon")].alias("residue"), "n").where("residue is not null")
+    return df.select(F.explode(codons(F.upper(seq))).alias("codon")).groupBy("codon").agg(F.count("*").alias("n")).select("codon",
+        table[F.col("codon")].alias("residue"), "n").where("residue is not null")
 
 
 def best_codon(df: DataFrame, seq: str, usage: DataFrame) -> DataFrame:

@@ -52,7 +52,8 @@ def ks_2samp(df: DataFrame, value: str, group: str, alternative: str = "two-side
     ``greater``: the first sample's distribution function lies above; ``less``: below.
     """
     by = list(by or [])
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count_if(F.col(group)).alias("a"), F.count_if(~F.col(group)).alias("b"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count_if(F.col(group)).alias("a"),
+        F.count_if(~F.col(group)).alias("b"))
     run = running_sums(counts, by, ["_v"], ["a", "b"]).select(*by, F.col("_run_a").alias("ca"), F.col("_run_b").alias("cb"))
     sizes = counts.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     joined = run.join(sizes, by) if by else run.join(F.broadcast(sizes))  # one row
@@ -68,8 +69,10 @@ def wilcoxon(df: DataFrame, x: str, y: str, by: Sequence[str] | None = None) ->
     by = list(by or [])
     rows = df.select(*by, (F.col(x) - F.col(y)).alias("_d")).where("_d <> 0").withColumn("_a", F.abs("_d"))
     ranked = avg_rank(rows, "_a", by or None, "_r")
-    sums = ranked.groupBy(*by).agg(F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"), F.count("*").alias("n"))
-    ties = rows.groupBy(*by, "_a").agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("_ties"))
+    sums = ranked.groupBy(*by).agg(F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"),
+        F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"), F.count("*").alias("n"))
+    ties = rows.groupBy(*by, "_a").agg(F.count("*").alias("t")).groupBy(*by).agg(
+        F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("_ties"))
     out = sums.join(ties, by) if by else sums.join(F.broadcast(ties))  # one row
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
@@ -82,7 +85,8 @@ def mc_test(observed: DataFrame, null: DataFrame, alternative: str = "two-sided"
 
     Observed and null values are counted together in the order of values, so neither is joined to all of the other.
     """
-    every = null.select(F.col(value).alias("_v"), F.lit(1).alias("_null")).unionByName(observed.select(F.col(value).alias("_v"), F.lit(0).alias("_null")))
+    every = null.select(F.col(value).alias("_v"), F.lit(1).alias("_null")).unionByName(observed.select(F.col(value).alias("_v"),
+        F.lit(0).alias("_null")))
     cum = value_ranks(every.where("_null = 1"), "_v").select(F.col("value").alias("_v"), (F.col("below") + F.col("n")).alias("upto"))
     total = null.where(F.col(value).isNotNull()).count()
     points = observed.select(F.col(value).alias("_v")).where("_v is not null").distinct()
@@ -95,14 +99,16 @@ def mc_test(observed: DataFrame, null: DataFrame, alternative: str = "two-sided"
         pairs += [F.lit(r["_p"]), F.lit(best).cast("long")]
         best = max(best, r["m"] or 0)
     w = Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = keyed.select("_v", (F.coalesce(F.max("upto").over(w), F.create_map(*pairs)[F.col("_p")]) / F.lit(float(max(1, total)))).alias("cdf"))
+    cdf = keyed.select("_v", (F.coalesce(F.max("upto").over(w), F.create_map(*pairs)[F.col("_p")]) / F.lit(float(max(1, total))))
+        .alias("cdf"))
     p = {"less": F.col("cdf"), "greater": 1 - F.col("cdf"), "two-sided": 2 * F.least("cdf", 1 - F.col("cdf"))}[alternative]
     out = observed.join(cdf, F.col(value) == F.col("_v")).drop("_v").withColumn("p", F.when(p == 0, 1e-10).otherwise(p))
     least = out.agg(F.least(F.min("p") * F.count("*"), F.lit(1.0)).alias("p_adj"))
     return out.join(F.broadcast(least))  # one row
 
 
-def mc_test_by(data: DataFrame, null_data: DataFrame, statistic: Callable[[DataFrame], DataFrame], alternative: str = "two-sided") -> DataFrame:
+def mc_test_by(data: DataFrame, null_data: DataFrame, statistic: Callable[[DataFrame], DataFrame],
+    alternative: str = "two-sided") -> DataFrame:
     """ST5 with a statistic (UD2): a callable from a table to ``value`` rows, applied to both."""
     return mc_test(statistic(data), statistic(null_data), alternative)
 
@@ -114,7 +120,8 @@ def log_factorial(k: Column) -> Column:
     """Natural logarithm of k!: a table up to 31, beyond it Stirling's series, whose error is below that of a double."""
     table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(_SMALL_LOG_FACTORIALS)])
     x = k.cast("double") + 1
-    series = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    series = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260
+        * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
     return F.when(k < _SMALL_LOG_FACTORIALS, F.get(table, k.cast("int"))).otherwise(series)
 
 
@@ -138,12 +145,14 @@ def _multinomial_counts(probs: Sequence[float]) -> Callable:
                 out[:, c] = rest if last else tails.binomial_quantile(rest, min(1.0, p / left[c]), u[:, c])
                 rest = rest - out[:, c]
             at = pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(probs))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_size")), pa.ListArray.from_arrays(at, pa.array(out.reshape(-1)))], names=["_size", "ks"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_size")),
+                pa.ListArray.from_arrays(at, pa.array(out.reshape(-1)))], names=["_size", "ks"])
 
     return run
 
 
-def multinomial_test(obs: DataFrame, cats: DataFrame, n_resample: int = 10_000, seed: int = 0, group: str = "group", category: str = "category") -> DataFrame:
+def multinomial_test(obs: DataFrame, cats: DataFrame, n_resample: int = 10_000, seed: int = 0, group: str = "group",
+    category: str = "category") -> DataFrame:
     """ST6: for each group of ``group, category`` rows the log-probability of its counts under the shares in ``cats``, and how much of as many drawn groups of its size has less.
 
     A drawn group is one row: a binomial draw a category (in order of names), whatever the group's size. Counts are summed in that
@@ -158,19 +167,26 @@ def multinomial_test(obs: DataFrame, cats: DataFrame, n_resample: int = 10_000,
     log_p = F.array(*[F.lit(math.log(p)) for p in probs])
     term = lambda i, k: k * F.get(log_p, i) - log_factorial(k)
     counts = obs.groupBy(group, category).agg(F.count("*").alias("k"))
-    listed = counts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.coalesce(place[F.col(category)], F.lit(-1)).alias("i"), "k"))).alias("cells"), F.sum("k").cast("long").alias("_size"))  # a cell a category
+    listed = counts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.coalesce(place[F.col(category)], F.lit(-1)).alias("i"), "k")))
+        .alias("cells"), F.sum("k").cast("long").alias("_size"))  # a cell a category
     known = F.forall("cells", lambda c: c["i"] >= 0)
-    observed = listed.select(group, "_size", F.when(known, F.round(F.aggregate("cells", F.lit(0.0), lambda s, c: s + term(c["i"], c["k"])) + log_factorial(F.col("_size")), 9)).alias("value"))
+    observed = listed.select(group, "_size",
+        F.when(known, F.round(F.aggregate("cells", F.lit(0.0), lambda s, c: s + term(c["i"], c["k"])) + log_factorial(F.col("_size")), 9))
+            .alias("value"))
     observed = materialise(observed)
     kinds = observed.where("value is not null").select("_size").distinct()
     parts = max(1, int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    draws = kinds.select("_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_resample - 1).cast("long"))).alias("id")).repartition(parts, "_size", "id")
+    draws = kinds.select("_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_resample - 1).cast("long"))).alias("id")).repartition(
+        parts, "_size", "id")
     numbers = F.transform(F.sequence(F.lit(1), F.lit(len(shares))), lambda i: unit(seed, "multinomial", F.col("_size"), F.col("id"), i))
     drawn = draws.select("_size", numbers.alias("u")).mapInArrow(_multinomial_counts(probs), "_size long, ks array<long>")
     cells = F.transform("ks", lambda k, i: F.struct(i.alias("i"), k.alias("k")))
-    null = drawn.select("_size", F.round(F.aggregate(cells, F.lit(0.0), lambda s, c: s + term(c["i"], c["k"])) + log_factorial(F.col("_size")), 9).alias("value"))
-    points = null.groupBy("_size", "value").agg(F.count("*").alias("n")).unionByName(observed.where("value is not null").select("_size", "value", F.lit(0).cast("long").alias("n")).distinct()).groupBy("_size", "value").agg(F.sum("n").alias("n"))
-    cdf = running_sums(points, ["_size"], ["value"], ["n"]).select("_size", "value", (F.col("_run_n") / F.lit(float(n_resample))).alias("cdf"))
+    null = drawn.select("_size",
+        F.round(F.aggregate(cells, F.lit(0.0), lambda s, c: s + term(c["i"], c["k"])) + log_factorial(F.col("_size")), 9).alias("value"))
+    points = null.groupBy("_size", "value").agg(F.count("*").alias("n")).unionByName(observed.where("value is not null").select("_size",
+        "value", F.lit(0).cast("long").alias("n")).distinct()).groupBy("_size", "value").agg(F.sum("n").alias("n"))
+    cdf = running_sums(points, ["_size"], ["value"], ["n"]).select("_size", "value",
+        (F.col("_run_n") / F.lit(float(n_resample))).alias("cdf"))
     out = observed.join(cdf, ["_size", "value"]).withColumn("p", F.when(F.col("cdf") == 0, 1e-10).otherwise(F.col("cdf"))).drop("_size")
     least = out.agg(F.least(F.min("p") * F.count("*"), F.lit(1.0)).alias("p_adj"))
     return out.join(F.broadcast(least))  # one row
@@ -189,46 +205,55 @@ def category_distance(df: DataFrame, id: str, x: str, label: str, n: int = 1000,
     return ks_2samp(pairs.select("related", vec_distance("x_a", "x_b", metric).alias("d")), "d", "related", "greater")
 
 
-def embedding_correlations(df: DataFrame, id: str, x: str, n: int, covariates: Mapping[str, tuple[str, str]], rounds: int = 1, seed: int = 0, metric: str = "cosine", tax: DataFrame | None = None) -> DataFrame:
+def embedding_correlations(df: DataFrame, id: str, x: str, n: int, covariates: Mapping[str, tuple[str, str]], rounds: int = 1,
+    seed: int = 0, metric: str = "cosine", tax: DataFrame | None = None) -> DataFrame:
     """ST11: Spearman correlation of vector distance with each covariate's over drawn pairs: ``round, covariate, rho, n, p``.
 
     A covariate is ``(column, kind)``: ``functional`` (labels split by ``;``), ``sequence``, ``number`` or ``taxonomic``.
     """
     pairs = reduce(DataFrame.unionByName, [random_pairs(df, id, n, seed + r).withColumn("round", F.lit(r)) for r in range(rounds)])
-    both = pair_vectors(pairs, df, id, {"x": x} | {k: c for k, (c, _) in covariates.items()}).withColumn("d", vec_distance("x_a", "x_b", metric))
+    both = pair_vectors(pairs, df, id, {"x": x} | {k: c for k, (c, _) in covariates.items()}).withColumn("d",
+        vec_distance("x_a", "x_b", metric))
     out = []
     for name, (_, kind) in covariates.items():
         a, b = f"{name}_a", f"{name}_b"
         if kind == "taxonomic":
             rows = taxon_distance(both, tax, a, b).withColumn("c", F.col("distance").cast("double"))
         else:
-            c = {"functional": lambda: label_jaccard(split_labels(a), split_labels(b)), "sequence": lambda: kmer_distance(a, b), "number": lambda: abs_diff(a, b)}[kind]()  # noqa: B023
+            c = {"functional": lambda: label_jaccard(split_labels(a), split_labels(b)), "sequence": lambda: kmer_distance(a, b),
+                "number": lambda: abs_diff(a, b)}[kind]()  # noqa: B023
             rows = both.withColumn("c", c.cast("double"))
         out.append(spearman(rows, "d", "c", ["round"]).select("round", F.lit(name).alias("covariate"), "rho", "n", "p"))
     return union(out, diagonal=False)
 
 
-def pair_distribution(df: DataFrame, id: str, x: str, cols: Sequence[str], n_per: int = 100, metric: str = "cosine", seed: int = 0) -> DataFrame:
+def pair_distribution(df: DataFrame, id: str, x: str, cols: Sequence[str], n_per: int = 100, metric: str = "cosine",
+    seed: int = 0) -> DataFrame:
     """ST13: for each column the distances of related and unrelated pairs: their means, the KS statistic, and the relative entropy of rank-aligned normalised distances."""
     out = []
     for c in cols:
-        pairs = pair_vectors(related_pairs(df, id, c, n_per, seed), df, id, {"x": x}).select("related", vec_distance("x_a", "x_b", metric).alias("d"))
+        pairs = pair_vectors(related_pairs(df, id, c, n_per, seed), df, id, {"x": x}).select("related",
+            vec_distance("x_a", "x_b", metric).alias("d"))
         ks = ks_2samp(pairs, "d", "related", "greater").select("statistic", "p", "n1", "n2")
-        means = pairs.agg(F.avg(F.when(F.col("related"), F.col("d"))).alias("related_mean"), F.avg(F.when(~F.col("related"), F.col("d"))).alias("unrelated_mean"))
+        means = pairs.agg(F.avg(F.when(F.col("related"), F.col("d"))).alias("related_mean"),
+            F.avg(F.when(~F.col("related"), F.col("d"))).alias("unrelated_mean"))
         ranked = avg_rank(pairs.withColumn("d", F.greatest("d", F.lit(1e-12))), "d", ["related"], "r").withColumn("k", F.floor("r"))
         a = ranked.where("related").groupBy("k").agg(F.sum("d").alias("da"))
         b = ranked.where("not related").groupBy("k").agg(F.sum("d").alias("db"))
         both = a.join(b, "k")
         sums = both.agg(F.sum("da").alias("sa"), F.sum("db").alias("sb"))
-        kl = both.join(F.broadcast(sums)).agg(F.sum(F.col("da") / F.col("sa") * F.ln((F.col("da") / F.col("sa")) / (F.col("db") / F.col("sb")))).alias("relative_entropy"))
-        out.append(ks.join(F.broadcast(means)).join(F.broadcast(kl)).select(F.lit(c).alias("col"), "related_mean", "unrelated_mean", "statistic", "p", "relative_entropy"))  # one row each
+        kl = both.join(F.broadcast(sums)).agg(
+            F.sum(F.col("da") / F.col("sa") * F.ln((F.col("da") / F.col("sa")) / (F.col("db") / F.col("sb")))).alias("relative_entropy"))
+        out.append(ks.join(F.broadcast(means)).join(F.broadcast(kl)).select(F.lit(c).alias("col"), "related_mean", "unrelated_mean",
+            "statistic", "p", "relative_entropy"))  # one row each
     return union(out, diagonal=False)
 
 
 def pooled_agreement(seqs: DataFrame, pooled: DataFrame, sample: str, x: str, n: int, metric: str = "cosine", seed: int = 0) -> DataFrame:
     """ST14: Spearman correlation, over drawn sample pairs, of the mean distance between their rows and the distance of their pooled vectors."""
     pairs = random_pairs(pooled, sample, n, seed)
-    rows = pairs.join(seqs.select(F.col(sample).alias("a"), F.col(x).alias("_x")), "a").join(seqs.select(F.col(sample).alias("b"), F.col(x).alias("_y")), "b")
+    rows = pairs.join(seqs.select(F.col(sample).alias("a"), F.col(x).alias("_x")),
+        "a").join(seqs.select(F.col(sample).alias("b"), F.col(x).alias("_y")), "b")
     cross = rows.groupBy("a", "b").agg(F.avg(vec_distance("_x", "_y", metric)).alias("cross"))
     both = pair_vectors(cross, pooled, sample, {"x": x}).withColumn("pooled", vec_distance("x_a", "x_b", metric))
     return spearman(both, "cross", "pooled")
@@ -239,7 +264,8 @@ def clustering_agreement(df: DataFrame, truth: str, pred: str) -> DataFrame:
     cells = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull()).groupBy(truth, pred).agg(F.count("*").alias("n"))
     two = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
     ent = lambda c: F.sum(F.col(c).cast("double") * F.ln(F.col(c).cast("double")))
-    t = cells.groupBy(truth).agg(F.sum("n").alias("n")).agg(two("n").alias("t2"), ent("n").alias("te"), F.sum("n").cast("double").alias("all"))
+    t = cells.groupBy(truth).agg(F.sum("n").alias("n")).agg(two("n").alias("t2"), ent("n").alias("te"),
+        F.sum("n").cast("double").alias("all"))
     p = cells.groupBy(pred).agg(F.sum("n").alias("n")).agg(two("n").alias("p2"), ent("n").alias("pe"))
     c = cells.agg(two("n").alias("c2"), ent("n").alias("ce"))
     one = c.join(F.broadcast(t)).join(F.broadcast(p))  # one row each
@@ -250,7 +276,9 @@ def clustering_agreement(df: DataFrame, truth: str, pred: str) -> DataFrame:
     ht, hp = log_all - F.col("te") / F.col("all"), log_all - F.col("pe") / F.col("all")
     joint = log_all - F.col("ce") / F.col("all")
     mutual = ht + hp - joint
-    return one.select(F.coalesce(ari, F.lit(1.0)).alias("ari"), F.coalesce(mutual / F.nullif(ht, F.lit(0.0)), F.lit(1.0)).alias("homogeneity"), F.coalesce(mutual / F.nullif(hp, F.lit(0.0)), F.lit(1.0)).alias("completeness"))
+    return one.select(F.coalesce(ari, F.lit(1.0)).alias("ari"),
+        F.coalesce(mutual / F.nullif(ht, F.lit(0.0)), F.lit(1.0)).alias("homogeneity"),
+            F.coalesce(mutual / F.nullif(hp, F.lit(0.0)), F.lit(1.0)).alias("completeness"))
 
 
 def silhouette_mean(df: DataFrame, x: str, cluster: str) -> float:
@@ -305,7 +333,8 @@ def silhouette_closed(df: DataFrame, id: str, x: str, cluster: str, metric: str
 
     if metric not in ("sqeuclidean", "cosine"):
         raise ValueError(f"no closed form for {metric}")
-    rows = df.where(F.col(x).isNotNull() & F.col(cluster).isNotNull()).select(F.col(id).alias("id"), F.col(x).cast("array<double>").alias("x"), F.col(cluster).cast("string").alias("c"))
+    rows = df.where(F.col(x).isNotNull() & F.col(cluster).isNotNull()).select(F.col(id).alias("id"),
+        F.col(x).cast("array<double>").alias("x"), F.col(cluster).cast("string").alias("c"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
     unit_x = F.transform("x", lambda v: v / norm) if metric == "cosine" else F.col("x")
     if metric == "cosine":
@@ -318,7 +347,8 @@ def silhouette_closed(df: DataFrame, id: str, x: str, cluster: str, metric: str
     if shape["k"] * shape["w"] * 8 > CLUSTER_BYTES:
         raise ValueError("the sums of so many clusters are too large to send: use silhouette")
     long = rows.select("c", F.posexplode(unit_x).alias("pos", "v"))
-    cells = long.groupBy("c", "pos").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count("*").alias("n")).collect()  # CLUSTER_BYTES or less
+    cells = long.groupBy("c", "pos").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count("*").alias("n")).collect(
+        )  # CLUSTER_BYTES or less
     clusters = sorted({r["c"] for r in cells})
     at = {c: i for i, c in enumerate(clusters)}
     sums, squares, sizes = np.zeros((len(clusters), shape["w"])), np.zeros(len(clusters)), np.zeros(len(clusters))
@@ -326,7 +356,8 @@ def silhouette_closed(df: DataFrame, id: str, x: str, cluster: str, metric: str
         sums[at[r["c"]], r["pos"]] = r["s"]
         squares[at[r["c"]]] += r["q"]
         sizes[at[r["c"]]] = r["n"]
-    return rows.mapInArrow(_silhouette_from_sums(metric, clusters, sums, squares, sizes), f"id {df.schema[id].dataType.simpleString()}, silhouette double")
+    return rows.mapInArrow(_silhouette_from_sums(metric, clusters, sums, squares, sizes),
+        f"id {df.schema[id].dataType.simpleString()}, silhouette double")
 
 
 def silhouette(df: DataFrame, id: str, x: str, cluster: str, metric: str = "euclidean") -> DataFrame:
@@ -354,28 +385,33 @@ def silhouette(df: DataFrame, id: str, x: str, cluster: str, metric: str = "eucl
                 sums = np.zeros((len(a), len(kinds)))
                 for j in range(len(kinds)):
                     sums[:, j] = d[:, at == j].sum(1)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(a)), len(kinds)))), pa.array(np.repeat(a[:, 0], len(kinds))), pa.array(np.tile(kinds, len(a))), pa.array(sums.reshape(-1))], names=["id", "own", "c", "s"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(a)), len(kinds)))),
+                    pa.array(np.repeat(a[:, 0], len(kinds))), pa.array(np.tile(kinds, len(a))), pa.array(sums.reshape(-1))],
+                        names=["id", "own", "c", "s"])
 
     sums = pairs.mapInArrow(run, f"id {kind}, own double, c double, s double").groupBy("id", "own", "c").agg(F.sum("s").alias("s"))
     sizes = df.groupBy(F.col(cluster).cast("double").alias("c")).agg(F.count("*").alias("k"))
     w = sums.join(sizes, "c")
     a = F.max(F.when((F.col("c") == F.col("own")) & (F.col("k") > 1), F.col("s") / (F.col("k") - 1)))
     b = F.min(F.when(F.col("c") != F.col("own"), F.col("s") / F.col("k")))
-    return w.groupBy("id").agg(a.alias("a"), b.alias("b")).select("id", F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("silhouette"))
+    return w.groupBy("id").agg(a.alias("a"), b.alias("b")).select("id", F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"),
+        F.lit(0.0)).alias("silhouette"))
 
 
 def calinski_harabasz(df: DataFrame, x: str, cluster: str) -> DataFrame:
     """ST17: between- over within-cluster scatter, from sums by cluster and component."""
     long = df.select(F.col(cluster).alias("_c"), F.posexplode(x).alias("_p", "_v")).withColumn("_v", F.col("_v").cast("double"))
     cells = long.groupBy("_c", "_p").agg(F.sum("_v").alias("s"), F.sum(F.col("_v") * F.col("_v")).alias("q"), F.count("*").alias("n"))
-    per = cells.groupBy("_p").agg((F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("s") * F.sum("s") / F.sum("n")).alias("between"), (F.sum("q") - F.sum(F.col("s") * F.col("s") / F.col("n"))).alias("within"), F.count("*").alias("k"), F.sum("n").alias("n"))
+    per = cells.groupBy("_p").agg((F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("s") * F.sum("s") / F.sum("n")).alias("between"),
+        (F.sum("q") - F.sum(F.col("s") * F.col("s") / F.col("n"))).alias("within"), F.count("*").alias("k"), F.sum("n").alias("n"))
     return per.agg((F.sum("between") / (F.max("k") - 1) / (F.sum("within") / (F.max("n") - F.max("k")))).alias("ch"))
 
 
 def regression_metrics(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ("task",)) -> DataFrame:
     """ST18: ``metric, value`` rows of mse, pearson, spearman and nrmse for each group."""
     by = list(by)
-    one = df.groupBy(*by).agg(F.avg((F.col(truth) - F.col(pred)) * (F.col(truth) - F.col(pred))).alias("mse"), F.corr(truth, pred).alias("pearson"), (F.max(truth) - F.min(truth)).alias("_range"))
+    one = df.groupBy(*by).agg(F.avg((F.col(truth) - F.col(pred)) * (F.col(truth) - F.col(pred))).alias("mse"),
+        F.corr(truth, pred).alias("pearson"), (F.max(truth) - F.min(truth)).alias("_range"))
     rho = spearman(df, truth, pred, by).select(*by, F.col("rho").alias("spearman"))
     wide = one.join(rho, by, "left").withColumn("nrmse", F.sqrt("mse") / F.nullif("_range", F.lit(0))).drop("_range")
     return wide.unpivot(by, ["mse", "pearson", "spearman", "nrmse"], "metric", "value")
@@ -387,16 +423,19 @@ def classification_metrics(df: DataFrame, truth: str, pred: str, scores: str | N
     cells = df.groupBy(*by, F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count("*").cast("double").alias("n"))
     rows = cells.groupBy(*by, F.col("t").alias("l")).agg(F.sum("n").alias("nt"))
     cols = cells.groupBy(*by, F.col("p").alias("l")).agg(F.sum("n").alias("np"))
-    margins = rows.join(cols, [*by, "l"], "full").na.fill(0.0, ["nt", "np"]).groupBy(*by).agg(F.sum(F.col("nt") * F.col("np")).alias("tp"), F.sum(F.col("nt") * F.col("nt")).alias("tt"), F.sum(F.col("np") * F.col("np")).alias("pp"))
+    margins = rows.join(cols, [*by, "l"], "full").na.fill(0.0, ["nt", "np"]).groupBy(*by).agg(F.sum(F.col("nt") * F.col("np")).alias("tp"),
+        F.sum(F.col("nt") * F.col("nt")).alias("tt"), F.sum(F.col("np") * F.col("np")).alias("pp"))
     total = cells.groupBy(*by).agg(F.sum("n").alias("s"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0.0)).alias("c"))
     m = total.join(margins, by) if by else total.join(F.broadcast(margins))  # one row
     s, c = F.col("s"), F.col("c")
     mcc = F.coalesce((c * s - F.col("tp")) / F.nullif(F.sqrt((s * s - F.col("pp")) * (s * s - F.col("tt"))), F.lit(0.0)), F.lit(0.0))
     chance = F.col("tp") / (s * s)
-    wide = m.select(*by, (c / s).alias("acc"), F.coalesce((c / s - chance) / F.nullif(1 - chance, F.lit(0.0)), F.lit(0.0)).alias("kappa"), mcc.alias("mcc"), ((mcc + 1) / 2).alias("mcc_normalised"))
+    wide = m.select(*by, (c / s).alias("acc"), F.coalesce((c / s - chance) / F.nullif(1 - chance, F.lit(0.0)), F.lit(0.0)).alias("kappa"),
+        mcc.alias("mcc"), ((mcc + 1) / 2).alias("mcc_normalised"))
     names = ["acc", "kappa", "mcc", "mcc_normalised"]
     if scores:
-        each = df.select(*by, F.col(truth).alias("t"), F.explode(scores).alias("label", "score")).withColumn("hit", (F.col("t") == F.col("label")).cast("double"))
+        each = df.select(*by, F.col(truth).alias("t"), F.explode(scores).alias("label", "score")).withColumn("hit",
+            (F.col("t") == F.col("label")).cast("double"))
         areas = ranking_areas(each, "score", "hit", [*by, "label"])
         macro = areas.groupBy(*by).agg(F.avg("auroc").alias("auroc"), F.avg("aupr").alias("aupr"))
         wide = wide.join(macro, by, "left") if by else wide.join(F.broadcast(macro))  # one row
@@ -409,13 +448,17 @@ def ranking_areas(df: DataFrame, score: str, hit: str, by: Sequence[str]) -> Dat
     by = list(by)
     levels = df.groupBy(*by, F.col(score).alias("v")).agg(F.sum(hit).alias("pos"), F.count("*").cast("double").alias("n"))
     run = running_sums(levels.withColumn("pos", F.coalesce("pos", F.lit(0.0)).cast("double")), by, ["v"], ["n", "pos"])
-    all_of = levels.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sum("n").alias("_n"), F.coalesce(F.sum("pos"), F.lit(0.0)).alias("_pos"))
+    all_of = levels.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sum("n").alias("_n"),
+        F.coalesce(F.sum("pos"), F.lit(0.0)).alias("_pos"))
     run = run.join(all_of, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]) if by else run.join(F.broadcast(all_of))  # one row
     down = lambda c: F.col(f"_{c}") - F.col(f"_run_{c}") + F.col(c)
-    x = run.select(*by, "v", "pos", "n", (F.col("_run_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"), down("pos").alias("cp"), down("n").alias("cn"))
-    g = x.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("n").alias("N"), F.sum(F.col("pos") * F.col("rank")).alias("R"), F.sum(F.col("pos") * F.col("cp") / F.col("cn")).alias("A"))
+    x = run.select(*by, "v", "pos", "n", (F.col("_run_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"), down("pos").alias("cp"),
+        down("n").alias("cn"))
+    g = x.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("n").alias("N"), F.sum(F.col("pos") * F.col("rank")).alias("R"),
+        F.sum(F.col("pos") * F.col("cp") / F.col("cn")).alias("A"))
     neg = F.col("N") - F.col("P")
-    return g.select(*by, ((F.col("R") - F.col("P") * (F.col("P") + 1) / 2) / F.nullif(F.col("P") * neg, F.lit(0.0))).alias("auroc"), (F.col("A") / F.nullif("P", F.lit(0.0))).alias("aupr"))
+    return g.select(*by, ((F.col("R") - F.col("P") * (F.col("P") + 1) / 2) / F.nullif(F.col("P") * neg, F.lit(0.0))).alias("auroc"),
+        (F.col("A") / F.nullif("P", F.lit(0.0))).alias("aupr"))
 
 
 def permutation_p(original: DataFrame, randomised: DataFrame, error: str = "error") -> DataFrame:
@@ -427,10 +470,12 @@ def permutation_p(original: DataFrame, randomised: DataFrame, error: str = "erro
 
 def uniform_template(df: DataFrame, x: str, n: int, seed: int = 0) -> DataFrame:
     """ST27: ``n`` rows ``id, x`` uniform between each component's least and greatest value."""
-    long = df.select(F.posexplode(x).alias("pos", "v")).groupBy("pos").agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
+    long = df.select(F.posexplode(x).alias("pos", "v")).groupBy("pos").agg(F.min("v").cast("double").alias("lo"),
+        F.max("v").cast("double").alias("hi"))
     bounds = long.agg(F.array_sort(F.collect_list(F.struct("pos", "lo", "hi"))).alias("b"))  # a row a component
     rows = df.sparkSession.range(n).join(F.broadcast(bounds))
-    return rows.select("id", F.transform("b", lambda s, i: s["lo"] + (s["hi"] - s["lo"]) * unit(seed, "uniform", F.col("id"), i)).alias("x"))
+    return rows.select("id", F.transform("b", lambda s, i: s["lo"] + (s["hi"] - s["lo"]) * unit(seed, "uniform", F.col("id"), i))
+        .alias("x"))
 
 
 def cross_entropy(df: DataFrame, truth: str, proba: str, by: Sequence[str] = ("task",), weights: Column | None = None) -> DataFrame:

@@ -25,8 +25,10 @@ BUCKETS = 64
 Embedder = Callable[[list[str]], list[tuple[np.ndarray, np.ndarray | None]]]
 
 
-def _embed(fn: Embedder, level: str, pooling: str, amount: int | float | None, save_proba: bool, batch: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = pa.schema([("key", pa.string()), ("seq", pa.list_(pa.float32())), ("token", pa.list_(pa.list_(pa.float32()))), ("token_idx", pa.list_(pa.int64())), ("token_pr", pa.list_(pa.float32()))])
+def _embed(fn: Embedder, level: str, pooling: str, amount: int | float | None, save_proba: bool,
+    batch: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    schema = pa.schema([("key", pa.string()), ("seq", pa.list_(pa.float32())), ("token", pa.list_(pa.list_(pa.float32()))),
+        ("token_idx", pa.list_(pa.int64())), ("token_pr", pa.list_(pa.float32()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -44,7 +46,9 @@ def _embed(fn: Embedder, level: str, pooling: str, amount: int | float | None, s
                         seed = int.from_bytes(__import__("hashlib").sha256(key.encode()).digest()[:8], "little")
                         idx = np.sort(np.random.default_rng(seed).permutation(len(tokens))[:n])
                     token = tokens[idx] if level in ("token", "both") else None
-                    rows.append({"key": key, "seq": None if seq is None else seq.tolist(), "token": None if token is None else token.tolist(), "token_idx": None if token is None else idx.tolist(), "token_pr": np.asarray(proba, float)[idx].tolist() if save_proba and proba is not None else None})
+                    rows.append({"key": key, "seq": None if seq is None else seq.tolist(), "token": None if token is None
+                        else token.tolist(), "token_idx": None if token is None else idx.tolist(),
+                            "token_pr": np.asarray(proba, float)[idx].tolist() if save_proba and proba is not None else None})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
@@ -85,7 +89,8 @@ def write_rows(df: DataFrame, store: str, buckets: int = BUCKETS, mode: str = "a
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"bucket_{n}"
     # a bucket is one task, or several where there are more tasks than buckets
-    dealt = rows.withColumn(name, bucket_of("key", n)).repartition(parts, name, F.pmod(F.hash("key"), F.lit(max(1, parts // n)))).sortWithinPartitions(name, "key")
+    dealt = rows.withColumn(name, bucket_of("key", n)).repartition(parts, name,
+        F.pmod(F.hash("key"), F.lit(max(1, parts // n)))).sortWithinPartitions(name, "key")
     writer = dealt.write.mode(mode).partitionBy(name)
     (writer.option("maxRecordsPerFile", most) if most else writer).parquet(store)
 
@@ -95,7 +100,8 @@ def with_buckets_of(store: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     n = layout(store)
     if not n:
         return store
-    held = [r[0] for r in wanted.where(F.col(key).isNotNull()).select(bucket_of(key, n).alias("b")).distinct().collect()]  # n numbers at most
+    held = [r[0] for r in wanted.where(F.col(key).isNotNull()).select(bucket_of(key, n).alias("b")).distinct()
+        .collect()]  # n numbers at most
     return store.where(F.col(f"bucket_{n}").isin(held)) if len(held) < n else store
 
 
@@ -107,7 +113,8 @@ def asked_for(store: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return with_buckets_of(store, wanted, "_key").join(wanted, F.col("key") == F.col("_key"), "left_semi")
 
 
-def embed_missing(df: DataFrame, text: str, store: str, fn: Embedder, level: str = "seq", pooling: str = "mean", token_amount: int | float | None = None, save_proba: bool = False, batch: int = 256) -> None:
+def embed_missing(df: DataFrame, text: str, store: str, fn: Embedder, level: str = "seq", pooling: str = "mean",
+    token_amount: int | float | None = None, save_proba: bool = False, batch: int = 256) -> None:
     """EM1: distinct texts that the store lacks, embedded in batches by ``fn`` and appended."""
     spark = df.sparkSession
     texts = df.select(F.col(text).alias("key")).where("key is not null").distinct()
@@ -117,7 +124,8 @@ def embed_missing(df: DataFrame, text: str, store: str, fn: Embedder, level: str
     write_rows(todo.mapInArrow(_embed(fn, level, pooling, token_amount, save_proba, batch), SCHEMA), store)
 
 
-def embed_long(df: DataFrame, text: str, id: str, store: str, fn: Embedder, max_len: int, pooling: str = "mean", agg: str = "mean") -> DataFrame:
+def embed_long(df: DataFrame, text: str, id: str, store: str, fn: Embedder, max_len: int, pooling: str = "mean",
+    agg: str = "mean") -> DataFrame:
     """EM2: texts cut to the model's length, embedded, and pooled back to ``id, x``."""
     embed_missing(expand_max_len(df, text, id, max_len).where("piece is not null"), "piece", store, fn, "seq", pooling)
     return pool_pieces(df, open_store(df.sparkSession, store), text, id, max_len, agg)
@@ -125,11 +133,13 @@ def embed_long(df: DataFrame, text: str, id: str, store: str, fn: Embedder, max_
 
 def to_dataset(df: DataFrame, key: str, store: DataFrame, level: str = "seq") -> DataFrame:
     """EM3: rows with their vectors as ``x``, a row a token at token level; columns without a value are dropped."""
-    one = dedup(asked_for(store, df, key).select(*[c for c in store.columns if not c.startswith("bucket_")]), ["key"]).withColumnRenamed("key", "_key")
+    one = dedup(asked_for(store, df, key).select(*[c for c in store.columns if not c.startswith("bucket_")]),
+        ["key"]).withColumnRenamed("key", "_key")
     joined = df.join(one, F.col(key) == F.col("_key")).drop("_key")
     if level == "seq":
         return drop_null_columns(joined.withColumnRenamed("seq", "x").drop("token", "token_idx", "token_pr"))
-    rows = joined.select(*df.columns, F.explode(F.arrays_zip("token", "token_idx")).alias("t")).select(*df.columns, F.col("t.token").alias("x"), F.col("t.token_idx").alias("token_idx"))
+    rows = joined.select(*df.columns, F.explode(F.arrays_zip("token", "token_idx")).alias("t")).select(*df.columns,
+        F.col("t.token").alias("x"), F.col("t.token_idx").alias("token_idx"))
     return drop_null_columns(rows)
 
 

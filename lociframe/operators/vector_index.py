@@ -106,7 +106,8 @@ def _assign(centres: np.ndarray, metric: str) -> Callable[[Batches], Iterator[pa
                 d[np.isnan(d)] = np.inf
                 cell = d.argmin(axis=1)
                 near = d[np.arange(len(d)), cell]
-                out = pa.RecordBatch.from_arrays([*some.columns, pa.array(cell.astype(np.int32)), pa.array(near)], names=[*some.schema.names, "cell", "gap"])
+                out = pa.RecordBatch.from_arrays([*some.columns, pa.array(cell.astype(np.int32)), pa.array(near)],
+                    names=[*some.schema.names, "cell", "gap"])
                 yield out.filter(pa.array(np.isfinite(near)))
 
     return run
@@ -118,8 +119,10 @@ def _cut(width: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
 
     def pack(cell: int, part: int, seq: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
-        wrap = lambda c: pa.array([rows[c].to_pylist()], pa.list_(rows.schema.field(c).type)) if len(rows) == 0 else pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows[c].chunk(0))
-        return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([part], pa.int32()), pa.array([seq], pa.int32()), wrap("entry"), wrap("x"), wrap("gap")], names=["cell", "part", "seq", "entries", "xs", "gaps"])
+        wrap = lambda c: pa.array([rows[c].to_pylist()], pa.list_(rows.schema.field(c).type)) if len(
+            rows) == 0 else pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows[c].chunk(0))
+        return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([part], pa.int32()), pa.array([seq], pa.int32()),
+            wrap("entry"), wrap("x"), wrap("gap")], names=["cell", "part", "seq", "entries", "xs", "gaps"])
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         held, size, now, part, seq = [], 0, None, 0, 0
@@ -148,8 +151,10 @@ def _chunks(entries: DataFrame, centres: np.ndarray, metric: str) -> DataFrame:
     parts = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = entries.schema["entry"].dataType.simpleString()
     placed = materialise(entries.mapInArrow(_assign(centres, metric), f"entry {kind}, x array<double>, cell int, gap double"))
-    rings = placed.repartitionByRange(parts, "cell", "gap", "entry").sortWithinPartitions("cell", "gap", "entry").withColumn("part", F.spark_partition_id())
-    made = rings.mapInArrow(_cut(centres.shape[1]), f"cell int, part int, seq int, entries array<{kind}>, xs array<array<double>>, gaps array<double>")
+    rings = placed.repartitionByRange(parts, "cell", "gap", "entry").sortWithinPartitions("cell", "gap", "entry").withColumn("part",
+        F.spark_partition_id())
+    made = rings.mapInArrow(_cut(centres.shape[1]),
+        f"cell int, part int, seq int, entries array<{kind}>, xs array<array<double>>, gaps array<double>")
     return materialise(made)
 
 
@@ -159,7 +164,8 @@ def distinct_vectors(df: DataFrame, id: str, x: str) -> tuple[DataFrame, DataFra
     keyed = materialise(rows.withColumn("h", F.xxhash64("x")))
     least = keyed.groupBy("h", "x").agg(F.min("id").alias("entry"))
     entries = materialise(least)
-    members = keyed.join(entries.withColumnsRenamed({"h": "_h", "x": "_x"}), (F.col("h") == F.col("_h")) & (F.col("x") == F.col("_x"))).select("entry", "id")
+    members = keyed.join(entries.withColumnsRenamed({"h": "_h", "x": "_x"}),
+        (F.col("h") == F.col("_h")) & (F.col("x") == F.col("_x"))).select("entry", "id")
     return entries.select("entry", "x"), materialise(members)
 
 
@@ -170,7 +176,8 @@ def build(df: DataFrame, id: str, x: str, metric: str) -> Index:
     width = len(first["x"]) if first else 0
     most = max(1, CENTRE_BYTES // (8 * max(1, width)))
     want = max(1, min(int(2 * np.sqrt(n)), n // 16, most))
-    drawn = entries.where(unit(0, "centre", "entry") < want / max(1, n)).limit(min(most, 2 * want)).select("x").toArrow().combine_chunks()  # CENTRE_BYTES or less
+    drawn = entries.where(unit(0, "centre", "entry") < want / max(1, n)).limit(min(most, 2 * want)).select("x").toArrow().combine_chunks(
+        )  # CENTRE_BYTES or less
     centres = matrix(drawn["x"].combine_chunks()) if len(drawn) else np.array([first["x"]] if first else np.zeros((0, width)))
     centres = _space(centres, metric)
     centres = centres[np.isfinite(centres).all(axis=1)]
@@ -179,7 +186,8 @@ def build(df: DataFrame, id: str, x: str, metric: str) -> Index:
     chunks = _chunks(entries, centres, metric)
     m = len(centres)
     low, high, sizes = np.full(m, np.inf), np.full(m, -np.inf), np.zeros(m, np.int64)
-    stats = chunks.groupBy("cell").agg(F.min(F.array_min("gaps")).alias("lo"), F.max(F.array_max("gaps")).alias("hi"), F.sum(F.size("entries")).alias("n"))
+    stats = chunks.groupBy("cell").agg(F.min(F.array_min("gaps")).alias("lo"), F.max(F.array_max("gaps")).alias("hi"),
+        F.sum(F.size("entries")).alias("n"))
     for r in stats.collect():  # a row a centre
         low[r["cell"]], high[r["cell"]], sizes[r["cell"]] = r["lo"], r["hi"], r["n"]
     return Index(metric, kind, centres, low, high, sizes, entries, members, chunks)
@@ -202,7 +210,8 @@ def _bounds_by_sizes(d: np.ndarray, high: np.ndarray, sizes: np.ndarray, k: int)
     return np.where(enough.any(axis=1), out, np.inf)
 
 
-def _visits(centres: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray, metric: str, k: int | None, radius: float | None) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+def _visits(centres: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray, metric: str, k: int | None,
+    radius: float | None) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     """Chunks of queries (with ``near``, entries of their own cell) to a row for each cell that any of them must visit: those queries with their bounds."""
     held = np.nonzero(sizes)[0]
     cs, lo, hi, ns = centres[held], low[held], high[held], sizes[held]
@@ -226,7 +235,8 @@ def _visits(centres: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.nd
                     rows = np.nonzero(go[:, c])[0]
                     take = pa.array(rows)
                     wrap = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-                    yield pa.RecordBatch.from_arrays([pa.array([held[c]], pa.int32()), wrap(ids.take(take)), wrap(xs.take(take)), wrap(pa.array(d[rows, c])), wrap(pa.array(bound[rows]))], names=["cell", "queries", "qxs", "qgaps", "bounds"])
+                    yield pa.RecordBatch.from_arrays([pa.array([held[c]], pa.int32()), wrap(ids.take(take)), wrap(xs.take(take)),
+                        wrap(pa.array(d[rows, c])), wrap(pa.array(bound[rows]))], names=["cell", "queries", "qxs", "qgaps", "bounds"])
 
     return run
 
@@ -255,7 +265,8 @@ def _kernel(metric: str, pick: Callable, weighted: bool = False) -> Callable[[Ba
         for batch in batches:
             for i in range(len(batch)):
                 extra = batch.column(batch.schema.get_field_index("weights"))[i].values if weighted else None
-                ids, xs, gaps, bounds, rids, rxs, rgaps = (batch.column(batch.schema.get_field_index(c))[i].values for c in ("queries", "qxs", "qgaps", "bounds", "entries", "xs", "gaps"))
+                ids, xs, gaps, bounds, rids, rxs, rgaps = (batch.column(batch.schema.get_field_index(c))[i].values
+                    for c in ("queries", "qxs", "qgaps", "bounds", "entries", "xs", "gaps"))
                 g, b, r = gaps.to_numpy(), bounds.to_numpy(), rgaps.to_numpy()
                 live = np.nonzero(np.maximum(g - r.max(), r.min() - g) <= b + _slack(np.where(np.isfinite(b), b, 0)) + _slack(g))[0]
                 if len(live):
@@ -297,7 +308,8 @@ def nearest_entries(index: Index, k: int, queries: Index | None = None) -> DataF
         d[far > bounds[:, None] + _slack(np.where(np.isfinite(bounds), bounds, 0))[:, None]] = np.inf
         order = np.argsort(np.argsort(np.array(rids.to_pylist())))
         row, col = least_of_rows(d, order, k)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), rids.take(pa.array(col)), pa.array(d[row, col])], names=["query", "entry", "distance"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), rids.take(pa.array(col)), pa.array(d[row, col])],
+            names=["query", "entry", "distance"])
 
     met = _meet(index, visits(index, queries, k=k))
     return met.mapInArrow(_kernel(index.metric, best), f"query {(queries or index).id_type}, entry {index.id_type}, distance double")
@@ -311,7 +323,8 @@ def entries_within(index: Index, radius: float, queries: Index | None = None) ->
         if own:
             d[same_ids(ids, rids)] = 0.0
         row, col = np.nonzero(d <= radius)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), rids.take(pa.array(col)), pa.array(d[row, col])], names=["query", "entry", "distance"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), rids.take(pa.array(col)), pa.array(d[row, col])],
+            names=["query", "entry", "distance"])
 
     met = _meet(index, visits(index, queries, radius=radius))
     return met.mapInArrow(_kernel(index.metric, near), f"query {(queries or index).id_type}, entry {index.id_type}, distance double")
@@ -327,7 +340,8 @@ def counts_within(index: Index, radii: Sequence[float], labels: DataFrame | None
     each = each.groupBy("entry", "label").agg(F.count("*").alias("n"))
     kind = each.schema["label"].dataType.simpleString()
     places = index.chunks.select("cell", "part", "seq", F.posexplode("entries").alias("at", "entry"))
-    weights = places.join(each, "entry").groupBy("cell", "part", "seq").agg(F.collect_list(F.struct("at", "label", "n")).alias("weights"))  # a chunk's labels
+    weights = places.join(each, "entry").groupBy("cell", "part",
+        "seq").agg(F.collect_list(F.struct("at", "label", "n")).alias("weights"))  # a chunk's labels
 
     def count(ids: pa.Array, rids: pa.Array, d: np.ndarray, extra: pa.StructArray) -> Iterator[pa.RecordBatch]:
         if own:
@@ -338,7 +352,8 @@ def counts_within(index: Index, radii: Sequence[float], labels: DataFrame | None
         for r in radii:
             n = (d <= r) @ table
             row, col = np.nonzero(n)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(np.full(len(row), float(r))), names.dictionary.take(pa.array(col)), pa.array(n[row, col].astype(np.int64))], names=["query", "radius", "label", "n"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(np.full(len(row), float(r))),
+                names.dictionary.take(pa.array(col)), pa.array(n[row, col].astype(np.int64))], names=["query", "radius", "label", "n"])
 
     met = _meet(index, visits(index, queries, radius=most), weights)
     found = met.mapInArrow(_kernel(index.metric, count, True), f"query {(queries or index).id_type}, radius double, label {kind}, n long")

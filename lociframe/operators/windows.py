@@ -62,7 +62,8 @@ def _run_totals(by: Sequence[str], sums: Sequence[str]) -> Callable[[Iterable[pa
             last = batch.select(by).slice(n - 1, 1).to_pylist()[0] if by else {}
             flags = [pa.array(np.arange(seq, seq + n)), pa.array(in_head)]
             seq += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out, *flags], names=[*batch.schema.names, *[f"_run_{c}" for c in sums], "_seq", "_head"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out, *flags],
+                names=[*batch.schema.names, *[f"_run_{c}" for c in sums], "_seq", "_head"])
 
     return run
 
@@ -77,11 +78,13 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
     cols = [*_columns(by), *_columns(order)]
     sorted_rows = df.repartitionByRange(_parts(df), *cols).sortWithinPartitions(*cols).withColumn("_p", F.spark_partition_id())
     kinds = {c: df.schema[c].dataType.simpleString() for c in sums}
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_rows.schema.fields] + [f"`_run_{c}` {kinds[c]}" for c in sums] + ["_seq long", "_head boolean"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_rows.schema.fields]
+        + [f"`_run_{c}` {kinds[c]}" for c in sums] + ["_seq long", "_head boolean"])
     rows = materialise(sorted_rows.mapInArrow(_run_totals(list(by), list(sums)), schema))
     runs = F.struct(F.lit(0).alias("_"), *[F.col(f"_run_{c}") for c in sums])
     key = F.struct(F.lit(0).alias("_"), *_columns(by))
-    edges = rows.groupBy("_p").agg(F.min_by(key, "_seq").alias("first"), F.max_by(key, "_seq").alias("last"), F.max_by(runs, "_seq").alias("runs"), F.min("_head").alias("one")).collect()  # a row a partition
+    edges = rows.groupBy("_p").agg(F.min_by(key, "_seq").alias("first"), F.max_by(key, "_seq").alias("last"),
+        F.max_by(runs, "_seq").alias("runs"), F.min("_head").alias("one")).collect()  # a row a partition
     open_key, brought, carries = None, [0] * len(sums), {}
     for r in sorted(edges, key=lambda r: r["_p"]):
         same = open_key is not None and str(r["first"]) == str(open_key)
@@ -93,7 +96,9 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
         some = [(p, v[i]) for p, v in carries.items() if v[i]]
         if some:
             table = F.create_map(*[F.lit(x) for pair in some for x in pair])
-            out = out.withColumn(f"_run_{c}", F.when(F.col("_head"), F.col(f"_run_{c}") + F.coalesce(F.try_element_at(table, F.col("_p")), F.lit(0))).otherwise(F.col(f"_run_{c}")).cast(kinds[c]))
+            out = out.withColumn(f"_run_{c}",
+                F.when(F.col("_head"), F.col(f"_run_{c}") + F.coalesce(F.try_element_at(table, F.col("_p")), F.lit(0)))
+                    .otherwise(F.col(f"_run_{c}")).cast(kinds[c]))
     return out.drop("_p", "_seq", "_head")
 
 
@@ -116,7 +121,8 @@ def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "n", sta
 
 def group_index(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str = "n", start: int = 1) -> DataFrame:
     """Number of each row within its group in ``order``; a group of any size is spread over range partitions, not sorted in one task."""
-    return running_sums(df.withColumn("_one", F.lit(1).cast("long")), by, order, ["_one"]).withColumn(name, F.col("_run__one") + start - 1).drop("_one", "_run__one")
+    return running_sums(df.withColumn("_one", F.lit(1).cast("long")), by, order, ["_one"]).withColumn(name,
+        F.col("_run__one") + start - 1).drop("_one", "_run__one")
 
 
 def value_ranks(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -128,16 +134,19 @@ def value_ranks(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 def avg_rank(df: DataFrame, col: str, by: Sequence[str] | None = None, name: str = "rank") -> DataFrame:
     """WN4: rank of ``col``, ties averaged, over all rows or within groups of any size."""
     by = list(by or [])
-    ranks = value_ranks(df, col, by).select(*[F.col(b).alias(f"_{b}") for b in by], F.col("value").alias("_v"), (F.col("below") + (F.col("n") + 1) / 2).alias(name))
+    ranks = value_ranks(df, col, by).select(*[F.col(b).alias(f"_{b}") for b in by], F.col("value").alias("_v"),
+        (F.col("below") + (F.col("n") + 1) / 2).alias(name))
     on = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] + [F.col(col) == F.col("_v")]
     return df.join(ranks, on).drop("_v", *[f"_{b}" for b in by])
 
 
-def add_intergenic(features: DataFrame, contigs: DataFrame, by: Sequence[str] = ("sample", "seqid"), start: str = "start", stop: str = "stop") -> DataFrame:
+def add_intergenic(features: DataFrame, contigs: DataFrame, by: Sequence[str] = ("sample", "seqid"), start: str = "start",
+    stop: str = "stop") -> DataFrame:
     """WN1: bases to the next and from the previous feature of a contig; at its ends to the contig's ends (``contigs`` has ``by`` and ``length``)."""
     w = Window.partitionBy(*by).orderBy(start, stop)
     df = features.join(contigs.select(*by, F.col("length").alias("_length")), list(by), "left")
-    return df.select(*features.columns, F.coalesce(F.lead(start).over(w) - F.col(stop), F.col("_length") - F.col(stop)).alias("downstream_intergenic"), F.coalesce(F.col(start) - F.lag(stop).over(w), F.col(start)).alias("upstream_intergenic"))
+    return df.select(*features.columns, F.coalesce(F.lead(start).over(w) - F.col(stop), F.col("_length") - F.col(stop))
+        .alias("downstream_intergenic"), F.coalesce(F.col(start) - F.lag(stop).over(w), F.col(start)).alias("upstream_intergenic"))
 
 
 def with_group_size(df: DataFrame, by: Sequence[str], name: str = "group_size") -> DataFrame:
@@ -177,4 +186,6 @@ def representation(df: DataFrame, col: str, lo: float = 0.6, hi: float = 0.9) ->
     """WN9: ``majority`` for values whose count is at least the ``hi`` quantile of counts, ``minority`` below the ``lo`` one."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
     bounds = counts.agg(F.percentile("n", F.array(F.lit(lo), F.lit(hi))).alias("q"))
-    return counts.join(F.broadcast(bounds)).select(col, "n", F.when(F.col("n") >= F.col("q")[1], "majority").when(F.col("n") < F.col("q")[0], "minority").otherwise("intermediate").alias("representation"))  # bounds is one row
+    return counts.join(F.broadcast(bounds)).select(col, "n",
+        F.when(F.col("n") >= F.col("q")[1], "majority").when(F.col("n") < F.col("q")[0], "minority").otherwise("intermediate")
+            .alias("representation"))  # bounds is one row

@@ -12,33 +12,40 @@ QUERIES, ORACLE_SQL, query = registry()
 
 @query("""SELECT DISTINCT l_suppkey AS supplier, p_brand AS feature FROM lineitem JOIN part ON l_partkey = p_partkey UNION SELECT DISTINCT l_suppkey, p_type FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def feature_presence(s, d):
-    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("supplier"), "p_brand", "p_type")
+    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_suppkey").alias("supplier"), "p_brand", "p_type")
     return aggregate.feature_presence(rows, "supplier", ["p_brand", "p_type"])
 
 
 @query("""WITH f AS (SELECT DISTINCT l_suppkey AS s, p_brand AS f FROM lineitem JOIN part ON l_partkey = p_partkey), i AS (SELECT f, dense_rank() OVER (ORDER BY f) - 1 AS pos FROM (SELECT DISTINCT f FROM f)) SELECT s AS supplier, count(*) AS n, CAST(sum(pos) AS BIGINT) AS total FROM f JOIN i USING (f) GROUP BY 1""")
 def presence_vectors(s, d):
-    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("supplier"), "p_brand")
+    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_suppkey").alias("supplier"), "p_brand")
     vectors, _ = aggregate.presence_vectors(aggregate.feature_presence(rows, "supplier", ["p_brand"]), "supplier")
-    return vectors.select("supplier", F.size("positions").cast("long").alias("n"), F.aggregate("positions", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+    return vectors.select("supplier", F.size("positions").cast("long").alias("n"),
+        F.aggregate("positions", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
 @query("""SELECT p_type AS feature, count(DISTINCT l_suppkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY n DESC, feature LIMIT 10""")
 def common_features(s, d):
-    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("supplier"), "p_type")
+    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_suppkey").alias("supplier"), "p_type")
     return aggregate.common_features(rows, "supplier", ["p_type"], 10)
 
 
 @query("""SELECT DISTINCT o_orderkey AS "order", p_type AS label FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON l_partkey = p_partkey""")
 def binary_form(s, d):
-    items = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_join(F.collect_list("p_type"), ";").alias("types"))
-    o = table(s, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("order"), "types")
+    items = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(
+        F.array_join(F.collect_list("p_type"), ";").alias("types"))
+    o = table(s, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("order"),
+        "types")
     return aggregate.binary_form(o, "order", "types")
 
 
 @query("""WITH x AS (SELECT DISTINCT l_orderkey AS o, p_brand AS l FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT x.l AS a, y.l AS b, count(*) AS n FROM x JOIN x y ON x.o = y.o AND x.l < y.l GROUP BY ALL""")
 def cooccurrence(s, d):
-    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("sample"), F.col("p_brand").alias("label"))
+    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("sample"), F.col("p_brand").alias("label"))
     return latents.cooccurrence(rows, "sample", "label")
 
 
@@ -46,7 +53,8 @@ _TX = "SELECT DISTINCT l_orderkey AS o, p_brand AS i FROM lineitem JOIN part ON
 
 
 def _transactions(s, d):
-    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("o"), F.col("p_brand").alias("i"))
+    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("o"), F.col("p_brand").alias("i"))
     return latents.transactions(rows, "o", "i")
 
 
@@ -72,9 +80,12 @@ def length_histogram(s, d):
 
 
 _ACTS = "SELECT vec_id AS sample, label, generate_subscripts(embedding, 1) - 1 AS latent, CAST(unnest(embedding) AS DOUBLE) AS act FROM embeddings"
-_SCORES = f"""WITH a AS ({_ACTS}), g AS (SELECT latent, label FROM (SELECT DISTINCT latent FROM a) CROSS JOIN (SELECT DISTINCT label FROM embeddings)), z AS (SELECT count(*) AS n FROM embeddings), k AS (SELECT label, count(*) AS nl FROM embeddings GROUP BY 1),
-h AS (SELECT latent, label, count(*) FILTER (act >= 0.1) AS tp, sum(act) AS s FROM a GROUP BY ALL), t AS (SELECT latent, sum(tp) AS na, sum(s) AS alls FROM h GROUP BY 1),
-m AS (SELECT latent, label, tp, na - tp AS fp, nl - tp AS fn, n - nl - na + tp AS tn, n, s / alls AS activation_prop FROM g JOIN h USING (latent, label) JOIN t USING (latent) JOIN k USING (label), z)"""
+_SCORES = f"""WITH a AS ({_ACTS}), g AS (SELECT latent, label FROM (SELECT DISTINCT latent FROM a) CROSS JOIN (SELECT DISTINCT label
+ FROM embeddings)), z AS (SELECT count(*) AS n FROM embeddings), k AS (SELECT label, count(*) AS nl FROM embeddings GROUP BY 1),
+h AS (SELECT latent, label, count(*) FILTER (act >= 0.1) AS tp, sum(act) AS s FROM a GROUP BY ALL), t AS (SELECT latent, sum(tp) AS na,
+ sum(s) AS alls FROM h GROUP BY 1),
+m AS (SELECT latent, label, tp, na - tp AS fp, nl - tp AS fn, n - nl - na + tp AS tn, n, s / alls AS activation_prop FROM g
+ JOIN h USING (latent, label) JOIN t USING (latent) JOIN k USING (label), z)"""
 
 
 def _scores(s, d):
@@ -94,11 +105,17 @@ def latent_report(s, d):
     return rounded(latents.latent_report(_scores(s, d), 2, "sensitivity").select("latent", "label", "rank", "sensitivity"), "sensitivity")
 
 
-@query(_SCORES + """, r AS (SELECT latent, label, row_number() OVER (PARTITION BY latent ORDER BY tp / (tp + fn) DESC, CAST(label AS VARCHAR)) AS r FROM m), p AS (SELECT latent, min(CAST(label AS VARCHAR)) AS a, max(CAST(label AS VARCHAR)) AS b FROM r WHERE r <= 2 GROUP BY 1), w AS (SELECT a, b, count(*) AS n_latents FROM p GROUP BY ALL), u AS (SELECT vec_id AS sample, CAST(label AS VARCHAR) AS l FROM embeddings UNION SELECT vec_id, CAST((label + 1 + vec_id % 3) % 10 AS VARCHAR) FROM embeddings), met AS (SELECT x.l AS a, y.l AS b, count(*) AS n FROM u x JOIN u y USING (sample) GROUP BY ALL)
-SELECT w.a, w.b, n_latents, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(*) FROM embeddings), 9) AS share FROM w LEFT JOIN met ON w.a = met.a AND w.b = met.b""")
+@query(_SCORES + """, r AS (SELECT latent, label, row_number() OVER (PARTITION BY latent ORDER BY tp / (tp + fn) DESC,
+ CAST(label AS VARCHAR)) AS r FROM m), p AS (SELECT latent, min(CAST(label AS VARCHAR)) AS a, max(CAST(label AS VARCHAR)) AS b FROM r
+ WHERE r <= 2 GROUP BY 1), w AS (SELECT a, b, count(*) AS n_latents FROM p GROUP BY ALL), u AS (SELECT vec_id AS sample,
+ CAST(label AS VARCHAR) AS l FROM embeddings UNION SELECT vec_id, CAST((label + 1 + vec_id % 3) % 10 AS VARCHAR) FROM embeddings),
+ met AS (SELECT x.l AS a, y.l AS b, count(*) AS n FROM u x JOIN u y USING (sample) GROUP BY ALL)
+SELECT w.a, w.b, n_latents, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(*) FROM embeddings), 9) AS share FROM w LEFT
+ JOIN met ON w.a = met.a AND w.b = met.b""")
 def pair_cooccurrence(s, d):
     second = (F.col("label") + 1 + F.col("vec_id") % 3) % 10
-    labels = table(s, d, "embeddings").select(F.col("vec_id").alias("sample"), F.concat_ws(";", F.col("label").cast("string"), second.cast("string")).alias("label"))
+    labels = table(s, d, "embeddings").select(F.col("vec_id").alias("sample"),
+        F.concat_ws(";", F.col("label").cast("string"), second.cast("string")).alias("label"))
     return rounded(latents.pair_cooccurrence(labels, latents.latent_report(_scores(s, d), 2, "sensitivity")), "share", places=9)
 
 
@@ -123,11 +140,14 @@ def drop_latents(s, d):
 @query(f"""SELECT CAST(latent AS INTEGER) AS latent, label, CASE WHEN act < -0.4 THEN 0 WHEN act >= 0.4 THEN 9 ELSE CAST(floor((act + 0.4) / 0.1) AS BIGINT) + 1 END AS bin, count(*) AS n FROM ({_ACTS}) WHERE latent IN (0, 5) GROUP BY ALL""")
 def activation_hist(s, d):
     e = table(s, d, "embeddings")
-    return latents.activation_hist(latents.activations(e, "vec_id", "embedding"), e.select(F.col("vec_id").alias("sample"), "label"), [0, 5], 8, -0.4, 0.4)
+    return latents.activation_hist(latents.activations(e, "vec_id", "embedding"), e.select(F.col("vec_id").alias("sample"), "label"),
+        [0, 5], 8, -0.4, 0.4)
 
 
-@query("""WITH l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS i FROM lineitem), r AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS i FROM lineitem), k AS (SELECT c, count(*) AS n FROM r GROUP BY 1)
-SELECT s AS left_id, r.c AS right_id, count(*) AS common, count(*) / any_value(n) AS overlap FROM l JOIN r USING (i) JOIN k ON k.c = r.c WHERE n >= 3 GROUP BY s, r.c HAVING count(*) / any_value(n) >= 0.6""")
+@query("""WITH l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS i FROM lineitem), r AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS i
+ FROM lineitem), k AS (SELECT c, count(*) AS n FROM r GROUP BY 1)
+SELECT s AS left_id, r.c AS right_id, count(*) AS common, count(*) / any_value(n) AS overlap FROM l JOIN r USING (i) JOIN k ON k.c = r.c
+ WHERE n >= 3 GROUP BY s, r.c HAVING count(*) / any_value(n) >= 0.6""")
 def overlap_join(s, d):
     """Suppliers that could deliver most parts of an order of three or more."""
     from ..operators.joins import overlap_join as join
@@ -143,12 +163,18 @@ def gini(s, d):
     return aggregate.gini(table(s, d, "lineitem").withColumnRenamed("l_suppkey", "supplier"), ["supplier"], "l_returnflag")
 
 
-@query("""WITH x AS (SELECT l_suppkey % 3 AS tool, l_orderkey AS sample, l_returnflag AS f FROM lineitem), g AS (SELECT DISTINCT sample FROM x), t AS (SELECT DISTINCT tool FROM x), c AS (SELECT tool, sample, count(*) AS n FROM x WHERE f = 'R' GROUP BY ALL)
-SELECT t.tool AS tool, g.sample AS sample, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN NULL WHEN coalesce(n, 0) >= 1 AND o_orderstatus = 'F' THEN 'TP' WHEN coalesce(n, 0) >= 1 THEN 'FP' WHEN o_orderstatus = 'F' THEN 'FN' ELSE 'TN' END AS code FROM g CROSS JOIN t JOIN orders ON o_orderkey = g.sample LEFT JOIN c ON c.tool = t.tool AND c.sample = g.sample""")
+@query("""WITH x AS (SELECT l_suppkey % 3 AS tool, l_orderkey AS sample, l_returnflag AS f FROM lineitem), g AS (SELECT DISTINCT sample
+ FROM x), t AS (SELECT DISTINCT tool FROM x), c AS (SELECT tool, sample, count(*) AS n FROM x WHERE f = 'R' GROUP BY ALL)
+SELECT t.tool AS tool, g.sample AS sample, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN NULL WHEN coalesce(n, 0) >= 1
+ AND o_orderstatus = 'F' THEN 'TP' WHEN coalesce(n, 0) >= 1 THEN 'FP' WHEN o_orderstatus = 'F' THEN 'FN' ELSE 'TN' END AS code FROM g CROSS
+ JOIN t JOIN orders ON o_orderkey = g.sample LEFT JOIN c ON c.tool = t.tool AND c.sample = g.sample""")
 def confusion_codes(s, d):
     li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("sample"), (F.col("l_suppkey") % 3).alias("tool"), "l_returnflag")
-    calls = aggregate.external_calls(li.withColumn("drugs", F.when(F.col("l_returnflag") == "R", "big drug")), li.limit(1).select(F.lit("big_drug").alias("drug"))).where("drug = 'big_drug'")
-    ast = li.select("sample").distinct().join(table(s, d, "orders"), F.col("sample") == F.col("o_orderkey")).select("sample", F.lit("big_drug").alias("drug"), F.when(F.col("o_orderstatus") == "F", "resistant").when(F.col("o_orderstatus") == "O", "susceptible").alias("class"))
+    calls = aggregate.external_calls(li.withColumn("drugs", F.when(F.col("l_returnflag") == "R", "big drug")),
+        li.limit(1).select(F.lit("big_drug").alias("drug"))).where("drug = 'big_drug'")
+    ast = li.select("sample").distinct().join(table(s, d, "orders"), F.col("sample") == F.col("o_orderkey")).select("sample",
+        F.lit("big_drug").alias("drug"), F.when(F.col("o_orderstatus") == "F", "resistant").when(F.col("o_orderstatus") == "O",
+            "susceptible").alias("class"))
     return aggregate.confusion_codes(calls, ast, tools=li.select("tool").distinct()).select("tool", "sample", "code")
 
 
@@ -160,7 +186,8 @@ def model_cv(s, d):
 
 @query()
 def control_cv(s, d):
-    e = table(s, d, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).cast("string").alias("target"), F.col("label").cast("string").alias("name"))
+    e = table(s, d, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).cast("string").alias("target"),
+        F.col("label").cast("string").alias("name"))
     return models.control_cv(e, "embedding", "vec_id", "target", "name", 2)
 
 
@@ -190,8 +217,12 @@ def sae_encode(s, d):
     return rounded(models.sae_encode(table(s, d, "embeddings"), "vec_id", "embedding", _weights(), 0.1), "act")
 
 
-@query(_SAE + """, k AS (SELECT sample, j, CASE WHEN a >= 0.1 THEN a ELSE 0 END AS a FROM h), r AS (SELECT sample, i, sum(a * cos(2.0 * i + 5 * j) / 6) + ((i % 5) - 2) / 50.0 AS y FROM k, b GROUP BY sample, i), m AS (SELECT sample, avg((v - y) * (v - y)) AS mse FROM x JOIN r USING (sample, i) GROUP BY 1), l AS (SELECT sample, sum(a) AS l1, count(*) FILTER (a > 0) AS l0 FROM k GROUP BY 1)
-SELECT round(avg(mse), 6) AS mse, round(avg(l1), 6) AS mean_l1, round(avg(l0), 6) AS mean_l0, (SELECT count(*) FROM (SELECT j FROM k GROUP BY j HAVING max(a) <= 0)) AS dead_latents FROM m JOIN l USING (sample)""")
+@query(_SAE + """, k AS (SELECT sample, j, CASE WHEN a >= 0.1 THEN a ELSE 0 END AS a FROM h), r AS (SELECT sample, i,
+ sum(a * cos(2.0 * i + 5 * j) / 6) + ((i % 5) - 2) / 50.0 AS y FROM k, b GROUP BY sample, i), m AS (SELECT sample,
+ avg((v - y) * (v - y)) AS mse FROM x JOIN r USING (sample, i) GROUP BY 1), l AS (SELECT sample, sum(a) AS l1, count(*) FILTER (a > 0) AS l0
+ FROM k GROUP BY 1)
+SELECT round(avg(mse), 6) AS mse, round(avg(l1), 6) AS mean_l1, round(avg(l0), 6) AS mean_l0, (SELECT count(*) FROM (SELECT j FROM k
+ GROUP BY j HAVING max(a) <= 0)) AS dead_latents FROM m JOIN l USING (sample)""")
 def sae_loss(s, d):
     return rounded(models.sae_loss(table(s, d, "embeddings"), "vec_id", "embedding", _weights(), 0.1), "mse", "mean_l1", "mean_l0")
 

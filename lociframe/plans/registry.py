@@ -77,15 +77,21 @@ def chi2_tail(v: str, df: str, steps: int = 2_000) -> str:
 
 def pairs_sql(seed: int, n: int) -> str:
     """SQL of ``sampling.related_pairs`` of embeddings by label, as a list of common tables that ends with ``p``."""
-    return f"""WITH r AS (SELECT vec_id AS id, label AS g, row_number() OVER (PARTITION BY label ORDER BY {drawn(seed, 'pairs', 'vec_id')}, vec_id) AS n FROM embeddings WHERE label IS NOT NULL),
-w AS (SELECT * FROM r WHERE n <= {2 * n} AND g IN (SELECT g FROM r GROUP BY g HAVING count(*) >= {2 * n})), i AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT g FROM w)),
+    return f"""WITH r AS (SELECT vec_id AS id, label AS g, row_number() OVER (PARTITION BY label ORDER BY {drawn(seed, 'pairs', 'vec_id')},
+ vec_id) AS n FROM embeddings WHERE label IS NOT NULL),
+w AS (SELECT * FROM r WHERE n <= {2 * n} AND g IN (SELECT g FROM r GROUP BY g HAVING count(*) >= {2 * n})), i AS (SELECT g,
+ row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT g FROM w)),
 o AS (SELECT a.g, b.g AS other FROM i a JOIN i b ON b.i = (a.i + 1 + {drawn(seed, 'other', 'a.g')} % (a.k - 1)) % a.k),
-p AS (SELECT x.id AS a, y.id AS b, true AS related FROM w x JOIN w y ON x.g = y.g AND y.n = x.n + 1 WHERE x.n % 2 = 1 UNION ALL SELECT x.id, y.id, false FROM w x JOIN o ON x.g = o.g JOIN w y ON y.g = o.other AND y.n = x.n + 1 WHERE x.n % 2 = 1)"""
+p AS (SELECT x.id AS a, y.id AS b, true AS related FROM w x JOIN w y ON x.g = y.g AND y.n = x.n + 1 WHERE x.n % 2 = 1 UNION ALL SELECT x.id,
+ y.id, false FROM w x JOIN o ON x.g = o.g JOIN w y ON y.g = o.other AND y.n = x.n + 1 WHERE x.n % 2 = 1)"""
 
 
 def random_pairs_sql(rows: str, id: str, n: int, seed: int, name: str = "p") -> str:
     """SQL of ``sampling.random_pairs`` where there are many more pairs than wanted: common tables that end with ``name``."""
-    return f"""{name}_i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT {id} AS id FROM {rows})),
-{name}_x AS (SELECT id, {drawn(seed, 'first', 'id')} % k AS x, {drawn(seed, 'second', 'id')} % k AS y FROM range(0, {3 * n + 64}) t(id), (SELECT max(k) AS k FROM {name}_i)),
-{name}_o AS (SELECT DISTINCT least(x, y) AS l, greatest(x, y) AS h FROM {name}_x WHERE x <> y), {name}_c AS (SELECT * FROM {name}_o ORDER BY {drawn(seed, 'pair', 'l', 'h')}, l, h LIMIT {n}),
+    return f"""{name}_i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT {id} AS id
+ FROM {rows})),
+{name}_x AS (SELECT id, {drawn(seed, 'first', 'id')} % k AS x, {drawn(seed, 'second', 'id')} % k AS y FROM range(0, {3 * n + 64}) t(id),
+ (SELECT max(k) AS k FROM {name}_i)),
+{name}_o AS (SELECT DISTINCT least(x, y) AS l, greatest(x, y) AS h FROM {name}_x WHERE x <> y), {name}_c AS (SELECT * FROM {name}_o
+ ORDER BY {drawn(seed, 'pair', 'l', 'h')}, l, h LIMIT {n}),
 {name} AS (SELECT a.id AS a, b.id AS b FROM {name}_c c JOIN {name}_i a ON a.i = c.l JOIN {name}_i b ON b.i = c.h)"""

@@ -19,7 +19,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", null_value: str
         writer.option("header", "true").option("nullValue", null_value).option("sep", "\t" if fmt == "tsv" else ",").csv(path)
 
 
-def write_fasta(df: DataFrame, path: str, seq_col: str = "sequence", required: tuple[str, ...] = ("gene", "product", "type"), uid: str = "uid") -> DataFrame:
+def write_fasta(df: DataFrame, path: str, seq_col: str = "sequence", required: tuple[str, ...] = ("gene", "product", "type"),
+    uid: str = "uid") -> DataFrame:
     """SNK2: rows with any of ``required`` as FASTA text; the metadata with their accessions comes back.
 
     Accessions ``MM<n>`` number the rows by ``uid`` over range partitions, not in one task.
@@ -45,7 +46,8 @@ def _unique(df: DataFrame, key: str = "key") -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def store_rewrite(spark: SparkSession, store: str | list[str], out: str, n_rows: int = 100_000, token_prop: float | None = None, seed: int = 0) -> None:
+def store_rewrite(spark: SparkSession, store: str | list[str], out: str, n_rows: int = 100_000, token_prop: float | None = None,
+    seed: int = 0) -> None:
     """SNK4: one row a key in files of at most ``n_rows``, written to a new path; a share of token matrices may be kept, the rest nulled."""
     from ..operators.store import write_rows
 

@@ -14,8 +14,10 @@ def spark() -> SparkSession:
     os.environ.setdefault("TZ", "UTC")
     home = tempfile.mkdtemp(prefix="spark-")
     session = (
-        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", home).config("spark.sql.warehouse.dir", f"{home}/warehouse").config("spark.checkpoint.dir", f"file://{home}/shared")
+        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled",
+            "false").config("spark.driver.memory", "4g")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", home).config("spark.sql.warehouse.dir", f"{home}/warehouse")
+            .config("spark.checkpoint.dir", f"file://{home}/shared")
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

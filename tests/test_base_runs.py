@@ -27,7 +27,8 @@ def sequences(seed: int) -> list[tuple]:
     rnd = random.Random(seed)
     long = "".join(rnd.choice("ACGT") for _ in range(900))
     back = "".join(PAIR[c] for c in reversed(long))
-    return [("a", long), ("a", back[100:700]), ("b", long[:500].lower() + "N" + long[500:]), (None, "ACGTNNACGTAGG-ACC"), ("b", ""), ("c", None), ("c", "AC"), ("b", "é" + "A" * 200), ("a", "GATTACA" * 40)]
+    return [("a", long), ("a", back[100:700]), ("b", long[:500].lower() + "N" + long[500:]), (None, "ACGTNNACGTAGG-ACC"), ("b", ""),
+        ("c", None), ("c", "AC"), ("b", "é" + "A" * 200), ("a", "GATTACA" * 40)]
 
 
 @pytest.mark.parametrize("k", [1, 2, 6, 11, 12, 17, 21, 31])
@@ -46,7 +47,8 @@ def test_counts_are_those_of_a_loop(spark, k, monkeypatch):
 def test_longer_runs_and_limits(spark):
     data = [("a", "ACGT" * 30)]
     df = spark.createDataFrame(data, "s string, q string")
-    assert {(r["s"], r["kmer"]): r["n"] for r in aggregate.kmer_counts(df, "s", "q", 40).collect()} == {p: min(n, 255) for p, n in brute(data, 40).items() if n >= 2}
+    assert {(r["s"], r["kmer"]): r["n"] for r in aggregate.kmer_counts(df, "s", "q", 40).collect()} == {p: min(n, 255) for p,
+        n in brute(data, 40).items() if n >= 2}
     with pytest.raises(ValueError):
         B.run_counts(df, "s", "q", 32)
     assert B.run_counts(df.limit(0), "s", "q", 21).count() == 0
@@ -68,4 +70,5 @@ def test_super_runs_are_fewer_bytes_than_runs():
     batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([text])], names=["sample", "seq"])
     cut = list(B._super_runs(31)([batch]))
     packed = sum(len(p) for b in cut for p in b.column(3).to_pylist())
-    assert packed + 16 * sum(len(b) for b in cut) < 4 * len(text) and sum(n - 30 for b in cut for n in b.column(2).to_pylist()) == len(text) - 30
+    assert packed + 16 * sum(len(b) for b in cut) < 4 * len(text) and sum(n - 30 for b in cut for n in b.column(2).to_pylist()) == len(
+        text) - 30

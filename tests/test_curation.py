@@ -12,7 +12,8 @@ from .conftest import rows
 
 def test_smooth_log2(spark):
     df = spark.createDataFrame([(x,) for x in (3.82e-03, 7.8125e-03, 3.225e-02, 512.0, 2.1, None, 0.0, 1e9)], "x double")
-    assert [r["y"] for r in df.select(C.smooth_log2("x").alias("y")).collect()] == [3.90625e-03, 7.8125e-03, 3.125e-2, 512.0, 2.0, None, None, 512.0]
+    assert [r["y"] for r in df.select(C.smooth_log2("x").alias("y")).collect()] == [3.90625e-03, 7.8125e-03, 3.125e-2, 512.0, 2.0, None,
+        None, 512.0]
 
 
 def test_dedup(spark):
@@ -24,14 +25,17 @@ def test_dedup(spark):
 def test_dates_names_and_groups(spark):
     df = spark.createDataFrame([("2015",), ("June 2015-06",), ("2015-06-07",), (None,), ("unknown",)], "d string")
     assert [r[0] for r in df.select(C.partial_date_year("d")).collect()] == [2015, 2015, 2015, None, None]
-    p = spark.createDataFrame([("GenomeTrakr x NARMS", "t", "me"), (None, "a Vet-LIRN b", "me"), ("p", "GenomeTrakr", "me"), ("p", "t", "me")], "p string, t string, c string")
-    assert [tuple(r) for r in p.select(C.project_group("p", "t"), C.tested_by("p", "t", "c")).collect()] == [("NARMS", "NARMS"), ("Vet-LIRN", "me"), ("GenomeTrakr", "me"), (None, "me")]
+    p = spark.createDataFrame([("GenomeTrakr x NARMS", "t", "me"), (None, "a Vet-LIRN b", "me"), ("p", "GenomeTrakr", "me"),
+        ("p", "t", "me")], "p string, t string, c string")
+    assert [tuple(r) for r in p.select(C.project_group("p", "t"), C.tested_by("p", "t", "c")).collect()] == [("NARMS", "NARMS"),
+        ("Vet-LIRN", "me"), ("GenomeTrakr", "me"), (None, "me")]
 
 
 def test_discretize_keeps_nulls(spark):
     df = spark.createDataFrame([(float(i),) for i in range(11)] + [(None,)], "x double")
     got = {r["x"]: r["x_c"] for r in curate.discretize(df, ["x"], suffix="c").collect()}
-    assert got[2.0] == "susceptible" and got[3.0] == "intermediate" and got[8.0] == "intermediate" and got[9.0] == "resistant" and got[None] is None
+    assert got[2.0] == "susceptible" and got[3.0] == "intermediate" and got[8.0] == "intermediate" and got[9.0] == "resistant" and got[
+        None] is None
 
 
 def test_split_and_features(spark):
@@ -55,8 +59,10 @@ def test_variance(spark):
 
 
 def test_interval_within(spark):
-    left = spark.createDataFrame([("a", "c", 10, 20), ("b", "c", 100, 900), ("d", "c", 15, 30), ("e", "z", 1, 2)], "uid string, seqid string, start int, stop int")
-    right = spark.createDataFrame([("c", 5, 25, "one"), ("c", 200, 300, "two"), ("c", 150, 160, "three"), ("c", 0, 5000, "wide")], "seqid string, start int, stop int, note string")
+    left = spark.createDataFrame([("a", "c", 10, 20), ("b", "c", 100, 900), ("d", "c", 15, 30), ("e", "z", 1, 2)],
+        "uid string, seqid string, start int, stop int")
+    right = spark.createDataFrame([("c", 5, 25, "one"), ("c", 200, 300, "two"), ("c", 150, 160, "three"), ("c", 0, 5000, "wide")],
+        "seqid string, start int, stop int, note string")
     got = {r["uid"]: r["note"] for r in joins.interval_within(left, right, ["seqid"], bin_size=64).collect()}
     assert got == {"a": "wide", "b": "wide", "d": "wide", "e": None}
     none = joins.interval_within(left.where("uid = 'e'"), right, ["seqid"]).collect()
@@ -76,7 +82,8 @@ def test_joins(spark):
     assert [r["id"] for r in joins.pending_ids(df, "ids", ids("a"), ids("c")).collect()] == ["b"]
     drugs = spark.createDataFrame([("amikacin",), ("odd",)], "drug string")
     table = lambda *x: spark.createDataFrame(x, "drug string, drug_class string")
-    got = {r["drug"]: (r["drug_class"], r["interest"]) for r in joins.drug_classes(drugs, table(("amikacin", "Aminoglycosides")), table(("odd", "Beta-lactams")), {"amino": "aminoglyc"}).collect()}
+    got = {r["drug"]: (r["drug_class"], r["interest"]) for r in joins.drug_classes(drugs, table(("amikacin", "Aminoglycosides")),
+        table(("odd", "Beta-lactams")), {"amino": "aminoglyc"}).collect()}
     assert got == {"amikacin": ("Aminoglycosides", "amino"), "odd": ("Beta-lactams", None)}
     with pytest.raises(ValueError):
         joins.recode_join(drugs, spark.createDataFrame([("odd", "x"), ("odd", "y")], "drug string, new string"), ["drug"])
@@ -87,14 +94,16 @@ def test_joins(spark):
 
 
 def test_taxon_distance(spark):
-    t = spark.createDataFrame([(1, 1, "no rank"), (2, 1, "genus"), (3, 2, "species"), (4, 2, "species"), (5, 3, "strain"), (6, 6, "no rank")], "tax_id long, parent_tax_id long, rank string")
+    t = spark.createDataFrame([(1, 1, "no rank"), (2, 1, "genus"), (3, 2, "species"), (4, 2, "species"), (5, 3, "strain"),
+        (6, 6, "no rank")], "tax_id long, parent_tax_id long, rank string")
     pairs = spark.createDataFrame([(3, 4), (5, 3), (3, 6), (5, 5)], "a long, b long")
     got = {(r["a"], r["b"]): r["distance"] for r in joins.taxon_distance(pairs, t).collect()}
     assert got == {(3, 4): 7, (5, 3): 0, (3, 6): None, (5, 5): 0}
 
 
 def test_quality_filters(spark):
-    k = spark.createDataFrame([("a", 50.0, "S", 1), ("a", 0.05, "S", 2), ("b", 10.0, "S", 1), ("c", 90.0, "S", 9)], "sample string, p_reads_covered double, rank string, taxid long")
+    k = spark.createDataFrame([("a", 50.0, "S", 1), ("a", 0.05, "S", 2), ("b", 10.0, "S", 1), ("c", 90.0, "S", 9)],
+        "sample string, p_reads_covered double, rank string, taxid long")
     e = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "sample string, taxid long")
     assert [r["sample"] for r in aggregate.qc_kraken2(k, e, 20, 0.1).collect()] == ["a"]
     ani = spark.createDataFrame([("a", 99.0), ("a", 97.0), ("b", 97.7)], "sample string, ANI double")
@@ -104,7 +113,8 @@ def test_quality_filters(spark):
 
 
 def test_related_pairs(spark):
-    df = spark.createDataFrame([(f"{g}{i}", g) for g, n in (("A", 50), ("B", 50), ("C", 50), ("D", 50), ("E", 10)) for i in range(n)], "id string, g string")
+    df = spark.createDataFrame([(f"{g}{i}", g) for g, n in (("A", 50), ("B", 50), ("C", 50), ("D", 50), ("E", 10)) for i in range(n)],
+        "id string, g string")
     got = sampling.related_pairs(df, "id", "g", 20).collect()
     assert all((r["a"][0] == r["b"][0]) == r["related"] and r["a"] != r["b"] for r in got)
     assert {r["a"][0] for r in got} == set("ABCD") and sum(r["related"] for r in got) == 80 == sum(not r["related"] for r in got)
@@ -112,7 +122,8 @@ def test_related_pairs(spark):
 
 def test_samples_and_folds(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(30)], "id int, g int")
-    assert sampling.sample_n(df, "id", 5).count() == 5 and sampling.sample_n(df, "id", 2, by=["g"]).count() == 6 and sampling.sample_n(df, "id", fraction=0.2, by=["g"]).count() == 6
+    assert sampling.sample_n(df, "id", 5).count() == 5 and sampling.sample_n(df, "id", 2, by=["g"]).count() == 6 and sampling.sample_n(df,
+        "id", fraction=0.2, by=["g"]).count() == 6
     folds = sampling.kfold(df, "id", 4, 2).groupBy("repeat", "fold").count().collect()
     assert len(folds) == 8 and {r["count"] for r in folds} <= {7, 8}
     pairs = sampling.random_pairs(df, "id", 40).collect()
@@ -159,12 +170,14 @@ def test_overlaps_by_rare_items(spark):
     b = spark.createDataFrame(list(enumerate(right)), "right_id long, b array<string>")
     for least in (0.3, 0.5, 0.75, 1.0):
         got = {(r["left_id"], r["right_id"]): r["common"] for r in joins.overlap_join(a, b, "a", "b", least).collect()}
-        want = {(i, j): len(set(x) & set(y)) for i, x in enumerate(left) for j, y in enumerate(right) if y and len(set(x) & set(y)) / len(set(y)) >= least}
+        want = {(i, j): len(set(x) & set(y)) for i, x in enumerate(left) for j, y in enumerate(right) if y and len(set(x) & set(y))
+            / len(set(y)) >= least}
         assert got == want
 
 
 def test_shuffles_within_groups_keep_values(spark):
-    df = spark.createDataFrame([(i, i % 3 if i < 20 else None, float(i), float(-i)) for i in range(24)], "id long, g long, x double, y double")
+    df = spark.createDataFrame([(i, i % 3 if i < 20 else None, float(i), float(-i)) for i in range(24)],
+        "id long, g long, x double, y double")
     out = sampling.permute(df, "id", ["x", "y"], within="g")
     got, want = rows(out), rows(df)
     assert out.columns == df.columns and len(got) == 24

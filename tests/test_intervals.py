@@ -26,7 +26,8 @@ def test_first_match_is_that_of_all_pairs(spark, seed, bin_size):
     r = spark.createDataFrame([(k, s, e, u) for u, k, s, e in right], "k string, start long, stop long, note string").repartition(5)
     got = {x["uid"]: (x["start_right"], x["stop_right"]) for x in joins.interval_within(l, r, ["k"], bin_size=bin_size).collect()}
     for uid, k, s, e in left:
-        near = [(a, b) for _, q, a, b in right if None not in (k, q, s, e, a, b) and q == k and ((a <= s and b >= e) or (a >= s and b <= e))]
+        near = [(a, b) for _, q, a, b in right if None not in (k, q, s, e, a, b) and q == k
+            and ((a <= s and b >= e) or (a >= s and b <= e))]
         assert got[uid] == (min(near) if near else (None, None)), uid
     assert len(got) == len(left)
 
@@ -34,7 +35,8 @@ def test_first_match_is_that_of_all_pairs(spark, seed, bin_size):
 def test_deep_nests_leave_one_match_a_row(spark):
     """Features that all contain each other: matches that leave the sweeps grow with the rows, not with the pairs."""
     n = 1500
-    nest = spark.range(n).select(F.col("id").cast("string").alias("uid"), F.lit("c").alias("k"), F.col("id").alias("start"), (F.lit(2 * n) - F.col("id")).alias("stop"))
+    nest = spark.range(n).select(F.col("id").cast("string").alias("uid"), F.lit("c").alias("k"), F.col("id").alias("start"),
+        (F.lit(2 * n) - F.col("id")).alias("stop"))
     inner = nest.select("k", (F.col("start") + 0).alias("start"), "stop", F.col("uid").alias("note"))
     out = joins.interval_within(nest, inner, ["k"], bin_size=10_000)
     assert out.where("note = '0'").count() == n
@@ -52,7 +54,8 @@ def test_empty_sides(spark):
 @pytest.mark.parametrize("metric", ["sqeuclidean", "cosine"])
 def test_silhouettes_from_sums(spark, metric):
     rnd = np.random.default_rng(3)
-    data = [(i, rnd.normal(size=4).round(3).tolist(), f"c{i % 3}") for i in range(60)] + [(100, [1.0, 2.0, 3.0, 4.0], "alone"), (101, None, "c0"), (102, [1.0, 0.0, 0.0, 0.0], None)]
+    data = [(i, rnd.normal(size=4).round(3).tolist(), f"c{i % 3}") for i in range(60)] + [(100, [1.0, 2.0, 3.0, 4.0], "alone"),
+        (101, None, "c0"), (102, [1.0, 0.0, 0.0, 0.0], None)]
     df = spark.createDataFrame(data, "id long, x array<double>, c string")
     known = [(i, np.array(x), c) for i, x, c in data if x and c]
     dist = (lambda a, b: 1 - a @ b / np.sqrt((a @ a) * (b @ b))) if metric == "cosine" else (lambda a, b: ((a - b) ** 2).sum())

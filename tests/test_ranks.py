@@ -17,7 +17,8 @@ from .conftest import rows
 @pytest.mark.parametrize("parts", ["1", "4", "37"])
 def test_running_sums_are_those_of_a_loop(spark, parts):
     rnd = random.Random(int(parts))
-    data = [(rnd.choice([None, "a", "b", "None", "c"]), rnd.choice([1, 2, None]), i, rnd.choice([None, 1, 5, -2]), float(i % 7)) for i in range(3000)] + [("hot", 1, 5000 + i, 1, 0.5) for i in range(4000)]
+    data = [(rnd.choice([None, "a", "b", "None", "c"]), rnd.choice([1, 2, None]), i, rnd.choice([None, 1, 5, -2]), float(i % 7))
+        for i in range(3000)] + [("hot", 1, 5000 + i, 1, 0.5) for i in range(4000)]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
@@ -41,7 +42,8 @@ def test_running_sums_are_those_of_a_loop(spark, parts):
 
 def test_one_hot_group_is_many_tasks(spark):
     """A group of a million rows: no task sorts it whole, and ranks are right."""
-    df = spark.range(1_000_000).select(F.lit("hot").alias("g"), (F.col("id") * 7919 % 1_000_003).alias("v")).unionByName(spark.range(10).select(F.lit("cold").alias("g"), F.col("id").alias("v")))
+    df = spark.range(1_000_000).select(F.lit("hot").alias("g"), (F.col("id") * 7919 % 1_000_003).alias("v")).unionByName(
+        spark.range(10).select(F.lit("cold").alias("g"), F.col("id").alias("v")))
     index = windows.group_index(df, ["g"], ["v"], "n")
     plan = index._jdf.queryExecution().toString()
     assert "Window" not in plan and "Join" not in plan
@@ -85,7 +87,8 @@ def test_groups_of_a_million(spark):
     """Counts of a huge group that follow the shares are likely, and those that do not are not; no row stands for a member."""
     cats = spark.createDataFrame([("x",)] * 5 + [("y",)] * 3 + [("z",)] * 2, "category string")
     sized = lambda g, c, n: spark.range(n).select(F.lit(g).alias("group"), F.lit(c).alias("category"))
-    parts = [sized("fits", "x", 500_100), sized("fits", "y", 299_900), sized("fits", "z", 200_000), sized("off", "x", 503_000), sized("off", "y", 297_000), sized("off", "z", 200_000), sized("odd", "x", 2), sized("odd", "w", 1)]
+    parts = [sized("fits", "x", 500_100), sized("fits", "y", 299_900), sized("fits", "z", 200_000), sized("off", "x", 503_000),
+        sized("off", "y", 297_000), sized("off", "z", 200_000), sized("odd", "x", 2), sized("odd", "w", 1)]
     obs = parts[0]
     for more in parts[1:]:
         obs = obs.unionByName(more)

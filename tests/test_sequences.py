@@ -33,10 +33,12 @@ def test_bins_and_pieces(spark):
 
 
 def test_cut_features(spark):
-    f = spark.createDataFrame([("s", "c", 10, 20, 10, 10)], "sample string, seqid string, start int, stop int, upstream_intergenic int, downstream_intergenic int")
+    f = spark.createDataFrame([("s", "c", 10, 20, 10, 10)],
+        "sample string, seqid string, start int, stop int, upstream_intergenic int, downstream_intergenic int")
     c = spark.createDataFrame([("s", "c", "A" * 10 + "G" * 10 + "T" * 10)], "sample string, seqid string, sequence string")
     chunks = sequences.split_features(f, 5)
-    assert sorted((r["chunk_start"], r["chunk_stop"], r["is_5prime"], r["is_3prime"]) for r in chunks.collect()) == [(10, 15, True, False), (15, 20, False, True)]
+    assert sorted((r["chunk_start"], r["chunk_stop"], r["is_5prime"], r["is_3prime"]) for r in chunks.collect()) == [(10, 15, True, False),
+        (15, 20, False, True)]
     got = sorted(r["sequence"] for r in sequences.cut_features(c, chunks, utr=(3, 0.5), up=1, down=1).collect())
     assert got == ["A" * 3 + "G" * 6, "G" * 6 + "T" * 5]
 
@@ -50,7 +52,8 @@ def test_kmers(spark):
 
 def test_random_variants(spark):
     df = spark.createDataFrame([(1, "ACDEFGHIKL"), (2, "")], "id int, s string")
-    for out in (sequences.permute_seq(df, "id", "s"), sequences.random_seq(df, "id", "s", "AC"), sequences.random_seq(df, "id", "s", dist="observed")):
+    for out in (sequences.permute_seq(df, "id", "s"), sequences.random_seq(df, "id", "s", "AC"),
+        sequences.random_seq(df, "id", "s", dist="observed")):
         assert [len(r["s"]) for r in out.orderBy("id").collect()] == [10, 0]
     assert sorted(sequences.permute_seq(df, "id", "s").orderBy("id").first()["s"]) == sorted("ACDEFGHIKL")
     scores = {"A": {"A": 9, "C": 3, "D": 2, "E": -1}}
@@ -87,12 +90,14 @@ def test_stream_into_store(spark, tmp_path):
     src = f"file://{tmp_path}/in"
     spark.createDataFrame([(w,) for w in WORDS], "word string").write.parquet(src)
     for _ in range(2):
-        embed_stream(spark.readStream.schema("word string").parquet(src), "word", f"file://{tmp_path}/s", letter_embedder, f"file://{tmp_path}/ck").awaitTermination()
+        embed_stream(spark.readStream.schema("word string").parquet(src), "word", f"file://{tmp_path}/s", letter_embedder,
+            f"file://{tmp_path}/ck").awaitTermination()
     assert store.open_store(spark, f"file://{tmp_path}/s").count() == len(WORDS)
 
 
 def test_pooling(spark):
-    df = spark.createDataFrame([("a", [1.0, 2.0], "R", 0), ("a", [3.0, 4.0], "S", 1), ("b", [5.0, 6.0], "S", 0)], "g string, x array<double>, c string, i int")
+    df = spark.createDataFrame([("a", [1.0, 2.0], "R", 0), ("a", [3.0, 4.0], "S", 1), ("b", [5.0, 6.0], "S", 0)],
+        "g string, x array<double>, c string, i int")
     by = lambda d: {r["g"]: r["x"] for r in d.collect()}
     assert by(pooling.pool(df, "g", "x", "mean")) == {"a": [2.0, 3.0], "b": [5.0, 6.0]}
     assert by(pooling.pool(df, "g", "x", "sum"))["a"] == [4.0, 6.0] and by(pooling.pool(df, "g", "x", "max"))["a"] == [3.0, 4.0]
@@ -107,15 +112,19 @@ def test_pooling(spark):
 def test_readers(spark, tmp_path):
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "s1.fasta").write_text(">c1 first one\nACGT\nAC\n>c2\nGG\n")
-    got = sorted((r["sample"], r["seqid"], r["description"], r["sequence"]) for r in readers.read_fasta_dir(spark, f"file://{tmp_path}/f").collect())
+    got = sorted((r["sample"], r["seqid"], r["description"], r["sequence"]) for r in readers.read_fasta_dir(spark, f"file://{tmp_path}/f")
+        .collect())
     assert got == [("s1", "c1", "c1 first one", "ACGTAC"), ("s1", "c2", "c2", "GG")]
     remap = spark.createDataFrame([("s1", "new")], "id string, sample string")
     assert {r["sample"] for r in readers.read_fasta_dir(spark, f"file://{tmp_path}/f", remap).collect()} == {"new"}
     (tmp_path / "p.fasta").write_text(">sp|P1|X\nMK\n>sp|P2|Y\nMV\n>sp|P1|X\nMK\n")
-    assert sorted((r["id"], r["sequence"]) for r in readers.read_fasta(spark, f"file://{tmp_path}/p.fasta").collect()) == [("P1", "MK"), ("P2", "MV")]
+    assert sorted((r["id"], r["sequence"]) for r in readers.read_fasta(spark, f"file://{tmp_path}/p.fasta").collect()) == [("P1", "MK"),
+        ("P2", "MV")]
     (tmp_path / "b").mkdir()
-    (tmp_path / "b" / "s1_bakta.tsv").write_text("# a\n# b\n# c\n# d\n# e\n#Sequence Id\tType\tStart\tStop\tStrand\tLocus Tag\tGene\tProduct\nc1\tcds\t1\t9\t+\tL1\tgyrA\tgyrase\n")
-    assert rows(readers.read_bakta(spark, f"file://{tmp_path}/b")) == [{"sample": "s1", "seqid": "c1", "type": "cds", "start": 1, "stop": 9, "strand": "+", "locus_tag": "L1", "gene": "gyrA", "product": "gyrase"}]
+    (tmp_path / "b" / "s1_bakta.tsv").write_text(
+        "# a\n# b\n# c\n# d\n# e\n#Sequence Id\tType\tStart\tStop\tStrand\tLocus Tag\tGene\tProduct\nc1\tcds\t1\t9\t+\tL1\tgyrA\tgyrase\n")
+    assert rows(readers.read_bakta(spark, f"file://{tmp_path}/b")) == [{"sample": "s1", "seqid": "c1", "type": "cds", "start": 1, "stop": 9,
+        "strand": "+", "locus_tag": "L1", "gene": "gyrA", "product": "gyrase"}]
     (tmp_path / "x.kraken2.report.txt").write_text(" 99.5\t100\t5\tS\t562\t  Escherichia coli\n")
     k = rows(readers.read_kraken2(spark, f"file://{tmp_path}/x.kraken2.report.txt"))[0]
     assert (k["sample"], k["taxid"], k["name"]) == ("x", 562, "Escherichia coli")
@@ -130,14 +139,16 @@ def test_readers(spark, tmp_path):
     assert rows(readers.parse_project_records(p)) == [{"acc": "PRJ1", "title": "A title", "organism": "E. coli"}]
     (tmp_path / "asm.tsv").write_text("# preamble\naccession\tlevel\t\nGCA1\tContig\t\n")
     assert rows(readers.read_assembly_details(spark, f"file://{tmp_path}/asm.tsv")) == [{"accession": "GCA1", "level": "Contig"}]
-    (tmp_path / "h.tsv").write_text("input_file_name\tinput_sequence_id\tinput_gene_start\tinput_gene_stop\tgene_symbol\tresistance_mechanism\tpredicted_phenotype\tantimicrobial_agent\tdrug_class\tanalysis_software_name\ns1.txt.rgi\ts1_c1_seq2\t5\t9\tgyrA\tm\tp\ta\td\trgi\n")
+    (tmp_path / "h.tsv").write_text(
+        "input_file_name\tinput_sequence_id\tinput_gene_start\tinput_gene_stop\tgene_symbol\tresistance_mechanism\tpredicted_phenotype\tantimicrobial_agent\tdrug_class\tanalysis_software_name\ns1.txt.rgi\ts1_c1_seq2\t5\t9\tgyrA\tm\tp\ta\td\trgi\n")
     h = rows(readers.read_hamronization(spark, f"file://{tmp_path}/h.tsv"))[0]
     assert (h["sample"], h["seqid"], h["start"], h["hamr_gene_symbol"]) == ("s1", "c1", 5, "gyrA")
     (tmp_path / "amp.tsv").write_text("")
     assert readers.read_ampcombi(spark, f"file://{tmp_path}/amp.tsv").count() == 0
     (tmp_path / "q.tsv").write_text("Assembly\t# contigs\tN50\ns1.scaffolds\t5\t100\n")
     assert rows(readers.read_quast(spark, f"file://{tmp_path}/q.tsv"))[0]["sample"] == "s1"
-    meta = writers.write_fasta(spark.createDataFrame([("u1", "ACG", "g", None, None), ("u2", "AC", None, None, None)], "uid string, sequence string, gene string, product string, type string"), f"file://{tmp_path}/out")
+    meta = writers.write_fasta(spark.createDataFrame([("u1", "ACG", "g", None, None), ("u2", "AC", None, None, None)],
+        "uid string, sequence string, gene string, product string, type string"), f"file://{tmp_path}/out")
     assert [(r["uid"], r["accession"]) for r in meta.collect()] == [("u1", "MM1")]
     writers.write_table(remap, f"file://{tmp_path}/t", "tsv")
     assert rows(readers.read_tabular(spark, f"file://{tmp_path}/t", "id string, sample string"))

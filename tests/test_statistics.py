@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from lociframe.functions import tails
 from lociframe.operators import latents, models, neighbors, stats, windows
 
-ACTS = [[0.1, 0.9, 0.2, 0.3, 0.1], [0.2, 0.3, 0.9, 0.0, 0.3], [0.9, 0.2, 0.3, 0.1, 0.1], [0.2, 0.1, 0.3, 0.8, 0.2], [0.8, 0.2, 0.1, 0.2, 0.9], [0.3, 0.3, 0.7, 0.1, 0.3]]
+# Activations, and the exact results expected of them below.
+ACTS = [[0.1, 0.9, 0.2, 0.3, 0.1], [0.2, 0.3, 0.9, 0.0, 0.3], [0.9, 0.2, 0.3, 0.1, 0.1], [0.2, 0.1, 0.3, 0.8, 0.2],
+    [0.8, 0.2, 0.1, 0.2, 0.9], [0.3, 0.3, 0.7, 0.1, 0.3]]
 
 
 @pytest.fixture(scope="module")
 def acts(spark):
-    df = spark.createDataFrame([(i, [float(v) for v in x], c) for i, (x, c) in enumerate(zip(ACTS, "AAABBB", strict=True))], "sample int, x array<double>, label string")
+    df = spark.createDataFrame([(i, [float(v) for v in x], c) for i, (x, c) in enumerate(zip(ACTS, "AAABBB", strict=True))],
+        "sample int, x array<double>, label string")
     return latents.activations(df, "sample", "x"), df.select("sample", "label")
 
 
@@ -50,7 +53,8 @@ def test_monte_carlo(spark):
 
 def test_multinomial(spark):
     cats = spark.createDataFrame([(c,) for c in "abcdefghijklm" * 5], "category string")
-    obs = spark.createDataFrame([("all", c) for c in "abcdefghijklm"] + [("one", "a")] * 13 + [("few", c) for c in "aaaabbbbcccdd"], "group string, category string")
+    obs = spark.createDataFrame([("all", c) for c in "abcdefghijklm"] + [("one", "a")] * 13 + [("few", c) for c in "aaaabbbbcccdd"],
+        "group string, category string")
     p = {r["group"]: r["p"] for r in stats.multinomial_test(obs, cats, 3000).collect()}
     assert p["all"] >= 0.05 and p["one"] <= 0.05 and p["few"] <= 0.05
 
@@ -58,11 +62,13 @@ def test_multinomial(spark):
 def test_rank_statistics(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=300)
-    df = spark.createDataFrame([(float(a), float(a + b), i % 2 == 0) for i, (a, b) in enumerate(zip(x, rng.normal(size=300) * 0.1, strict=True))], "x double, y double, first boolean")
+    df = spark.createDataFrame([(float(a), float(a + b), i % 2 == 0) for i,
+        (a, b) in enumerate(zip(x, rng.normal(size=300) * 0.1, strict=True))], "x double, y double, first boolean")
     assert stats.spearman(df, "x", "y").first()["p"] < 1e-6
     assert stats.wilcoxon(df.withColumn("y", F.col("x") + 1), "x", "y").first()["p"] < 1e-6
     assert stats.ks_2samp(df, "x", "first").first()["p"] > 0.01
-    assert stats.ks_2samp(df.withColumn("x", F.col("x") + F.when(F.col("first"), -3.0).otherwise(0.0)), "x", "first", "greater").first()["p"] < 1e-6
+    assert stats.ks_2samp(df.withColumn("x", F.col("x") + F.when(F.col("first"), -3.0).otherwise(0.0)), "x", "first",
+        "greater").first()["p"] < 1e-6
     ranks = windows.avg_rank(spark.createDataFrame([(v,) for v in (3, 1, 3, 2)], "v int"), "v").orderBy("v").collect()
     assert [r["rank"] for r in ranks] == [1.0, 2.0, 3.5, 3.5]
 
@@ -70,7 +76,8 @@ def test_rank_statistics(spark):
 @pytest.fixture(scope="module")
 def points(spark):
     rng = np.random.default_rng(2)
-    return spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4) + 4 * (i % 2)], "ab"[i % 2], "t1;t2" if i % 2 else "t3", float(i)) for i in range(60)], "id long, x array<double>, c string, anno string, pos double")
+    return spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4) + 4 * (i % 2)], "ab"[i % 2], "t1;t2" if i % 2 else "t3",
+        float(i)) for i in range(60)], "id long, x array<double>, c string, anno string, pos double")
 
 
 def test_neighbours(spark, points):
@@ -80,17 +87,20 @@ def test_neighbours(spark, points):
     assert both[False] > both[True]
     chi = neighbors.neighbor_chi_square(points, "id", "x", "c", [2.0, 4.0]).collect()
     assert np.median([r["p"] for r in chi]) < 0.05
-    c = neighbors.annotation_coherence(points, "id", "x", "labels", 5) if "labels" in points.columns else neighbors.annotation_coherence(points.withColumn("labels", F.split("anno", ";")), "id", "x", "labels", 5)
+    c = neighbors.annotation_coherence(points, "id", "x", "labels", 5) if "labels" in points.columns else neighbors.annotation_coherence(
+        points.withColumn("labels", F.split("anno", ";")), "id", "x", "labels", 5)
     row = c.agg(F.avg("coherence").alias("a"), F.avg("random").alias("b")).first()
     assert row["a"] < row["b"]
     noise = points.select((F.col("id") + 1000).alias("id"), F.transform("x", lambda v: v + 100).alias("x"))
     assert neighbors.random_neighbor_score(points.select("id", "x"), noise, "id", "x", 5).first()["score"] == 0.0
-    assert neighbors.neighbor_preserving(points.withColumn("contig", F.lit("c")), "id", "x", "contig", "pos", "pos", 4).where("score < 0").count() == 0
+    assert neighbors.neighbor_preserving(points.withColumn("contig", F.lit("c")), "id", "x", "contig", "pos", "pos",
+        4).where("score < 0").count() == 0
 
 
 def test_embedding_statistics(spark, points):
     assert stats.category_distance(points, "id", "x", "c", 10, metric="euclidean").first()["p"] < 0.05
-    got = {r["covariate"]: r["rho"] for r in stats.embedding_correlations(points, "id", "x", 300, {"anno": ("anno", "functional"), "pos": ("pos", "number")}, metric="euclidean").collect()}
+    got = {r["covariate"]: r["rho"] for r in stats.embedding_correlations(points, "id", "x", 300,
+        {"anno": ("anno", "functional"), "pos": ("pos", "number")}, metric="euclidean").collect()}
     assert got["anno"] > 0.5
     assert stats.pair_distribution(points, "id", "x", ["c"], 10, "euclidean").first()["statistic"] > 0.5
     assert stats.silhouette_mean(points.withColumn("k", (F.col("c") == "a").cast("int")), "x", "k") > 0.3
@@ -105,7 +115,8 @@ def test_evaluation(spark, points):
     assert models.permutation_test(points, "x", "id", "c", rounds=3, k=2, estimator=small).first()["p"] <= 0.26
     weights = models.SaeWeights(np.eye(4), np.eye(4), np.zeros(4))
     assert models.sae_loss(points, "id", "x", weights).first()["dead_latents"] == 0
-    gone = models.ablation(points.select("id", "x", "c"), "x", "id", ["c"], weights, [0, 1, 2, 3], "all", 2, estimator=small).where("metric = 'acc'").first()
+    gone = models.ablation(points.select("id", "x", "c"), "x", "id", ["c"], weights, [0, 1, 2, 3], "all", 2,
+        estimator=small).where("metric = 'acc'").first()
     assert gone["before"] > gone["after"]
 
 

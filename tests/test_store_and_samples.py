@@ -12,7 +12,9 @@ SCHEMA = "key string, seq array<float>, token array<array<float>>, token_idx arr
 
 
 def _fill(spark, path: str, n: int) -> None:
-    rows = spark.range(n).select(F.concat(F.lit("k"), "id").alias("key"), F.array(F.col("id").cast("float")).alias("seq"), F.lit(None).cast("array<array<float>>").alias("token"), F.lit(None).cast("array<long>").alias("token_idx"), F.lit(None).cast("array<float>").alias("token_pr"))
+    rows = spark.range(n).select(F.concat(F.lit("k"), "id").alias("key"), F.array(F.col("id").cast("float")).alias("seq"),
+        F.lit(None).cast("array<array<float>>").alias("token"), F.lit(None).cast("array<long>").alias("token_idx"),
+            F.lit(None).cast("array<float>").alias("token_pr"))
     writers.store_append(path, rows)
 
 
@@ -34,7 +36,8 @@ def test_few_keys_read_few_files(spark, tmp_path):
     assert found == {(i, f"k{i}"): [float(i)] for i in range(0, 50, 5)} | {(99, "k5"): [5.0]}
     with pytest.raises(KeyError, match="absent"):
         joins.store_lookup(spark.createDataFrame([("absent",)], "k string"), "k", held)
-    assert {r["k"] for r in curate.keep_known_keys(spark.createDataFrame([("absent",), ("k7",)], "k string"), "k", held).collect()} == {"k7"}
+    assert {r["k"] for r in curate.keep_known_keys(spark.createDataFrame([("absent",), ("k7",)], "k string"), "k", held).collect()} == {
+        "k7"}
 
 
 def test_layouts_stay(spark, tmp_path):
