@@ -296,6 +296,17 @@ def one_token(s, d):
         places=5)
 
 
+@query("""WITH k AS (SELECT vec_id, unnest(range(0, 8)) AS i, embedding FROM embeddings)
+SELECT vec_id::VARCHAR AS key, CAST(i AS INTEGER) AS index, round(list_sum(CAST(embedding[i * 8 + 1:i * 8 + 8] AS DOUBLE[])), 5) AS total FROM k""")
+def all_tokens(s, d):
+    """Every token of every key of a store as a row."""
+    path = _path(s, "store")
+    writers.store_append(path, _store_rows(s, d, 0, 1 << 30))
+    every = store.token_view(store.open_store(s, path))
+    return rounded(every.select("key", "index", F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total")), "total",
+        places=5)
+
+
 @query(f"""WITH k AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY {drawn(0, 'token', 'vec_id', 'i')}, i) AS r FROM (SELECT vec_id, unnest(range(0, 8)) AS i FROM embeddings)) SELECT vec_id::VARCHAR AS key, list(i ORDER BY i) AS token_idx FROM k WHERE r <= 3 GROUP BY 1""")
 def sample_tokens(s, d):
     return sequences.sample_tokens(_store_rows(s, d, 0, 1 << 30), 3).select("key", "token_idx")

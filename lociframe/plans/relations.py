@@ -23,6 +23,22 @@ def load_columns(s, d):
     return readers.load(s, f"{d}/part.parquet", ["p_type", "p_partkey"])
 
 
+@query("""SELECT c_custkey, c_name, c_mktsegment, c_acctbal, CASE WHEN c_nationkey > 4 THEN c_nationkey END AS nation, 'csv' AS format FROM customer
+ UNION ALL SELECT c_custkey, c_name, c_mktsegment, c_acctbal, CASE WHEN c_nationkey > 4 THEN c_nationkey END, 'parquet' FROM customer""")
+def table_formats(s, d):
+    """A table with nulls, names with commas and quotes in between, as CSV and as parquet, each read by its suffix."""
+    c = table(s, d, "customer")
+    rows = c.select("c_custkey", F.concat(F.lit('a "b", '), "c_name").alias("c_name"), "c_mktsegment", "c_acctbal",
+        F.when(F.col("c_nationkey") > 4, F.col("c_nationkey")).alias("nation"))
+    out = []
+    for fmt in ("csv", "parquet"):
+        path = scratch_path(s, f"table-{uuid.uuid4().hex}.{fmt}")
+        writers.write_table(rows, path, fmt)
+        read = readers.read_tabular(s, path).withColumn("format", F.lit(fmt))
+        out.append(read.select(*[F.col(n).cast(rows.schema[n].dataType) for n in rows.columns], "format"))
+    return out[0].unionByName(out[1]).withColumn("c_name", F.substring("c_name", 8, 1000))
+
+
 @query("""SELECT p_partkey, p_name, nullif(p_brand, 'Brand#1') AS p_brand, p_size, p_retailprice FROM part""")
 def table_round_trip(s, d):
     path = scratch_path(s, f"part-{uuid.uuid4().hex}.tsv")
