@@ -167,6 +167,64 @@ def stump_cv(s, d):
     return rounded(found.where("metric NOT IN ('auroc', 'aupr')").select("task", "iter", "metric", "value"), "value")
 
 
+def _stump_scores(rows: str) -> str:
+    """Common tables that end with ``w``: a one-question tree's ``acc, kappa, mcc`` in each fold of ``rows`` (``g, fold, b, t``: group, fold, answer, label)."""
+    return f"""e AS ({rows}), f AS (SELECT DISTINCT g, fold FROM e), c AS (SELECT f.g, f.fold, b, t, count(*) AS n FROM f JOIN e ON e.g = f.g AND e.fold <> f.fold GROUP BY ALL),
+m AS (SELECT g, fold, b, t AS p FROM c QUALIFY row_number() OVER (PARTITION BY g, fold, b ORDER BY n DESC, t) = 1), q AS (SELECT g, fold, t, p, count(*) AS n FROM e JOIN m USING (g, fold, b) GROUP BY ALL),
+s AS (SELECT g, fold, sum(n) AS s, coalesce(sum(n) FILTER (t = p), 0) AS c FROM q GROUP BY ALL), a AS (SELECT g, fold, t AS l, sum(n) AS nt FROM q GROUP BY ALL), z AS (SELECT g, fold, p AS l, sum(n) AS np FROM q GROUP BY ALL),
+h AS (SELECT g, fold, sum(coalesce(nt, 0) * coalesce(np, 0)) AS tp, sum(coalesce(nt, 0) ** 2) AS tt, sum(coalesce(np, 0) ** 2) AS pp FROM a FULL JOIN z USING (g, fold, l) GROUP BY ALL),
+w AS (SELECT g, fold, c / s AS acc, coalesce((c / s - tp / (s * s)) / nullif(1 - tp / (s * s), 0), 0) AS kappa, coalesce((c * s - tp) / nullif(sqrt((s * s - pp) * (s * s - tt)), 0), 0) AS mcc FROM s JOIN h USING (g, fold))"""
+
+
+def _stump(width: int):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    return DecisionTreeClassifier(maxDepth=1)
+
+
+def _kinds(s, d):
+    """Embeddings by one answer ``x``, with a label that leans on it and a name."""
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    task = F.when(at(0) + at(2) > 0.02, "up").otherwise("down")
+    return table(s, d, "embeddings").select("vec_id", F.array((at(0) > 0).cast("double")).alias("x"), task.alias("task"), F.col("label").cast("string").alias("name"))
+
+
+_KINDS = """SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) > 0 AS b, CASE WHEN CAST(embedding[1] AS DOUBLE) + CAST(embedding[3] AS DOUBLE) > 0.02 THEN 'up' ELSE 'down' END AS t, CAST(label AS VARCHAR) AS name FROM embeddings"""
+
+
+def _fold_of(seed: int, k: int) -> str:
+    return f"(row_number() OVER (ORDER BY {drawn(seed, 'fold', '0', 'id')}, id) - 1) % {k}"
+
+
+_PERMUTED = " UNION ALL ".join(
+    [f"SELECT -1 AS g, {_fold_of(0, 2)} AS fold, b, t FROM k"]
+    + [f"SELECT {r} AS g, {_fold_of(r, 2)} AS fold, b, u AS t FROM (SELECT id, b, row_number() OVER (ORDER BY id) AS i FROM k) JOIN (SELECT t AS u, row_number() OVER (ORDER BY {drawn(r, 'permute', 'id')}, id) AS i FROM k) USING (i)" for r in range(3)]
+)
+
+
+@query(f"""WITH k AS ({_KINDS}), {_stump_scores(_PERMUTED)}, x AS (SELECT g, 1 - avg(acc) AS error FROM w GROUP BY g)
+SELECT round(avg(((SELECT count(*) FROM x n WHERE n.g >= 0 AND n.error <= o.error) + 1) / 4), 6) AS p FROM x o WHERE g = -1""")
+def stump_permutation(s, d):
+    return rounded(models.permutation_test(_kinds(s, d), "x", "vec_id", "task", 1, 3, 2, estimator=_stump), "p")
+
+
+@query(f"""WITH k AS ({_KINDS}), o AS (SELECT t, row_number() OVER (ORDER BY {drawn(0, 'goal', 't')}, t) - 1 AS i FROM (SELECT DISTINCT t FROM k)), v AS (SELECT name, {drawn(0, 'control', 'name')} AS h, row_number() OVER (ORDER BY {drawn(0, 'control', 'name')}, name) - 1 AS j FROM (SELECT DISTINCT name FROM k)),
+y AS (SELECT name, o.t AS fake FROM (SELECT name, CASE WHEN j < n THEN j ELSE h % n END AS i FROM v, (SELECT count(*) AS n FROM o)) JOIN o USING (i)),
+{_stump_scores(f"SELECT 0 AS g, {_fold_of(0, 2)} AS fold, b, t FROM k UNION ALL SELECT 1, {_fold_of(0, 2)}, b, fake FROM k JOIN y USING (name)")}
+SELECT 'task' AS task, CAST(fold AS INTEGER) AS iter, g = 1 AS control, metric, round(value, 6) AS value FROM (SELECT g, fold, acc, kappa, mcc FROM w) UNPIVOT (value FOR metric IN (acc, kappa, mcc))""")
+def stump_control(s, d):
+    found = models.control_cv(_kinds(s, d), "x", "vec_id", "task", "name", 2, estimator=_stump)
+    return rounded(found.where("metric IN ('acc', 'kappa', 'mcc')").select("task", "iter", "control", "metric", "value"), "value")
+
+
+_RANDOM_LABELS = " UNION ALL ".join(f"SELECT {r} AS g, {_fold_of(r, 3)} AS fold, b, CAST({drawn(0, 'label', str(r), 'id')} % 2 AS VARCHAR) AS t FROM k" for r in range(3))
+
+
+@query(f"""WITH k AS ({_KINDS}), {_stump_scores(_RANDOM_LABELS)} SELECT CAST(g AS INTEGER) AS iter, round(avg(mcc), 6) AS mcc FROM w GROUP BY g""")
+def stump_random_labels(s, d):
+    return rounded(models.random_label_baseline(_kinds(s, d), "x", "vec_id", 3, 3, estimator=_stump), "mcc")
+
+
 @query(f"""SELECT id, CAST(fold AS INTEGER) AS iter, 'task' AS task, CASE WHEN x[1]::FLOAT + x[2]::FLOAT > 0 THEN 'up' ELSE 'down' END AS truth, true AS known, 1.0 AS total FROM ({_folds(2)})""")
 def cv_predictions(s, d):
     """Each row is predicted once, in its own fold, with a label of its task and probabilities that sum to 1."""
