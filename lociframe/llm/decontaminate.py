@@ -75,6 +75,9 @@ class Items:
                 self.ids.append(i)
                 self.words.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64))
         self.runs = [self.runs_of(w) for w in self.words]
+        self.flat = np.concatenate([*self.words, np.zeros(0, np.int64)])
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def runs_of(self, words: np.ndarray, n: int = GRAM) -> np.ndarray:
         """A number for each run of ``n`` words (for all of them where there are fewer); -1 where one is unknown."""
@@ -143,17 +146,50 @@ def may_reach(item: np.ndarray, words: np.ndarray, spans: list[tuple[int, int]],
     return [x for x, (s, e) in zip(spans, around, strict=True) if inside[e] - inside[s] >= least and np.isin(item, words[s:e]).sum() >= least]
 
 
-def find_items(items: Items, table: np.ndarray, seeds: dict[int, list[tuple[int, int]]], known: dict, text: bytes, share: float, least_words: int) -> list[tuple[int, float, int, int]]:
-    """(item, share of its score, first word, word after the last) of the items that a text holds; ``known`` remembers alignments."""
+class Seeds:
+    """The runs that texts hold, in order, and for each its items and its places in them, laid end to end."""
+
+    def __init__(self, items: Items, seen: set[int]):
+        runs = np.concatenate([*items.runs, np.zeros(0, np.int64)])
+        item = np.repeat(np.arange(len(items.runs)), [len(r) for r in items.runs])
+        place = np.concatenate([*(np.arange(len(r)) for r in items.runs), np.zeros(0, np.int64)])
+        keep = np.isin(runs, np.array(sorted(seen), np.int64))
+        order = np.argsort(runs[keep], kind="stable")
+        self.table, starts = np.unique(runs[keep][order], return_index=True)
+        self.item, self.place = item[keep][order], place[keep][order].astype(np.int64)
+        self.ends = np.append(starts, len(order))
+
+    def met(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position in the text, item, place in it) of every seed that ``runs`` has."""
+        hit, at = _find(self.table, runs)
+        n = self.ends[at + 1] - self.ends[at]
+        which = np.repeat(self.ends[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(hit, n), self.item[which], self.place[which]
+
+
+def find_items(items: Items, seeds: Seeds, known: dict, text: bytes, share: float, least_words: int) -> list[tuple[int, float, int, int]]:
+    """(item, share of its score, first word, word after the last) of the items that a text holds; ``known`` remembers alignments.
+
+    A run that very many items share meets them all; those of whose words the text has too few for the least score, wherever they
+    stand, are told apart at once, before any is looked at alone.
+    """
     words = _numbers(items, text)
+    found = [seeds.met(runs) for _, runs in items.text_runs(words)]
+    if not found or not sum(len(f[0]) for f in found):
+        return []
+    at, item, place = (np.concatenate([f[i] for f in found]) for i in range(3))
+    few = np.unique(item)
+    present = np.zeros(len(items.vocabulary) + 1, bool)
+    present[words] = True  # unknown words are the last
+    present[-1] = False
+    n = items.sizes[few]
+    which = np.repeat(items.starts[few] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    held = np.add.reduceat(present[items.flat[which]], np.cumsum(n) - n)
+    keep = np.isin(item, few[held >= n * np.maximum(share, np.minimum(1.0, least_words / n)) - 1e-6])
     spans: dict[int, set[tuple[int, int]]] = {}
-    for _, runs in items.text_runs(words):
-        hit, at = _find(table, runs)
-        for p, s in zip(hit.tolist(), at.tolist(), strict=True):
-            for item, q in seeds[int(table[s])]:
-                n = len(items.words[item])
-                slack = n // 4 + 4
-                spans.setdefault(item, set()).add((max(0, p - q - slack), min(len(words), p - q + n + slack)))
+    for p, k, q in zip(at[keep].tolist(), item[keep].tolist(), place[keep].tolist(), strict=True):
+        slack = len(items.words[k]) // 4 + 4
+        spans.setdefault(k, set()).add((max(0, p - q - slack), min(len(words), p - q + len(items.words[k]) + slack)))
     out = []
     for item, found in spans.items():
         n = len(items.words[item])
@@ -179,38 +215,43 @@ def find_items(items: Items, table: np.ndarray, seeds: dict[int, list[tuple[int,
     return out
 
 
-def _prepared(sent, key: str, seeds: dict) -> tuple[Items, np.ndarray]:
+def _prepared(sent, key: str) -> tuple[Items, Seeds]:
+    """The slice's items and seeds, made once by each worker."""
     if key not in _SENT:
         _SENT.clear()
-        _SENT[key] = (Items(*sent.value), np.array(sorted(seeds), np.int64))
+        ids, texts, seen = sent.value
+        items = Items(ids, texts)
+        _SENT[key] = (items, Seeds(items, seen))
     return _SENT[key]
 
 
-def match_rows(sent, key: str, seeds: dict[int, list[tuple[int, int]]], share: float, least_words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts to the items they hold; ``seeds`` has for each run its items and places in them."""
+def match_rows(sent, key: str, share: float, least_words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts to the items they hold."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, table = _prepared(sent, key, seeds)
+        items, seeds = _prepared(sent, key)
         known: dict = {}
         for rows, off, data in text_blocks(batches):
             raw, ids = data.tobytes(), rows.column(0).to_pylist()
-            out = [(ids[i], *m) for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)) for m in find_items(items, table, seeds, known, raw[a:b], share, least_words)]
+            out = [(ids[i], *m) for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+                for m in find_items(items, seeds, known, raw[a:b], share, least_words)]
             if out:
                 kinds = (rows.schema.field(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["doc_id", "item_id", "score", "from_word", "to_word"])
+                columns = [pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "from_word", "to_word"])
 
     return run
 
 
-def clean_rows(sent, key: str, seeds: dict[int, list[tuple[int, int]]], share: float, least_words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def clean_rows(sent, key: str, share: float, least_words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The rows, whole, whose text holds no item."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, table = _prepared(sent, key, seeds)
+        items, seeds = _prepared(sent, key)
         known: dict = {}
         for rows, off, data in text_blocks(batches):
             raw = data.tobytes()
-            keep = [not find_items(items, table, seeds, known, raw[a:b], share, least_words) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            keep = [not find_items(items, seeds, known, raw[a:b], share, least_words) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield rows.filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -230,19 +271,13 @@ def _slices(benchmark: DataFrame, slice_words: int) -> Iterator[tuple[list[int],
 
 
 def _seeded(docs: DataFrame, benchmark: DataFrame, slice_words: int) -> Iterator[tuple]:
-    """For each slice of items: what is sent to the tasks, and the runs of its items that texts hold with their places."""
+    """For each slice of items: what is sent to the tasks, with the runs of its items that texts hold."""
     spark = docs.sparkSession
     for ids, texts in _slices(benchmark, slice_words):
-        items = Items(ids, texts)
         sent = spark.sparkContext.broadcast((ids, texts))
         runs = docs.select("text").mapInArrow(seen_rows(sent, uuid.uuid4().hex), "run long").distinct()
         seen = {r["run"] for r in runs.collect()}  # a row per run of the slice at most
-        seeds: dict[int, list[tuple[int, int]]] = {}
-        for k, runs in enumerate(items.runs):
-            for q, r in enumerate(runs.tolist()):
-                if r in seen:
-                    seeds.setdefault(r, []).append((k, q))
-        yield sent, uuid.uuid4().hex, seeds
+        yield spark.sparkContext.broadcast((ids, texts, seen)), uuid.uuid4().hex
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = LEAST_WORDS, slice_words: int = SLICE_WORDS) -> DataFrame:

@@ -419,3 +419,25 @@ def test_why_the_given_documents_have_no_novel_spans():
                 assert "@" in x[max(0, m.start() - 1) : m.end() + 1]
                 assert X.measured(x, m.start(), m.end(), X.IDENTIFIERS) < X.NOVEL_SHARE * len(m[0])
     assert met > 5 and not any(s[1] == 3 for x in texts for s in X.find(x.encode()))
+
+
+def test_items_with_one_opening(spark):
+    """Thousands of items that begin alike: a text that has the opening costs about as much as one among items that do not share it."""
+    import time
+
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(4000)]
+    opening = "which of these answers is right if"
+    rest = [" ".join(rng.choice(words, 30)) for _ in range(4000)]
+    took = []
+    for first in (lambda i: " ".join(rng.choice(words, 7)), lambda i: opening):
+        texts = [f"{first(i)} {r}" for i, r in enumerate(rest)]
+        items = B.Items(list(range(len(texts))), texts)
+        seeds = B.Seeds(items, set(np.concatenate(items.runs).tolist()))
+        text = f"some words {opening} and {' '.join(rng.choice(words, 60))} then {texts[17]} end".encode()
+        began = time.time()
+        for _ in range(20):
+            found = B.find_items(items, seeds, {}, text, B.LEAST_SHARE, B.LEAST_WORDS)
+        took.append(time.time() - began)
+        assert [(m[0], m[1]) for m in found] == [(17, 1.0)]
+    assert took[1] < 2 * took[0] + 0.5
