@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one task holds as arrays at a time.
 BLOCK_BYTES = 2 << 20
+#: Rows of whole texts, or of their run sets, that reach a worker at a time where memory is short.
+BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:

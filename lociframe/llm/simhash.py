@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, only, parts, rows_named, stage, text_blocks, text_key
+from .common import BATCH_ROWS, arrow_rows, components, only, parts, rows_named, stage, text_blocks, text_key
 
 WORDS = 3
 SEED = 42
@@ -189,7 +189,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
 def first_of_each(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``id, th, many``: the row of the least id of each near-duplicate group, by its id and ``text_key``, and whether several rows are equal to it; a written table."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("th"), F.col("text"))
-    marked = stage(fingerprints(rows, words, keep_text=False), "marked")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        marked = stage(fingerprints(rows, words, keep_text=False), "marked")
     named = classes(marked, max_bits)
     first = named.where(F.col("first_id").eqNullSafe(F.col("component_id"))).groupBy("component", "component_id").agg(F.min("fp").alias("first_fp"))
     met = marked.join(first, (F.col("fp") == F.col("first_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))

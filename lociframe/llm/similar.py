@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, only, rows_named, stage, text_blocks, text_key
+from .common import BATCH_ROWS, arrow_rows, components, only, rows_named, stage, text_blocks, text_key
 
 WORDS = 5
 SEED = 42
@@ -112,11 +112,14 @@ def links(texts: DataFrame, classes: DataFrame, words: int = WORDS, crowd: int =
         if repeated:
             rows = rows.where("not many").unionByName(rows.where("many").dropDuplicates(["c"]))
         rows = rows.select("c", "text")
-        return stage(rows.mapInArrow(set_rows(words), "c long, runs binary"), "sets")
+        with arrow_rows(texts.sparkSession, BATCH_ROWS):
+            return stage(rows.mapInArrow(set_rows(words), "c long, runs binary"), "sets")
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("c").alias(k), F.col("runs").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-        return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "links")
+        met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        with arrow_rows(texts.sparkSession, BATCH_ROWS):
+            return stage(met.mapInArrow(alike, "a long, b long"), "links")
 
     repeated = not classes.where("many").isEmpty()
     ends = lambda pairs: pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
@@ -164,7 +167,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, crowd: int = CROWD, among:
     if among is not None:
         named = among.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
         marked = marked.join(named, (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    marked = stage(marked, "marked")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        marked = stage(marked, "marked")
     classes = marked.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("own"),
         F.first("n").alias("n"), F.first("bands").alias("bands"))
     again = marked.groupBy("id", "th").agg(F.count("*").alias("k")).where("k > 1").select(F.col("id").alias("_id"),
