@@ -3,9 +3,11 @@
 Two texts are linked if the Jaccard similarity of their sets of ``WORDS``-word runs is at least 0.8. Texts
 of equal sets are one class. Candidates share one of ``BANDS`` bands of ``LINES`` min-hashes (a pair at the
 limit is missed in 1 of 12,000 cases) and have numbers of runs that allow the similarity; each is verified on
-the whole sets, which are made once. In bands shared by more than ``CROWD`` classes all are compared with two of them first;
-then those outside the band's largest component are compared with every member of other components, so
-that no pair which could join two components is left out.
+the whole sets, which are made once. In bands shared by more than ``CROWD`` classes all are compared with
+two of them first. Where that leaves several components, their members are joined by prefixes of their sets:
+runs in an order that puts seldom ones first, of which two similar sets share one among so many that follow
+from their sizes. That finds every similar pair, and texts that share a template but too little else meet
+in none of its runs.
 
 Null texts are empty; texts of fewer words than a run use all their words; all texts without words are
 equal; of repeated rows one is kept; an empty table gives no rows.
@@ -13,6 +15,7 @@ equal; of repeated rows one is kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
@@ -28,6 +31,7 @@ SEED = 42
 BANDS = 40
 LINES = 7
 CROWD = 4
+CLASS_RATIO = 1.05
 #: Least similarity as a fraction of whole numbers, so that the limit itself is exact.
 OVER, UNDER = 4, 5
 FITS = f"{UNDER} * least(n_a, n_b) >= {OVER} * greatest(n_a, n_b)"
@@ -103,6 +107,70 @@ def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(2)], names=["a", "b"])
 
 
+def size_class(n: int) -> int:
+    return int(math.log(n) / math.log(CLASS_RATIO) + 1e-9)
+
+
+def slot_counts(slots: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (c, runs, comp) to how many runs fall into each of ``slots`` by their hash."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(slots, np.int64)
+        for batch in batches:
+            for x in batch.column(1):
+                count += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(slots)).astype(np.int64), minlength=slots)
+        held = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(count[held])], names=["slot", "n"])
+
+    return run
+
+
+def prefix_rows(load: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (c, runs, comp) to (key, side, c, n, comp): for each class of sizes that a partner may have, the runs of which a similar one shares one.
+
+    Runs are in one order everywhere, those of seldom used slots first. Of two sets with ``o`` runs in common, all but the last ``o - 1``
+    of each share one; the least ``o`` follows from both sizes, of the partner's the least of its class.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for c, x, comp in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(x)
+                x = x[np.lexsort((x, load[(x % np.uint64(len(load))).astype(np.int64)]))]
+                own, least, most = size_class(n), -(-OVER * n // UNDER), UNDER * n // OVER
+                for other in range(size_class(least), size_class(most) + 1):
+                    m = max(least, math.floor(CLASS_RATIO**other))
+                    part = x[: max(1, n + 1 + (-OVER * (n + m)) // (OVER + UNDER))]
+                    low, high = min(own, other), max(own, other)
+                    key = (part ^ np.uint64(low * 2_654_435_761 + high)) * np.uint64(0x9E3779B97F4A7C15)
+                    out[0].append((key ^ (key >> np.uint64(29))).view(np.int64))
+                    for col, v in zip(out[1:], (2 if own == other else int(own > other), c, n, comp), strict=True):
+                        col.append(np.full(len(part), v, np.int64))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names=["key", "side", "c", "n", "comp"])
+
+    return run
+
+
+def across_components(sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of different components of ``c, runs, comp`` that may be similar: those that share a run of their prefixes."""
+    spark = sets.sparkSession
+    sets = sets.select("c", "runs", "comp").where(F.octet_length("runs") > 0)
+    slots = 1 << min(20, max(12, sets.count().bit_length() + 2))
+    found = sets.mapInArrow(slot_counts(slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2**20 rows at most
+    load = np.zeros(slots, np.int64)
+    load[found["slot"].to_numpy()] = found["n"].to_numpy()
+    with arrow_rows(spark, BATCH_ROWS):
+        keyed = stage(sets.mapInArrow(prefix_rows(load), "key long, side long, c long, n long, comp long"), "prefixes")
+    twice = stage(keyed.groupBy("key").agg(F.count("*").alias("k"), (F.min("comp") != F.max("comp")).alias("open")).where("open").select("key"), "met")
+    keyed = stage(keyed.join(twice, "key", "left_semi"), "shared")
+    side = lambda k: keyed.select("key", F.col("side").alias(f"side_{k}"), F.col("c").alias(k), F.col("n").alias(f"n_{k}"), F.col("comp").alias(f"comp_{k}"))
+    both = side("a").join(side("b"), "key").where(f"comp_a <> comp_b AND (side_a = 0 AND side_b = 1 OR side_a = 2 AND side_b = 2 AND a < b) AND {FITS}")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(texts: DataFrame, classes: DataFrame, words: int = WORDS, crowd: int = CROWD) -> DataFrame:
     """Links ``a, b`` of ``c``, with the components of all similar pairs; ``classes`` has ``c, own, many, n, bands``."""
 
@@ -141,17 +209,12 @@ def links(texts: DataFrame, classes: DataFrame, words: int = WORDS, crowd: int =
         return found
     member = stage(many.join(components(found), F.col("c") == F.col("node"), "left").select("val", "c", "n",
         F.coalesce("component", "c").alias("comp")), "members")
-    count = member.groupBy("val", "comp").agg(F.count("*").alias("k")).groupBy("val").agg(F.max(F.struct("k", "comp")).alias("top"),
-        F.count("*").alias("comps")).where("comps > 1")
-    member = stage(member.join(count.select("val", F.col("top.comp").alias("top")), "val"), "split")
-    rest = side(member.where("comp <> top"), "a", F.col("comp").alias("comp_a"))
-    others = side(member, "b", F.col("comp").alias("comp_b"))
-    across = rest.join(others, "val").where(f"comp_a <> comp_b AND {FITS}").select(F.least("a", "b").alias("a"),
-        F.greatest("a", "b").alias("b"))
-    across = stage(across.distinct().join(pairs, ["a", "b"], "left_anti"), "across")
-    more = stage(ends(across).join(met, "c", "left_anti"), "more")
+    open_bands = member.groupBy("val").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("val")
+    left_over = stage(member.join(open_bands, "val", "left_semi").select("c", "comp").distinct(), "open")
+    more = stage(left_over.select("c").join(met, "c", "left_anti"), "more")
     if not more.isEmpty():
         sets = sets.unionByName(run_sets_of(more))
+    across = stage(across_components(sets.join(left_over, "c")).join(pairs, ["a", "b"], "left_anti"), "across")
     return found.unionByName(verified(across, sets))
 
 

@@ -69,3 +69,41 @@ def test_many_repeated_rows(spark, texts):
     among = docs.select("doc_id", M.text_key(docs["text"]).alias("th")).where("doc_id > 1").select("doc_id",
         "th").withColumnRenamed("doc_id", "id").distinct()
     assert sorted(r["doc_id"] for r in M.one_of_each(docs, among=among).collect()) == [2, 3]
+
+
+def template(rng, n, common, own):
+    words = [f"t{i}" for i in range(common)]
+    return [" ".join(words + [f"o{rng.integers(1 << 40)}" for _ in range(own)]) for _ in range(n)]
+
+
+def test_texts_of_one_template_are_not_all_paired(spark):
+    """Texts of 200 common and 40 own words have a similarity of 0.69: candidates grow with the texts, not with their pairs."""
+    rng = np.random.default_rng(6)
+    texts = template(rng, 1200, 200, 40)
+    sets = M.run_sets(*block(texts), 5)
+    rows = [(i, x.tobytes(), i) for i, x in enumerate(sets)]
+    assert M.across_components(spark.createDataFrame(rows, "c long, runs binary, comp long").repartition(4)).count() < len(texts)
+    near = texts[:300] + [edited(rng, t, 2) for t in texts[:5]]
+    out = M.one_of_each(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.collect()} == kept(near)
+
+
+def block(texts):
+    raw = [t.encode() for t in texts]
+    return np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)
+
+
+def test_prefixes_lose_no_pair(spark):
+    """All similar pairs of sets of many sizes, some a run over the limit or just under it."""
+    rng = np.random.default_rng(7)
+    base = [np.unique(rng.integers(0, 1 << 62, n)).astype(np.uint64) for n in (1, 2, 4, 5, 9, 10, 40, 100, 237)]
+    sets = []
+    for b in base:
+        for _ in range(12):
+            cut = rng.choice(b, max(1, int(len(b) * rng.uniform(0.78, 1))), replace=False)
+            more = rng.integers(0, 1 << 62, int(len(b) * rng.uniform(0, 0.15))).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([cut, more])))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    rows = [(i, x.tobytes(), i) for i, x in enumerate(sets)]
+    got = {(r["a"], r["b"]) for r in M.across_components(spark.createDataFrame(rows, "c long, runs binary, comp long")).collect()}
+    assert len(want) > 100 and want <= got
