@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,25 @@ BLOCK_BYTES = 2 << 20
 BATCH_ROWS = 512
 
 
+_HELD: list[dict] = []
+
+
+def held_by_worker(what: dict) -> dict:
+    """A dictionary that a worker fills for later tasks, and that ``forget`` empties."""
+    _HELD.append(what)
+    return what
+
+
+def forget() -> None:
+    """A worker lives on from stage to stage: what other operators remembered there is let go, and free memory goes back to the system."""
+    for what in _HELD:
+        what.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a new local one only where that is unset and the session is local."""
     conf = spark.sparkContext.getConf()

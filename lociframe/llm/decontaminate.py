@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, text_blocks
+from .common import held_by_worker, only, text_blocks
 
 GRAM = 3
 SLICE_WORDS = 1_000_000
@@ -114,7 +114,7 @@ def _find(table: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, at[hit]
 
 
-_SENT: dict[str, tuple] = {}
+_SENT: dict[str, tuple] = held_by_worker({})
 
 
 def seen_rows(sent, key: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

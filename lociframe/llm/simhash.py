@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_rows, components, only, parts, rows_named, stage, text_blocks, text_key
+from .common import BATCH_ROWS, arrow_rows, components, forget, only, parts, rows_named, stage, text_blocks, text_key
 
 WORDS = 3
 SEED = 42
@@ -53,6 +53,7 @@ def fingerprint_rows(words: int, seed: int, name: str, keep_text: bool) -> Calla
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        forget()
         for rows, off, data in text_blocks(batches):
             raw = data.tobytes().lower()
             hashes: list[int] = []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_rows, components, only, rows_named, stage, text_blocks, text_key
+from .common import BATCH_ROWS, arrow_rows, components, forget, only, rows_named, stage, text_blocks, text_key
 
 WORDS = 5
 SEED = 42
@@ -56,6 +56,7 @@ def band_rows(words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        forget()
         rng = np.random.default_rng(SEED)
         factor, mask = (rng.integers(0, 1 << 64, (BANDS, LINES), np.uint64) for _ in range(2))
         factor |= np.uint64(1)
@@ -88,6 +89,7 @@ def set_rows(words: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
     """Batches of (c, text) to (c, runs)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for rows, off, data in text_blocks(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in run_sets(off, data, words)], pa.binary())],
                 names=["c", "runs"])

@@ -11,13 +11,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import text_blocks
+from .common import held_by_worker, text_blocks
 
 #: Words of one generation of a worker's cache; at most two generations are held.
 CACHE_WORDS = 300_000
 #: Bytes of text that are encoded at a time.
 TEXT_BYTES = 4 << 20
-_ENCODERS: dict[str, "WordIds"] = {}
+_ENCODERS: dict[str, "WordIds"] = held_by_worker({})
 
 
 def default_tokenizer() -> str:
