@@ -23,6 +23,8 @@ from ..scratch import materialise
 CENTRE_BYTES = 64 << 20
 CHUNK_VALUES = 1 << 16
 CHUNK_ROWS = 1024
+#: Small tables have fewer cells, of about so many rows: a cell is a row of work.
+CELL_ROWS = 64
 
 Batches = Iterable[pa.RecordBatch]
 
@@ -175,7 +177,7 @@ def build(df: DataFrame, id: str, x: str, metric: str) -> Index:
     n, first = entries.count(), entries.first()
     width = len(first["x"]) if first else 0
     most = max(1, CENTRE_BYTES // (8 * max(1, width)))
-    want = max(1, min(int(2 * np.sqrt(n)), n // 16, most))
+    want = max(1, min(int(2 * np.sqrt(n)), n // CELL_ROWS, most))
     drawn = entries.where(unit(0, "centre", "entry") < want / max(1, n)).limit(min(most, 2 * want)).select("x").toArrow().combine_chunks(
         )  # CENTRE_BYTES or less
     centres = matrix(drawn["x"].combine_chunks()) if len(drawn) else np.array([first["x"]] if first else np.zeros((0, width)))
