@@ -174,43 +174,39 @@ def recode_join(df: DataFrame, recode: DataFrame, on: Sequence[str]) -> DataFram
     return df.join(recode.select(*on, "new"), list(on))
 
 
-#: Bits of the signatures that tell apart lists of items before these are compared.
-SIGNATURE_WORDS = 4
-
-
-def _signature(items: str) -> Column:
-    """A bit an item, by a hash: what one list's signature has and another's lacks, at least so many items the other lacks."""
-    word = lambda w: F.aggregate(F.filter(items, lambda i: F.pmod(F.xxhash64(F.lit("bit"), i), F.lit(64 * SIGNATURE_WORDS)).between(64 * w,
-        64 * w + 63)), F.lit(0).cast("long"), lambda s,
-            i: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"),
-                F.pmod(F.xxhash64(F.lit("bit"), i), F.lit(64)).cast("int"))))
-    return F.array(*[word(w) for w in range(SIGNATURE_WORDS)])
+#: Left rows whose ids stand together in one list of an item's holders.
+HOLDERS = 1 << 16
 
 
 def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, min_overlap: float) -> DataFrame:
     """JN7: pairs whose share of the right row's items that the left row has is at least ``min_overlap``.
 
-    ``left`` and ``right`` have ``left_id`` and ``right_id`` and arrays. A pair that overlaps so much shares one of the
-    right row's rarest items, so many that the others alone are too few: only these are joined. Of the pairs they give,
-    those whose left row has too few items, or whose signatures (256 bits each, which travel in place of the arrays) show too many
-    items missing, are dropped before the arrays are met. An item that all rows have makes no pairs by itself.
+    ``left`` and ``right`` have ``left_id`` and ``right_id`` and arrays; null items are never shared. A pair that overlaps so much
+    shares two of the right row's rarest items (one where one is enough), so many that the others hold all but two of those needed:
+    only these meet the ids of the left rows that have them, as lists a block of left rows, and leave the pairs that met twice. These
+    few take the right row's items, which are not many more than the left row's, to the left row. An item that all rows have makes no
+    pairs by itself.
     """
-    l = materialise(left.select("left_id", F.array_distinct(a).alias("a")).withColumns({"sa": _signature("a"), "na": F.size("a")}))
-    r = materialise(right.select("right_id", F.array_distinct(b).alias("b")).withColumns({"sb": _signature("b"), "size": F.size("b")}))
+    l = materialise(left.select("left_id", F.array_compact(F.array_distinct(a)).alias("a")))
+    r = materialise(right.select("right_id", F.array_compact(F.array_distinct(b)).alias("b"), F.size(F.array_distinct(b)).alias("size")))
     need = F.greatest(F.ceil(F.col("size") * min_overlap - 1e-9), F.lit(1)).cast("int")
-    count = l.select(F.explode("a").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    ranked = r.select("right_id", "size", "sb", F.explode("b").alias("item")).join(count,
+    blocks = max(1, -(-l.count() // HOLDERS))
+    held = l.select("left_id", F.explode("a").alias("item"))
+    count = held.groupBy("item").agg(F.count("*").alias("n"))
+    holders = held.groupBy("item", F.pmod(F.xxhash64("left_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("left_id").alias("ids"))
+    ranked = r.where("size > 0").select("right_id", need.alias("need"), F.explode("b").alias("item")).join(count,
         "item")  # items that no left row has cannot be shared
     order = F.array_sort(F.collect_list(F.struct("n", "item")))
-    prefix = ranked.groupBy("right_id", "size", "sb").agg(order.alias("o")).where(F.size("o") >= need)
-    seeds = prefix.select("right_id", "size", "sb", F.explode(F.slice("o", F.lit(1), F.size("o") - need + 1)).alias("s")).select("right_id",
-        "size", "sb", F.col("s.item").alias("item"))
-    met = l.where("na > 0").select("left_id", "sa", "na", F.explode("a").alias("item")).join(seeds, "item")
-    lacking = sum((F.bit_count(F.get("sb", F.lit(w)).bitwiseAND(F.bitwise_not(F.get("sa", F.lit(w))))) for w in range(SIGNATURE_WORDS)),
-        F.lit(0))
-    pairs = met.where((F.col("na") >= need) & (F.col("size") - lacking >= need)).select("left_id", "right_id").distinct()
-    both = pairs.join(l.select("left_id", "a"), "left_id").join(r.select("right_id", "b", "size"), "right_id").select("left_id", "right_id",
-        F.size(F.array_intersect("a", "b")).cast("long").alias("common"), "size")
+    prefix = ranked.groupBy("right_id", "need").agg(order.alias("o")).where(F.size("o") >= F.col("need"))
+    twice = F.least("need", F.lit(2))
+    seeds = prefix.select("right_id", twice.alias("times"), F.explode(F.slice("o", F.lit(1), F.size("o") - F.col("need") + twice))
+        .alias("s")).select("right_id", "times", F.col("s.item").alias("item"))
+    met = seeds.join(holders, "item").groupBy("right_id", "block", "times").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
+    again = F.when(F.col("times") == 1, F.array_distinct("ids")).otherwise(
+        F.array_distinct(F.filter("ids", lambda v, i: v == F.get("ids", i + 1))))
+    pairs = met.select("right_id", again.alias("ids")).where(F.size("ids") > 0).join(r, "right_id").select("right_id", "b", "size",
+        F.explode("ids").alias("left_id"))
+    both = pairs.join(l, "left_id").select("left_id", "right_id", F.size(F.array_intersect("a", "b")).cast("long").alias("common"), "size")
     return both.where(F.col("common") / F.col("size") >= min_overlap).select("left_id", "right_id", "common",
         (F.col("common") / F.col("size")).alias("overlap"))
 

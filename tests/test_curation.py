@@ -175,6 +175,29 @@ def test_overlaps_by_rare_items(spark):
         assert got == want
 
 
+def _shuffled(spark, run) -> int:
+    """Bytes that the stages of ``run()`` write to shuffles, with joins that are not by broadcast."""
+    store, gate = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: store.stageList(None, False, False, gate.new_array(gate.jvm.double, 0), gate.jvm.java.util.ArrayList())
+    seen = {stages().apply(i).stageId() for i in range(stages().size())}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    found = stages()
+    return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()) if found.apply(i).stageId() not in seen)
+
+
+def test_overlaps_do_not_move_long_lists_by_pair(spark):
+    rng = np.random.default_rng(1)
+    pick = lambda n, k: [[int(v) for v in rng.choice(4000, k, replace=False)] for _ in range(n)]
+    a = spark.createDataFrame(list(enumerate(pick(40, 1000))), "left_id long, a array<long>")
+    b = spark.createDataFrame(list(enumerate(pick(500, 5))), "right_id long, b array<long>")
+    assert _shuffled(spark, lambda: joins.overlap_join(a, b, "a", "b", 0.6).collect()) < 2_000_000
+
+
 def test_shuffles_within_groups_keep_values(spark):
     df = spark.createDataFrame([(i, i % 3 if i < 20 else None, float(i), float(-i)) for i in range(24)],
         "id long, g long, x double, y double")
