@@ -40,6 +40,11 @@ def test_same_as_sql(spark, duck, name):
     assert got == sorted((tuple(_plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+def test_overlaps_are_of_all_orders(spark, duck):
+    few = {r[0] for r in duck.sql("SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) < 3").fetchall()}
+    assert few and few <= {r["right_id"] for r in catalog.QUERIES["overlap_join"](spark, DATA).collect()}
+
+
 def _values(spark, name: str, key: str) -> dict:
     out: dict = {}
     for r in catalog.QUERIES[name](spark, DATA).collect():
