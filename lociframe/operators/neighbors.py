@@ -46,8 +46,7 @@ def knn(queries: DataFrame, refs: DataFrame, id: str, x: str, k: int, metric: st
     order = [F.round("distance", 12), F.col("neighbor")]
     best = lambda df, by, n: df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(
         F.col("rank") <= n)
-    few = best(found.withColumnRenamed("entry", "neighbor"), "query", k + 1).drop("rank").withColumnRenamed("neighbor", "entry")
-    ids = best(few.join(V.first_members(index.members, k + 1).withColumnRenamed("id", "neighbor"), "entry").drop("entry"), "query",
+    ids = best(found.join(V.first_members(index.members, k + 1).withColumnRenamed("id", "neighbor"), "entry").drop("entry"), "query",
         k + 1).drop("rank")
     rows = ids.join((asked or index).members.withColumnRenamed("entry", "query"), "query").where("id <> neighbor")
     return best(rows.select("id", "neighbor", "distance"), "id", k)

@@ -1,7 +1,7 @@
 """A metric index over vectors: cells around sampled centres, each cell in chunks by the distance to its centre.
 
-Vectors are dealt to the nearest of about two centres for every square root of their number, as far as the centres fit
-``CENTRE_BYTES``. A cell's vectors are sorted by their distance to the centre over range partitions and cut into chunks,
+Vectors are dealt to the nearest of about two centres for every square root of their number, but a centre for ``CELL_ROWS``
+of them at most, as far as the centres fit ``CENTRE_BYTES``. A cell's vectors are sorted by their distance to the centre over range partitions and cut into chunks,
 so that a cell of any size is many rows and each chunk is a ring. A query visits only cells, and in them only rings,
 that the triangle inequality allows within its bound. Equal vectors are one entry: copies are told apart by their ids
 at the end, so that a vector that many rows have is compared once.
@@ -18,13 +18,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeded import unit
-from ..scratch import materialise
+from ..scratch import few_rows, materialise
 
 CENTRE_BYTES = 64 << 20
 CHUNK_VALUES = 1 << 16
 CHUNK_ROWS = 1024
-#: Small tables have fewer cells, of about so many rows: a cell is a row of work.
-CELL_ROWS = 64
+#: Cells have about so many rows at least: a query's vector travels once to each cell that it visits.
+CELL_ROWS = 2048
+#: Rows of whole chunks that reach a worker at a time, and bytes of such rows that a file's part holds.
+WORK_ROWS = 16
+WORK_BYTES = 16 << 20
 
 Batches = Iterable[pa.RecordBatch]
 
@@ -157,7 +160,7 @@ def _chunks(entries: DataFrame, centres: np.ndarray, metric: str) -> DataFrame:
         F.spark_partition_id())
     made = rings.mapInArrow(_cut(centres.shape[1]),
         f"cell int, part int, seq int, entries array<{kind}>, xs array<array<double>>, gaps array<double>")
-    return materialise(made)
+    return materialise(made, WORK_BYTES)
 
 
 def distinct_vectors(df: DataFrame, id: str, x: str) -> tuple[DataFrame, DataFrame]:
@@ -257,7 +260,15 @@ def visits(index: Index, queries: Index | None = None, k: int | None = None, rad
 
 def _meet(index: Index, asked: DataFrame, more: DataFrame | None = None) -> DataFrame:
     chunks = index.chunks if more is None else index.chunks.join(more, ["cell", "part", "seq"])
-    return materialise(asked).join(chunks.drop("part", "seq"), "cell")
+    with few_rows(asked.sparkSession, WORK_ROWS):
+        asked = materialise(asked, WORK_BYTES)
+    return asked.join(chunks.drop("part", "seq"), "cell")
+
+
+def _compared(met: DataFrame, run: Callable, schema: str, then: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
+    """What ``run`` makes of the rows of ``_meet``, by ``then``, as a written table: a row of work holds two chunks, so few are handed over at a time."""
+    with few_rows(met.sparkSession, WORK_ROWS):
+        return materialise(then(met.mapInArrow(run, schema)))
 
 
 def _kernel(metric: str, pick: Callable, weighted: bool = False) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
@@ -299,7 +310,7 @@ def least_of_rows(d: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def nearest_entries(index: Index, k: int, queries: Index | None = None) -> DataFrame:
-    """``query, entry, distance``: entries among which are the ``k`` nearest of each query entry, its own vector (distance 0) counted."""
+    """``query, entry, distance``: the ``k`` nearest entries of each query entry, its own vector (distance 0) counted; ties (to 12 places) by entry."""
     own, metric = queries is None, index.metric
 
     def best(ids: pa.Array, rids: pa.Array, d: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -313,8 +324,10 @@ def nearest_entries(index: Index, k: int, queries: Index | None = None) -> DataF
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), rids.take(pa.array(col)), pa.array(d[row, col])],
             names=["query", "entry", "distance"])
 
+    order = Window.partitionBy("query").orderBy(F.round("distance", 12), "entry")
     met = _meet(index, visits(index, queries, k=k))
-    return met.mapInArrow(_kernel(index.metric, best), f"query {(queries or index).id_type}, entry {index.id_type}, distance double")
+    return _compared(met, _kernel(index.metric, best), f"query {(queries or index).id_type}, entry {index.id_type}, distance double",
+        lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
 
 
 def entries_within(index: Index, radius: float, queries: Index | None = None) -> DataFrame:
@@ -329,7 +342,7 @@ def entries_within(index: Index, radius: float, queries: Index | None = None) ->
             names=["query", "entry", "distance"])
 
     met = _meet(index, visits(index, queries, radius=radius))
-    return met.mapInArrow(_kernel(index.metric, near), f"query {(queries or index).id_type}, entry {index.id_type}, distance double")
+    return _compared(met, _kernel(index.metric, near), f"query {(queries or index).id_type}, entry {index.id_type}, distance double")
 
 
 def counts_within(index: Index, radii: Sequence[float], labels: DataFrame | None = None, queries: Index | None = None) -> DataFrame:
@@ -358,8 +371,8 @@ def counts_within(index: Index, radii: Sequence[float], labels: DataFrame | None
                 names.dictionary.take(pa.array(col)), pa.array(n[row, col].astype(np.int64))], names=["query", "radius", "label", "n"])
 
     met = _meet(index, visits(index, queries, radius=most), weights)
-    found = met.mapInArrow(_kernel(index.metric, count, True), f"query {(queries or index).id_type}, radius double, label {kind}, n long")
-    return found.groupBy("query", "radius", "label").agg(F.sum("n").alias("n"))
+    return _compared(met, _kernel(index.metric, count, True), f"query {(queries or index).id_type}, radius double, label {kind}, n long",
+        lambda found: found.groupBy("query", "radius", "label").agg(F.sum("n").alias("n")))
 
 
 def first_members(members: DataFrame, k: int) -> DataFrame:

@@ -116,3 +116,32 @@ def test_radius_pairs_and_counts(spark, metric):
     part = {(r["id"], r["radius"], r["label"]): r["n"] for r in N.radius_counts(some, df, "id", "x", radii, metric, "label").collect()}
     ids = {r["id"] for r in some.collect()}
     assert part == {k: v for k, v in counts.items() if k[0] in ids}
+
+
+def test_few_chunks_reach_a_worker_at_a_time(spark, monkeypatch):
+    """A row of work holds two chunks of vectors, so rows by thousands would not fit a worker."""
+    kernel = N.V._kernel
+
+    def strict(*args, **more):
+        run = kernel(*args, **more)
+
+        def checked(batches):
+            def few():
+                for batch in batches:
+                    assert len(batch) <= 16
+                    yield batch
+
+            yield from run(few())
+
+        return checked
+
+    monkeypatch.setattr(N.V, "_kernel", strict)
+    monkeypatch.setattr(N.V, "CHUNK_ROWS", 32)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(2)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert {(r["id"], r["neighbor"]) for r in N.knn(df, df, "id", "x", 1).collect()} == set(enumerate(d.argmin(1).tolist()))
+    assert {r["id"]: r["n"] for r in N.radius_counts(df, df, "id", "x", [0.5]).collect()} == {i: int(n) for i, n in enumerate((d <= 0.5).sum(1)) if n}
+    assert N.radius_neighbors(df, df, "id", "x", 0.3).count() == int((d <= 0.3).sum())
