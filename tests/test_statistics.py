@@ -131,3 +131,20 @@ def test_codes_and_losses(spark):
     assert stats.permutation_p(done, null).first()["p"] == pytest.approx(0.5)
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("b", 2)], "t string, p int")
     assert stats.clustering_agreement(df, "t", "p").first()["ari"] == pytest.approx(1.0)
+
+
+def test_pooled_agreement_makes_no_pairs_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    groups = {g: rng.standard_normal((6, 4)) + g for g in range(5)}
+    seqs = spark.createDataFrame([(g, v.tolist()) for g, x in groups.items() for v in x], "g long, x array<double>")
+    pooled = spark.createDataFrame([(g, x.mean(0).tolist()) for g, x in groups.items()], "g long, x array<double>")
+    met, distance = [], stats.vec_distance
+    monkeypatch.setattr(stats, "vec_distance", lambda x, y, metric: met.append((x, y)) or distance(x, y, metric))
+    got = stats.pooled_agreement(seqs, pooled, "g", "x", 10).first()
+    assert met == [("x_a", "x_b")]
+    far = lambda a, b: 1 - (a / np.linalg.norm(a, axis=-1, keepdims=True)) @ (b / np.linalg.norm(b, axis=-1, keepdims=True)).T
+    pairs = [(a, b) for b in range(5) for a in range(b)]
+    cross = [far(groups[a], groups[b]).mean() for a, b in pairs]
+    pool = [far(groups[a].mean(0), groups[b].mean(0)) for a, b in pairs]
+    rank = lambda v: np.argsort(np.argsort(v))
+    assert got["n"] == 10 and abs(got["rho"] - np.corrcoef(rank(cross), rank(pool))[0, 1]) < 1e-9
