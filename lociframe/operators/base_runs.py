@@ -26,26 +26,25 @@ for _i, _pair in enumerate((b"Aa", b"Cc", b"Gg", b"Tt")):
     _CODE[list(_pair)] = _i
 
 
+def _built(bases: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``size`` bases; no closure that names itself, as only the collector of cycles, which seldom comes, would free its arrays."""
+    if size == 1:
+        return bases, 3 - bases
+    half = size // 2
+    f, r = _built(bases, half)
+    m = len(bases) - 2 * half + 1
+    f, r = (f[:m] << 2 * half) | f[half : half + m], (r[half : half + m] << 2 * half) | r[:m]
+    if size % 2:
+        m = len(bases) - size + 1
+        f, r = (f[:m] << 2) | bases[size - 1 : size - 1 + m], ((3 - bases[size - 1 : size - 1 + m]) << 2 * (size - 1)) | r[:m]
+    return f, r
+
+
 def windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs of ``k`` codes as numbers, and their reverse complements; made from halves, so in log k passes."""
-    n = len(codes) - k + 1
-    if n <= 0:
+    if len(codes) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bases = codes.astype(np.int64) & 3
-
-    def build(size: int) -> tuple[np.ndarray, np.ndarray]:
-        if size == 1:
-            return bases, 3 - bases
-        half = size // 2
-        f, r = build(half)
-        m = len(bases) - 2 * half + 1
-        f, r = (f[:m] << 2 * half) | f[half : half + m], (r[half : half + m] << 2 * half) | r[:m]
-        if size % 2:
-            m = len(bases) - size + 1
-            f, r = (f[:m] << 2) | bases[size - 1 : size - 1 + m], ((3 - bases[size - 1 : size - 1 + m]) << 2 * (size - 1)) | r[:m]
-        return f, r
-
-    return build(k)
+    return _built(codes.astype(np.int64) & 3, k)
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:

@@ -72,3 +72,22 @@ def test_super_runs_are_fewer_bytes_than_runs():
     packed = sum(len(p) for b in cut for p in b.column(3).to_pylist())
     assert packed + 16 * sum(len(b) for b in cut) < 4 * len(text) and sum(n - 30 for b in cut for n in b.column(2).to_pylist()) == len(
         text) - 30
+
+
+def test_blocks_are_let_go_without_the_collector():
+    import gc
+    import tracemalloc
+
+    codes = np.zeros(1 << 16, np.uint8)
+    B.windows(codes, 6)
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for _ in range(20):
+            B.windows(codes, 6)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert held < 1 << 20
