@@ -26,16 +26,6 @@ def _blocks(df: DataFrame, id: str, x: str, n: int) -> DataFrame:
         F.collect_list("x").alias("xs"))
 
 
-def _block_pairs(queries: DataFrame, refs: DataFrame, id: str, x: str) -> tuple[DataFrame, str]:
-    q = _blocks(queries, id, x, queries.count())
-    n = refs.count()
-    r = _blocks(refs, id, x, n).select(F.col("block").alias("other"), F.col("ids").alias("rids"), F.col("xs").alias("rxs"))
-    k = max(1, -(-n // BLOCK))
-    wide = q.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
-    pairs = wide.repartition(max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block", "other").join(r, "other")
-    return pairs.select("ids", "xs", "rids", "rxs"), queries.schema[id].dataType.simpleString()
-
-
 def knn(queries: DataFrame, refs: DataFrame, id: str, x: str, k: int, metric: str = "euclidean") -> DataFrame:
     """WN10: ``id, neighbor, distance, rank`` of the ``k`` nearest rows with other ids, ties (to 12 places) by id.
 

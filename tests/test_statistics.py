@@ -148,3 +148,19 @@ def test_pooled_agreement_makes_no_pairs_of_rows(spark, monkeypatch):
     pool = [far(groups[a].mean(0), groups[b].mean(0)) for a, b in pairs]
     rank = lambda v: np.argsort(np.argsort(v))
     assert got["n"] == 10 and abs(got["rho"] - np.corrcoef(rank(cross), rank(pool))[0, 1]) < 1e-9
+
+
+def test_silhouette_sends_a_block_once_to_many(spark, monkeypatch):
+    from tests.test_curation import _shuffled
+
+    monkeypatch.setattr(neighbors, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    x, c = rng.standard_normal((400, 16)), rng.integers(0, 3, 400)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, c, strict=True))], "id long, x array<double>, c int")
+    got = {}
+    assert _shuffled(spark, lambda: got.update({r["id"]: r["silhouette"] for r in stats.silhouette(df, "id", "x", "c").collect()})) < 1_000_000
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(400):
+        a = d[i, c == c[i]].sum() / ((c == c[i]).sum() - 1)
+        b = min(d[i, c == k].mean() for k in range(3) if k != c[i])
+        assert abs(got[i] - (b - a) / max(a, b)) < 1e-9
