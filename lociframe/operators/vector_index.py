@@ -23,11 +23,15 @@ from ..scratch import few_rows, materialise
 CENTRE_BYTES = 64 << 20
 CHUNK_VALUES = 1 << 16
 CHUNK_ROWS = 1024
-#: Cells have about so many rows at least: a query's vector travels once to each cell that it visits.
-CELL_ROWS = 2048
+#: Cells have about so many rows at least.
+CELL_ROWS = 32
 #: Rows of whole chunks that reach a worker at a time, and bytes of such rows that a file's part holds.
 WORK_ROWS = 16
 WORK_BYTES = 16 << 20
+#: Full chunks of queries that a worker holds at most, rows of the smallest groups, and labels whose counts are held for each query.
+GROUP_CHUNKS = 32
+GROUP_ROWS = 4096
+HELD_LABELS = 16
 
 Batches = Iterable[pa.RecordBatch]
 
@@ -118,9 +122,13 @@ def _assign(centres: np.ndarray, metric: str) -> Callable[[Batches], Iterator[pa
     return run
 
 
+def _chunk_rows(width: int) -> int:
+    return max(32, min(CHUNK_ROWS, CHUNK_VALUES // max(1, width)))
+
+
 def _cut(width: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     """Rows sorted by (cell, gap) as a row a chunk: ``cell, part, seq, entries, xs, gaps``."""
-    most = max(32, min(CHUNK_ROWS, CHUNK_VALUES // max(1, width)))
+    most = _chunk_rows(width)
 
     def pack(cell: int, part: int, seq: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
@@ -215,16 +223,16 @@ def _bounds_by_sizes(d: np.ndarray, high: np.ndarray, sizes: np.ndarray, k: int)
     return np.where(enough.any(axis=1), out, np.inf)
 
 
-def _visits(centres: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray, metric: str, k: int | None,
-    radius: float | None) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
-    """Chunks of queries (with ``near``, entries of their own cell) to a row for each cell that any of them must visit: those queries with their bounds."""
-    held = np.nonzero(sizes)[0]
-    cs, lo, hi, ns = centres[held], low[held], high[held], sizes[held]
+def _bounded(index: Index, k: int | None, radius: float | None, emit: Callable) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """Chunks of queries (with ``near``, entries of their own cell) to what ``emit`` makes of (row, bounds, cells, which query must visit which of them)."""
+    metric, held = index.metric, np.nonzero(index.sizes)[0]
+    cs, lo, hi, ns = index.centres[held], index.low[held], index.high[held], index.sizes[held]
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                ids, xs, near = (batch.column(batch.schema.get_field_index(c))[i].values for c in ("entries", "xs", "near"))
+                row = batch.slice(i, 1)
+                xs, near = (row.column(row.schema.get_field_index(c))[0].values for c in ("xs", "near"))
                 x = matrix(xs)
                 d = _to_centres(x, cs, metric)
                 if k is None:
@@ -235,67 +243,152 @@ def _visits(centres: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.nd
                         own = reach(distances(x, matrix(near), metric), metric)
                         bound = np.minimum(bound, np.partition(own, k - 1, axis=1)[:, k - 1])
                 slack = _slack(np.where(np.isfinite(bound), bound, 0))[:, None] + _slack(d)
-                go = np.maximum(d - hi, lo - d) <= bound[:, None] + slack
-                for c in np.nonzero(go.any(axis=0))[0]:
-                    rows = np.nonzero(go[:, c])[0]
-                    take = pa.array(rows)
-                    wrap = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-                    yield pa.RecordBatch.from_arrays([pa.array([held[c]], pa.int32()), wrap(ids.take(take)), wrap(xs.take(take)),
-                        wrap(pa.array(d[rows, c])), wrap(pa.array(bound[rows]))], names=["cell", "queries", "qxs", "qgaps", "bounds"])
+                yield from emit(row, bound, held, np.maximum(d - hi, lo - d) <= bound[:, None] + slack)
 
     return run
 
 
-def visits(index: Index, queries: Index | None = None, k: int | None = None, radius: float | None = None) -> DataFrame:
-    """``cell, queries, qxs, qgaps, bounds``: what must be looked up where, for ``k`` nearest entries or those within ``radius``."""
-    chunks = (queries or index).chunks
+def _with_heads(index: Index, chunks: DataFrame) -> DataFrame:
+    """Chunks with ``near``: the first entries of their cell."""
     heads = index.chunks.where("seq = 0")
     one = heads.groupBy("cell").agg(F.min("part").alias("part"))
     heads = heads.join(one, ["cell", "part"], "left_semi").select("cell", F.col("xs").alias("near"))
-    both = chunks.select("cell", "entries", "xs").join(heads, "cell", "left")
-    kind = (queries or index).id_type
-    run = _visits(index.centres, index.low, index.high, index.sizes, index.metric, k, radius)
-    return both.mapInArrow(run, f"cell int, queries array<{kind}>, qxs array<array<double>>, qgaps array<double>, bounds array<double>")
+    return chunks.select("cell", "part", "seq", "entries", "xs").join(heads, "cell", "left")
+
 
+def _list(a: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
 
-def _meet(index: Index, asked: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    chunks = index.chunks if more is None else index.chunks.join(more, ["cell", "part", "seq"])
-    with few_rows(asked.sparkSession, WORK_ROWS):
-        asked = materialise(asked, WORK_BYTES)
-    return asked.join(chunks.drop("part", "seq"), "cell")
+
+def visits(index: Index, queries: Index | None = None, k: int | None = None, radius: float | None = None) -> DataFrame:
+    """``cell, queries``: which entries must be looked up in which cells, for ``k`` nearest entries or those within ``radius``."""
+
+    def emit(row: pa.RecordBatch, bound: np.ndarray, cells: np.ndarray, go: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids = row.column(row.schema.get_field_index("entries"))[0].values
+        for c in np.nonzero(go.any(axis=0))[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([cells[c]], pa.int32()), _list(ids.take(pa.array(np.nonzero(go[:, c])[0])))],
+                names=["cell", "queries"])
+
+    both = _with_heads(index, (queries or index).chunks)
+    return both.mapInArrow(_bounded(index, k, radius, emit), f"cell int, queries array<{(queries or index).id_type}>")
+
+
+def _groups(index: Index, chunks: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows a group, each cell's first group, its number of groups): cells that lie near each other share a group, a large one has several."""
+    n = np.zeros(len(index.centres), np.int64)
+    for r in chunks.groupBy("cell").agg(F.sum(F.size("entries")).alias("n")).collect():  # a row a centre
+        n[r["cell"]] = r["n"]
+    size = int(min(GROUP_CHUNKS * _chunk_rows(index.centres.shape[1]), max(GROUP_ROWS, -(-n.sum() // 8))))
+    first, pieces = np.zeros(len(n), np.int64), np.maximum(1, -(-n // size))
+    c = index.centres - index.centres.mean(axis=0)
+    line = c @ c[(c**2).sum(axis=1).argmax()]
+    at, filled = 0, 0
+    for cell in np.argsort(line, kind="stable"):
+        if filled and filled + n[cell] > size:
+            at, filled = at + 1, 0
+        first[cell] = at
+        if n[cell] > size:
+            at += pieces[cell]
+        else:
+            filled += n[cell]
+    return size, first, pieces
+
+
+def _meet(index: Index, queries: Index | None, k: int | None, radius: float | None, more: DataFrame | None = None) -> DataFrame:
+    """Tiles, sorted: a group of query chunks with their bounds, then the entry chunks of a slice of the cells that the group visits.
+
+    A chunk of entries travels once to each group that must see it, not once to each chunk of queries, and a worker holds one group.
+    """
+    asked, spark = (queries or index).chunks, index.chunks.sparkSession
+    size, first, pieces = _groups(index, asked)
+
+    def emit(row: pa.RecordBatch, bound: np.ndarray, cells: np.ndarray, go: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cell, part, seq, ids, xs = (row.column(row.schema.get_field_index(c)) for c in ("cell", "part", "seq", "entries", "xs"))
+        c = cell[0].as_py()
+        grp = int(first[c] + (part[0].as_py() * 31 + seq[0].as_py()) % pieces[c])
+        seen = cells[go.any(axis=0)].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), cell, part, seq, ids, xs, _list(pa.array(bound)),
+            _list(pa.array(seen))], names=["grp", "cell", "part", "seq", "queries", "xs", "gaps", "seen"])
+
+    kind = (queries or index).id_type
+    with few_rows(spark, WORK_ROWS):
+        bounded = materialise(_with_heads(index, asked).mapInArrow(_bounded(index, k, radius, emit),
+            f"grp long, cell int, part int, seq int, queries array<{kind}>, xs array<array<double>>, gaps array<double>, seen array<int>"),
+            WORK_BYTES)
+    need = materialise(bounded.select("grp", F.explode("seen").alias("cell")).distinct())
+    counts = index.chunks.groupBy("cell").agg(F.sum(F.size("entries")).alias("n"))
+    slices = materialise(need.join(counts, "cell").groupBy("grp").agg(F.ceil(F.sum("n") / size).cast("int").alias("slices")))
+    entries = (index.chunks if more is None else index.chunks.join(more, ["cell", "part", "seq"])).join(need, "cell").join(slices, "grp")
+    entries = entries.withColumn("slice", F.pmod(F.xxhash64("cell", "part", "seq"), F.col("slices")).cast("int")).withColumn("queries",
+        F.lit(None).cast(f"array<{kind}>"))
+    held = bounded.drop("seen").join(slices, "grp").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    extra = [] if more is None else ["weights"]
+    held = held.withColumns({c: F.lit(None).cast(entries.schema[c].dataType) for c in ["entries", *extra]})
+    names = ["grp", "slice", "cell", "part", "seq", "queries", "entries", "xs", "gaps", *extra]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = held.select(*names).unionByName(entries.select(*names)).withColumn("entry_side", F.col("queries").isNull())
+    return both.repartition(parts, "grp", "slice").sortWithinPartitions("grp", "slice", "entry_side", "cell", "part", "seq")
 
 
 def _compared(met: DataFrame, run: Callable, schema: str, then: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
-    """What ``run`` makes of the rows of ``_meet``, by ``then``, as a written table: a row of work holds two chunks, so few are handed over at a time."""
+    """What ``run`` makes of the tiles of ``_meet``, by ``then``, as a written table: a row is a chunk, so few are handed over at a time."""
     with few_rows(met.sparkSession, WORK_ROWS):
         return materialise(then(met.mapInArrow(run, schema)))
 
 
-def _kernel(metric: str, pick: Callable, weighted: bool = False) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
-    """Queries and a ring of entries to what ``pick`` makes of (query ids, entry ids, distances, bounds); rings beyond all bounds are not compared."""
+@dataclass
+class _Asked:
+    """A chunk of queries that a tile holds; ``bounds`` are of ``reach``, ``state`` is what has been found for it in the tile."""
+
+    key: tuple
+    ids: pa.Array
+    x: np.ndarray
+    bounds: np.ndarray
+    state: np.ndarray | dict | None = None
+
+
+def _kernel(index: Index, pick: Callable, own: bool, weighted: bool = False,
+    end: Callable[[_Asked], Iterator[pa.RecordBatch]] | None = None) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """Sorted tiles to what ``pick`` makes of (chunk of queries, its rows in reach, entry ids, distances, weights), then ``end`` of each chunk of queries.
+
+    Rings beyond a query's bound, which ``pick`` may lower, are not compared. Where entries ask for themselves (``own``) their distance is 0.
+    """
+    centres, metric = index.centres, index.metric
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for q in held if end else ():
+                yield from end(q)
+            held.clear()
+
         for batch in batches:
             for i in range(len(batch)):
-                extra = batch.column(batch.schema.get_field_index("weights"))[i].values if weighted else None
-                ids, xs, gaps, bounds, rids, rxs, rgaps = (batch.column(batch.schema.get_field_index(c))[i].values
-                    for c in ("queries", "qxs", "qgaps", "bounds", "entries", "xs", "gaps"))
-                g, b, r = gaps.to_numpy(), bounds.to_numpy(), rgaps.to_numpy()
-                live = np.nonzero(np.maximum(g - r.max(), r.min() - g) <= b + _slack(np.where(np.isfinite(b), b, 0)) + _slack(g))[0]
-                if len(live):
-                    some = pa.array(live)
-                    d = distances(matrix(xs.take(some)), matrix(rxs), metric)
-                    yield from pick(ids.take(some), rids, d, extra if weighted else b[live])
+                col = lambda c: batch.column(batch.schema.get_field_index(c))[i]  # noqa: B023,E731
+                tile, key = (col("grp").as_py(), col("slice").as_py()), (col("cell").as_py(), col("part").as_py(), col("seq").as_py())
+                if tile != now:
+                    yield from close()
+                    now = tile
+                x, gaps = matrix(col("xs").values), col("gaps").values.to_numpy()
+                if not col("entry_side").as_py():
+                    ids = col("queries").values
+                    held.append(_Asked(key, ids.take(pa.array(np.arange(len(ids)))), x.copy(), gaps.copy()))  # a view would keep the whole batch
+                    continue
+                rids, extra = col("entries").values, col("weights").values if weighted else None
+                for q in held:
+                    g, b = _to_centres(q.x, centres[key[0] : key[0] + 1], metric)[:, 0], q.bounds
+                    live = np.nonzero(np.maximum(g - gaps.max(), gaps.min() - g) <= b + _slack(np.where(np.isfinite(b), b, 0)) + _slack(g))[0]
+                    if len(live):
+                        d = distances(q.x[live], x, metric)
+                        if own and q.key == key:
+                            d[np.arange(len(live)), live] = 0.0
+                        yield from pick(q, live, rids, d, extra)
+        yield from close()
 
     return run
 
 
-def same_ids(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Which pairs have one id, compared as whole numbers."""
-    codes = pa.concat_arrays([a, b]).dictionary_encode().indices.to_numpy()
-    return codes[: len(a), None] == codes[None, len(a) :]
-
-
 def least_of_rows(d: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the ``k`` least finite values of each row, at most; ties (to 12 places) go to the least ``order``."""
     k = min(k, d.shape[1])
@@ -310,44 +403,57 @@ def least_of_rows(d: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def nearest_entries(index: Index, k: int, queries: Index | None = None) -> DataFrame:
-    """``query, entry, distance``: the ``k`` nearest entries of each query entry, its own vector (distance 0) counted; ties (to 12 places) by entry."""
-    own, metric = queries is None, index.metric
-
-    def best(ids: pa.Array, rids: pa.Array, d: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        d[np.isnan(d)] = np.inf
-        if own:
-            d[same_ids(ids, rids)] = 0.0
-        far = reach(d, metric)
-        d[far > bounds[:, None] + _slack(np.where(np.isfinite(bounds), bounds, 0))[:, None]] = np.inf
-        order = np.argsort(np.argsort(np.array(rids.to_pylist())))
-        row, col = least_of_rows(d, order, k)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), rids.take(pa.array(col)), pa.array(d[row, col])],
+    """``query, entry, distance``: the ``k`` nearest entries of each query entry, its own vector (distance 0) counted; ties (to 12 places) by entry.
+
+    In a tile a query's ``k``-th distance so far is its bound, so that few entries leave it that others displace.
+    """
+    metric = index.metric
+
+    def best(q: _Asked, live: np.ndarray, rids: pa.Array, d: np.ndarray, _: None) -> Iterator[pa.RecordBatch]:
+        if q.state is None:
+            q.state = np.full((len(q.x), k), np.inf)
+        b = q.bounds[live] + _slack(np.where(np.isfinite(q.bounds[live]), q.bounds[live], 0))
+        most = np.minimum(b**2 / 2 if metric == "cosine" else b, q.state[live].max(axis=1) + 1e-11)
+        keep = d <= most[:, None]
+        if np.isinf(most).any():
+            keep &= np.isfinite(d)
+        row, col = np.nonzero(keep)
+        crowded = np.nonzero(np.bincount(row, minlength=len(live)) > k)[0]
+        if len(crowded):
+            order = np.argsort(np.argsort(np.array(rids.to_pylist())))
+            row, col = least_of_rows(np.where(keep[crowded], d[crowded], np.inf), order, k)
+            keep[crowded] = False
+            keep[crowded[row], col] = True
+            row, col = np.nonzero(keep)
+        if not len(row):
+            return
+        new = np.full((len(live), k), np.inf)
+        new[row, np.arange(len(row)) - np.searchsorted(row, row)] = d[row, col]
+        q.state[live] = np.partition(np.concatenate([q.state[live], new], axis=1), k - 1, axis=1)[:, :k]
+        q.bounds[live] = np.minimum(q.bounds[live], reach(q.state[live].max(axis=1) + 1e-11, metric))
+        yield pa.RecordBatch.from_arrays([q.ids.take(pa.array(live[row])), rids.take(pa.array(col)), pa.array(d[row, col])],
             names=["query", "entry", "distance"])
 
     order = Window.partitionBy("query").orderBy(F.round("distance", 12), "entry")
-    met = _meet(index, visits(index, queries, k=k))
-    return _compared(met, _kernel(index.metric, best), f"query {(queries or index).id_type}, entry {index.id_type}, distance double",
+    met = _meet(index, queries, k, None)
+    return _compared(met, _kernel(index, best, queries is None), f"query {(queries or index).id_type}, entry {index.id_type}, distance double",
         lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
 
 
 def entries_within(index: Index, radius: float, queries: Index | None = None) -> DataFrame:
     """``query, entry, distance``: all entries within ``radius`` of each query entry, its own vector too."""
-    own, metric = queries is None, index.metric
 
-    def near(ids: pa.Array, rids: pa.Array, d: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if own:
-            d[same_ids(ids, rids)] = 0.0
+    def near(q: _Asked, live: np.ndarray, rids: pa.Array, d: np.ndarray, _: None) -> Iterator[pa.RecordBatch]:
         row, col = np.nonzero(d <= radius)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), rids.take(pa.array(col)), pa.array(d[row, col])],
+        yield pa.RecordBatch.from_arrays([q.ids.take(pa.array(live[row])), rids.take(pa.array(col)), pa.array(d[row, col])],
             names=["query", "entry", "distance"])
 
-    met = _meet(index, visits(index, queries, radius=radius))
-    return _compared(met, _kernel(index.metric, near), f"query {(queries or index).id_type}, entry {index.id_type}, distance double")
+    met = _meet(index, queries, None, radius)
+    return _compared(met, _kernel(index, near, queries is None), f"query {(queries or index).id_type}, entry {index.id_type}, distance double")
 
 
 def counts_within(index: Index, radii: Sequence[float], labels: DataFrame | None = None, queries: Index | None = None) -> DataFrame:
-    """``query, radius, label, n``: how many rows of each label (``id, label``; none: null) lie within each radius of a query entry; counted in the rings, no pair leaves them."""
-    own, most = queries is None, max(radii)
+    """``query, radius, label, n``: how many rows of each label (``id, label``; none: null) lie within each radius of a query entry; counted in the tiles, no pair leaves them."""
     if labels is None:
         each = index.members.select("entry", F.lit(None).cast("string").alias("label"))
     else:
@@ -358,20 +464,37 @@ def counts_within(index: Index, radii: Sequence[float], labels: DataFrame | None
     weights = places.join(each, "entry").groupBy("cell", "part",
         "seq").agg(F.collect_list(F.struct("at", "label", "n")).alias("weights"))  # a chunk's labels
 
-    def count(ids: pa.Array, rids: pa.Array, d: np.ndarray, extra: pa.StructArray) -> Iterator[pa.RecordBatch]:
-        if own:
-            d[same_ids(ids, rids)] = 0.0
+    def rows(q: _Asked, at: np.ndarray, radius: float, names: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        row, col = np.nonzero(n)
+        return pa.RecordBatch.from_arrays([q.ids.take(pa.array(at[row])), pa.array(np.full(len(row), float(radius))),
+            names.take(pa.array(col)), pa.array(n[row, col].astype(np.int64))], names=["query", "radius", "label", "n"])
+
+    def count(q: _Asked, live: np.ndarray, rids: pa.Array, d: np.ndarray, extra: pa.StructArray) -> Iterator[pa.RecordBatch]:
         names = extra.field("label").dictionary_encode("encode")
         table = np.zeros((len(rids), max(1, len(names.dictionary))))
         np.add.at(table, (extra.field("at").to_numpy(), names.indices.to_numpy(zero_copy_only=False)), extra.field("n").to_numpy())
-        for r in radii:
+        if q.state is None:
+            q.state = {"labels": {}, "kind": names.dictionary.type, "n": np.zeros((len(radii), len(q.x), HELD_LABELS))}
+        known = q.state["labels"]
+        for v in names.dictionary.to_pylist():
+            if v not in known and len(known) < HELD_LABELS:
+                known[v] = len(known)
+        place = np.array([known.get(v, -1) for v in names.dictionary.to_pylist()], np.int64)
+        for j, r in enumerate(radii):
             n = (d <= r) @ table
-            row, col = np.nonzero(n)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(np.full(len(row), float(r))),
-                names.dictionary.take(pa.array(col)), pa.array(n[row, col].astype(np.int64))], names=["query", "radius", "label", "n"])
-
-    met = _meet(index, visits(index, queries, radius=most), weights)
-    return _compared(met, _kernel(index.metric, count, True), f"query {(queries or index).id_type}, radius double, label {kind}, n long",
+            q.state["n"][j][np.ix_(live, place[place >= 0])] += n[:, place >= 0]
+            if (place < 0).any():  # labels beyond those that are held leave at once
+                n[:, place >= 0] = 0
+                yield rows(q, live, r, names.dictionary, n)
+
+    def end(q: _Asked) -> Iterator[pa.RecordBatch]:
+        if q.state is not None:
+            names = pa.array(list(q.state["labels"]), q.state["kind"])
+            for j, r in enumerate(radii):
+                yield rows(q, np.arange(len(q.x)), r, names, q.state["n"][j])
+
+    met = _meet(index, queries, None, max(radii), weights)
+    return _compared(met, _kernel(index, count, queries is None, True, end), f"query {(queries or index).id_type}, radius double, label {kind}, n long",
         lambda found: found.groupBy("query", "radius", "label").agg(F.sum("n").alias("n")))
 
 

@@ -145,3 +145,33 @@ def test_few_chunks_reach_a_worker_at_a_time(spark, monkeypatch):
     assert {(r["id"], r["neighbor"]) for r in N.knn(df, df, "id", "x", 1).collect()} == set(enumerate(d.argmin(1).tolist()))
     assert {r["id"]: r["n"] for r in N.radius_counts(df, df, "id", "x", [0.5]).collect()} == {i: int(n) for i, n in enumerate((d <= 0.5).sum(1)) if n}
     assert N.radius_neighbors(df, df, "id", "x", 0.3).count() == int((d <= 0.3).sum())
+
+
+def test_a_vector_travels_a_few_times(spark, monkeypatch, tmp_path):
+    """Vectors without structure visit all cells; they travel once to each group that must see them, not once to each cell and chunk."""
+    kernel = N.V._kernel
+
+    def counted(*args, **more):
+        run = kernel(*args, **more)
+
+        def told(batches):
+            def each():
+                for batch in batches:
+                    n = sum(len(v.values) for name in batch.schema.names if name in ("xs", "qxs") for v in batch.column(name))
+                    with (tmp_path / "seen").open("a") as f:
+                        f.write(f"{n}\n")
+                    yield batch
+
+            yield from run(each())
+
+        return told
+
+    monkeypatch.setattr(N.V, "_kernel", counted)
+    monkeypatch.setattr(N.V, "CHUNK_ROWS", 64)
+    monkeypatch.setattr(N.V, "CELL_ROWS", 64)
+    x = np.random.default_rng(6).standard_normal((3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(2)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert {(r["id"], r["neighbor"]) for r in N.knn(df, df, "id", "x", 1).collect()} == set(enumerate(d.argmin(1).tolist()))
+    assert sum(map(int, (tmp_path / "seen").read_text().split())) < 10 * len(x)
