@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeded import draw
-from ..scratch import materialise
+from ..scratch import few_rows, materialise
 
 #: The names of the scores.
 SCORES = ("cosine_distance", "cosine_similarity", "dot_product", "euclidean_distance", "euclidean_similarity", "manhattan_distance")
@@ -112,6 +112,11 @@ def _row_sums(x: pa.Array, y: pa.Array) -> np.ndarray:
 
 
 CHUNK_ROWS = 1024
+#: Chunks that one chunk of rows is compared with where it is sent once.
+RUN_CHUNKS = 32
+#: Rows of two chunks that reach a worker at a time, and bytes of chunks that a file's part holds.
+WORK_ROWS = 4
+WORK_BYTES = 16 << 20
 
 
 def _members(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,25 +127,28 @@ def _members(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairwise(rows: DataFrame, by: Sequence[str], metric: str, agg: str) -> DataFrame:
-    """Weights by pairs of chunks of a group: each chunk meets every chunk once, so a large group is many tasks."""
-    keys = list(by)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    rows = materialise(rows.withColumn("_id", F.monotonically_increasing_id()))  # both sides of the join below must see the same ids
-    dealt = rows.join(sizes, keys).withColumn("_k", F.ceil(F.col("_n") / CHUNK_ROWS).cast("int")).withColumn("_chunk",
-        F.pmod("_id", F.col("_k")).cast("int"))
-    chunks = dealt.groupBy(*keys, "_k", "_n", "_chunk").agg(F.collect_list(F.struct("_id", "_x")).alias("_rows"))
-    left = chunks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    right = chunks.select(*[F.col(b).alias(f"_{b}") for b in keys], F.col("_chunk").alias("_c2"), F.col("_rows").alias("_rows2"))
-    on = [F.col(b) == F.col(f"_{b}") for b in keys] + [F.col("_other") == F.col("_c2")]
-    pairs = left.join(right, on).select(*keys, "_n", "_rows", "_rows2")
-    kinds = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in keys)
+    """Weights by pairs of chunks of a group: a chunk travels once to each ``RUN_CHUNKS`` chunks that it is compared with, and a weight a row is what leaves them."""
+    keys, spark = list(by), rows.sparkSession
+    sizes = materialise(rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_k", F.ceil(F.col("_n") / CHUNK_ROWS).cast("int")))
+    rows = materialise(rows.withColumn("_id", F.monotonically_increasing_id()))  # ids stay as they are wherever rows are read
+    dealt = rows.join(sizes, keys).withColumn("_chunk", F.pmod("_id", F.col("_k")).cast("int"))
+    chunks = materialise(dealt.groupBy(*keys, "_k", "_n", "_chunk").agg(F.collect_list(F.struct("_id", "_x")).alias("_rows")), WORK_BYTES)
+    runs = F.ceil(F.col("_k") / RUN_CHUNKS).cast("int")
+    every = sizes.agg(F.sum(runs)).first()[0] or 1
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    deals = F.least(F.col("_k"), F.lit(max(1, min(RUN_CHUNKS // 2, -(-parts // every)))))
+    left = chunks.select(*keys, "_n", "_chunk", "_rows", F.pmod("_chunk", deals).alias("_deal"),
+        F.explode(F.sequence(F.lit(0), runs - 1)).alias("_run"))
+    right = chunks.select(*[F.col(b).alias(f"_{b}") for b in keys], F.col("_chunk").alias("_chunk2"), F.col("_rows").alias("_rows2"),
+        F.floor(F.col("_chunk") / RUN_CHUNKS).cast("int").alias("_run2"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("_deal2"))
+    on = [F.col(b) == F.col(f"_{b}") for b in keys] + [F.col("_run") == F.col("_run2"), F.col("_deal") == F.col("_deal2")]
+    pairs = left.join(right, on).select("_n", "_chunk", "_chunk2", "_rows", "_rows2")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
                 (ida, x), (idb, y) = _members(one.column("_rows")), _members(one.column("_rows2"))
-                same = ida[:, None] == idb[None, :]
                 if metric.startswith("cosine") or metric == "dot_product":
                     u, v = (x, y) if metric == "dot_product" else (x / np.linalg.norm(x, axis=1, keepdims=True),
                         y / np.linalg.norm(y, axis=1, keepdims=True))
@@ -149,19 +157,18 @@ def _pairwise(rows: DataFrame, by: Sequence[str], metric: str, agg: str) -> Data
                     raw = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
                 else:
                     raw = np.stack([np.abs(y - r).sum(1) for r in x])
-                raw[same] = 0
+                if one.column("_chunk")[0].as_py() == one.column("_chunk2")[0].as_py():
+                    raw[ida[:, None] == idb[None, :]] = 0
                 score = 1 - raw if metric == "cosine_distance" else 1 / (1 + raw) if metric == "euclidean_similarity" else raw
                 w = score.max(1) if agg == "max" else score.sum(1)
-                names = keys + ["_n", "_id", "_x", "_w"]
-                cols = [one.column(k).take(pa.array(np.zeros(len(ida), np.int64))) for k in keys + ["_n"]] + [pa.array(ida),
-                    one.column("_rows").flatten().field("_x"), pa.array(w)]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    parts = pairs.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run,
-        f"{kinds}, _n long, _id long, _x array<double>, _w double")
-    merged = parts.groupBy(*keys, "_n", "_id", "_x").agg((F.max if agg == "max" else F.sum)("_w").alias("_w"))
+                yield pa.RecordBatch.from_arrays([pa.array(ida), pa.array(np.full(len(ida), one.column("_n")[0].as_py())), pa.array(w)],
+                    names=["_id", "_n", "_w"])
+
+    with few_rows(spark, WORK_ROWS):
+        merged = materialise(pairs.mapInArrow(run, "_id long, _n long, _w double").groupBy("_id", "_n").agg(
+            (F.max if agg == "max" else F.sum)("_w").alias("_w")))
     weight = F.col("_w") / F.col("_n") if agg == "mean" else F.col("_w")
-    return _weighted_sum(merged.select(*keys, "_x", weight.alias("_w")), keys)
+    return _weighted_sum(rows.join(merged.select("_id", weight.alias("_w")), "_id").select(*keys, "_x", "_w"), keys)
 
 
 def pool_concat(df: DataFrame, by: Sequence[str], x: str, order: str = "seqindex") -> DataFrame:

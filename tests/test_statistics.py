@@ -164,3 +164,26 @@ def test_silhouette_sends_a_block_once_to_many(spark, monkeypatch):
         a = d[i, c == c[i]].sum() / ((c == c[i]).sum() - 1)
         b = min(d[i, c == k].mean() for k in range(3) if k != c[i])
         assert abs(got[i] - (b - a) / max(a, b)) < 1e-9
+
+
+def test_pairwise_pooling_sends_a_chunk_once_to_many_and_keeps_vectors_out_of_its_weights(spark, monkeypatch):
+    """Groups of many chunks and runs, as brute force has them; no row of partial weights carries a vector."""
+    from lociframe.operators import pooling
+
+    monkeypatch.setattr(pooling, "CHUNK_ROWS", 4)
+    monkeypatch.setattr(pooling, "RUN_CHUNKS", 3)
+    written, write = [], pooling.materialise
+    monkeypatch.setattr(pooling, "materialise", lambda df, *a: written.append(df.columns) or write(df, *a))
+    rng = np.random.default_rng(4)
+    rows = [(g, rng.normal(size=3).tolist()) for g, n in (("a", 61), ("b", 4), ("c", 1)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, x array<double>").repartition(5)
+    for metric, agg in (("euclidean_distance", "mean"), ("manhattan_distance", "max"), ("euclidean_similarity", "sum")):
+        got = {r["g"]: r["x"] for r in pooling.pool_similarity(df, ["g"], "x", metric, agg).collect()}
+        for g in "abc":
+            x = np.array([v for k, v in rows if k == g])
+            d = np.abs(x[:, None] - x[None]).sum(2) if metric.startswith("man") else np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+            np.fill_diagonal(d, 0)
+            score = 1 / (1 + d) if metric.endswith("similarity") else d
+            w = {"mean": score.mean(1), "max": score.max(1), "sum": score.sum(1)}[agg]
+            assert np.allclose(got[g], (w[:, None] * x).sum(0), atol=1e-6)
+    assert ["_id", "_n", "_w"] in written
