@@ -222,3 +222,12 @@ def test_circles_of_parents(spark):
     tax = spark.createDataFrame([(1, 1, "root"), (2, 3, "a"), (3, 2, "b")], "tax_id long, parent_tax_id long, rank string")
     with pytest.raises(ValueError):
         joins.ancestors(tax)
+
+
+def test_places_are_shuffled_as_columns_are_without_a_column_a_place(spark):
+    x = lambda i: [float(i), None if i == 3 else float(-i), float(i * i)]
+    df = spark.createDataFrame([(i, i % 3 if i < 20 else None, None if i == 7 else x(i)) for i in range(24)], "id long, g long, x array<double>")
+    flat = df.select("id", "g", *[F.get("x", F.lit(i)).alias(f"_x{i}") for i in range(3)])
+    want = sampling.permute(flat, "id", ["_x0", "_x1", "_x2"], within="g", seed=5).select("id", "g", F.array("_x0", "_x1", "_x2").alias("x"))
+    got = sampling.permute_places(df, "id", "x", 3, "g", 5)
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
