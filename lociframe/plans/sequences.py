@@ -16,7 +16,10 @@ def letter_embedder(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | Non
     """A stand-in for a model that SQL can follow: a token a letter, (place in the alphabet, place in the text, 1)."""
     out = []
     for t in texts:
-        x = np.array([[max(0, ord(c.lower()) - 97) % 26, i, 1] for i, c in enumerate(t)], np.float32).reshape(-1, 3)
+        codes, at = np.unique(np.frombuffer(t.encode("utf-32-le"), np.uint32), return_inverse=True)
+        x = np.ones((len(t), 3), np.float32)
+        x[:, 0] = np.array([max(0, ord(chr(c).lower()) - 97) % 26 for c in codes.tolist()], np.float32)[at]
+        x[:, 1] = np.arange(len(t))
         out.append((x, np.full(len(x), 1.0, np.float32)))
     return out
 
