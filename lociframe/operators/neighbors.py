@@ -96,16 +96,17 @@ def neighbor_labels(neighbors: DataFrame, df: DataFrame, id: str, label: str) ->
 
 
 def nn_proportions(df: DataFrame, id: str, x: str, cols: Sequence[str], k: int = 10, metric: str = "euclidean", rounds: int = 0,
-    seed: int = 0) -> DataFrame:
+    seed: int = 0, found: DataFrame | None = None) -> DataFrame:
     """ST7: ``col, share, impurity, distance`` and, with rounds, the p-value of the share against labels permuted in each round.
 
     Share is that of neighbours with the row's own label; impurity is the mean Gini of a row's neighbours' labels.
+    ``found`` are the written neighbours, where they are known.
     """
     from .sampling import permute
     from .sets import union
 
-    found = knn(df, df, id, x, k, metric)
-    found = materialise(found)
+    if found is None:
+        found = materialise(knn(df, df, id, x, k, metric))
     out = []
     for c in cols:
         both = neighbor_labels(found, df, id, c)
@@ -210,6 +211,7 @@ def neighbor_metrics(df: DataFrame, id: str, x: str, cols: Sequence[str], k: int
     """ST10: ST7 on the labels as they are and permuted, told apart by ``randomized``."""
     from .sampling import permute
 
-    natural = nn_proportions(df, id, x, cols, k, metric).withColumn("randomized", F.lit(False))
-    shuffled = permute(df.select(id, *cols), id, list(cols), seed=seed).join(df.select(id, x), id)
-    return natural.unionByName(nn_proportions(shuffled, id, x, cols, k, metric).withColumn("randomized", F.lit(True)))
+    found = materialise(knn(df, df, id, x, k, metric))  # the vectors of both are the same
+    natural = nn_proportions(df, id, x, cols, k, metric, found=found).withColumn("randomized", F.lit(False))
+    shuffled = materialise(permute(df.select(id, *cols), id, list(cols), seed=seed))
+    return natural.unionByName(nn_proportions(shuffled, id, x, cols, k, metric, found=found).withColumn("randomized", F.lit(True)))

@@ -187,3 +187,13 @@ def test_pairwise_pooling_sends_a_chunk_once_to_many_and_keeps_vectors_out_of_it
             w = {"mean": score.mean(1), "max": score.max(1), "sum": score.sum(1)}[agg]
             assert np.allclose(got[g], (w[:, None] * x).sum(0), atol=1e-6)
     assert ["_id", "_n", "_w"] in written
+
+
+def test_metrics_of_permuted_labels_share_the_neighbours(spark, monkeypatch):
+    """Labels are permuted, vectors are not: the neighbours are searched once."""
+    calls, knn = [], neighbors.knn
+    monkeypatch.setattr(neighbors, "knn", lambda *a, **kw: calls.append(1) or knn(*a, **kw))
+    points = spark.createDataFrame([(i, "ab"[i % 2], [float(i % 2) * 50 + i / 100, 1.0]) for i in range(40)], "id long, c string, x array<double>")
+    got = {r["randomized"]: r for r in neighbors.neighbor_metrics(points, "id", "x", ["c"], 5).collect()}
+    assert len(calls) == 1 and got[False]["share"] == 1.0 and got[True]["share"] < 1.0
+    assert got[False]["distance"] == got[True]["distance"]
