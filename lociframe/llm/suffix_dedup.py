@@ -8,7 +8,9 @@ one anchor repeat as a whole; where an anchor has different pieces, one of each
 those of other anchors, a chunk at a time (so many as are not crowded): suffixes smaller than their successors are sorted directly,
 the others are induced by scans over the buckets of first bytes, and adjacent common prefixes of
 ``LENGTH`` bytes mark repeats. Windows of an anchor with many different pieces are not sorted in one
-place: they are dealt by their distance to the anchor and a digest of all their bytes, and counted.
+place: they are dealt by their distance to the anchor and a digest of all their bytes, and counted. Digests
+that very many windows have are few: they are sent to the windows, which leave as ranges; windows of other
+digests meet theirs in a join.
 
 Null texts are empty; texts shorter than ``LENGTH`` lose nothing; repeated rows are repeats of each
 other; an empty table gives no rows. Ids need not be unique.
@@ -31,6 +33,9 @@ GRAM = 40
 CROWD = 64
 DIGEST = 16
 SENT_PIECES = 2_000_000
+#: Windows of a digest that is sent, at least, and digests that are sent, at most.
+COMMON = 16
+SENT_DIGESTS = 250_000
 CHUNK = 1 << 20
 SCAN_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -210,6 +215,39 @@ def extract_rows(batches: Iterable[pa.RecordBatch], keys: np.ndarray, owners: np
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary()))], names=["h", "p", "th", "tb", "single", "far", "at", "bytes"])
 
 
+def window_keys(h: np.ndarray, far: np.ndarray, digests: list[bytes]) -> np.ndarray:
+    """Anchor hash, distance and digest of windows as one string of bytes each."""
+    out = np.empty((len(h), 12 + DIGEST), np.uint8)
+    out[:, :8] = np.ascontiguousarray(h, np.int64).view(np.uint8).reshape(-1, 8)
+    out[:, 8:12] = np.ascontiguousarray(far, np.int32).view(np.uint8).reshape(-1, 4)
+    out[:, 12:] = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, DIGEST)
+    return out.view(f"S{12 + DIGEST}").ravel()
+
+
+def _among(batch: pa.RecordBatch, keys: np.ndarray) -> np.ndarray:
+    """Which rows of (h, far, bytes, th, tb, at) have one of the sorted ``keys``."""
+    if not len(keys) or not batch.num_rows:
+        return np.zeros(batch.num_rows, bool)
+    own = window_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist())
+    return keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
+
+
+def common_ranges(batches: Iterable[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows with one of ``keys`` as ranges of consecutive ones: (th, tb, b, e)."""
+    for batch in batches:
+        th, tb, at = (batch.column(i).to_numpy()[_among(batch, keys)] for i in (3, 4, 5))
+        if len(at):
+            first = np.flatnonzero(np.r_[True, (th[1:] != th[:-1]) | (tb[1:] != tb[:-1]) | (at[1:] != at[:-1] + 1)])
+            last = np.r_[first[1:], len(at)] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (th[first], tb[first], at[first], at[last])], names=["th", "tb", "b", "e"])
+
+
+def other_windows(batches: Iterable[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows with none of ``keys``."""
+    for batch in batches:
+        yield batch.filter(pa.array(~_among(batch, keys)))
+
+
 PIECES = "h long, p long, th long, tb long, single boolean, far int, at long, bytes binary"
 
 
@@ -273,7 +311,20 @@ def remove_rows(with_text: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterato
     return run
 
 
-def repeats(docs: DataFrame, sent_pieces: int = SENT_PIECES, crowd: int = CROWD) -> DataFrame:
+def common_keys(shared: DataFrame, most: int) -> tuple[np.ndarray, int]:
+    """The keys of ``h, far, bytes, n`` with the largest ``n``, sorted, ``most`` at most, and the ``n`` from which on they are taken."""
+    held = {r["e"]: r["k"] for r in shared.where(F.col("n") >= COMMON).groupBy(F.floor(F.log2("n")).alias("e")).agg(F.count("*").alias("k")).collect()}  # 60 rows at most
+    floor, total = 1 << 62, 0
+    for e in sorted(held, reverse=True):
+        total += held[e]
+        if total > most:
+            break
+        floor = 1 << e
+    got = shared.where(F.col("n") >= floor).select("h", "far", "bytes").toArrow()  # at most ``most``
+    return np.sort(window_keys(got["h"].to_numpy(), got["far"].to_numpy(), got["bytes"].to_pylist())), floor
+
+
+def repeats(docs: DataFrame, sent_pieces: int = SENT_PIECES, crowd: int = CROWD, sent_digests: int = SENT_DIGESTS) -> DataFrame:
     """``th, tb, spans`` of every text of ``doc_id, th, tb, text`` with repeats: ``spans`` has the first and last window of each range of repeated ones."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "th", "tb", "text")
@@ -312,19 +363,24 @@ def repeats(docs: DataFrame, sent_pieces: int = SENT_PIECES, crowd: int = CROWD)
     found = stage(found, "found")
     ranges = found.where("far < 0").repartition(4 * parts(spark), "h").sortWithinPartitions("h", "p", "at").mapInArrow(sorted_rows, "th long, tb long, b long, e long")
     windows = found.where("far >= 0").select("h", "far", "bytes", "p", "th", "tb", "single", "at")
-    shared = stage(windows.groupBy("h", "far", "bytes").agg((F.min("p") != F.max("p")).alias("shared")).where("shared").drop("shared"), "shared")
-    ranges = ranges.unionByName(windows.where("single").join(shared, ["h", "far", "bytes"], "left_semi").select("th", "tb", F.col("at").alias("b"), F.col("at").alias("e")))
+    shared = stage(windows.groupBy("h", "far", "bytes").agg((F.min("p") != F.max("p")).alias("shared"), F.count("*").alias("n")).where("shared").drop("shared"), "shared")
+    keys, floor = common_keys(shared, sent_digests)
+    known = spark.sparkContext.broadcast(keys)
+    own = windows.where("single").select("h", "far", "bytes", "th", "tb", "at")
+    ranges = ranges.unionByName(own.mapInArrow(lambda batches: common_ranges(batches, known.value), "th long, tb long, b long, e long"))
+    rest = own.mapInArrow(lambda batches: other_windows(batches, known.value), "h long, far int, bytes binary, th long, tb long, at long")
+    ranges = ranges.unionByName(rest.join(shared.where(F.col("n") < floor), ["h", "far", "bytes"], "left_semi").select("th", "tb", F.col("at").alias("b"), F.col("at").alias("e")))
     twice = stage(kinds.where("n > 1").select("h", "p"), "twice")
     whole = met.where("not mixed").select("th", "tb", "s0", "s1").unionByName(met.where("mixed").join(twice, ["h", "p"]).select("th", "tb", "s0", "s1"))
     every = whole.select("th", "tb", F.col("s0").alias("b"), F.col("s1").alias("e")).unionByName(ranges).distinct()
     return every.groupBy("th", "tb").agg(F.flatten(F.collect_list(F.array("b", "e"))).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, with_text: bool = False, sent_pieces: int = SENT_PIECES, crowd: int = CROWD) -> DataFrame:
+def without_repeats(docs: DataFrame, with_text: bool = False, sent_pieces: int = SENT_PIECES, crowd: int = CROWD, sent_digests: int = SENT_DIGESTS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans`` and ``kept`` (the bytes left) or ``kept_sha256`` of every row of ``doc_id, text``."""
     text = F.coalesce("text", F.lit(""))
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("th"), F.xxhash64(F.octet_length(text), F.md5(text.cast("binary"))).alias("tb"), text.alias("text"))
-    spans = stage(repeats(rows, sent_pieces, crowd), "spans")
+    spans = stage(repeats(rows, sent_pieces, crowd, sent_digests), "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = spans.withColumnsRenamed({"th": "key", "tb": "key2"})
     joined = rows.join(keyed, (F.col("th") == F.col("key")) & (F.col("tb") == F.col("key2")), "left").select("id", "text", "spans")

@@ -267,6 +267,25 @@ def test_long_periodic_texts_and_a_passage_in_many_contexts(spark):
     assert got[1000] == (400_000, 400_000, 1) and got[1001] == (400, 0, 0) and got[1002] == (300_000, 300_000, 1)
 
 
+def test_windows_of_common_digests_leave_as_ranges(spark):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    make = lambda n: "".join(rng.choice(letters, n))
+    passage, other = make(230), make(260)
+    rows = [(i, make(60) + passage + make(60)) for i in range(40)] + [(50 + i, make(60) + other + make(60)) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(i, *w) for (i, _), w in zip(rows, brute([t for _, t in rows], 200), strict=True)]
+    for most in (0, 40, D.SENT_DIGESTS):  # none, some and all of the common digests are sent
+        assert sorted(tuple(r) for r in D.without_repeats(df, crowd=1, sent_digests=most).collect()) == want
+    n = 40
+    cols = {"h": [7] * n, "far": list(range(n)), "bytes": [bytes([i]) * D.DIGEST for i in range(n)], "th": [1] * n, "tb": [2] * n}
+    batch = pa.RecordBatch.from_pydict(cols | {"at": list(range(100, 100 + n))}, schema=pa.schema([("h", pa.int64()), ("far", pa.int32()),
+        ("bytes", pa.binary()), ("th", pa.int64()), ("tb", pa.int64()), ("at", pa.int64())]))
+    keys = np.sort(D.window_keys(np.full(n, 7), np.arange(n), cols["bytes"])[[*range(10), *range(20, 35)]])
+    assert [tuple(r.values()) for out in D.common_ranges([batch], keys) for r in out.to_pylist()] == [(1, 2, 100, 109), (1, 2, 120, 134)]
+    assert [r["far"] for out in D.other_windows([batch], keys) for r in out.to_pylist()] == [*range(10, 20), *range(35, 40)]
+
+
 def test_queries_of_copies_on_a_written_table(spark, docs, texts, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     vectors(spark, [(i, [1.0, i % 3]) for i in range(9)]).write.parquet(f"{tmp_path}/embeddings.parquet")
