@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociframe.functions import tails
-from lociframe.operators import stats, windows
+from lociframe.operators import sampling, stats, windows
 
 from .conftest import rows
 
@@ -99,3 +99,41 @@ def test_groups_of_a_million(spark):
     assert got["fits"]["p"] > 0.3 and got["off"]["p"] == 1e-10
     want = math.lgamma(1_000_001) + sum(k * math.log(q) - math.lgamma(k + 1) for k, q in ((500_100, 0.5), (299_900, 0.3), (200_000, 0.2)))
     assert abs(got["fits"]["value"] - want) < 1e-6
+
+
+def _made_anew(spark, n: int):
+    """``id, g, x, y``, whose values differ in their last bits each time they are made, as sums do that meet in another order."""
+    import pyarrow as pa
+
+    def run(batches):
+        rng = np.random.default_rng()
+        for batch in batches:
+            i = batch.column(0).to_numpy()
+            x, y = ((i * k % 41 + 1.0) * (1 + 1e-15 * rng.integers(1, 1000, len(i))) for k in (7, 5))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(i % 2), pa.array(x), pa.array(y)], names=["id", "g", "x", "y"])
+
+    return spark.range(n).mapInArrow(run, "id long, g long, x double, y double")
+
+
+def test_ranks_meet_values_that_are_made_once(spark):
+    df = _made_anew(spark, 40)
+    assert stats.spearman(df, "x", "y").first()["n"] == 40
+    assert [r["n"] for r in stats.spearman(df, "x", "y", ["g"]).collect()] == [20, 20]
+    assert stats.wilcoxon(df, "x", "y").first()["n"] >= 39  # one pair is equal but for its last bits
+    got = stats.mc_test_by(df, df, lambda t: t.select(F.col("x").alias("value")))
+    assert got.count() == 40
+
+
+def test_pooled_agreement_draws_from_all_pairs(spark):
+    """As its SQL does: all pairs in the order of their draws, a null sample last."""
+    from lociframe.functions.seeded import draw
+
+    rng = np.random.default_rng(5)
+    names = [None, *range(24)]
+    seqs = spark.createDataFrame([(g, (rng.standard_normal(4) + 1).tolist()) for g in names for _ in range(3)], "g long, x array<double>")
+    pairs = spark.range(25).selectExpr("id as l").join(spark.range(25).selectExpr("id as h"), F.col("l") < F.col("h"))
+    want = [(r["l"], r["h"]) for r in pairs.orderBy(draw(0, "pair", "l", "h")).limit(30).collect()]
+    got = {(r["a"], r["b"]) for r in sampling.random_pairs(seqs, "g", 30, 0, every=True).collect()}
+    assert got == {(a, b if b < 24 else None) for a, b in want}
+    pooled = seqs.groupBy("g").agg(F.first("x").alias("x"))
+    assert stats.pooled_agreement(seqs, pooled, "g", "x", 30).first()["n"] == sum(b < 24 for _, b in want)
