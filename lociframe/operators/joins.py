@@ -6,7 +6,9 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,21 +176,156 @@ def recode_join(df: DataFrame, recode: DataFrame, on: Sequence[str]) -> DataFram
     return df.join(recode.select(*on, "new"), list(on))
 
 
-#: Left rows whose ids stand together in one list of an item's holders.
+#: Left rows whose ids stand together in one list of a common item's holders; items of more holders are common.
 HOLDERS = 1 << 16
+#: Holders in one packed list, and holders of one right row's items that meet in a worker at most.
+PIECE = 1 << 10
+MET = 1 << 22
+
+
+def _packed(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as bytes of 7 bits, the least first, the last one below 128; and where each number ends."""
+    size = 1 + sum((flat >= 1 << 7 * j).astype(np.int64) for j in range(1, 9))
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for j in range(int(size.max(initial=0))):
+        some = size > j
+        out[(ends - size)[some] + j] = (flat[some] >> 7 * j & 127) | np.where(size[some] > j + 1, 128, 0)
+    return out, ends
+
+
+def _unpacked(data: np.ndarray) -> np.ndarray:
+    ends = np.nonzero(data < 128)[0]
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    size = ends - starts + 1
+    out = np.zeros(len(ends), np.int64)
+    for j in range(int(size.max(initial=0))):
+        some = size > j
+        out[some] |= (data[starts[some] + j].astype(np.int64) & 127) << 7 * j
+    return out
+
+
+def _starts(values: pa.Array) -> np.ndarray:
+    """Where runs of equal values (not null) start."""
+    if len(values) < 2:
+        return np.arange(len(values))
+    return np.concatenate([[0], np.nonzero(pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False))[0] + 1])
+
+
+def _pack_holders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``item, place`` sorted to ``item, n, places``: lists of up to ``PIECE`` places as their differences."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        first, at = _starts(batch.column(0)), np.arange(len(batch))
+        cut = np.nonzero((at - first[np.searchsorted(first, at, "right") - 1]) % PIECE == 0)[0]
+        flat = np.diff(batch.column(1).to_numpy(), prepend=0)
+        flat[cut] = batch.column(1).to_numpy()[cut]
+        data, ends = _packed(flat)
+        n = np.diff(np.append(cut, len(batch)))
+        offsets = np.concatenate([[0], ends[cut + n - 1]]).astype(np.int32)
+        lists = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cut)), pa.array(n.astype(np.int32)), lists],
+            names=["item", "n", "places"])
+
+
+def _common(min_overlap: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``right_id, size, n, places`` sorted by right row to ``right_id, size, place, common`` of the left rows that have enough of its items."""
+
+    def count(rows: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+        n, lists = rows.column(2).to_numpy().astype(np.int64), rows.column(3).cast(pa.binary())
+        edges = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+        places = _unpacked(np.frombuffer(lists.buffers()[2], np.uint8)[edges[0] : edges[-1]])
+        begins = np.cumsum(n) - n
+        total = np.cumsum(places)
+        places = total - np.repeat(total[begins] - places[begins], n)  # a list starts with its first place
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))
+        span = int(places.max()) + 1
+        keys = np.sort(np.repeat(group, n) * span + places, kind="stable")
+        at = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
+        common, which = np.diff(np.append(at, len(keys))), first[keys[at] // span]
+        size = rows.column(1).to_numpy()[which]
+        keep = common / size >= min_overlap
+        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(which[keep])), pa.array(size[keep]), pa.array(keys[at][keep] % span),
+            pa.array(common[keep])], names=["right_id", "size", "place", "common"])
+
+    def whole(rows: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Few right rows at a time, as far as their lists are long."""
+        sums = np.cumsum(rows.column(2).to_numpy().astype(np.int64))
+        upto = sums[np.append(first[1:], len(rows)) - 1]
+        i = 0
+        while i < len(first):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + MET // 4, "right")))
+            end = first[j] if j < len(first) else len(rows)
+            yield count(rows.slice(first[i], end - first[i]), first[i:j] - first[i])
+            i = j
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last right row's, which may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            first = _starts(batch.column(0))
+            if held and len(first) == 1 and batch.column(0)[0] == held[0].column(0)[0]:
+                held.append(batch)
+                continue
+            rows = pa.concat_batches([*held, batch]) if held else batch
+            first = _starts(rows.column(0))
+            if len(first) > 1:
+                yield from whole(rows.slice(0, first[-1]), first[:-1])
+            held = [rows.slice(first[-1])]
+        if held:
+            yield count(pa.concat_batches(held), np.array([0]))
+
+    return run
 
 
 def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, min_overlap: float) -> DataFrame:
     """JN7: pairs whose share of the right row's items that the left row has is at least ``min_overlap``.
 
-    ``left`` and ``right`` have ``left_id`` and ``right_id`` and arrays; null items are never shared. A pair that overlaps so much
-    shares two of the right row's rarest items (one where one is enough), so many that the others hold all but two of those needed:
-    only these meet the ids of the left rows that have them, as lists a block of left rows, and leave the pairs that met twice. These
-    few take the right row's items, which are not many more than the left row's, to the left row. An item that all rows have makes no
-    pairs by itself.
+    ``left`` and ``right`` have ``left_id`` and ``right_id`` and arrays; null items are never shared. Left rows are numbered, and an item's
+    holders are packed lists of the differences of their numbers: each item of a right row brings its lists, and what meets at the right row
+    is counted there, so no array is moved by pair. Right rows with an item that far more left rows than usual have, or with very many
+    items, go by their rarest items (``_by_rare_items``).
+    """
+    spark = left.sparkSession
+    l = row_index(left.select("left_id", F.array_compact(F.array_distinct(a)).alias("a")), ["left_id"], "place", start=0)
+    r = materialise(right.where("right_id is not null").select("right_id", F.array_compact(F.array_distinct(b)).alias("b"),
+        F.size(F.array_distinct(b)).alias("size")))
+    kinds = {c: l.schema["a"].dataType.elementType.simpleString() if c == "item" else r.schema[c].dataType.simpleString() for c in ("item",
+        "right_id")}
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = l.select(F.explode("a").alias("item"), "place").repartitionByRange(parts, "item", "place").sortWithinPartitions("item", "place")
+    holders = materialise(held.mapInArrow(_pack_holders, f"item {kinds['item']}, n int, places binary"))
+    count = holders.groupBy("item").agg(F.sum("n").alias("n"))
+    every = count.agg(F.count("*").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"),
+        F.lit(0)).alias("most")).first()
+    usual = min(HOLDERS, max(64, 8 * every["n"] // max(1, every["items"])))
+    many = MET // max(1, min(usual, every["most"]))
+    largest = r.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    plain, rest = r, None
+    if every["most"] > usual or largest > many:
+        common = count.where(F.col("n") > usual).select("item")
+        other = r.select("right_id", F.explode("b").alias("item")).join(common, "item", "left_semi").select("right_id").unionByName(
+            r.where(F.col("size") > many).select("right_id")).distinct()
+        other = materialise(other)
+        plain, rest = r.join(other, "right_id", "left_anti"), materialise(r.join(other, "right_id", "left_semi"))
+    met = plain.select("right_id", "size", F.explode("b").alias("item")).join(holders, "item").select("right_id", "size", "n", "places")
+    found = met.repartition("right_id").sortWithinPartitions("right_id").mapInArrow(_common(min_overlap),
+        f"right_id {kinds['right_id']}, size int, place long, common long")
+    out = found.join(l.select("place", "left_id"), "place").select("left_id", "right_id", "common",
+        (F.col("common") / F.col("size")).alias("overlap"))
+    return out if rest is None else out.unionByName(_by_rare_items(l.select("left_id", "a"), rest, min_overlap))
+
+
+def _by_rare_items(l: DataFrame, r: DataFrame, min_overlap: float) -> DataFrame:
+    """JN7 of written tables with common items.
+
+    A pair that overlaps so much shares two of the right row's rarest items (one where one is enough), so many that the others hold all
+    but two of those needed: only these meet the ids of the left rows that have them, as lists a block of left rows, and leave the pairs
+    that met twice. These few take the right row's items, which are not many more than the left row's, to the left row. An item that all
+    rows have makes no pairs by itself.
     """
-    l = materialise(left.select("left_id", F.array_compact(F.array_distinct(a)).alias("a")))
-    r = materialise(right.select("right_id", F.array_compact(F.array_distinct(b)).alias("b"), F.size(F.array_distinct(b)).alias("size")))
     need = F.greatest(F.ceil(F.col("size") * min_overlap - 1e-9), F.lit(1)).cast("int")
     blocks = max(1, -(-l.count() // HOLDERS))
     held = l.select("left_id", F.explode("a").alias("item"))

@@ -175,6 +175,51 @@ def test_overlaps_by_rare_items(spark):
         assert got == want
 
 
+def test_overlaps_of_common_and_rare_items(spark, monkeypatch):
+    """Rows with an item of many holders go another way than the others; both give all pairs."""
+    monkeypatch.setattr(joins, "HOLDERS", 8)
+    rng = np.random.default_rng(2)
+    left = [{int(v) for v in rng.choice(60, rng.integers(1, 9), replace=False)} | ({99} if i % 2 else set()) for i in range(50)]
+    right = [{int(v) for v in rng.choice(60, rng.integers(1, 6), replace=False)} | ({99} if i % 3 == 0 else set()) for i in range(70)]
+    a = spark.createDataFrame([(f"l{i}", [*v, None]) for i, v in enumerate(left)], "left_id string, a array<int>")
+    b = spark.createDataFrame([(i, [*v]) for i, v in enumerate(right)], "right_id long, b array<int>")
+    for least in (0.2, 0.6):
+        got = {(r["left_id"], r["right_id"]): (r["common"], r["overlap"]) for r in joins.overlap_join(a, b, "a", "b", least).collect()}
+        assert got == {(f"l{i}", j): (len(x & y), len(x & y) / len(y)) for i, x in enumerate(left) for j, y in enumerate(right)
+            if x & y and len(x & y) / len(y) >= least}
+
+
+def test_holders_are_packed_and_counted(monkeypatch):
+    """Lists cut anywhere, right rows over several batches, and few met at a time."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(joins, "PIECE", 3)
+    monkeypatch.setattr(joins, "MET", 40)
+    rng = np.random.default_rng(3)
+    have = {i: sorted(int(v) for v in rng.choice([0, 1, 127, 128, 300, 16383, 16384, 70_000, 1 << 33], 5, replace=False)) for i in range(30)}
+    pairs = pa.RecordBatch.from_arrays([pa.array([i for i, v in have.items() for _ in v]), pa.array([p for v in have.values() for p in v])],
+        names=["item", "place"])
+    lists = [r for at in range(0, len(pairs), 17) for b in joins._pack_holders([pairs.slice(at, 17)]) for r in b.to_pylist()]
+    wants = {c: sorted(int(v) for v in rng.choice(30, rng.integers(1, 8), replace=False)) for c in range(40)}
+    met = [(c, len(v), r["n"], r["places"]) for c, v in wants.items() for i in v for r in lists if r["item"] == i]
+    table = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*met, strict=True), (pa.int64(), pa.int32(), pa.int32(),
+        pa.binary()), strict=True)], names=["right_id", "size", "n", "places"])
+    for step in (1, 7, 1000):
+        out = [r for b in joins._common(0.5)([table.slice(at, step) for at in range(0, len(table), step)]) for r in b.to_pylist()]
+        every = {(c, p): sum(p in have[i] for i in v) for c, v in wants.items() for p in {p for i in v for p in have[i]}}
+        assert len(out) == len({(r["right_id"], r["place"]) for r in out})
+        assert {(r["right_id"], r["place"]): r["common"] for r in out} == {k: n for k, n in every.items() if n / len(wants[k[0]]) >= 0.5}
+
+
+def test_holders_travel_packed(spark):
+    """A right row's lists of holders meet it as two or three bytes a holder, and no array follows a pair."""
+    rng = np.random.default_rng(4)
+    left, right = [rng.choice(400, 20, replace=False) for _ in range(20_000)], [rng.choice(400, 4, replace=False) for _ in range(400)]
+    a = spark.createDataFrame([(i * 1000, v.tolist()) for i, v in enumerate(left)], "left_id long, a array<long>")
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(right)], "right_id long, b array<long>")
+    assert _shuffled(spark, lambda: joins.overlap_join(a, b, "a", "b", 0.6).collect()) < 8_000_000
+
+
 def _shuffled(spark, run) -> int:
     """Bytes that the stages of ``run()`` write to shuffles, with joins that are not by broadcast."""
     store, gate = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
