@@ -32,6 +32,9 @@ WORK_BYTES = 16 << 20
 GROUP_CHUNKS = 32
 GROUP_ROWS = 4096
 HELD_LABELS = 16
+#: Queries that meet a chunk of entries at a time, and pairs whose distances are taken at a time.
+QUERY_ROWS = 2048
+PAIRS = 1 << 15
 
 Batches = Iterable[pa.RecordBatch]
 
@@ -347,12 +350,15 @@ class _Asked:
     state: np.ndarray | dict | None = None
 
 
-def _kernel(index: Index, pick: Callable, own: bool, weighted: bool = False,
+def _kernel(index: Index, pick: Callable | int, own: bool, weighted: bool = False,
     end: Callable[[_Asked], Iterator[pa.RecordBatch]] | None = None) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     """Sorted tiles to what ``pick`` makes of (chunk of queries, its rows in reach, entry ids, distances, weights), then ``end`` of each chunk of queries.
 
-    Rings beyond a query's bound, which ``pick`` may lower, are not compared. Where entries ask for themselves (``own``) their distance is 0.
+    For a number in place of ``pick``, to so many nearest entries (``_nearest``). Rings beyond a query's bound, which ``pick`` may lower,
+    are not compared. Where entries ask for themselves (``own``) their distance is 0.
     """
+    if isinstance(pick, int):
+        return _nearest(index, pick, own)
     centres, metric = index.centres, index.metric
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -389,54 +395,121 @@ def _kernel(index: Index, pick: Callable, own: bool, weighted: bool = False,
     return run
 
 
-def least_of_rows(d: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the ``k`` least finite values of each row, at most; ties (to 12 places) go to the least ``order``."""
-    k = min(k, d.shape[1])
-    near = np.round(d, 12)
-    edge = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
-    keep = (near <= edge) & np.isfinite(d)
-    for i in np.nonzero(keep.sum(axis=1) > k)[0]:
-        cols = np.nonzero(keep[i])[0]
-        keep[i] = False
-        keep[i, cols[np.lexsort((order[cols], near[i, cols]))[:k]]] = True
-    return np.nonzero(keep)
+def close_pairs(x: np.ndarray, y: np.ndarray, most: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance), by row, of the pairs within ``most`` of their row; some beyond a row's ``k`` nearest may be left out.
 
+    Products in single precision, with a margin for their rounding, leave few pairs, whose distances are taken in double precision.
+    """
+    if metric == "cosine":
+        x, y = _space(x, metric), _space(y, metric)
+    if metric == "manhattan" or not max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) < 1e15:
+        d = distances(x, y, metric)
+        row, col = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+        return row, col, d[row, col]
+    if metric == "cosine":
+        u, v, low = x, y, 1 - most
+    else:
+        mid = y.mean(axis=0)
+        v = y - mid
+        u, v = np.hstack([x - mid, np.ones((len(x), 1))]), np.hstack([v, -(v**2).sum(1)[:, None] / 2])  # x.y - y.y / 2 grows as distance falls
+        low = ((u[:, :-1] ** 2).sum(1) - most**2) / 2
+    long = np.sqrt((u[:, : x.shape[1]] ** 2).sum(1))
+    top = np.sqrt((v[:, : x.shape[1]] ** 2).sum(1)).max()
+    margin = (x.shape[1] + 8) * 2.0**-22 * (long * top + top**2)
+    s = u.astype(np.float32) @ v.astype(np.float32).T
+    keep = s >= (low - margin).astype(np.float32)[:, None]
+    crowded = np.nonzero(keep.sum(axis=1) > k)[0]
+    if len(crowded):
+        kth = np.partition(s[crowded], len(y) - k, axis=1)[:, len(y) - k].astype(float)
+        tied = 1e-11 * (1 if metric == "cosine" else np.sqrt(np.maximum(long[crowded] ** 2 - 2 * kth, 0)) + 1e-11)  # ties are to 12 places
+        keep[crowded] &= s[crowded] >= (kth - 2 * margin[crowded] - tied).astype(np.float32)[:, None]
+    row, col = np.nonzero(keep)
+    d = np.empty(len(row))
+    for at in range(0, len(row), PAIRS):
+        p, q = x[row[at : at + PAIRS]], y[col[at : at + PAIRS]]
+        d[at : at + PAIRS] = 1 - np.einsum("ij,ij->i", p, q) if metric == "cosine" else np.sqrt(np.einsum("ij,ij->i", p - q, p - q))
+    near = d <= most[row]
+    return row[near], col[near], d[near]
+
+
+def _within_rows(row: np.ndarray) -> np.ndarray:
+    """Each place's number within its run of equal, sorted rows."""
+    return np.arange(len(row)) - np.searchsorted(row, row)
+
+
+class _Held:
+    """All queries of a tile: their ids, vectors, bounds (of ``reach``) and the ``k`` least distances found so far; ``places`` are the chunks' first rows."""
+
+    def __init__(self, asked: list[tuple], k: int):
+        self.ids = pa.concat_arrays([ids for _, ids, _, _ in asked])
+        self.x = np.concatenate([x for _, _, x, _ in asked])
+        self.bounds = np.concatenate([b for _, _, _, b in asked])
+        self.least = np.full((len(self.x), k), np.inf)
+        sizes = [len(x) for _, _, x, _ in asked]
+        self.places = {key: at for (key, *_), at in zip(asked, np.cumsum(sizes) - sizes, strict=True)}
+
+
+def _nearest(index: Index, k: int, own: bool) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """Sorted tiles to ``query, entry, distance``: of each chunk of entries the nearest ones of all queries that its ring is in reach of, ``QUERY_ROWS`` at a time.
+
+    A query's ``k``-th distance so far is its bound, so that few entries leave a tile that others displace.
+    """
+    centres, metric = index.centres, index.metric
 
-def nearest_entries(index: Index, k: int, queries: Index | None = None) -> DataFrame:
-    """``query, entry, distance``: the ``k`` nearest entries of each query entry, its own vector (distance 0) counted; ties (to 12 places) by entry.
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        now, asked, held = None, [], None
+        for batch in batches:
+            for i in range(len(batch)):
+                col = lambda c: batch.column(batch.schema.get_field_index(c))[i]  # noqa: B023,E731
+                tile, key = (col("grp").as_py(), col("slice").as_py()), (col("cell").as_py(), col("part").as_py(), col("seq").as_py())
+                if tile != now:
+                    now, asked, held = tile, [], None
+                y, gaps = matrix(col("xs").values), col("gaps").values.to_numpy()
+                if not col("entry_side").as_py():
+                    ids = col("queries").values
+                    asked.append((key, ids.take(pa.array(np.arange(len(ids)))), y.copy(), gaps.copy()))  # a view would keep the whole batch
+                    continue
+                if held is None:
+                    if not asked:
+                        continue
+                    held, asked = _Held(asked, k), []
+                yield from meet(held, key, y, gaps, col("entries").values)
+
+    def meet(held: _Held, key: tuple, y: np.ndarray, gaps: np.ndarray, rids: pa.Array) -> Iterator[pa.RecordBatch]:
+        order, g, b = None, _to_centres(held.x, centres[key[0] : key[0] + 1], metric)[:, 0], held.bounds
+        live = np.nonzero(np.maximum(g - gaps.max(), gaps.min() - g) <= b + _slack(np.where(np.isfinite(b), b, 0)) + _slack(g))[0]
+        for at in range(0, len(live), QUERY_ROWS):
+            some = live[at : at + QUERY_ROWS]
+            b = held.bounds[some] + _slack(np.where(np.isfinite(held.bounds[some]), held.bounds[some], 0))
+            most = np.minimum(b**2 / 2 if metric == "cosine" else b, held.least[some].max(axis=1) + 1e-11)
+            row, col, d = close_pairs(held.x[some], y, most, k, metric)
+            if own and key in held.places:
+                d[some[row] - held.places[key] == col] = 0.0
+            if not len(row):
+                continue
+            if _within_rows(row).max() >= k:
+                if order is None:
+                    order = np.argsort(np.argsort(np.array(rids.to_pylist())))
+                by = np.lexsort((order[col], np.round(d, 12), row))
+                by = by[_within_rows(row[by]) < k]
+                row, col, d = row[by], col[by], d[by]
+            hit = np.unique(row)
+            new = np.full((len(hit), k), np.inf)
+            new[np.searchsorted(hit, row), _within_rows(row)] = d
+            at_hit = some[hit]
+            held.least[at_hit] = np.partition(np.concatenate([held.least[at_hit], new], axis=1), k - 1, axis=1)[:, :k]
+            held.bounds[at_hit] = np.minimum(held.bounds[at_hit], reach(held.least[at_hit].max(axis=1) + 1e-11, metric))
+            yield pa.RecordBatch.from_arrays([held.ids.take(pa.array(some[row])), rids.take(pa.array(col)), pa.array(d)],
+                names=["query", "entry", "distance"])
 
-    In a tile a query's ``k``-th distance so far is its bound, so that few entries leave it that others displace.
-    """
-    metric = index.metric
+    return run
 
-    def best(q: _Asked, live: np.ndarray, rids: pa.Array, d: np.ndarray, _: None) -> Iterator[pa.RecordBatch]:
-        if q.state is None:
-            q.state = np.full((len(q.x), k), np.inf)
-        b = q.bounds[live] + _slack(np.where(np.isfinite(q.bounds[live]), q.bounds[live], 0))
-        most = np.minimum(b**2 / 2 if metric == "cosine" else b, q.state[live].max(axis=1) + 1e-11)
-        keep = d <= most[:, None]
-        if np.isinf(most).any():
-            keep &= np.isfinite(d)
-        row, col = np.nonzero(keep)
-        crowded = np.nonzero(np.bincount(row, minlength=len(live)) > k)[0]
-        if len(crowded):
-            order = np.argsort(np.argsort(np.array(rids.to_pylist())))
-            row, col = least_of_rows(np.where(keep[crowded], d[crowded], np.inf), order, k)
-            keep[crowded] = False
-            keep[crowded[row], col] = True
-            row, col = np.nonzero(keep)
-        if not len(row):
-            return
-        new = np.full((len(live), k), np.inf)
-        new[row, np.arange(len(row)) - np.searchsorted(row, row)] = d[row, col]
-        q.state[live] = np.partition(np.concatenate([q.state[live], new], axis=1), k - 1, axis=1)[:, :k]
-        q.bounds[live] = np.minimum(q.bounds[live], reach(q.state[live].max(axis=1) + 1e-11, metric))
-        yield pa.RecordBatch.from_arrays([q.ids.take(pa.array(live[row])), rids.take(pa.array(col)), pa.array(d[row, col])],
-            names=["query", "entry", "distance"])
 
+def nearest_entries(index: Index, k: int, queries: Index | None = None) -> DataFrame:
+    """``query, entry, distance``: the ``k`` nearest entries of each query entry, its own vector (distance 0) counted; ties (to 12 places) by entry."""
     order = Window.partitionBy("query").orderBy(F.round("distance", 12), "entry")
     met = _meet(index, queries, k, None)
-    return _compared(met, _kernel(index, best, queries is None), f"query {(queries or index).id_type}, entry {index.id_type}, distance double",
+    return _compared(met, _kernel(index, k, queries is None), f"query {(queries or index).id_type}, entry {index.id_type}, distance double",
         lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
 
 

@@ -175,3 +175,41 @@ def test_a_vector_travels_a_few_times(spark, monkeypatch, tmp_path):
     np.fill_diagonal(d, np.inf)
     assert {(r["id"], r["neighbor"]) for r in N.knn(df, df, "id", "x", 1).collect()} == set(enumerate(d.argmin(1).tolist()))
     assert sum(map(int, (tmp_path / "seen").read_text().split())) < 10 * len(x)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan"])
+def test_close_pairs_hold_all_nearest(metric):
+    """Single precision leaves out no neighbour: equal and nearly equal vectors, far from zero, tiny and huge."""
+    rng = np.random.default_rng(6)
+    for scale, far, width in ((1, 0, 64), (1e-3, 5, 8), (1e-12, 0, 8), (1, 1000, 3), (1e9, 0, 16), (1e16, 0, 4)):
+        x, y = (rng.standard_normal((n, width)) * scale + far for n in (90, 70))
+        y[:20], y[20:40] = x[:20], x[:20] * (1 + 1e-9)
+        d = V.distances(x, y, metric) if metric != "euclidean" else np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+        for most in (np.full(90, np.inf), np.quantile(d, 0.1, axis=1) * (1 + 1e-9) + 1e-11):
+            row, col, got = V.close_pairs(x, y, most, 7, metric)
+            found = set(zip(row.tolist(), col.tolist(), strict=True))
+            assert np.allclose(got, d[row, col], rtol=1e-6, atol=1e-12 + 1e-7 * scale)
+            for i in range(90):
+                near = np.nonzero(d[i] <= most[i] - 1e-11 * (np.isfinite(most[i])))[0]
+                assert {(i, j) for j in near[np.lexsort((near, np.round(d[i, near], 12)))][:7].tolist()} <= found
+
+
+def test_nearest_of_equal_distances(spark):
+    """All distances are equal, so ids tell which are nearest; queries of several chunks meet each chunk together."""
+    df = spark.createDataFrame([(i, [float(j == i) for j in range(80)]) for i in range(80)], "id long, x array<double>")
+    for metric in ("euclidean", "cosine"):
+        got: dict = {}
+        for r in N.knn(df, df, "id", "x", 3, metric).collect():
+            got.setdefault(r["id"], []).append((r["rank"], r["neighbor"]))
+        assert got == {i: [(n + 1, j) for n, j in enumerate([j for j in range(80) if j != i][:3])] for i in range(80)}
+
+
+def test_few_distances_are_taken_in_double_precision(monkeypatch):
+    """Of a chunk's pairs only those that may be nearest are compared again."""
+    rng = np.random.default_rng(7)
+    x, y = rng.standard_normal((512, 64)), rng.standard_normal((512, 64))
+    met = []
+    einsum = np.einsum
+    monkeypatch.setattr(V.np, "einsum", lambda how, p, q: met.append(len(p)) or einsum(how, p, q))
+    row, _, _ = V.close_pairs(x, y, np.full(512, np.inf), 11, "euclidean")
+    assert 512 * 11 <= len(row) <= sum(met) < 512 * 13
