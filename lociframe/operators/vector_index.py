@@ -33,7 +33,7 @@ GROUP_CHUNKS = 32
 GROUP_ROWS = 4096
 HELD_LABELS = 16
 #: Queries that meet a chunk of entries at a time, and pairs whose distances are taken at a time.
-QUERY_ROWS = 2048
+QUERY_ROWS = 1024
 PAIRS = 1 << 15
 
 Batches = Iterable[pa.RecordBatch]
@@ -395,10 +395,18 @@ def _kernel(index: Index, pick: Callable | int, own: bool, weighted: bool = Fals
     return run
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray, most: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _single(x: np.ndarray, mid: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows less ``mid`` with a one at their end in single precision, and their lengths."""
+    u = x - mid
+    return np.hstack([u, np.ones((len(u), 1))]).astype(np.float32), np.sqrt((u**2).sum(1))
+
+
+def close_pairs(x: np.ndarray, y: np.ndarray, most: np.ndarray, k: int, metric: str,
+    ready: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, distance), by row, of the pairs within ``most`` of their row; some beyond a row's ``k`` nearest may be left out.
 
     Products in single precision, with a margin for their rounding, leave few pairs, whose distances are taken in double precision.
+    ``ready`` are a middle and ``_single`` of ``x`` by it, which serve where it lies so near ``y`` that the margin is small.
     """
     if metric == "cosine":
         x, y = _space(x, metric), _space(y, metric)
@@ -406,24 +414,30 @@ def close_pairs(x: np.ndarray, y: np.ndarray, most: np.ndarray, k: int, metric:
         d = distances(x, y, metric)
         row, col = np.nonzero((d <= most[:, None]) & np.isfinite(d))
         return row, col, d[row, col]
+    share = (x.shape[1] + 8) * 2.0**-22
     if metric == "cosine":
-        u, v, low = x, y, 1 - most
+        (u, long), v, low = _single(x, 0.0), np.hstack([y, np.zeros((len(y), 1))]), 1 - most
+        top = 1.0
     else:
-        mid = y.mean(axis=0)
+        mid, u, long = ready or (y.mean(axis=0), None, None)
+        top = np.sqrt(((y - mid) ** 2).sum(1).max())
+        if u is None or np.median(share * (long * top + top**2)) > np.median(most**2) / 128:
+            mid = y.mean(axis=0)
+            (u, long), top = _single(x, mid), np.sqrt(((y - mid) ** 2).sum(1).max())
         v = y - mid
-        u, v = np.hstack([x - mid, np.ones((len(x), 1))]), np.hstack([v, -(v**2).sum(1)[:, None] / 2])  # x.y - y.y / 2 grows as distance falls
-        low = ((u[:, :-1] ** 2).sum(1) - most**2) / 2
-    long = np.sqrt((u[:, : x.shape[1]] ** 2).sum(1))
-    top = np.sqrt((v[:, : x.shape[1]] ** 2).sum(1)).max()
-    margin = (x.shape[1] + 8) * 2.0**-22 * (long * top + top**2)
-    s = u.astype(np.float32) @ v.astype(np.float32).T
+        v = np.hstack([v, -(v**2).sum(1)[:, None] / 2])  # x.y - y.y / 2 grows as distance falls
+        low = (long**2 - most**2) / 2
+    margin = share * (long * top + top**2)
+    s = u @ v.astype(np.float32).T
     keep = s >= (low - margin).astype(np.float32)[:, None]
-    crowded = np.nonzero(keep.sum(axis=1) > k)[0]
+    at = np.flatnonzero(keep)  # few: faster than counts of all rows
+    crowded = np.nonzero(np.bincount(at // len(y), minlength=len(x)) > k)[0]
     if len(crowded):
         kth = np.partition(s[crowded], len(y) - k, axis=1)[:, len(y) - k].astype(float)
         tied = 1e-11 * (1 if metric == "cosine" else np.sqrt(np.maximum(long[crowded] ** 2 - 2 * kth, 0)) + 1e-11)  # ties are to 12 places
         keep[crowded] &= s[crowded] >= (kth - 2 * margin[crowded] - tied).astype(np.float32)[:, None]
-    row, col = np.nonzero(keep)
+        at = np.flatnonzero(keep)
+    row, col = np.divmod(at, len(y))
     d = np.empty(len(row))
     for at in range(0, len(row), PAIRS):
         p, q = x[row[at : at + PAIRS]], y[col[at : at + PAIRS]]
@@ -440,13 +454,31 @@ def _within_rows(row: np.ndarray) -> np.ndarray:
 class _Held:
     """All queries of a tile: their ids, vectors, bounds (of ``reach``) and the ``k`` least distances found so far; ``places`` are the chunks' first rows."""
 
-    def __init__(self, asked: list[tuple], k: int):
+    def __init__(self, asked: list[tuple], k: int, metric: str):
         self.ids = pa.concat_arrays([ids for _, ids, _, _ in asked])
         self.x = np.concatenate([x for _, _, x, _ in asked])
         self.bounds = np.concatenate([b for _, _, _, b in asked])
         self.least = np.full((len(self.x), k), np.inf)
         sizes = [len(x) for _, _, x, _ in asked]
         self.places = {key: at for (key, *_), at in zip(asked, np.cumsum(sizes) - sizes, strict=True)}
+        self.metric, self.plain = metric, metric == "euclidean" and np.abs(self.x).max(initial=0) < 1e15
+        if self.plain:
+            self.mid = self.x.mean(axis=0)
+            self.single, self.long = _single(self.x, self.mid)
+
+    def gaps(self, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the distances to a centre are at least and at most."""
+        c = centre - self.mid if self.plain else centre
+        if not self.plain or not np.abs(c).max(initial=0) < 1e15:
+            g = _to_centres(self.x, centre[None], self.metric)[:, 0]
+            return g, g
+        near = self.long**2 + c @ c - 2 * (self.x @ c - self.mid @ c)
+        wide = self.long + np.sqrt(c @ c) + np.abs(self.mid).max(initial=0)
+        rounding = (len(c) + 8) * 2.0**-50 * wide * (wide + np.sqrt(len(c)) * np.abs(self.mid).max(initial=0))
+        return np.sqrt(np.maximum(near - rounding, 0)), np.sqrt(np.maximum(near + rounding, 0))
+
+    def ready(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        return (self.mid, self.single[some], self.long[some]) if self.plain else None
 
 
 def _nearest(index: Index, k: int, own: bool) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
@@ -472,17 +504,17 @@ def _nearest(index: Index, k: int, own: bool) -> Callable[[Batches], Iterator[pa
                 if held is None:
                     if not asked:
                         continue
-                    held, asked = _Held(asked, k), []
+                    held, asked = _Held(asked, k, metric), []
                 yield from meet(held, key, y, gaps, col("entries").values)
 
     def meet(held: _Held, key: tuple, y: np.ndarray, gaps: np.ndarray, rids: pa.Array) -> Iterator[pa.RecordBatch]:
-        order, g, b = None, _to_centres(held.x, centres[key[0] : key[0] + 1], metric)[:, 0], held.bounds
-        live = np.nonzero(np.maximum(g - gaps.max(), gaps.min() - g) <= b + _slack(np.where(np.isfinite(b), b, 0)) + _slack(g))[0]
+        order, (g, far), b = None, held.gaps(centres[key[0]]), held.bounds
+        live = np.nonzero(np.maximum(g - gaps.max(), gaps.min() - far) <= b + _slack(np.where(np.isfinite(b), b, 0)) + _slack(far))[0]
         for at in range(0, len(live), QUERY_ROWS):
             some = live[at : at + QUERY_ROWS]
             b = held.bounds[some] + _slack(np.where(np.isfinite(held.bounds[some]), held.bounds[some], 0))
             most = np.minimum(b**2 / 2 if metric == "cosine" else b, held.least[some].max(axis=1) + 1e-11)
-            row, col, d = close_pairs(held.x[some], y, most, k, metric)
+            row, col, d = close_pairs(held.x[some], y, most, k, metric, held.ready(some))
             if own and key in held.places:
                 d[some[row] - held.places[key] == col] = 0.0
             if not len(row):

@@ -194,6 +194,28 @@ def test_close_pairs_hold_all_nearest(metric):
                 assert {(i, j) for j in near[np.lexsort((near, np.round(d[i, near], 12)))][:7].tolist()} <= found
 
 
+def test_bounds_of_distances_to_centres_hold():
+    """Distances to a centre are told with their rounding, and queries that are made ready once give the same pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    for scale, far, width in ((1, 0, 64), (1e-3, 1000, 8), (1e6, 1e9, 3), (1e-9, 0, 5), (1e14, 0, 4), (1e16, 0, 4)):
+        x = rng.standard_normal((200, width)) * scale + far
+        c = x[3] + rng.standard_normal(width) * scale * 1e-6
+        held = V._Held([((0, 0, 0), pa.array(range(200)), x, np.zeros(200))], 3, "euclidean")
+        least, most = held.gaps(c)
+        d = np.sqrt(((x - c) ** 2).sum(1))
+        assert (least <= d * (1 + 1e-7)).all() and (d <= most * (1 + 1e-7)).all()
+        y = rng.standard_normal((70, width)) * scale + far
+        far_off = np.sort(np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1)), axis=1)[:, 4]
+        some = np.arange(50, 150)
+        with_ready = V.close_pairs(x[some], y, far_off[some], 3, "euclidean", held.ready(some))
+        without = V.close_pairs(x[some], y, far_off[some], 3, "euclidean")
+        for i in range(100):
+            nearest = [np.sort(d[row == i])[:3] for row, _, d in (with_ready, without)]
+            assert np.array_equal(*nearest) and len(nearest[0]) == 3
+
+
 def test_nearest_of_equal_distances(spark):
     """All distances are equal, so ids tell which are nearest; queries of several chunks meet each chunk together."""
     df = spark.createDataFrame([(i, [float(j == i) for j in range(80)]) for i in range(80)], "id long, x array<double>")
