@@ -452,13 +452,18 @@ def _within_rows(row: np.ndarray) -> np.ndarray:
 
 
 class _Held:
-    """All queries of a tile: their ids, vectors, bounds (of ``reach``) and the ``k`` least distances found so far; ``places`` are the chunks' first rows."""
+    """All queries of a tile: their ids, vectors, bounds (of ``reach``) and the ``k`` nearest entries so far; ``places`` are the chunks' first rows.
+
+    ``least`` are the distances of the nearest entries and ``which`` their numbers in ``entries``, the chunks that have given one.
+    """
 
     def __init__(self, asked: list[tuple], k: int, metric: str):
         self.ids = pa.concat_arrays([ids for _, ids, _, _ in asked])
         self.x = np.concatenate([x for _, _, x, _ in asked])
         self.bounds = np.concatenate([b for _, _, _, b in asked])
-        self.least = np.full((len(self.x), k), np.inf)
+        self.least, self.which = np.full((len(self.x), k), np.inf), np.zeros((len(self.x), k), np.int64)
+        self.entries: list[pa.Array] = []
+        self.seen = 0
         sizes = [len(x) for _, _, x, _ in asked]
         self.places = {key: at for (key, *_), at in zip(asked, np.cumsum(sizes) - sizes, strict=True)}
         self.metric, self.plain = metric, metric == "euclidean" and np.abs(self.x).max(initial=0) < 1e15
@@ -477,6 +482,14 @@ class _Held:
         rounding = (len(c) + 8) * 2.0**-50 * wide * (wide + np.sqrt(len(c)) * np.abs(self.mid).max(initial=0))
         return np.sqrt(np.maximum(near - rounding, 0)), np.sqrt(np.maximum(near + rounding, 0))
 
+    def found(self) -> Iterator[pa.RecordBatch]:
+        """The nearest entries of all queries, few queries at a time."""
+        every = pa.concat_arrays(self.entries) if self.entries else None
+        for at in range(0, len(self.x) if self.entries else 0, QUERY_ROWS):
+            row, col = np.nonzero(np.isfinite(self.least[at : at + QUERY_ROWS]))
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(at + row)), every.take(pa.array(self.which[at + row, col])),
+                pa.array(self.least[at + row, col])], names=["query", "entry", "distance"])
+
     def ready(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         return (self.mid, self.single[some], self.long[some]) if self.plain else None
 
@@ -484,7 +497,8 @@ class _Held:
 def _nearest(index: Index, k: int, own: bool) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     """Sorted tiles to ``query, entry, distance``: of each chunk of entries the nearest ones of all queries that its ring is in reach of, ``QUERY_ROWS`` at a time.
 
-    A query's ``k``-th distance so far is its bound, so that few entries leave a tile that others displace.
+    A query's ``k``-th distance so far is its bound. What leaves a tile are its ``k`` nearest entries of each query at its end, and before
+    it those that tie with the ``k``-th (to 12 places), of which ids tell the nearest.
     """
     centres, metric = index.centres, index.metric
 
@@ -495,6 +509,8 @@ def _nearest(index: Index, k: int, own: bool) -> Callable[[Batches], Iterator[pa
                 col = lambda c: batch.column(batch.schema.get_field_index(c))[i]  # noqa: B023,E731
                 tile, key = (col("grp").as_py(), col("slice").as_py()), (col("cell").as_py(), col("part").as_py(), col("seq").as_py())
                 if tile != now:
+                    if held is not None:
+                        yield from held.found()
                     now, asked, held = tile, [], None
                 y, gaps = matrix(col("xs").values), col("gaps").values.to_numpy()
                 if not col("entry_side").as_py():
@@ -506,9 +522,11 @@ def _nearest(index: Index, k: int, own: bool) -> Callable[[Batches], Iterator[pa
                         continue
                     held, asked = _Held(asked, k, metric), []
                 yield from meet(held, key, y, gaps, col("entries").values)
+        if held is not None:
+            yield from held.found()
 
     def meet(held: _Held, key: tuple, y: np.ndarray, gaps: np.ndarray, rids: pa.Array) -> Iterator[pa.RecordBatch]:
-        order, (g, far), b = None, held.gaps(centres[key[0]]), held.bounds
+        order, kept, first, (g, far), b = None, False, 0, held.gaps(centres[key[0]]), held.bounds
         live = np.nonzero(np.maximum(g - gaps.max(), gaps.min() - far) <= b + _slack(np.where(np.isfinite(b), b, 0)) + _slack(far))[0]
         for at in range(0, len(live), QUERY_ROWS):
             some = live[at : at + QUERY_ROWS]
@@ -525,14 +543,26 @@ def _nearest(index: Index, k: int, own: bool) -> Callable[[Batches], Iterator[pa
                 by = np.lexsort((order[col], np.round(d, 12), row))
                 by = by[_within_rows(row[by]) < k]
                 row, col, d = row[by], col[by], d[by]
+            if not kept:
+                held.entries.append(rids.take(pa.array(np.arange(len(rids)))))
+                first, kept = held.seen, True
+                held.seen += len(rids)
             hit = np.unique(row)
-            new = np.full((len(hit), k), np.inf)
-            new[np.searchsorted(hit, row), _within_rows(row)] = d
-            at_hit = some[hit]
-            held.least[at_hit] = np.partition(np.concatenate([held.least[at_hit], new], axis=1), k - 1, axis=1)[:, :k]
-            held.bounds[at_hit] = np.minimum(held.bounds[at_hit], reach(held.least[at_hit].max(axis=1) + 1e-11, metric))
-            yield pa.RecordBatch.from_arrays([held.ids.take(pa.array(some[row])), rids.take(pa.array(col)), pa.array(d)],
-                names=["query", "entry", "distance"])
+            at_hit, place = some[hit], (np.searchsorted(hit, row), k + _within_rows(row))
+            d_all = np.concatenate([held.least[at_hit], np.full((len(hit), k), np.inf)], axis=1)
+            e_all = np.concatenate([held.which[at_hit], np.zeros((len(hit), k), np.int64)], axis=1)
+            d_all[place], e_all[place] = d, first + col
+            by = np.argpartition(d_all, k - 1, axis=1)
+            d_all, e_all = np.take_along_axis(d_all, by, 1), np.take_along_axis(e_all, by, 1)
+            held.least[at_hit], held.which[at_hit] = d_all[:, :k], e_all[:, :k]
+            edge = d_all[:, :k].max(axis=1)
+            held.bounds[at_hit] = np.minimum(held.bounds[at_hit], reach(edge + 1e-11, metric))
+            r, c = np.nonzero((d_all[:, k:] <= edge[:, None] + 1e-11) & np.isfinite(d_all[:, k:]))
+            if len(r):
+                every = pa.concat_arrays(held.entries)
+                held.entries = [every]
+                yield pa.RecordBatch.from_arrays([held.ids.take(pa.array(at_hit[r])), every.take(pa.array(e_all[r, k + c])),
+                    pa.array(d_all[r, k + c])], names=["query", "entry", "distance"])
 
     return run
 
